@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotstack.llm import chat, sharding
+from lotstack.llm import chat, licenses, sharding
 
 _OPERATORS = (
     chat.op1_prefix_target_chat,
+    licenses.op4_license_scan,
     sharding.op10_slot_sharding,
 )
 
