@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotstack.llm import chat, licenses, sharding
+from lotstack.llm import chat, licenses, quality, sharding
 
 _OPERATORS = (
     chat.op1_prefix_target_chat,
     licenses.op4_license_scan,
+    quality.op9_quality_gbdt,
     sharding.op10_slot_sharding,
 )
 
