@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotstack.llm import chat, licenses, quality, sharding
+from lotstack.llm import chat, html_text, licenses, quality, sharding
 
 _OPERATORS = (
     chat.op1_prefix_target_chat,
+    html_text.op2_html_layout,
     licenses.op4_license_scan,
     quality.op9_quality_gbdt,
     sharding.op10_slot_sharding,
