@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotstack.llm import chat, html_text, licenses, quality, sharding
+from lotstack.llm import chat, html_text, licenses, quality, sharding, topk
 
 _OPERATORS = (
     chat.op1_prefix_target_chat,
     html_text.op2_html_layout,
+    topk.op3_threshold_topk,
     licenses.op4_license_scan,
     quality.op9_quality_gbdt,
     sharding.op10_slot_sharding,
@@ -22,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_threshold_topk": topk.TOPK_SQL}
