@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotstack.llm import chat, html_text, licenses, quality, sharding, topk
+from lotstack.llm import chat, decontaminate, html_text, licenses, quality, sharding, topk
 
 _OPERATORS = (
     chat.op1_prefix_target_chat,
     html_text.op2_html_layout,
     topk.op3_threshold_topk,
     licenses.op4_license_scan,
+    decontaminate.op7_spaced_seed_decontamination,
     quality.op9_quality_gbdt,
     sharding.op10_slot_sharding,
 )
