@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotstack.llm import chat, decontaminate, html_text, licenses, packing, quality, sharding, topk
+from lotstack.llm import chat, decontaminate, html_text, licenses, neardup, packing, quality, sharding, topk
 
 _OPERATORS = (
     chat.op1_prefix_target_chat,
     html_text.op2_html_layout,
     topk.op3_threshold_topk,
     licenses.op4_license_scan,
+    neardup.op5_bottomk_dedup,
     decontaminate.op7_spaced_seed_decontamination,
     packing.op8_best_fit_packing,
     quality.op9_quality_gbdt,
