@@ -30,10 +30,10 @@ from lotstack.llm.common import hash_words, materialize, mix, ordered_int64, tex
 
 #: Values that a sketch keeps, and words in a shingle.
 K, WORDS = 64, 5
-#: Values that the sketches of two documents at the threshold have to share, of K: six deviations below the mean.
-LEAST_SHARED = 36
-#: The same for the wide sketches that tell apart the members of mixed lists.
-WIDE, WIDE_SHARED = 512, 386
+#: Values of the wide sketches that tell apart the members of mixed lists.
+WIDE = 512
+#: The similarity that the corpus pipeline links at.
+PIPELINE_PERCENT = 80
 #: Estimates may fall this far below the threshold: more than six deviations of an estimate from K values.
 MARGIN = 0.3
 
@@ -72,13 +72,19 @@ def sketches(docs: DataFrame, k: int = K) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sketched, "doc_id long, n long, set_key binary, sketch array<long>")
 
 
+def least_shared(k: int, percent: int) -> int:
+    """Values that two sketches of k at the threshold share at least: six deviations below the mean."""
+    p = percent / 100
+    return int(k * p - 6 * (k * p * (1 - p)) ** 0.5)
+
+
 def _needed(n: Column, percent: int) -> Column:
     """Values that a sketch of a set of n has to share with that of any set at the threshold.
 
     If both sets are sketched whole, that is the share of the larger; else the bound for samples, in proportion.
     """
     whole = F.ceil(n * percent / 100)
-    return F.when(n * 100 <= K * percent, whole).otherwise(F.floor(F.least(n, F.lit(K)) * LEAST_SHARED / K))
+    return F.when(n * 100 <= K * percent, whole).otherwise(F.floor(F.least(n, F.lit(K)) * least_shared(K, percent) / K))
 
 
 def _sizes_fit(a: str, b: str, percent: int) -> Column:
@@ -112,7 +118,7 @@ def _wide_pairs(rest: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     common = wide.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     own = Window.partitionBy("rep")
     n, size = F.col("n"), F.least("n", F.lit(WIDE))
-    loose = F.floor(size * WIDE_SHARED / WIDE)
+    loose = F.floor(size * least_shared(WIDE, percent) / WIDE)
     whole = n * 100 <= WIDE * percent
     rank = F.row_number().over(own.orderBy("df", "value"))
     listed = (
