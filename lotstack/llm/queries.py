@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotstack.llm import chat, decontaminate, html_text, licenses, neardup, packing, quality, sharding, topk
+from lotstack.llm import chat, decontaminate, html_text, katz, licenses, neardup, packing, quality, sharding, topk
 
 _OPERATORS = (
     chat.op1_prefix_target_chat,
@@ -14,6 +14,7 @@ _OPERATORS = (
     topk.op3_threshold_topk,
     licenses.op4_license_scan,
     neardup.op5_bottomk_dedup,
+    katz.op6_katz_backoff,
     decontaminate.op7_spaced_seed_decontamination,
     packing.op8_best_fit_packing,
     quality.op9_quality_gbdt,
