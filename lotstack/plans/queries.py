@@ -1,17 +1,618 @@
-"""Registry of the engine's named queries and of their SQL counterparts."""
+"""The engine's named queries, each with its SQL counterpart over the same tables and views."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
+from lotstack.functions import geometry as G
+from lotstack.functions import ids
+from lotstack.operators import constraints, delineate, features, inference, pointcloud, rights, synth, topology
+from lotstack.plans.views import REGISTRY, Query, Tables, query
+from lotstack.sources import cad, osm
+from lotstack.streaming import jobs
 
-Query = Callable[[SparkSession, str], DataFrame]
+# --- identifiers ------------------------------------------------------------------------------
+
+_LE = "concat(" + ", ".join(f"substr(hex(cast(cast({{0}} AS bit) AS blob)), {k}, 2)" for k in range(15, 0, -2)) + ")"
+_HALF = "cast(cast('0x' || substr({0}, {1}, 16) AS ubigint) % 1000000 AS bigint)"
+_PARCEL_IDS = f"""
+codes AS (
+  SELECT suid, concat('0100101', '0001', lpad(cast((({_HALF.format("h", 1)}) * 551616 + {_HALF.format("h", 17)}) % 1000000 AS string), 6, '0'), '00000000') AS code
+  FROM (SELECT suid, md5(unhex(concat({_LE.format("round(x, 3)")}, {_LE.format("round(y, 3)")}, '0000000000001840'))) AS h FROM parcels)
+)"""
+
+
+def _codes(t: Tables) -> DataFrame:
+    return t.view("parcels").select("suid", ids.parcel_code(F.col("x"), F.col("y")).alias("code"))
+
+
+@query(f"WITH {_PARCEL_IDS} SELECT suid, code FROM codes")
+def parcel_hash_id(t: Tables) -> DataFrame:
+    return _codes(t)
+
+
+@query(f"""WITH {_PARCEL_IDS}
+SELECT suid, concat(substr(code, 1, 17), lpad(cast(suid % 9 + 1 AS string), 4, '0'), '0000') AS building,
+  concat(substr(code, 1, 17), lpad(cast(suid % 7 - 1 + 100 AS string), 3, '0'), '0', '0000') AS floor,
+  concat(substr(code, 1, 17), lpad(cast(suid % 7 - 1 + 100 AS string), 3, '0'), '0', lpad(cast(suid % 20 + 1 AS string), 4, '0')) AS unit
+FROM codes""")
+def unit_ids(t: Tables) -> DataFrame:
+    building = ids.building_code(F.col("code"), F.col("suid") % 9 + 1)
+    floor = ids.floor_code(building, F.col("suid") % 7 - 1)
+    return _codes(t).select("suid", building.alias("building"), floor.alias("floor"), ids.unit_code(floor, F.col("suid") % 20 + 1).alias("unit"))
+
+
+_LEVELS = "CASE suid % 4 WHEN 0 THEN 'parcel' WHEN 1 THEN 'building' WHEN 2 THEN 'floor' ELSE 'unit' END"
+
+
+@query(f"""WITH {_PARCEL_IDS}
+SELECT suid, {_LEVELS} AS level, concat(substr(code, 1, 17), CASE suid % 4 WHEN 0 THEN '00000000' WHEN 1 THEN '00010000' WHEN 2 THEN '10200000' ELSE '10200007' END) AS code
+FROM codes""")
+def code_from_geometry(t: Tables) -> DataFrame:
+    level = F.expr(_LEVELS)
+    code = ids.code_for(F.col("level"), F.col("x"), F.col("y"), F.lit(1), F.lit(2), F.lit(7))
+    return t.view("parcels").withColumn("level", level).select("suid", "level", code.alias("code"))
+
+
+@query("""WITH c AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN concat('9', cast(p_partkey AS string)) ELSE lpad(cast(p_partkey * 7919 AS string), 25, '0') END AS code FROM part)
+SELECT p_partkey, length(code) = 25 AS is_valid, CASE WHEN length(code) = 25 THEN substr(code, 1, 2) END AS state, CASE WHEN length(code) = 25 THEN substr(code, 3, 3) END AS district,
+  CASE WHEN length(code) = 25 THEN substr(code, 12, 6) END AS parcel, CASE WHEN length(code) = 25 THEN substr(code, 22, 4) END AS unit FROM c""")
+def parse_id(t: Tables) -> DataFrame:
+    text = F.col("p_partkey").cast("string")
+    code = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("9"), text)).otherwise(F.lpad((F.col("p_partkey") * 7919).cast("string"), 25, "0"))
+    p = ids.parse(code)
+    return t.table("part").select("p_partkey", p["is_valid"].alias("is_valid"), *(p[k].alias(k) for k in ("state", "district", "parcel", "unit")))
+
+
+@query(f"""WITH {_PARCEL_IDS}, u AS (SELECT suid, concat(substr(code, 1, 17), '1030', '0005') AS code FROM codes)
+SELECT suid, cast(pos AS int) AS pos, CASE pos WHEN 0 THEN concat(substr(code, 1, 17), '00000000') WHEN 1 THEN concat(substr(code, 1, 21), '0000') ELSE code END AS path_code
+FROM u, (SELECT unnest([0, 1, 2]) AS pos)""")
+def hierarchy_path(t: Tables) -> DataFrame:
+    unit = ids.unit_code(ids.floor_code(F.col("code"), F.lit(3)), F.lit(5))
+    return _codes(t).select("suid", F.posexplode(ids.hierarchy_path(unit)).alias("pos", "path_code"))
+
+
+@query(f"""WITH {_PARCEL_IDS}, ranked AS (SELECT code, min(suid) AS found FROM codes GROUP BY code)
+SELECT c.suid, r.found FROM codes c JOIN ranked r ON r.code = concat(substr(c.code, 1, 17), '00000000')""")
+def hierarchy_lookup(t: Tables) -> DataFrame:
+    codes = _codes(t)
+    path = codes.select("suid", F.posexplode(ids.hierarchy_path(ids.unit_code(F.col("code"), F.lit(5)))).alias("pos", "code"))
+    return path.join(codes.groupBy("code").agg(F.min("suid").alias("found")), "code").where("pos = 0").select("suid", "found")
+
+
+@query("""SELECT suid, concat(lpad(cast(floor_level + 100 AS string), 3, '0'), '0') AS vertical, cast(floor_level AS int) AS decoded FROM spatial_units""")
+def vertical_encode_decode(t: Tables) -> DataFrame:
+    code = ids.encode_vertical(F.col("floor_level"))
+    return t.view("spatial_units").select("suid", code.alias("vertical"), ids.decode_vertical(code)["floor"].alias("decoded"))
+
+
+@query("SELECT suid, cast(round_even(((z_min + z_max) / 2 - 0.0) / 3.0, 0) AS int) AS floor FROM spatial_units")
+def floor_from_z(t: Tables) -> DataFrame:
+    return t.view("spatial_units").select("suid", ids.floor_from_z(F.col("z_min"), F.col("z_max"), F.lit(0.0)).alias("floor"))
+
+
+@query("SELECT c_custkey, concat('MANUAL', lpad(cast(c_custkey * 104729 AS string), 18, '0')) AS code FROM customer")
+def manual_id(t: Tables) -> DataFrame:
+    return t.table("customer").select("c_custkey", ids.manual_code(F.col("c_custkey") * 104729).alias("code"))
+
+
+@query("""SELECT p_partkey, CASE WHEN v < 0 THEN concat('-', lpad(cast(-v AS string), 5, '0')) ELSE lpad(cast(v AS string), 6, '0') END AS padded,
+  right(lpad(cast(p_partkey AS string), cast(greatest(2, length(cast(p_partkey AS string))) AS int), '0'), 2) AS cut FROM (SELECT p_partkey, p_partkey % 7 * 11 - 30 AS v FROM part)""")
+def padded_parts(t: Tables) -> DataFrame:
+    return t.table("part").select("p_partkey", ids.pad(F.col("p_partkey") % 7 * 11 - 30, 6).alias("padded"), ids.pad(F.col("p_partkey"), 2).alias("cut"))
+
+
+@query("SELECT suid, round((x + x + 0.5 + x + 0.5) / 3, 6) AS cx, round((y + y + y + 0.25) / 3, 6) AS cy, round(cast(7 AS double), 6) AS cz FROM parcels")
+def text_centroid(t: Tables) -> DataFrame:
+    corner = lambda dx, dy: F.format_string("%.3f %.3f 7.0", F.col("x") + dx, F.col("y") + dy)
+    c = G.wkt_centroid(F.concat(F.lit("POLYGON Z (("), corner(0, 0), F.lit(", "), corner(0.5, 0), F.lit(", "), corner(0.5, 0.25), F.lit("))")))
+    return t.view("parcels").select("suid", *(F.round(c[k], 6).alias(f"c{k}") for k in "xyz"))
+
+
+# --- features, filters, statistics ------------------------------------------------------------
+
+
+@query("SELECT suid, floor_level FROM spatial_units WHERE type = 'unit' AND floor_level = 2")
+def features_filter(t: Tables) -> DataFrame:
+    return features.filtered(t.view("spatial_units"), "unit", 2).select("suid", "floor_level")
+
+
+@query("SELECT suid FROM spatial_units WHERE minx <= 2000 AND maxx >= 100 AND miny <= 120 AND maxy >= 6")
+def features_bbox(t: Tables) -> DataFrame:
+    return features.in_bbox(t.view("spatial_units"), "100,6,2000,120").select("suid")
+
+
+@query("SELECT suid, type FROM spatial_units ORDER BY suid LIMIT 100 OFFSET 200")
+def features_page(t: Tables) -> DataFrame:
+    return features.page(t.view("spatial_units"), 100, 200).select("suid", "type")
+
+
+@query("""SELECT count(*) AS matched, cast(200 AS bigint) AS self_offset, CASE WHEN 300 < count(*) THEN cast(300 AS bigint) END AS next_offset FROM spatial_units WHERE type = 'floor'""")
+def page_links(t: Tables) -> DataFrame:
+    return features.page_links(features.filtered(t.view("spatial_units"), "floor"), 100, 200)
+
+
+@query("SELECT source_id, type FROM survey_sources WHERE source_id = 7")
+def source_lookup(t: Tables) -> DataFrame:
+    return features.lookup(t.view("survey_sources"), "source_id", 7).select("source_id", "type")
+
+
+@query("""SELECT suid, concat('{"type":"Feature","id":', cast(suid AS string), ',"geometry":{"type":"Polygon","coordinates":[[[', cast(minx AS string), ',', cast(miny AS string), '],[', cast(maxx AS string), ',', cast(miny AS string), '],[',
+  cast(maxx AS string), ',', cast(maxy AS string), '],[', cast(minx AS string), ',', cast(maxy AS string), '],[', cast(minx AS string), ',', cast(miny AS string), ']]]},"properties":{"type":"', type, '","floor_level":', cast(floor_level AS string), '}}') AS feature FROM spatial_units""")
+def feature_json(t: Tables) -> DataFrame:
+    return features.feature_json(t.view("spatial_units"), ("type", "floor_level"))
+
+
+@query("SELECT id, title FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in features.COLLECTIONS) + ") v(id, title)")
+def collections(t: Tables) -> DataFrame:
+    return features.collections(t.spark)
+
+
+@query("""SELECT 'total' AS dimension, cast(NULL AS string) AS value, count(*) AS n FROM spatial_units
+UNION ALL SELECT 'type', type, count(*) FROM spatial_units GROUP BY type
+UNION ALL SELECT 'floor_level', cast(floor_level AS string), count(*) FROM spatial_units GROUP BY floor_level""")
+def stats_grouping_sets(t: Tables) -> DataFrame:
+    return features.statistics(t.view("spatial_units"))
+
+
+@query("""SELECT s.severity, coalesce(n, 0) AS n FROM (VALUES ('error'), ('warning'), ('info')) s(severity) LEFT JOIN (
+  SELECT CASE WHEN g > 0 THEN 'error' ELSE 'warning' END AS severity, count(*) AS n FROM (
+    SELECT lead(z_min) OVER w - z_max AS g FROM spatial_units WINDOW w AS (PARTITION BY parent_suid ORDER BY z_min, suid)) WHERE abs(g) > 0.01 GROUP BY 1) USING (severity)""")
+def severity_summary(t: Tables) -> DataFrame:
+    return features.severity_summary(topology.vertical_consecutive(t.view("spatial_units")))
+
+
+@query("""SELECT 'type' AS dimension, building_type AS value, count(*) AS n FROM buildings GROUP BY building_type
+UNION ALL SELECT 'levels', cast(levels AS string), count(*) FROM buildings GROUP BY levels""")
+def buildings_preview(t: Tables) -> DataFrame:
+    return features.preview(t.view("buildings"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN cast(NULL AS bigint) ELSE cast(trunc(CASE p_partkey % 4 WHEN 0 THEN p_size + 0.7 WHEN 1 THEN -p_size - 0.7 ELSE p_size END) AS bigint) END AS whole,
+  CASE WHEN p_partkey % 4 = 3 THEN cast(NULL AS double) ELSE cast(CASE p_partkey % 4 WHEN 0 THEN p_size + 0.7 WHEN 1 THEN -p_size - 0.7 ELSE p_size END AS double) END AS number FROM part""")
+def safe_casts(t: Tables) -> DataFrame:
+    text = F.expr("CASE p_partkey % 4 WHEN 0 THEN concat(p_size, '.7') WHEN 1 THEN concat('-', p_size, '.7') WHEN 2 THEN concat(' ', p_size, ' ') ELSE p_name END")
+    return t.table("part").select("p_partkey", features.safe_int(text).alias("whole"), features.safe_float(text).alias("number"))
+
+
+@query("SELECT c_custkey, c_mktsegment IN ('BUILDING', 'MACHINERY') AS is_valid FROM customer")
+def membership(t: Tables) -> DataFrame:
+    rows = t.table("customer").select("c_custkey", F.lower("c_mktsegment").alias("segment"))
+    return constraints.members(rows, "segment", ["Building", "Machinery"]).select("c_custkey", "is_valid")
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
+def duplicate_ids(t: Tables) -> DataFrame:
+    return constraints.duplicates(t.table("lineitem"), "l_orderkey", "l_linenumber")
+
+
+@query("SELECT suid, source_id FROM spatial_units WHERE source_id NOT IN (SELECT source_id FROM survey_sources WHERE type <> 'lidar')")
+def fk_orphans(t: Tables) -> DataFrame:
+    return constraints.orphans(t.view("spatial_units"), "source_id", t.view("survey_sources").where("type <> 'lidar'"), "source_id").select("suid", "source_id")
+
+
+@query("SELECT n_nationkey FROM nation")
+def insert_absent(t: Tables) -> DataFrame:
+    nations = t.table("nation").select("n_nationkey", "n_regionkey")
+    return constraints.insert_absent(nations.where("n_regionkey = 1").drop("n_regionkey"), nations.drop("n_regionkey"), "n_nationkey")
+
+
+# --- rights -----------------------------------------------------------------------------------
+
+_ACTIVE = "status = 'active' AND valid_from <= DATE '1997-06-01' AND (valid_until IS NULL OR valid_until >= DATE '1997-06-01')"
+
+
+@query(f"SELECT rrr_id, name AS party_name, p.type AS party_type, g.type AS right_type FROM rrr JOIN parties p ON pid = party_ref JOIN rights g ON rid = right_ref WHERE {_ACTIVE}")
+def active_rights(t: Tables) -> DataFrame:
+    linked = rights.star(rights.active_on(t.view("rrr"), "1997-06-01"), t.view("parties"), t.view("rights"))
+    return linked.select("rrr_id", "party_name", "party_type", "right_type")
+
+
+@query("SELECT spatial_unit_ref, g.type AS right_type, round(sum(share_numerator / share_denominator), 6) AS share FROM rrr JOIN rights g ON rid = right_ref JOIN parties p ON pid = party_ref GROUP BY 1, 2")
+def rights_share(t: Tables) -> DataFrame:
+    linked = rights.star(t.view("rrr"), t.view("parties"), t.view("rights"))
+    return rights.shares(linked).withColumn("share", F.round("share", 6))
+
+
+# --- topology ---------------------------------------------------------------------------------
+
+
+@query("""SELECT a.suid AS upper_suid, b.suid AS lower_suid, round(a.z_min - b.z_max, 6) AS gap FROM spatial_units a JOIN spatial_units b
+ON a.parent_suid = b.parent_suid AND a.floor_level = b.floor_level + 1 WHERE abs(a.z_min - b.z_max) > 0.01""")
+def vertical_gap(t: Tables) -> DataFrame:
+    return topology.vertical_gaps(t.view("spatial_units")).withColumn("gap", F.round("gap", 6))
+
+
+_CONSECUTIVE = """SELECT suid AS suid_1, n AS suid_2, round(gap, 6) AS gap, CASE WHEN gap > 0 THEN 'gap' ELSE 'overlap' END AS relation, CASE WHEN gap > 0 THEN 'error' ELSE 'warning' END AS severity
+FROM (SELECT suid, lead(suid) OVER w AS n, {} AS gap FROM spatial_units WINDOW w AS (PARTITION BY parent_suid ORDER BY z_min, suid)) WHERE n IS NOT NULL AND abs(gap) > 0.01"""
+
+
+@query(_CONSECUTIVE.format("z_min - lead(z_max) OVER w"))
+def vertical_consecutive_asis(t: Tables) -> DataFrame:
+    return topology.vertical_consecutive(t.view("spatial_units"), "asis").withColumn("gap", F.round("gap", 6))
+
+
+@query(_CONSECUTIVE.format("lead(z_min) OVER w - z_max"))
+def vertical_consecutive_intent(t: Tables) -> DataFrame:
+    return topology.vertical_consecutive(t.view("spatial_units")).withColumn("gap", F.round("gap", 6))
+
+
+_MEET = """a.parent_suid = b.parent_suid AND a.suid < b.suid AND a.minx <= b.maxx AND b.minx <= a.maxx AND a.miny <= b.maxy AND b.miny <= a.maxy AND a.z_min <= b.z_max AND b.z_min <= a.z_max"""
+_SHARED = "least(a.max{0}, b.max{0}) - greatest(a.min{0}, b.min{0})"
+
+
+@query(f"""SELECT suid_1, suid_2, CASE flat WHEN 0 THEN 'overlap' WHEN 1 THEN 'adjacent' ELSE 'touch' END AS relation FROM (
+SELECT a.suid AS suid_1, b.suid AS suid_2, cast({_SHARED.format("x")} = 0 AS int) + cast({_SHARED.format("y")} = 0 AS int) + cast(least(a.z_max, b.z_max) - greatest(a.z_min, b.z_min) = 0 AS int) AS flat
+FROM spatial_units a JOIN spatial_units b ON {_MEET})""")
+def adjacency(t: Tables) -> DataFrame:
+    return topology.adjacency(t.view("spatial_units"))
+
+
+@query(f"""SELECT * FROM (SELECT a.suid AS suid_1, b.suid AS suid_2, round(({_SHARED.format("x")}) * ({_SHARED.format("y")}) * (least(a.z_max, b.z_max) - greatest(a.z_min, b.z_min)), 6) AS volume
+FROM spatial_units a JOIN spatial_units b ON {_MEET}) WHERE volume > 0""")
+def overlapping_volumes(t: Tables) -> DataFrame:
+    return topology.overlaps(t.view("spatial_units")).withColumn("volume", F.round("volume", 6))
+
+
+_BOUNDS = "SELECT parent_suid, min(minx) AS px1, min(miny) AS py1, min(minx) + 8.0E0 AS px2, min(miny) + 8.0E0 AS py2 FROM spatial_units GROUP BY parent_suid"
+
+
+@query(f"WITH p AS ({_BOUNDS}) SELECT suid, parent_suid FROM spatial_units JOIN p USING (parent_suid) WHERE minx < px1 - 0.01 OR miny < py1 - 0.01 OR maxx > px2 + 0.01 OR maxy > py2 + 0.01")
+def boundary_violation(t: Tables) -> DataFrame:
+    units = t.view("spatial_units")
+    parcels = units.groupBy("parent_suid").agg(F.min("minx").alias("px1"), F.min("miny").alias("py1"), (F.min("minx") + 8).alias("px2"), (F.min("miny") + 8).alias("py2"))
+    return topology.boundary_violations(units, parcels)
+
+
+def _tetrahedra(t: Tables) -> DataFrame:
+    """Two tetrahedra under and over each floor's triangle, so that stacked floors share faces."""
+    u = t.view("spatial_units")
+    p = lambda x, y, z: G.point(F.col("minx") + x, F.col("miny") + y, F.col("z_min") + z)
+    base = [p(0, 0, 0), p(4, 0, 0), p(0, 6, 0)]
+    both = F.array(F.struct(F.lit(0).alias("k"), F.array(*base, p(0, 0, 3)).alias("v")), F.struct(F.lit(1).alias("k"), F.array(base[0], base[2], base[1], p(0, 0, -3)).alias("v")))
+    return u.select("suid", F.explode(both).alias("t")).select((F.col("suid") * 2 + F.col("t.k")).alias("tet"), F.concat(F.col("suid").cast("string"), F.lit("-"), F.col("t.k").cast("string")).alias("suid"), F.col("t.v").alias("vertices"))
+
+
+@query("SELECT suid * 2 + k AS tet, round(4.0 * 6.0 * 3.0 / 6, 6) AS volume FROM spatial_units, (SELECT unnest([0, 1]) AS k)")
+def tetra_volume(t: Tables) -> DataFrame:
+    v = [F.element_at("vertices", k) for k in (1, 2, 3, 4)]
+    return _tetrahedra(t).select("tet", F.round(G.tetra_volume(*v), 6).alias("volume"))
+
+
+@query("SELECT cast(count(*) * 2 * 4 AS bigint) AS faces, cast(count(*) * 2 AS bigint) AS solids FROM spatial_units")
+def face_index(t: Tables) -> DataFrame:
+    faces = topology.tetra_faces(_tetrahedra(t))
+    return faces.agg(F.count("*").alias("faces"), F.countDistinct("tet").alias("solids"))
+
+
+@query(None)
+def shared_faces(t: Tables) -> DataFrame:
+    return topology.shared_faces(topology.tetra_faces(_tetrahedra(t))).drop("face_key")
+
+
+@query(None)
+def manifold_gaps(t: Tables) -> DataFrame:
+    return topology.manifold_gaps(topology.tetra_faces(_tetrahedra(t))).drop("face_key")
+
+
+# --- geometry and delineation -----------------------------------------------------------------
+
+
+@query("""SELECT building_id, round(width * height_y, 6) AS area, round(2 * (width + height_y), 6) AS perimeter, round(width * 2 / 5, 6) AS cx, round(height_y * 2 / 5, 6) AS cy,
+  building_id % 60 * 1.0E0 < width AND building_id % 50 * 1.0E0 < height_y AS inside FROM buildings""")
+def ring_measures(t: Tables) -> DataFrame:
+    ring = G.box_ring(F.lit(0.0), F.lit(0.0), F.col("width"), F.col("height_y"))
+    c = G.vertex_mean(ring)
+    inside = G.contains(ring, F.col("building_id") % 60 * F.lit(1.0), F.col("building_id") % 50 * F.lit(1.0))
+    return t.view("buildings").select(
+        "building_id", F.round(G.shoelace_area(ring), 6).alias("area"), F.round(G.perimeter(ring), 6).alias("perimeter"), F.round(c["x"], 6).alias("cx"), F.round(c["y"], 6).alias("cy"), inside.alias("inside")
+    )
+
+
+@query("""SELECT building_id, concat('POLYGON ((0.0 0.0, ', w, ' 0.0, ', w, ' ', h, ', 0.0 ', h, ', 0.0 0.0))') AS wkt FROM (SELECT building_id, concat(cast(cast(width AS bigint) AS string), '.0') AS w, concat(cast(cast(height_y AS bigint) AS string), '.0') AS h FROM buildings)""")
+def ring_wkt(t: Tables) -> DataFrame:
+    ring = G.box_ring(F.lit(0.0), F.lit(0.0), F.col("width"), F.col("height_y"))
+    return t.view("buildings").select("building_id", G.polygon_wkt(ring).alias("wkt"))
+
+
+@query("SELECT building_id, cast(6 AS int) AS faces FROM buildings")
+def solid_faces(t: Tables) -> DataFrame:
+    ring = G.box_ring(F.lit(0.0), F.lit(0.0), F.col("width"), F.col("height_y"))
+    rings = G.read_wkt_rings(G.solid_wkt(ring, F.lit(0.0), F.col("levels") * 3.0))
+    return t.view("buildings").select("building_id", F.size(rings).alias("faces"))
+
+
+@query("SELECT suid, round(0.0001 * 111000 * 111000 * cos(radians(y)), 4) AS area_m2 FROM parcels")
+def degree_area(t: Tables) -> DataFrame:
+    return t.view("parcels").select("suid", F.round(G.square_metres(F.lit(0.0001), F.col("y")), 4).alias("area_m2"))
+
+
+def _units_sql(first: str, extra: str, rest: str) -> str:
+    return f"cast(CASE WHEN {first} WHEN building_type = 'commercial' THEN greatest(1, round_even(area / 300, 0)) WHEN building_type = 'mixed' THEN greatest(2, round_even(area / 150, 0)) {extra} ELSE {rest} END AS int)"
+
+
+_A100 = "greatest(1, round_even(area / 100, 0))"
+_PER_FLOOR = _units_sql(f"building_type = 'residential' THEN {_A100}", "WHEN building_type = 'apartments' THEN greatest(1, round_even(area / 75, 0))", _A100)
+_PER_MAPPED = _units_sql("building_type IN ('residential', 'apartments') THEN greatest(1, round_even(area / 85, 0))", "", _A100)
+_LAYOUT = """CASE WHEN building_type = 'residential' AND area > 800 THEN 'corridor' WHEN building_type = 'residential' AND area > 300 THEN 'perimeter'
+  WHEN building_type = 'commercial' AND area > 1500 THEN 'corridor' WHEN building_type = 'mixed' THEN 'perimeter' ELSE 'grid' END"""
+
+
+@query(f"SELECT building_id, {_PER_FLOOR} AS units, {_PER_MAPPED} AS mapped_units, {_LAYOUT} AS layout FROM buildings")
+def units_and_layout(t: Tables) -> DataFrame:
+    kind, area = F.col("building_type"), F.col("area")
+    return t.view("buildings").select(
+        "building_id", delineate.units_per_floor(kind, area).alias("units"), delineate.units_per_mapped_floor(kind, area).alias("mapped_units"), delineate.layout(kind, area).alias("layout")
+    )
+
+
+@query("""SELECT building_id, cast(CASE WHEN building_type IN ('residential', 'apartments') THEN CASE WHEN area < 100 THEN 1 WHEN area < 300 THEN 2 WHEN area < 800 THEN 4 WHEN area < 2000 THEN 8 ELSE 12 END
+  WHEN building_type = 'commercial' THEN CASE WHEN area < 200 THEN 1 WHEN area < 500 THEN 2 WHEN area < 1500 THEN 4 ELSE 10 END WHEN building_type = 'industrial' THEN 1
+  WHEN building_type = 'mixed' THEN CASE WHEN area < 500 THEN 3 WHEN area < 1500 THEN 6 ELSE 15 END WHEN building_type = 'hospitality' THEN greatest(3, floor(sqrt(area) / 10))
+  WHEN building_type = 'institutional' THEN greatest(2, floor(sqrt(area) / 15)) ELSE greatest(1, floor(sqrt(area) / 20)) END AS int) AS levels FROM buildings""")
+def levels_estimate(t: Tables) -> DataFrame:
+    return t.view("buildings").select("building_id", delineate.estimated_levels(F.col("building_type"), F.col("area")).alias("levels"))
+
+
+@query("""WITH b AS (SELECT building_id, width, height_y, cast(building_id % 12 + 1 AS int) AS n FROM buildings), g AS (SELECT *, greatest(1, cast(round_even(sqrt(n), 0) AS int)) AS c FROM b),
+  k AS (SELECT *, cast(ceil(n / c) AS int) AS r, unnest(range(0, n)) AS cell FROM g)
+SELECT building_id, cast(cell AS int) AS cell, round(cell % c * (width / c), 6) AS minx, round(floor(cell / c) * (height_y / r), 6) AS miny, round((cell % c + 1) * (width / c), 6) AS maxx, round((floor(cell / c) + 1) * (height_y / r), 6) AS maxy FROM k""")
+def split_grid(t: Tables) -> DataFrame:
+    cells = delineate.grid_cells((F.col("building_id") % 12 + 1).cast("int"), F.lit(0.0), F.lit(0.0), F.col("width"), F.col("height_y"))
+    return t.view("buildings").select("building_id", F.explode(cells).alias("c")).select("building_id", "c.cell", *(F.round(f"c.{k}", 6).alias(k) for k in ("minx", "miny", "maxx", "maxy")))
+
+
+@query("""WITH b AS (SELECT *, greatest(1, cast(floor((building_id % 8 + 2) / 2) AS int)) AS each, greatest(width, height_y) AS len, least(width, height_y) AS dep FROM buildings),
+  h AS (SELECT *, least(2.0, dep * 0.15) AS hall FROM b)
+SELECT building_id, cast(each * 2 AS int) AS cells, round(each * 2 * (len / each) * ((dep - hall) / 2), 4) AS area FROM h""")
+def split_corridor(t: Tables) -> DataFrame:
+    cells = delineate.corridor_cells((F.col("building_id") % 8 + 2).cast("int"), F.lit(0.0), F.lit(0.0), F.col("width"), F.col("height_y"))
+    area = F.aggregate(cells, F.lit(0.0), lambda a, c: a + (c["maxx"] - c["minx"]) * (c["maxy"] - c["miny"]))
+    return t.view("buildings").select("building_id", F.size(cells).alias("cells"), F.round(area, 4).alias("area"))
+
+
+@query("SELECT building_id, cast(level AS int) AS level, round(level * 3.0E0, 6) AS z_base FROM (SELECT building_id, unnest(range(0, levels)) AS level FROM buildings)")
+def floor_levels(t: Tables) -> DataFrame:
+    rows = t.view("buildings").select("building_id", "levels", F.lit(None).cast("double").alias("height"), F.lit(None).cast("double").alias("min_height"))
+    return delineate.floors(rows).select("building_id", "level", F.round("z_base", 6).alias("z_base"))
+
+
+@query("""WITH u AS (SELECT building_id, levels, width * height_y AS a, cast(building_id % 6 + 1 AS int) AS n FROM buildings)
+SELECT building_id, cast(1 AS bigint) AS parcels, cast(1 AS bigint) AS solids, cast(levels AS bigint) AS floors, cast(CASE WHEN a / (greatest(1, cast(round_even(sqrt(n), 0) AS int)) * ceil(n / greatest(1, cast(round_even(sqrt(n), 0) AS int)))) > 1 THEN levels * n ELSE 0 END AS bigint) AS units,
+  round(levels * 3.0E0, 6) AS top FROM u""")
+def extrude_floors(t: Tables) -> DataFrame:
+    b = t.view("buildings").select(
+        "building_id", "levels", (F.col("building_id") % 6 + 1).cast("int").alias("n_units"), F.lit("grid").alias("layout"), F.lit(0.0).alias("minx"), F.lit(0.0).alias("miny"), F.col("width").alias("maxx"), F.col("height_y").alias("maxy")
+    )
+    rows = delineate.extrude(b)
+    number = F.regexp_extract("suid", r"^[a-z]+-(\d+)", 1).cast("long")
+    of = lambda kind: F.sum((F.col("type") == kind).cast("long"))
+    return rows.groupBy(number.alias("building_id")).agg(of("parcel").alias("parcels"), of("building").alias("solids"), of("floor").alias("floors"), of("unit").alias("units"), F.round(F.max("z_max"), 6).alias("top"))
+
+
+@query("""SELECT p_partkey, CASE WHEN tag IN ('residential', 'house', 'detached', 'terrace', 'bungalow', 'dormitory', 'apartments') THEN 'residential' WHEN tag IN ('retail', 'office') THEN 'commercial' WHEN tag = 'hotel' THEN 'hospitality' ELSE 'unknown' END AS class, CASE WHEN p_partkey % 3 = 0 THEN 'gabled' END AS roof
+FROM (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'house' WHEN 1 THEN 'apartments' WHEN 2 THEN 'retail' WHEN 3 THEN 'hotel' WHEN 4 THEN 'office' ELSE 'shed' END AS tag FROM part)""")
+def building_type_map(t: Tables) -> DataFrame:
+    tag = F.expr("CASE p_partkey % 6 WHEN 0 THEN 'House' WHEN 1 THEN 'apartments' WHEN 2 THEN 'retail' WHEN 3 THEN 'hotel' WHEN 4 THEN 'office' ELSE 'shed' END")
+    roof = F.when(F.col("p_partkey") % 3 == 0, "Gabled").otherwise("odd")
+    return t.table("part").select("p_partkey", osm.building_class(tag).alias("class"), osm.roof_shape(roof).alias("roof"))
+
+
+@query("""WITH c AS (SELECT doc_id, upper(text) AS u, text AS s FROM documents)
+SELECT doc_id, coalesce(nullif(regexp_extract(u, '([A-Z]\\d+|[A-Z]-\\d+|\\d+[A-Z]?)', 1), ''), substr(s, 1, 20)) AS unit,
+  CASE WHEN u LIKE '%SHOP%' OR u LIKE '%OFFICE%' OR u LIKE '%COMMERCIAL%' OR u LIKE '%RETAIL%' THEN 'commercial' WHEN u LIKE '%PARK%' OR u LIKE '%CAR%' OR u LIKE '%GARAGE%' THEN 'parking'
+  WHEN u LIKE '%ELEC%' OR u LIKE '%PLUMB%' OR u LIKE '%UTILITY%' OR u LIKE '%SERVICE%' THEN 'utility' WHEN u LIKE '%LOBBY%' OR u LIKE '%CORRIDOR%' OR u LIKE '%STAIR%' OR u LIKE '%LIFT%' OR u LIKE '%ELEV%' OR u LIKE '%COMMON%' THEN 'common' ELSE 'residential' END AS kind FROM c""")
+def annotation_classify(t: Tables) -> DataFrame:
+    return t.table("documents").select("doc_id", cad.unit_id(F.col("text")).alias("unit"), cad.unit_type(F.col("text")).alias("kind"))
+
+
+# --- point clouds -----------------------------------------------------------------------------
+
+
+@query("SELECT cast(floor(x / 10) AS bigint) AS cx, cast(floor(y / 10) AS bigint) AS cy, max(z) AS z FROM points WHERE return_number = 1 GROUP BY 1, 2")
+def dsm_max(t: Tables) -> DataFrame:
+    return pointcloud.surface_max(t.view("points"), 10.0)
+
+
+@query("""WITH g AS (SELECT x, y, z, floor(x / 20) AS px, floor(y / 20) AS py FROM points WHERE classification = 2),
+  n AS (SELECT px + i AS cx, py + j AS cy, x, y, z FROM g, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j)),
+  w AS (SELECT cx, cy, z, 1 / greatest(((cx + 0.5) * 20 - x) ** 2 + ((cy + 0.5) * 20 - y) ** 2, 1e-9) AS w FROM n)
+SELECT cast(cx AS bigint) AS cx, cast(cy AS bigint) AS cy, round(sum(z * w) / sum(w), 5) AS z FROM w GROUP BY 1, 2""")
+def dtm_idw(t: Tables) -> DataFrame:
+    return pointcloud.terrain_idw(t.view("points"), 20.0).withColumn("z", F.round("z", 5))
+
+
+@query("""WITH s AS (SELECT pt_id, x, y, unnest(range(cast(floor((x - 50) / 500) AS bigint), cast(floor((x + 50) / 500) AS bigint) + 1)) AS tx FROM points),
+  r AS (SELECT *, unnest(range(cast(floor((y - 50) / 500) AS bigint), cast(floor((y + 50) / 500) AS bigint) + 1)) AS ty FROM s)
+SELECT tx, ty, pt_id, floor(x / 500) = tx AND floor(y / 500) = ty AS inside FROM r""")
+def tile_assign(t: Tables) -> DataFrame:
+    return pointcloud.tiles(t.view("points"), 500.0, 50.0).select("tx", "ty", "pt_id", "inside")
+
+
+@query("""WITH b AS (SELECT cloud_id, quantile_cont(z, 0.05) AS base FROM points GROUP BY cloud_id)
+SELECT cloud_id, pt_id, cast(CASE WHEN floor((z - base) / 3) < 0 THEN -1 ELSE floor((z - base) / 3) END AS int) AS floor FROM points JOIN b USING (cloud_id)""")
+def segment_floors(t: Tables) -> DataFrame:
+    return pointcloud.floor_segments(t.view("points"))
+
+
+_HISTOGRAM = """b AS (SELECT cloud_id, min(z) AS lo, max(z) AS hi FROM points GROUP BY cloud_id),
+  c AS (SELECT cloud_id, cast(least(floor((z - lo) / ((hi - lo) / 20)), 19) AS int) AS bin, count(*) AS n FROM points JOIN b USING (cloud_id) GROUP BY 1, 2),
+  h AS (SELECT cloud_id, lo, hi, bin, coalesce(n, 0) AS n FROM (SELECT cloud_id, lo, hi, cast(unnest(range(0, 20)) AS int) AS bin FROM b) LEFT JOIN c USING (cloud_id, bin)),
+  k AS (SELECT cloud_id, lo + (bin + 0.5) * ((hi - lo) / 20) AS peak_z, n FROM (SELECT *, lag(n) OVER w AS p, lead(n) OVER w AS q, sum(n) OVER (PARTITION BY cloud_id) AS s FROM h WINDOW w AS (PARTITION BY cloud_id ORDER BY bin)) WHERE n > p AND n > q AND n > s * 0.01)"""
+
+
+@query(f"WITH {_HISTOGRAM} SELECT cloud_id, round(peak_z, 6) AS peak_z, cast(n AS bigint) AS n FROM k")
+def z_histogram_peaks(t: Tables) -> DataFrame:
+    return pointcloud.histogram_peaks(pointcloud.height_histogram(t.view("points"), 20), 20).withColumn("peak_z", F.round("peak_z", 6))
+
+
+@query(f"""WITH {_HISTOGRAM}, e AS (SELECT DISTINCT cloud_id, level, level * 10.0 AS z FROM points, (SELECT unnest([1, 2, 3]) AS level)),
+  m AS (SELECT cloud_id, level, (min(row(abs(peak_z - z), peak_z)))[2] AS peak_z FROM e JOIN k USING (cloud_id) GROUP BY 1, 2)
+SELECT cloud_id, cast(level AS int) AS level, round(peak_z, 6) AS peak_z, round(peak_z - lag(peak_z) OVER (PARTITION BY cloud_id ORDER BY level), 6) AS height FROM m""")
+def detect_floor_heights(t: Tables) -> DataFrame:
+    peaks = pointcloud.histogram_peaks(pointcloud.height_histogram(t.view("points"), 20), 20)
+    clouds = t.view("points").select("cloud_id").distinct()
+    expected = clouds.select("cloud_id", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("level")).withColumn("z", F.col("level") * 10.0)
+    return pointcloud.floor_heights(peaks, expected).select("cloud_id", "level", F.round("peak_z", 6).alias("peak_z"), F.round("height", 6).alias("height"))
+
+
+@query("""SELECT q.pt_id AS query_id, arg_min(p.pt_id, row((q.x - p.x) ** 2 + (q.y - p.y) ** 2, p.pt_id)) AS pt_id, round(sqrt(min((q.x - p.x) ** 2 + (q.y - p.y) ** 2)), 6) AS distance
+FROM points q JOIN points p USING (cloud_id) WHERE q.classification = 6 AND p.classification = 2 GROUP BY 1""")
+def nearest_ground(t: Tables) -> DataFrame:
+    p = t.view("points")
+    found = pointcloud.nearest(pointcloud.classified(p, 6).withColumnRenamed("pt_id", "query_id"), pointcloud.classified(p, 2), 1, 8.0, "xy", ("cloud_id",))
+    return found.select("query_id", "pt_id", F.round("distance", 6).alias("distance"))
+
+
+@query("""WITH d AS (SELECT q.pt_id AS query_id, p.z, sqrt((q.x - p.x) ** 2 + (q.y - p.y) ** 2) AS d, row_number() OVER (PARTITION BY q.pt_id ORDER BY sqrt((q.x - p.x) ** 2 + (q.y - p.y) ** 2), p.pt_id) AS r
+  FROM points q JOIN points p USING (cloud_id) WHERE q.classification = 6 AND p.classification = 2)
+SELECT query_id, round(sum(z / (d + 1e-8)) / sum(1 / (d + 1e-8)), 4) AS value FROM d WHERE r <= 3 GROUP BY 1""")
+def interpolate_3nn(t: Tables) -> DataFrame:
+    p = t.view("points")
+    found = pointcloud.interpolated(pointcloud.classified(p, 6).withColumnRenamed("pt_id", "query_id"), pointcloud.classified(p, 2), "z", 3, 16.0, ("cloud_id",))
+    return found.withColumn("value", F.round("value", 4))
+
+
+@query("""SELECT a.pt_id, count(b.pt_id) AS neighbours FROM points a LEFT JOIN points b ON a.cloud_id = b.cloud_id AND a.pt_id <> b.pt_id AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 <= 64.0
+GROUP BY 1 HAVING count(b.pt_id) < 3""")
+def outlier_radius(t: Tables) -> DataFrame:
+    return pointcloud.outliers_by_radius(t.view("points"), 8.0, 3)
+
+
+@query("""WITH d AS (SELECT a.cloud_id, a.pt_id, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d FROM points a JOIN points b ON a.cloud_id = b.cloud_id AND a.pt_id <> b.pt_id),
+  m AS (SELECT cloud_id, pt_id, list_avg(min(d, 8)) AS m FROM d GROUP BY 1, 2), s AS (SELECT cloud_id, avg(m) + 2 * stddev_pop(m) AS bound FROM m GROUP BY 1)
+SELECT pt_id, round(m, 6) AS mean_distance FROM m JOIN s USING (cloud_id) WHERE m > bound""")
+def outlier_statistical(t: Tables) -> DataFrame:
+    return pointcloud.outliers_by_distance(t.view("points"), 8, 2.0, 16.0).withColumn("mean_distance", F.round("mean_distance", 6))
+
+
+@query(None)
+def cluster_footprints(t: Tables) -> DataFrame:
+    return pointcloud.footprints(t.view("points"), 6, 6.0, 6, 1.0).select("cluster", "n", F.round("area", 6).alias("area"))
+
+
+@query("""WITH c AS (SELECT cloud_id, z, count(*) AS m FROM points GROUP BY 1, 2),
+  k AS (SELECT *, sum(m) OVER (PARTITION BY cloud_id ORDER BY z RANGE BETWEEN 0.5 PRECEDING AND 0.5 FOLLOWING) >= 60 AS core FROM c),
+  g AS (SELECT *, z - lag(z) OVER (PARTITION BY cloud_id ORDER BY z) > 0.5 AS apart FROM k WHERE core),
+  n AS (SELECT *, 1 + sum(cast(coalesce(apart, false) AS int)) OVER (PARTITION BY cloud_id ORDER BY z) AS cluster FROM g)
+SELECT cloud_id, cast(cluster AS int) AS cluster, min(z) AS low, max(z) AS high, cast(sum(m) AS bigint) AS n FROM n GROUP BY 1, 2""")
+def cluster_floors_1d(t: Tables) -> DataFrame:
+    return pointcloud.clusters_in_height(t.view("points"), 0.5, 60)
+
+
+@query(None)
+def ground_points(t: Tables) -> DataFrame:
+    return pointcloud.ground_filter(t.view("points"), 4.0, 4)
+
+
+@query(None)
+def canopy_height(t: Tables) -> DataFrame:
+    return pointcloud.canopy(t.view("points"), 10.0)
+
+
+@query("SELECT suid, round(radians(x) * 6378137.0, 4) AS mx, round(ln(tan(radians(y) / 2 + 3.141592653589793 / 4)) * 6378137.0, 4) AS my FROM parcels")
+def reproject_mercator(t: Tables) -> DataFrame:
+    m = G.web_mercator(F.col("x"), F.col("y"))
+    return t.view("parcels").select("suid", F.round(m["x"], 4).alias("mx"), F.round(m["y"], 4).alias("my"))
+
+
+@query(None)
+def farthest_points(t: Tables) -> DataFrame:
+    return pointcloud.farthest_points(t.view("points"), 8)
+
+
+# --- inference --------------------------------------------------------------------------------
+
+
+@query("""SELECT vec_id, cast(list_position(embedding, list_max(embedding)) - 1 AS int) AS class,
+  round(1 / list_sum(list_transform(embedding, lambda v: exp(cast(v AS double) - list_max(embedding)))), 6) AS p FROM embeddings""")
+def softmax_argmax(t: Tables) -> DataFrame:
+    return t.table("embeddings").select("vec_id", inference.argmax(F.col("embedding")).alias("class"), F.round(F.array_max(inference.softmax(F.col("embedding"))), 6).alias("p"))
+
+
+@query("""WITH v AS (SELECT label AS pt_id, cast(c - 1 AS int) AS class, avg(cast(embedding[c] AS double)) AS s FROM embeddings, (SELECT unnest(range(1, 9)) AS c) GROUP BY 1, 2)
+SELECT cast(pt_id AS bigint) AS pt_id, arg_max(class, row(s, -class)) AS class FROM v GROUP BY 1""")
+def tile_votes(t: Tables) -> DataFrame:
+    scores = t.table("embeddings").select(F.col("label").cast("long").alias("pt_id"), F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("scores"))
+    return inference.voted_class(scores.select("pt_id").distinct(), inference.votes(scores))
+
+
+@query("""SELECT cast(c AS int) AS class, cast(sum(cast(toxic = c AND quality = c AS int)) AS bigint) AS inter, cast(sum(cast(toxic = c OR quality = c AS int)) AS bigint) AS uni,
+  round(sum(cast(toxic = c AND quality = c AS int)) / sum(cast(toxic = c OR quality = c AS int)), 6) AS iou FROM labels, (SELECT unnest([0, 1]) AS c) GROUP BY c HAVING sum(cast(toxic = c OR quality = c AS int)) > 0""")
+def iou(t: Tables) -> DataFrame:
+    rows = t.table("labels").select(F.col("toxic").alias("pred"), F.col("quality").alias("label"))
+    return inference.iou(rows, 2).withColumn("iou", F.round("iou", 6))
+
+
+@query("SELECT round(avg(cast(toxic = quality AS double)), 6) AS accuracy, round(avg(CASE WHEN quality = 1 THEN cast(toxic = quality AS double) END), 6) AS class_accuracy FROM labels")
+def accuracy(t: Tables) -> DataFrame:
+    rows = t.table("labels").select(F.col("toxic").alias("pred"), F.col("quality").alias("label"))
+    found = inference.accuracy(rows, 1)
+    return found.select(*(F.round(c, 6).alias(c) for c in found.columns))
+
+
+@query("SELECT label, count(*) AS n FROM embeddings GROUP BY label")
+def label_histogram(t: Tables) -> DataFrame:
+    return inference.label_histogram(t.table("embeddings"))
+
+
+@query("""SELECT cloud_id, start, cast(least(start + 64, n) AS bigint) AS stop FROM (SELECT cloud_id, n, unnest(range(0, n, 32)) AS start FROM (SELECT cloud_id, count(*) AS n FROM points GROUP BY 1)) WHERE (least(start + 64, n) - start) * 4 >= 64""")
+def tile_windows(t: Tables) -> DataFrame:
+    clouds = t.view("points").groupBy("cloud_id").agg(F.count("*").alias("n"))
+    return inference.tile_windows(clouds, 64).select("cloud_id", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
+
+
+@query("""WITH b AS (SELECT label, quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS hi FROM (SELECT label, cast(embedding[1] AS double) AS v FROM embeddings) GROUP BY 1)
+SELECT vec_id, round((least(greatest(cast(embedding[1] AS double), lo), hi) - lo) / (hi - lo + 1e-8), 5) AS v FROM embeddings JOIN b USING (label)""")
+def normalise_bands(t: Tables) -> DataFrame:
+    cells = t.table("embeddings").select(F.col("label").cast("string").alias("img_id"), F.lit(0).alias("c"), F.col("vec_id").alias("y"), F.lit(0).alias("x"), F.get("embedding", F.lit(0)).cast("double").alias("v"))
+    return inference.normalised_bands(cells).select(F.col("y").alias("vec_id"), F.round("v", 5).alias("v"))
+
+
+@query(None)
+def dataset_split(t: Tables) -> DataFrame:
+    return inference.split_rows(t.table("embeddings").select("vec_id", "label"), "vec_id")
+
+
+@query(None)
+def synthetic_building(t: Tables) -> DataFrame:
+    return synth.building(t.spark, 1, 30.0, 20.0, 5, roof="gabled", points=10_000).groupBy("label").agg(F.count("*").alias("n"))
+
+
+# --- maps and jobs ----------------------------------------------------------------------------
+
+
+@query("""WITH w AS (SELECT c_nationkey AS ward, min(x) AS minx, min(y) AS miny, min(x) + 0.1 AS maxx, min(y) + 0.1 AS maxy FROM parcels JOIN customer ON suid = c_custkey GROUP BY 1)
+SELECT suid, ward FROM parcels JOIN w ON x BETWEEN minx AND maxx AND y BETWEEN miny AND maxy""")
+def wards(t: Tables) -> DataFrame:
+    parcels = t.view("parcels")
+    keyed = parcels.join(t.table("customer").select(F.col("c_custkey").alias("suid"), F.col("c_nationkey").alias("ward")), "suid")
+    boxes = keyed.groupBy("ward").agg(F.min("x").alias("minx"), F.min("y").alias("miny"), (F.min("x") + 0.1).alias("maxx"), (F.min("y") + 0.1).alias("maxy"))
+    return osm.wards_of(parcels, boxes).select("suid", "ward")
+
+
+@query("""SELECT job_id, status FROM (SELECT user_id AS job_id, CASE event_type WHEN 'signup' THEN 'pending' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'processing' END AS status,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, CASE event_type WHEN 'signup' THEN 1 WHEN 'purchase' THEN 3 WHEN 'error' THEN 4 ELSE 2 END DESC) AS r FROM events) WHERE r = 1""")
+def job_states(t: Tables) -> DataFrame:
+    status = F.expr("CASE event_type WHEN 'signup' THEN 'pending' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'processing' END")
+    log = t.table("events").select(F.col("user_id").alias("job_id"), status.alias("status"), F.lit(None).cast("string").alias("error"), F.col("ts").alias("at"))
+    return jobs.latest_states(log).select("job_id", "status")
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def event_windows(t: Tables) -> DataFrame:
+    return jobs.event_windows(t.table("events")).withColumn("total", F.round("total", 4))
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship query: floors of one parcel that don't meet the floor below."""
+    return REGISTRY["vertical_gap"][0](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: q for name, (q, _) in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in REGISTRY.items() if sql}
