@@ -80,8 +80,11 @@ def normalised_bands(cells: DataFrame) -> DataFrame:
 def patches(cells: DataFrame, size: int = 256, overlap: int = 32) -> DataFrame:
     """Cells once for each patch that covers them: (img_id, py, px, c, y, x, v); patches start every size - overlap."""
     step = size - overlap
-    spans = lambda v: F.sequence(F.greatest(F.ceil((v - size + 1) / step), F.lit(0)), F.floor(v / step))
-    return cells.withColumn("py", F.explode(spans(F.col("y"))) * step).withColumn("px", F.explode(spans(F.col("x"))) * step)
+
+    def starts(v: Column) -> Column:
+        return F.explode(F.transform(F.sequence(F.greatest(F.ceil((v - size + 1) / step), F.lit(0)), F.floor(v / step)), lambda k: k * step))
+
+    return cells.withColumn("py", starts(F.col("y"))).withColumn("px", starts(F.col("x")))
 
 
 def averaged_cells(patch_scores: DataFrame) -> DataFrame:
