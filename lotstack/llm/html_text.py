@@ -53,9 +53,10 @@ SHIELDS = frozenset({"table", "td", "th", "caption", "button", "object", "html",
 #: Cells are padded up to this many characters; a wider one pushes the rest of its row.
 WIDEST_COLUMN = 40
 
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|([^<]+)|(<)""", re.S
-)
+_TAG = r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)(%s)>|([^<]+)|(<)"""
+_TOKEN = re.compile(_TAG % r"""(?:[^>"']|"[^"]*"|'[^']*')*+""", re.S)
+#: For the rest of a page once its quotes don't pair up: so a page is read in linear time.
+_UNQUOTED = re.compile(_TAG % "[^>]*", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
@@ -113,11 +114,15 @@ def build_tree(html: str) -> Node:
         if found:
             pop_to(found)
 
-    at, end = 0, len(html)
+    at, end, token = 0, len(html), _TOKEN
     while at < end:
-        m = _TOKEN.match(html, at)
-        if m is None:  # an unclosed tag: the rest of the page is its inside
-            break
+        m = token.match(html, at)
+        if m[5] is not None and html[at + 1 : at + 2].isalpha():
+            if html.find(">", at) < 0:
+                stack[-1].children.append(html[at:])
+                break
+            token = _UNQUOTED
+            m = token.match(html, at)
         at = m.end()
         closing, name, raw, text, lone = m.groups()
         if text is not None or lone is not None:
