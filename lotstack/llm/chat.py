@@ -120,3 +120,21 @@ def op1_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
             "n_examples",
         )
     )
+
+
+_ESCAPED = r"regexp_replace(regexp_replace(replace({0}, '&', '&amp;'), '<(/?s>)', '&lt;\1', 'g'), '\[(/?INST\])', '&#91;\1', 'g')"
+CHAT_SQL = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+), n AS (
+  SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS m,
+    3 + sum({len(ROLE_OPEN) + len(ROLE_CLOSE) + len(TURN_END)} + length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")})) OVER w AS chars
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+)
+SELECT conv_id, max(m) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (sum(chars) FILTER (role = 'assistant' OR i = m))::BIGINT AS formatted_chars, count(*) FILTER (role = 'assistant') AS n_examples
+FROM n GROUP BY conv_id
+"""

@@ -27,4 +27,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_threshold_topk": topk.TOPK_SQL}
+    return {
+        "op1_prefix_target_chat": chat.CHAT_SQL,
+        "op3_threshold_topk": topk.TOPK_SQL,
+        "op5_bottomk_dedup": neardup.NEARDUP_SQL,
+    }
