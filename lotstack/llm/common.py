@@ -2,39 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from lotstack.plans.tables import materialize, shared_dir
 
-def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("*",)))
-
+__all__ = ["documents", "hash_words", "materialize", "mix", "ordered_int64", "shared_dir", "text_chunks"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: `spark.checkpoint.dir`, or one of our own on a single machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return context.getCheckpointDir().rstrip("/")
-    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return context.getCheckpointDir().rstrip("/")
 
-
-def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write `df` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("*",)))
 
 
 # --- word hashing -----------------------------------------------------------------------------
@@ -110,7 +90,7 @@ def hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def text_chunks(
-    batches: Iterator[pa.RecordBatch], text: str = "text", chunk_bytes: int = 2 << 20
+    batches: Iterator[pa.RecordBatch], text: str = "text", chunk_bytes: int = 1 << 20
 ) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut batches into runs of rows with about `chunk_bytes` of text: (rows, bytes, bounds). Null is empty.
 
@@ -118,13 +98,17 @@ def text_chunks(
     """
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
-        column = column.cast(pa.large_string()).fill_null("")
-        offsets = np.frombuffer(column.buffers()[1], dtype=np.int64, count=len(column) + 1 + column.offset)[column.offset :]
+        if column.null_count:
+            column = column.fill_null("")
+        wide = np.int64 if pa.types.is_large_string(column.type) else np.int32
+        offsets = np.frombuffer(column.buffers()[1], dtype=wide, count=len(column) + 1 + column.offset)[column.offset :].astype(np.int64)
         raw = column.buffers()[2]
         data = np.frombuffer(raw, dtype=np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
-        at = 0
-        while at < len(column):
+        at, n = 0, len(column)
+        while at < n:
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + chunk_bytes, side="right")) - 1)
-            to = min(to, len(column))
+            to = min(to, n)
             yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
             at = to
+        del column, data, raw
+        pa.default_memory_pool().release_unused()
