@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotstack.llm.common import hash_words, materialize, mix, ordered_int64, text_chunks
+from lotstack.operators.graph import components
 
 #: Values that a sketch keeps, and words in a shingle.
 K, WORDS = 64, 5
@@ -176,32 +177,6 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return met.select("a", "b", "text_a", "text_b").mapInArrow(checked, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that each linked node can reach, by alternating star operations.
-
-    Each round points a node's larger neighbours, then its smaller ones, at the smallest of them. Minima are combined
-    before they are shuffled, and joined back, so that a node with many neighbours is not gathered in one task.
-    """
-
-    def least(edges: DataFrame) -> DataFrame:
-        return edges.groupBy("u").agg(F.min("v").alias("m"))
-
-    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    while True:
-        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = least(both).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = least(large)
-        small = large.join(low, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(low.select("u", F.col("m").alias("v")))
-        after = materialize(small.distinct(), "stars")
-        # settled: every node points at one node, and none of those points further
-        loose = after.groupBy("u").count().where("count > 1").limit(1).count()
-        if not loose and not after.join(after.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).count():
-            return after.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        edges = after
-
-
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row; linked if 100 * |A and B| >= percent * |A or B|."""
     docs = docs.select("doc_id", "text")
@@ -253,3 +228,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 def op5_bottomk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+NEARDUP_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w
+), x AS (SELECT doc_id, len(s) AS n, unnest(s) AS v FROM s), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.v = b.v AND a.doc_id < b.doc_id AND a.n * 100 >= b.n * 85 AND b.n * 100 >= a.n * 85
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (
+  SELECT doc_id AS d, doc_id AS c FROM s UNION SELECT e.b, r.c FROM r JOIN e ON r.d = e.a
+), m AS (SELECT d, min(c) AS c FROM r GROUP BY d)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, c AS component_id, doc_id = c AS kept FROM s JOIN m ON d = doc_id
+"""
