@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lotstack.functions import geometry as G
+from lotstack.functions import kernel
 
 
 def units_per_floor(type: Column, area: Column) -> Column:
@@ -155,3 +159,71 @@ def extrude(buildings: DataFrame, ground: float = 0.0, storey: float = 3.0) -> D
         .unionByName(rows(each, "floor", floor, building, F.concat(F.lit("Floor "), level), F.col("level"), F.col("z0"), F.col("z0") + storey))
         .unionByName(rows(units, "unit", unit, floor, F.concat(F.lit("Unit "), F.col("unit_index").cast("string")), F.col("level"), F.col("z0"), F.col("z0") + storey))
     )
+
+
+#: A ring as an array of [x, y].
+_RING = T.ArrayType(T.ArrayType(T.DoubleType()))
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _largest_part(boxes: pd.Series) -> pd.Series:
+    """[area, minx, miny, maxx, maxy] of the largest connected part of each row's boxes."""
+    found = (kernel.box_union(np.array([list(b) for b in own], dtype=float)) for own in boxes)
+    return pd.Series([[area, *bounds.tolist()] for area, bounds in found])
+
+
+def merged_footprints(polygons: DataFrame, *key: str) -> DataFrame:
+    """(key…, area, minx … maxy): the largest connected part of the union of each group's boxes.
+
+    Boxes without area are left out and equal ones are one, so that storeys that repeat a plan don't grow a group.
+    """
+    names = ("minx", "miny", "maxx", "maxy")
+    solid = polygons.where((F.col("maxx") > F.col("minx")) & (F.col("maxy") > F.col("miny")))
+    grouped = solid.groupBy(*key).agg(F.collect_set(F.array(*names)).alias("boxes"))
+    part = grouped.select(*key, _largest_part("boxes").alias("p"))
+    return part.select(*key, *(F.get("p", F.lit(k)).alias(n) for k, n in enumerate(("area", *names))))
+
+
+def merged_units(polygons: DataFrame, least_area: float = 1.0) -> DataFrame:
+    """Floor polygons of equal level, unit_id and unit_type as one, above an area."""
+    return merged_footprints(polygons, "level", "unit_id", "unit_type").where(F.col("area") > least_area)
+
+
+def top_of(rows: DataFrame, ground: float = 0.0) -> DataFrame:
+    """(building_id, z_max): the highest top of each building's floors; a missing base is the ground."""
+    return rows.groupBy("building_id").agg(F.max(F.coalesce("z_base", F.lit(ground)) + F.col("height")).alias("z_max"))
+
+
+@F.pandas_udf(T.ArrayType(_RING))
+def sector_rings(rings: pd.Series, n: pd.Series) -> pd.Series:
+    """Rings (arrays of [x, y]) cut into n equal angles about their mean; the whole ring where no sector has area."""
+
+    def one(ring, k):
+        ring = np.array([list(p) for p in ring], dtype=float)
+        parts = [s for s in kernel.sectors(ring, int(k)) if kernel.area(s) > 0]
+        return [s.tolist() for s in parts or [ring]]
+
+    return pd.Series([one(r, k) for r, k in zip(rings, n)])
+
+
+@F.pandas_udf(_RING)
+def clipped_rings(rings: pd.Series, minx: pd.Series, miny: pd.Series, maxx: pd.Series, maxy: pd.Series) -> pd.Series:
+    """The part of each ring inside a box: cells of a footprint that is no rectangle."""
+    rows = zip(rings, minx, miny, maxx, maxy)
+    return pd.Series([kernel.clip(np.array([list(p) for p in r], dtype=float), np.array([(a, b), (c, b), (c, d), (a, d)])).tolist() for r, a, b, c, d in rows])
+
+
+def quick_building(buildings: DataFrame, ground: float = 0.0, storey: float = 3.0, mode: str = "intent") -> DataFrame:
+    """Volumetric units of boxes (building_id, levels, building_type, …) whose floors are cut into quadrants.
+
+    'intent' numbers the units across a floor; 'asis' takes each quadrant as a floor of its own, so that codes repeat.
+    """
+    quadrants = grid_cells(F.lit(4), F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy"))
+    kept = [c for c in buildings.columns if c not in ("minx", "miny", "maxx", "maxy")]
+    parts = buildings.select(*kept, F.explode(quadrants).alias("q")).select(*kept, "q.*").withColumnRenamed("cell", "quadrant")
+    area = (F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny"))
+    units = units_per_floor(F.col("building_type"), area)
+    floors_ = parts.withColumn("n_units", units).withColumn("layout", F.lit("grid")).withColumn("level", F.explode(F.sequence(F.lit(0), F.col("levels") - 1)))
+    split = split_floors(floors_.withColumn("z_min", F.lit(ground) + F.col("level") * storey))
+    number = F.col("unit_index") + (F.col("quadrant") * F.col("n_units") if mode == "intent" else F.lit(0))
+    return split.withColumn("z_max", F.col("z_min") + storey).withColumn("unit_index", number)

@@ -122,3 +122,20 @@ def safe_int(text: Column) -> Column:
 
 def safe_float(text: Column) -> Column:
     return F.trim(text).try_cast("double")
+
+
+def bounds(units: DataFrame) -> DataFrame:
+    """One row with the box of all units."""
+    return units.agg(*(f(c).alias(c) for f, c in ((F.min, "minx"), (F.min, "miny"), (F.max, "maxx"), (F.max, "maxy"), (F.min, "z_min"), (F.max, "z_max"))))
+
+
+def tileset(units: DataFrame, error: float = 500.0) -> DataFrame:
+    """One 3D Tiles tileset text with the units' box as its root."""
+    half = lambda a, b: (F.col(b) - F.col(a)) / 2
+    mid = lambda a, b: (F.col(a) + F.col(b)) / 2
+    x, y, z = ("minx", "maxx"), ("miny", "maxy"), ("z_min", "z_max")
+    zero = F.lit(0.0)
+    box = F.array(mid(*x), mid(*y), mid(*z), half(*x), zero, zero, zero, half(*y), zero, zero, zero, half(*z))
+    root = F.struct(F.struct(box.alias("box")).alias("boundingVolume"), F.lit(error / 10).alias("geometricError"), F.lit("ADD").alias("refine"))
+    text = F.to_json(F.struct(F.struct(F.lit("1.0").alias("version")).alias("asset"), F.lit(error).alias("geometricError"), root.alias("root")))
+    return bounds(units).select(text.alias("tileset"))

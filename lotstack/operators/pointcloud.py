@@ -302,3 +302,49 @@ def interpolated(queries: DataFrame, points: DataFrame, value: str = "z", k: int
     near = nearest(queries, points, k, size, "xy", within).join(points.select("pt_id", F.col(value).alias("_v")), "pt_id")
     weight = 1 / (F.col("distance") + 1e-8)
     return near.groupBy("query_id").agg((F.sum(F.col("_v") * weight) / F.sum(weight)).alias("value"))
+
+
+def process(points: DataFrame, size: float = 1.0) -> dict[str, DataFrame]:
+    """The whole chain: denoised points, ground classes, terrain, surface, canopy and building outlines.
+
+    Ground classes feed the steps after them; the classified points are written once and read by each.
+    """
+    noise = outliers_by_distance(points).select("pt_id")
+    clean = materialize(points.join(noise, "pt_id", "left_anti"), "clean")
+    ground = ground_filter(clean, size)
+    marked = clean.join(ground, "pt_id").withColumn("classification", F.when(F.col("is_ground"), 2).otherwise(F.col("classification"))).drop("is_ground")
+    marked = materialize(marked, "classified")
+    return {
+        "points": marked,
+        "terrain": terrain_idw(marked, size),
+        "surface": surface_max(marked, size),
+        "canopy": canopy(marked, size / 2),
+        "buildings": footprints(marked),
+    }
+
+
+def levels_with_outlines(points: DataFrame, slab: int = 2, half: float = 0.1, eps: float = 3.0, least: int = 30, least_area: float = 5.0) -> DataFrame:
+    """(cloud_id, level, z, cluster, area): storeys found as height clusters of slab points, with their outlines.
+
+    Levels count from 0 by height; an outline is the hull of a plan cluster of the points near a level's middle.
+    """
+    slabs = points.where(F.col("classification") == slab)
+    found = clusters_in_height(slabs)
+    levels = found.select("cloud_id", ((F.col("low") + F.col("high")) / 2).alias("level_z")).withColumn(
+        "level", F.row_number().over(Window.partitionBy("cloud_id").orderBy("level_z")) - 1
+    )
+    near = slabs.join(levels, "cloud_id").where(F.abs(F.col("z") - F.col("level_z")) <= half)
+    # each level of a cloud is clustered by itself: the two make one cloud number
+    keyed = near.withColumn("own_cloud", F.col("cloud_id")).withColumn("cloud_id", F.xxhash64("cloud_id", "level"))
+    clustered = keyed.join(dbscan(keyed, eps, least), "pt_id")
+    outlines = hulls(clustered, "cluster").where(F.col("area") > least_area)
+    of = clustered.groupBy("cluster").agg(F.min("own_cloud").alias("cloud_id"), F.min("level").alias("level"), F.min("level_z").alias("z"))
+    return outlines.join(of, "cluster").select("cloud_id", "level", "z", "cluster", "area")
+
+
+def outline_or_box(outlines: DataFrame, least_area: float = 1.0, buffer: float = 0.5) -> DataFrame:
+    """Hulls (hull: array of [x, y]) as they are, or their buffered box where they have too little area."""
+    xs, ys = F.transform("hull", lambda p: F.get(p, F.lit(0))), F.transform("hull", lambda p: F.get(p, F.lit(1)))
+    x1, x2, y1, y2 = F.array_min(xs) - buffer, F.array_max(xs) + buffer, F.array_min(ys) - buffer, F.array_max(ys) + buffer
+    box = F.array(F.array(x1, y1), F.array(x2, y1), F.array(x2, y2), F.array(x1, y2))
+    return outlines.withColumn("hull", F.when(F.col("area") < least_area, box).otherwise(F.col("hull")))

@@ -391,6 +391,86 @@ def extrude_floors(t: Tables) -> DataFrame:
     return rows.groupBy(number.alias("building_id")).agg(of("parcel").alias("parcels"), of("building").alias("solids"), of("floor").alias("floors"), of("unit").alias("units"), F.round(F.max("z_max"), 6).alias("top"))
 
 
+@query("""SELECT building_id, round(levels * 3.0E0, 6) AS z_max FROM buildings""")
+def building_tops(t: Tables) -> DataFrame:
+    rows = t.view("buildings").select("building_id", "levels", F.lit(None).cast("double").alias("height"), F.lit(None).cast("double").alias("min_height"))
+    floors = delineate.floors(rows).withColumn("height", F.col("floor_height"))
+    return delineate.top_of(floors).select("building_id", F.round("z_max", 6).alias("z_max"))
+
+
+@query("""WITH b AS (SELECT building_id, levels, CASE building_type WHEN 'residential' THEN 100 WHEN 'commercial' THEN 300 WHEN 'mixed' THEN 150 WHEN 'apartments' THEN 75 ELSE 100 END AS k, building_type, width * height_y / 4 AS a, unnest([0, 1, 2, 3]) AS q FROM buildings),
+  n AS (SELECT building_id, q, levels, a, greatest(CASE WHEN building_type = 'mixed' THEN 2 ELSE 1 END, cast(round_even(a / k, 0) AS int)) AS n FROM b),
+  c AS (SELECT *, greatest(1, cast(round_even(sqrt(n), 0) AS int)) AS c FROM n)
+SELECT building_id, cast(sum(CASE WHEN a / (c * ceil(n / c)) > 1 THEN n * levels ELSE 0 END) AS bigint) AS units FROM c GROUP BY 1 HAVING sum(CASE WHEN a / (c * ceil(n / c)) > 1 THEN n * levels ELSE 0 END) > 0""")
+def quick_buildings(t: Tables) -> DataFrame:
+    b = t.view("buildings").select("building_id", "levels", "building_type", F.lit(0.0).alias("minx"), F.lit(0.0).alias("miny"), F.col("width").alias("maxx"), F.col("height_y").alias("maxy"))
+    return delineate.quick_building(b).groupBy("building_id").agg(F.count("*").alias("units"))
+
+
+@query("""SELECT parent_suid, round(max(CASE WHEN joined THEN whole ELSE greatest(a, b) END), 6) AS area FROM (
+  SELECT parent_suid, sum(CASE WHEN s = 0 THEN area END) AS a0, coalesce(max(CASE WHEN s = 0 THEN area END), 0) AS a, coalesce(max(CASE WHEN s = 1 THEN area END), 0) AS b,
+    coalesce(max(CASE WHEN s = 0 THEN area END), 0) + coalesce(max(CASE WHEN s = 1 THEN area END), 0) AS whole, true AS joined
+  FROM (SELECT parent_suid, CASE WHEN minx % 10 >= 4 THEN 1 ELSE 0 END AS s, max((maxx - minx) * (maxy - miny)) AS area FROM spatial_units GROUP BY 1, 2) GROUP BY parent_suid) GROUP BY parent_suid""")
+def footprint_union(t: Tables) -> DataFrame:
+    return delineate.merged_footprints(t.view("spatial_units"), "parent_suid").select("parent_suid", F.round("area", 6).alias("area"))
+
+
+@query("SELECT min(minx) AS minx, min(miny) AS miny, max(maxx) AS maxx, max(maxy) AS maxy, min(z_min) AS z_min, max(z_max) AS z_max FROM spatial_units")
+def unit_bounds(t: Tables) -> DataFrame:
+    return features.bounds(t.view("spatial_units"))
+
+
+@query(None)
+def tileset(t: Tables) -> DataFrame:
+    return features.tileset(t.view("spatial_units"))
+
+
+@query(None)
+def perimeter_sectors(t: Tables) -> DataFrame:
+    ring = F.array(*(F.array(x, y) for x, y in ((F.lit(0.0), F.lit(0.0)), (F.col("width"), F.lit(0.0)), (F.col("width"), F.col("height_y")), (F.lit(0.0), F.col("height_y")))))
+    return t.view("buildings").select("building_id", F.size(delineate.sector_rings(ring, F.lit(2))).alias("parts"))
+
+
+@query("SELECT building_id, round(width / 2 * (height_y / 2), 6) AS area FROM buildings")
+def clipped_quarter(t: Tables) -> DataFrame:
+    ring = F.array(*(F.array(x, y) for x, y in ((F.lit(0.0), F.lit(0.0)), (F.col("width"), F.lit(0.0)), (F.col("width"), F.col("height_y")), (F.lit(0.0), F.col("height_y")))))
+    part = delineate.clipped_rings(ring, F.lit(0.0), F.lit(0.0), F.col("width") / 2, F.col("height_y") / 2)
+    points = F.transform("part", lambda p: G.point(F.get(p, F.lit(0)), F.get(p, F.lit(1))))
+    return t.view("buildings").select("building_id", part.alias("part")).select("building_id", F.round(G.shoelace_area(points), 6).alias("area"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN -1 WHEN p_partkey % 5 = 1 THEN 0 WHEN p_partkey % 5 = 2 THEN 99 WHEN p_partkey % 5 = 3 THEN cast(p_size AS int) END AS level,
+  CASE WHEN p_partkey % 5 = 0 THEN -3.0E0 WHEN p_partkey % 5 = 1 THEN 0.0E0 WHEN p_partkey % 5 = 2 THEN 0.0E0 WHEN p_partkey % 5 = 3 THEN p_size * 3.0E0 END AS z_base FROM part""")
+def layer_levels(t: Tables) -> DataFrame:
+    layer = F.expr("CASE p_partkey % 5 WHEN 0 THEN 'Basement' WHEN 1 THEN 'GROUND' WHEN 2 THEN 'Roof' WHEN 3 THEN concat('level_', p_size) ELSE 'WA' END")
+    level = cad.layer_level(layer)
+    return t.table("part").select("p_partkey", level["level"].alias("level"), level["z_base"].alias("z_base"))
+
+
+@query("""SELECT p_partkey, CASE WHEN has_levels THEN cast(p_size % 7 + 1 AS int) WHEN has_height THEN cast(greatest(1, round_even((p_size + 2.0E0) / 3.0, 0)) AS int) ELSE 2 END AS levels,
+  round(CASE WHEN has_height THEN p_size + 2.0E0 WHEN has_levels THEN (p_size % 7 + 1) * 3.0E0 ELSE 6.0E0 END, 6) AS height FROM (SELECT *, p_partkey % 2 = 0 AS has_levels, p_partkey % 3 = 0 AS has_height FROM part)""")
+def height_inference(t: Tables) -> DataFrame:
+    rows = t.table("part").select(
+        "p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.col("p_size") % 7 + 1).alias("levels"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_size") + 2.0).alias("height"),
+        F.lit(None).cast("double").alias("min_height"), F.lit("residential").alias("building_type"), F.lit(250.0).alias("area"),
+    )
+    return delineate.height_and_levels(rows).select("p_partkey", "levels", F.round("height", 6).alias("height"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'unit' ELSE concat(substr(lpad(cast(p_partkey AS string), 25, '0'), 1, 17), '00000000') END AS parcel FROM part""")
+def parcel_keys(t: Tables) -> DataFrame:
+    suid = F.expr("CASE WHEN p_partkey % 2 = 0 THEN concat('unit-', p_partkey) ELSE lpad(cast(p_partkey AS string), 25, '0') END")
+    return t.table("part").select("p_partkey", topology.parcel_key(suid).alias("parcel"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 13 < 5 THEN cast(NULL AS bigint) ELSE p_partkey - p_partkey % 13 END AS parent FROM part""")
+def parent_resolution(t: Tables) -> DataFrame:
+    units = t.table("part").select("p_partkey", F.when(F.col("p_partkey") % 13 >= 5, F.col("p_partkey") - F.col("p_partkey") % 13).alias("code"))
+    known = t.table("part").select(F.col("p_partkey").alias("code"), F.col("p_partkey").alias("parent"))
+    zero = known.limit(0).unionAll(t.spark.sql("SELECT 0L AS code, 0L AS parent"))
+    return units.join(known.unionAll(zero).dropDuplicates(["code"]), "code", "left").select("p_partkey", "parent")
+
+
 @query("""SELECT p_partkey, CASE WHEN tag IN ('residential', 'house', 'detached', 'terrace', 'bungalow', 'dormitory', 'apartments') THEN 'residential' WHEN tag IN ('retail', 'office') THEN 'commercial' WHEN tag = 'hotel' THEN 'hospitality' ELSE 'unknown' END AS class, CASE WHEN p_partkey % 3 = 0 THEN 'gabled' END AS roof
 FROM (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'house' WHEN 1 THEN 'apartments' WHEN 2 THEN 'retail' WHEN 3 THEN 'hotel' WHEN 4 THEN 'office' ELSE 'shed' END AS tag FROM part)""")
 def building_type_map(t: Tables) -> DataFrame:
