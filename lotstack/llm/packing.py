@@ -22,6 +22,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from struct import pack as pack_ids
 
 import numpy as np
 import public_tokenizers
@@ -36,8 +37,8 @@ from lotstack.llm.common import materialize
 END_ID = 0
 CAPACITY = 2048
 SALTS = 256
-#: Token strings that a task keeps with their ids.
-CACHED = 300_000
+#: Strings with their ids that a worker keeps, in each of two generations.
+CACHED = 600_000
 
 #: The byte-level tokenizer's own pattern over U+0000 to U+017F, where letters, numbers and spaces are as listed here.
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ſ"
@@ -46,6 +47,7 @@ _BLANK = "\\t-\\r \u0085 "
 _PIECE = re.compile(
     f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^{_BLANK}{_LETTER}{_DIGIT}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
 )
+
 _BEYOND = re.compile("[^\u0000-ſ]")
 
 PIECES = T.StructType(
@@ -59,34 +61,41 @@ PIECES = T.StructType(
 )
 
 
+class Known(dict):
+    """Ids of strings that the tokenizer splits off alone, as little-endian bytes; unknown ones are encoded on demand.
+
+    Two generations of at most CACHED entries: what is used stays, the rest goes with the older generation.
+    """
+
+    def __init__(self, tokenizer: Tokenizer):
+        super().__init__()
+        self.tokenizer, self.older = tokenizer, {}
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self.older.get(text)
+        if ids is None:
+            found = self.tokenizer.encode(text, add_special_tokens=False).ids
+            ids = pack_ids(f"<{len(found)}I", *found)
+        if len(self) >= CACHED:
+            self.older = dict(self)
+            self.clear()
+        self[text] = ids
+        return ids
+
+
 class Encoder:
-    """Token ids of whole texts. Strings that the tokenizer splits off alone are encoded once and kept."""
+    """Token ids of whole texts: the tokenizer's, with strings that it splits off alone kept once encoded."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        split = [None if _BEYOND.search(t) or any(s in t for s in self.special) else _PIECE.findall(t) for t in texts]
-        missing = list({x for own in split if own for x in own if x not in self.known})
-        fresh = dict(zip(missing, self._ids(missing)))
-        if len(self.known) + len(fresh) <= CACHED:
-            self.known |= fresh
-            fresh = {}
-        whole = iter(self._ids([t for t, own in zip(texts, split) if own is None]))
-        for own in split:
-            if own is None:
-                yield next(whole)
-            elif fresh:
-                known, later = self.known.get, fresh
-                yield b"".join([known(x) or later[x] for x in own])
-            else:
-                yield b"".join(map(self.known.__getitem__, own))
+        self.known = Known(self.tokenizer)
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian 32-bit ids of a text."""
+        if (not text.isascii() and _BEYOND.search(text)) or any(s in text for s in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return b"".join(map(self.known.__getitem__, _PIECE.findall(text)))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -103,10 +112,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             for at in range(0, batch.num_rows, 256):
-                texts = batch.column(1).slice(at, 256).fill_null("").to_pylist()
+                texts = batch.column(1).slice(at, 256).to_pylist()
                 out: list[tuple] = []
-                for doc_id, ids in zip(doc_ids[at : at + 256], encoder.encode(texts)):
-                    ids += end
+                for doc_id, text in zip(doc_ids[at : at + 256], texts):
+                    ids = encoder.encode(text or "") + end
                     total = len(ids) // 4
                     first = total % capacity or capacity
                     bounds = [0, *range(first, total + 1, capacity)]
