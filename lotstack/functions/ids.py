@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lotstack.functions.binding import let
+
 #: Digits of each part, and the default administrative codes.
 WIDTHS = {"state": 2, "district": 3, "subdistrict": 2, "village": 4, "parcel": 6, "vertical": 4, "unit": 4}
 DEFAULT_ADMIN = {"state": "01", "district": "001", "subdistrict": "01", "village": "0001"}
@@ -19,12 +21,15 @@ PARCEL_Z = 6.0
 
 def pad(value: Column, digits: int) -> Column:
     """Left-padded with zeros after the sign, then the rightmost `digits` characters."""
-    text = value.cast("string")
-    signed = text.startswith("-") | text.startswith("+")
-    body = F.when(signed, F.substring(text, 2, 2**31 - 1)).otherwise(text)
-    sign = F.when(signed, F.substring(text, 1, 1)).otherwise("")
-    wanted = F.greatest(F.lit(digits), F.length(text)) - F.length(sign)
-    return F.right(F.concat(sign, F.lpad(body, wanted, F.lit("0"))), F.lit(digits))
+
+    def padded(text: Column) -> Column:
+        signed = text.startswith("-") | text.startswith("+")
+        body = F.when(signed, F.substring(text, 2, 2**31 - 1)).otherwise(text)
+        sign = F.when(signed, F.substring(text, 1, 1)).otherwise("")
+        wanted = F.greatest(F.lit(digits), F.length(text)) - F.length(sign)
+        return F.right(F.concat(sign, F.lpad(body, wanted, F.lit("0"))), F.lit(digits))
+
+    return let(value.cast("string"), padded)
 
 
 def compose(**parts: Column) -> Column:
@@ -52,23 +57,38 @@ def hierarchy_path(code: Column) -> Column:
     return F.array(F.concat(base, F.lit("00000000")), F.concat(base, F.substring(code, 18, 4), F.lit("0000")), code)
 
 
+def double_bits(value: Column) -> Column:
+    """The 64 bits of a normal double or zero, by arithmetic whose steps are all exact."""
+    power = lambda e: F.pow(F.lit(2.0), e)
+
+    def bits(v: Column) -> Column:
+        size = F.abs(v)
+        corrected = lambda e: F.when(size >= power(e + 1), e + 1).when(size < power(e), e - 1).otherwise(e)
+        joined = lambda e: F.shiftleft(e + 1023, 52) + ((size / power(e) - 1) * float(2**52)).cast("long")
+        plain = F.when(size == 0, F.lit(0).cast("long")).otherwise(let(let(F.floor(F.log2(size)), corrected), joined))
+        return F.when(v < 0, plain.bitwiseOR(F.lit(-(2**63)))).otherwise(plain)
+
+    return let(value, bits)
+
+
 def _little_endian(value: Column) -> Column:
-    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value).cast("bigint")
-    turned = F.reflect(F.lit("java.lang.Long"), F.lit("reverseBytes"), bits).cast("bigint")
-    return F.lpad(F.hex(turned), 16, "0")
+    return let(F.lpad(F.hex(double_bits(value)), 16, "0"), lambda d: F.concat(*(F.substring(d, k, 2) for k in range(15, 0, -2))))
 
 
 def coordinate_hash(x: Column, y: Column, z: Column, digits: int = 6) -> Column:
     """The MD5 of three rounded doubles, as a number modulo 10**digits.
 
-    Decimal ties at the fourth place are rounded from the shortest decimal text. `reflect` counts as
-    non-deterministic: select the result before joining on it.
+    Decimal ties at the fourth place are rounded from the shortest decimal text.
     """
-    digest = F.md5(F.unhex(F.concat(*(_little_endian(F.round(v.cast("double"), 3)) for v in (x, y, z)))))
     modulus = 10**digits
-    half = lambda at: F.conv(F.substring(digest, at, 16), 16, 10).cast("decimal(20,0)") % modulus
-    number = ((half(1) * (2**64 % modulus) + half(17)) % modulus).cast("bigint")
-    return F.lpad(number.cast("string"), digits, "0")
+
+    def remainder(digest: Column) -> Column:
+        number = F.lit(0).cast("long")
+        for at in (1, 9, 17, 25):
+            number = (number * (2**32 % modulus) + F.conv(F.substring(digest, at, 8), 16, 10).cast("long")) % modulus
+        return F.lpad(number.cast("string"), digits, "0")
+
+    return let(F.md5(F.unhex(F.concat(*(_little_endian(F.round(v.cast("double"), 3)) for v in (x, y, z))))), remainder)
 
 
 def encode_vertical(floor: Column, sub: Column | None = None) -> Column:

@@ -9,11 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotstack.functions.binding import let
+
 
 def softmax(scores: Column) -> Column:
-    top = F.array_max(scores)
-    powers = F.transform(scores, lambda v: F.exp(v.cast("double") - top))
-    return F.transform(powers, lambda v: v / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b))
+    powers = let(F.array_max(scores), lambda top: F.transform(scores, lambda v: F.exp(v.cast("double") - top)))
+    total = lambda p: F.aggregate(p, F.lit(0.0), lambda a, b: a + b)
+    return let(powers, lambda p: let(total(p), lambda t: F.transform(p, lambda v: v / t)))
 
 
 def argmax(scores: Column) -> Column:

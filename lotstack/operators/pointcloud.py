@@ -48,11 +48,11 @@ def terrain_idw(points: DataFrame, size: float = 1.0, reach: int = 1, ground: in
     return _around(classified(points, ground), size, reach).groupBy("cx", "cy").agg((F.sum(F.col("z") * weight) / F.sum(weight)).alias("z"))
 
 
-def nearest(queries: DataFrame, points: DataFrame, k: int = 1, size: float = 4.0, dims: str = "xy", within: tuple[str, ...] = ()) -> DataFrame:
+def nearest(queries: DataFrame, points: DataFrame, k: int = 1, size: float | None = None, dims: str = "xy", within: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, pt_id, distance, place) of each query's k nearest points; ties go to the smaller pt_id.
 
     With `within`, only points with equal columns of these names count. A query is settled once k points lie no farther than a cell's width, which the cells around it cover whole;
-    others look again in cells twice as wide.
+    others look again in cells twice as wide. Without a size, cells begin so wide that one holds about 4 k points.
     """
     spark = queries.sparkSession
     q0 = materialize(queries.select("query_id", *within, *dims), "queries")
@@ -61,6 +61,10 @@ def nearest(queries: DataFrame, points: DataFrame, k: int = 1, size: float = 4.0
     if extent["lox"] is None:
         return spark.createDataFrame([], "query_id long, pt_id long, distance double, place int")
     widest = max(extent["hix"] - extent["lox"], extent["hiy"] - extent["loy"])
+    if size is None:
+        counted = p0.agg(F.count("*").alias("n"), (F.approx_count_distinct(F.struct(*within)) if within else F.lit(1)).alias("groups")).first()
+        area = max(extent["hix"] - extent["lox"], widest / 1e6) * max(extent["hiy"] - extent["loy"], widest / 1e6)
+        size = max((area * 4 * k * max(counted["groups"], 1) / max(counted["n"], 1)) ** 0.5, widest / 1e6, 1e-9)
     out, left = None, q0
     while True:
         q = left.withColumn("cx", cell(F.col("x"), size)).withColumn("cy", cell(F.col("y"), size))
@@ -81,7 +85,7 @@ def nearest(queries: DataFrame, points: DataFrame, k: int = 1, size: float = 4.0
         size *= 2
 
 
-def height_above_ground(points: DataFrame, ground: int = 2, size: float = 4.0) -> DataFrame:
+def height_above_ground(points: DataFrame, ground: int = 2, size: float | None = None) -> DataFrame:
     """(pt_id, height) of all points above the nearest ground point of their cloud, in plan."""
     found = nearest(points.withColumnRenamed("pt_id", "query_id"), classified(points, ground), 1, size, "xy", ("cloud_id",))
     base = points.select(F.col("pt_id"), F.col("z").alias("ground_z"))
@@ -106,7 +110,7 @@ def outliers_by_radius(points: DataFrame, radius: float = 1.0, least: int = 5) -
     return points.select("pt_id").join(counted, "pt_id", "left").select("pt_id", F.coalesce("n", F.lit(0)).alias("neighbours")).where(F.col("neighbours") < least)
 
 
-def outliers_by_distance(points: DataFrame, k: int = 8, multiplier: float = 2.0, size: float = 4.0) -> DataFrame:
+def outliers_by_distance(points: DataFrame, k: int = 8, multiplier: float = 2.0, size: float | None = None) -> DataFrame:
     """(pt_id, mean_distance) of points whose mean distance to k others of their cloud is above mean + multiplier * deviation."""
     near = nearest(points.withColumnRenamed("pt_id", "query_id"), points, k + 1, size, "xyz", ("cloud_id",)).where("query_id <> pt_id")
     ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "pt_id"))).where(F.col("r") <= k)
@@ -297,7 +301,7 @@ def farthest_points(points: DataFrame, n: int) -> DataFrame:
     return points.groupBy("cloud_id").applyInPandas(chosen, "cloud_id long, place int, pt_id long")
 
 
-def interpolated(queries: DataFrame, points: DataFrame, value: str = "z", k: int = 3, size: float = 4.0, within: tuple[str, ...] = ()) -> DataFrame:
+def interpolated(queries: DataFrame, points: DataFrame, value: str = "z", k: int = 3, size: float | None = None, within: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, value): inverse-distance means of the k nearest points' values."""
     near = nearest(queries, points, k, size, "xy", within).join(points.select("pt_id", F.col(value).alias("_v")), "pt_id")
     weight = 1 / (F.col("distance") + 1e-8)

@@ -83,8 +83,8 @@ def boundary_violations(units: DataFrame, parcels: DataFrame, tolerance: float =
 
 
 def corner(v: Column, tolerance: float) -> Column:
-    snap = lambda c: F.rint(c / tolerance) * tolerance
-    return F.struct(*(snap(v[k]).alias(k) for k in "xyz"))
+    """A vertex on the grid of the tolerance, in whole steps: corners that nearly meet are equal."""
+    return F.struct(*(F.rint(v[k] / tolerance).cast("long").alias(k) for k in "xyz"))
 
 
 def tetra_faces(tetrahedra: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
@@ -94,7 +94,7 @@ def tetra_faces(tetrahedra: DataFrame, tolerance: float = TOLERANCE) -> DataFram
     return (
         tetrahedra.where(F.size("vertices") >= 4)
         .select("tet", "suid", F.explode(faces).alias("corners"))
-        .withColumn("face_key", F.to_json(F.array_sort(F.transform("corners", lambda v: corner(v, tolerance)))))
+        .withColumn("face_key", F.sort_array(F.transform("corners", lambda v: corner(v, tolerance))))
     )
 
 
@@ -135,7 +135,7 @@ def manifold_gaps(faces: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
 def over_used_edges(faces: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """(edge_key, uses): edges that more than two faces of one unit share, so that it has no clean surface."""
     snapped = F.transform("corners", lambda v: corner(v, tolerance))
-    edge = lambda i, j: F.to_json(F.array_sort(F.array(F.get(snapped, i), F.get(snapped, j))))
+    edge = lambda i, j: F.sort_array(F.array(F.get(snapped, i), F.get(snapped, j)))
     return (
         faces.select("suid", F.explode(F.array(edge(F.lit(0), F.lit(1)), edge(F.lit(1), F.lit(2)), edge(F.lit(2), F.lit(0)))).alias("edge_key"))
         .groupBy("suid", "edge_key").agg(F.count("*").alias("uses")).where("uses > 2")

@@ -541,7 +541,7 @@ def detect_floor_heights(t: Tables) -> DataFrame:
 FROM points q JOIN points p USING (cloud_id) WHERE q.classification = 6 AND p.classification = 2 GROUP BY 1""")
 def nearest_ground(t: Tables) -> DataFrame:
     p = t.view("points")
-    found = pointcloud.nearest(pointcloud.classified(p, 6).withColumnRenamed("pt_id", "query_id"), pointcloud.classified(p, 2), 1, 8.0, "xy", ("cloud_id",))
+    found = pointcloud.nearest(pointcloud.classified(p, 6).withColumnRenamed("pt_id", "query_id"), pointcloud.classified(p, 2), 1, None, "xy", ("cloud_id",))
     return found.select("query_id", "pt_id", F.round("distance", 6).alias("distance"))
 
 
@@ -550,7 +550,7 @@ def nearest_ground(t: Tables) -> DataFrame:
 SELECT query_id, round(sum(z / (d + 1e-8)) / sum(1 / (d + 1e-8)), 4) AS value FROM d WHERE r <= 3 GROUP BY 1""")
 def interpolate_3nn(t: Tables) -> DataFrame:
     p = t.view("points")
-    found = pointcloud.interpolated(pointcloud.classified(p, 6).withColumnRenamed("pt_id", "query_id"), pointcloud.classified(p, 2), "z", 3, 16.0, ("cloud_id",))
+    found = pointcloud.interpolated(pointcloud.classified(p, 6).withColumnRenamed("pt_id", "query_id"), pointcloud.classified(p, 2), "z", 3, None, ("cloud_id",))
     return found.withColumn("value", F.round("value", 4))
 
 
@@ -564,7 +564,7 @@ def outlier_radius(t: Tables) -> DataFrame:
   m AS (SELECT cloud_id, pt_id, list_avg(min(d, 8)) AS m FROM d GROUP BY 1, 2), s AS (SELECT cloud_id, avg(m) + 2 * stddev_pop(m) AS bound FROM m GROUP BY 1)
 SELECT pt_id, round(m, 6) AS mean_distance FROM m JOIN s USING (cloud_id) WHERE m > bound""")
 def outlier_statistical(t: Tables) -> DataFrame:
-    return pointcloud.outliers_by_distance(t.view("points"), 8, 2.0, 16.0).withColumn("mean_distance", F.round("mean_distance", 6))
+    return pointcloud.outliers_by_distance(t.view("points"), 8, 2.0).withColumn("mean_distance", F.round("mean_distance", 6))
 
 
 @query(None)
