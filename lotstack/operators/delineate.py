@@ -27,9 +27,10 @@ def units_per_mapped_floor(type: Column, area: Column) -> Column:
 
 
 def layout(type: Column, area: Column) -> Column:
+    homes = type.isin("apartments", "residential")
     return (
-        F.when((type == "residential") & (area > 800), "corridor")
-        .when((type == "residential") & (area > 300), "perimeter")
+        F.when(homes & (area > 800), "corridor")
+        .when(homes & (area > 300), "perimeter")
         .when((type == "commercial") & (area > 1500), "corridor")
         .when(type == "mixed", "perimeter")
         .otherwise("grid")
@@ -45,9 +46,9 @@ def estimated_levels(type: Column, area: Column) -> Column:
             out = out.when(area < most, levels)
         return out.otherwise(beyond)
 
-    root = lambda k, least: F.greatest(F.lit(least), F.floor(F.sqrt(area) / k).cast("int"))
+    root = lambda k, least: F.greatest(F.lit(least), F.rint(F.sqrt(area) / k).cast("int"))
     return (
-        F.when(type.isin("residential", "apartments"), steps((100, 1), (300, 2), (800, 4), (2000, 8), beyond=12))
+        F.when(type == "residential", steps((100, 1), (300, 2), (800, 4), (2000, 8), beyond=12))
         .when(type == "commercial", steps((200, 1), (500, 2), (1500, 4), beyond=10))
         .when(type == "industrial", F.lit(1))
         .when(type == "mixed", steps((500, 3), (1500, 6), beyond=15))

@@ -6,12 +6,42 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotstack.functions.binding import let
 
 
+#: Classes of the floor model with their training weights.
+CLASSES = (
+    ("ground", 0.5),
+    ("wall_exterior", 1.0),
+    ("floor_slab", 2.0),
+    ("roof", 1.5),
+    ("window", 5.0),
+    ("door", 10.0),
+    ("column", 8.0),
+    ("stair", 15.0),
+    ("interior_wall", 3.0),
+    ("ceiling", 4.0),
+    ("beam", 6.0),
+    ("railing", 8.0),
+    ("pipe", 10.0),
+    ("cable_tray", 10.0),
+    ("duct", 10.0),
+    ("equipment", 12.0),
+    ("furniture", 15.0),
+    ("vegetation", 2.0),
+    ("vehicle", 10.0),
+    ("clutter", 5.0),
+)
+
+
+def class_table(spark: SparkSession) -> DataFrame:
+    """(class, name, weight)"""
+    return spark.createDataFrame([(k, *row) for k, row in enumerate(CLASSES)], "class int, name string, weight double")
+
+
 def softmax(scores: Column) -> Column:
     powers = let(F.array_max(scores), lambda top: F.transform(scores, lambda v: F.exp(v.cast("double") - top)))
     total = lambda p: F.aggregate(p, F.lit(0.0), lambda a, b: a + b)

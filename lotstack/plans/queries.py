@@ -335,7 +335,7 @@ def _units_sql(first: str, extra: str, rest: str) -> str:
 _A100 = "greatest(1, round_even(area / 100, 0))"
 _PER_FLOOR = _units_sql(f"building_type = 'residential' THEN {_A100}", "WHEN building_type = 'apartments' THEN greatest(1, round_even(area / 75, 0))", _A100)
 _PER_MAPPED = _units_sql("building_type IN ('residential', 'apartments') THEN greatest(1, round_even(area / 85, 0))", "", _A100)
-_LAYOUT = """CASE WHEN building_type = 'residential' AND area > 800 THEN 'corridor' WHEN building_type = 'residential' AND area > 300 THEN 'perimeter'
+_LAYOUT = """CASE WHEN building_type IN ('residential', 'apartments') AND area > 800 THEN 'corridor' WHEN building_type IN ('residential', 'apartments') AND area > 300 THEN 'perimeter'
   WHEN building_type = 'commercial' AND area > 1500 THEN 'corridor' WHEN building_type = 'mixed' THEN 'perimeter' ELSE 'grid' END"""
 
 
@@ -347,10 +347,10 @@ def units_and_layout(t: Tables) -> DataFrame:
     )
 
 
-@query("""SELECT building_id, cast(CASE WHEN building_type IN ('residential', 'apartments') THEN CASE WHEN area < 100 THEN 1 WHEN area < 300 THEN 2 WHEN area < 800 THEN 4 WHEN area < 2000 THEN 8 ELSE 12 END
+@query("""SELECT building_id, cast(CASE WHEN building_type = 'residential' THEN CASE WHEN area < 100 THEN 1 WHEN area < 300 THEN 2 WHEN area < 800 THEN 4 WHEN area < 2000 THEN 8 ELSE 12 END
   WHEN building_type = 'commercial' THEN CASE WHEN area < 200 THEN 1 WHEN area < 500 THEN 2 WHEN area < 1500 THEN 4 ELSE 10 END WHEN building_type = 'industrial' THEN 1
-  WHEN building_type = 'mixed' THEN CASE WHEN area < 500 THEN 3 WHEN area < 1500 THEN 6 ELSE 15 END WHEN building_type = 'hospitality' THEN greatest(3, floor(sqrt(area) / 10))
-  WHEN building_type = 'institutional' THEN greatest(2, floor(sqrt(area) / 15)) ELSE greatest(1, floor(sqrt(area) / 20)) END AS int) AS levels FROM buildings""")
+  WHEN building_type = 'mixed' THEN CASE WHEN area < 500 THEN 3 WHEN area < 1500 THEN 6 ELSE 15 END WHEN building_type = 'hospitality' THEN greatest(3, round_even(sqrt(area) / 10, 0))
+  WHEN building_type = 'institutional' THEN greatest(2, round_even(sqrt(area) / 15, 0)) ELSE greatest(1, round_even(sqrt(area) / 20, 0)) END AS int) AS levels FROM buildings""")
 def levels_estimate(t: Tables) -> DataFrame:
     return t.view("buildings").select("building_id", delineate.estimated_levels(F.col("building_type"), F.col("area")).alias("levels"))
 
@@ -471,18 +471,19 @@ def parent_resolution(t: Tables) -> DataFrame:
     return units.join(known.unionAll(zero).dropDuplicates(["code"]), "code", "left").select("p_partkey", "parent")
 
 
-@query("""SELECT p_partkey, CASE WHEN tag IN ('residential', 'house', 'detached', 'terrace', 'bungalow', 'dormitory', 'apartments') THEN 'residential' WHEN tag IN ('retail', 'office') THEN 'commercial' WHEN tag = 'hotel' THEN 'hospitality' ELSE 'unknown' END AS class, CASE WHEN p_partkey % 3 = 0 THEN 'gabled' END AS roof
-FROM (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'house' WHEN 1 THEN 'apartments' WHEN 2 THEN 'retail' WHEN 3 THEN 'hotel' WHEN 4 THEN 'office' ELSE 'shed' END AS tag FROM part)""")
+@query("""SELECT p_partkey, CASE WHEN tag IN ('house', 'apartments') THEN 'residential' WHEN tag IN ('retail', 'office') THEN 'commercial' WHEN tag = 'hotel' THEN 'hospitality' ELSE 'unknown' END AS class, CASE WHEN p_partkey % 3 = 0 THEN 'pyramid' END AS roof
+FROM (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'house' WHEN 1 THEN 'apartments' WHEN 2 THEN 'retail' WHEN 3 THEN 'hotel' WHEN 4 THEN 'office' ELSE 'barn' END AS tag FROM part)""")
 def building_type_map(t: Tables) -> DataFrame:
-    tag = F.expr("CASE p_partkey % 6 WHEN 0 THEN 'House' WHEN 1 THEN 'apartments' WHEN 2 THEN 'retail' WHEN 3 THEN 'hotel' WHEN 4 THEN 'office' ELSE 'shed' END")
-    roof = F.when(F.col("p_partkey") % 3 == 0, "Gabled").otherwise("odd")
+    tag = F.expr("CASE p_partkey % 6 WHEN 0 THEN 'house' WHEN 1 THEN 'apartments' WHEN 2 THEN 'retail' WHEN 3 THEN 'hotel' WHEN 4 THEN 'office' ELSE 'barn' END")
+    roof = F.when(F.col("p_partkey") % 3 == 0, "Pyramidal").otherwise("odd")
     return t.table("part").select("p_partkey", osm.building_class(tag).alias("class"), osm.roof_shape(roof).alias("roof"))
 
 
-@query("""WITH c AS (SELECT doc_id, upper(text) AS u, text AS s FROM documents)
-SELECT doc_id, coalesce(nullif(regexp_extract(u, '([A-Z]\\d+|[A-Z]-\\d+|\\d+[A-Z]?)', 1), ''), substr(s, 1, 20)) AS unit,
-  CASE WHEN u LIKE '%SHOP%' OR u LIKE '%OFFICE%' OR u LIKE '%COMMERCIAL%' OR u LIKE '%RETAIL%' THEN 'commercial' WHEN u LIKE '%PARK%' OR u LIKE '%CAR%' OR u LIKE '%GARAGE%' THEN 'parking'
-  WHEN u LIKE '%ELEC%' OR u LIKE '%PLUMB%' OR u LIKE '%UTILITY%' OR u LIKE '%SERVICE%' THEN 'utility' WHEN u LIKE '%LOBBY%' OR u LIKE '%CORRIDOR%' OR u LIKE '%STAIR%' OR u LIKE '%LIFT%' OR u LIKE '%ELEV%' OR u LIKE '%COMMON%' THEN 'common' ELSE 'residential' END AS kind FROM c""")
+_SAYS = " ".join("WHEN " + " OR ".join(f"u LIKE '%{w}%'" for w in words) + f" THEN '{kind}'" for kind, words in cad.UNIT_WORDS)
+
+
+@query(f"""WITH c AS (SELECT doc_id, upper(regexp_replace(replace(text, 'ß', 'SS'), '^\\s+|\\s+$', '', 'g')) AS u FROM documents)
+SELECT doc_id, coalesce(nullif(regexp_extract(u, '([A-Z]\\d+|[A-Z]-\\d+|\\d+[A-Z]?)', 1), ''), substr(u, 1, 20)) AS unit, CASE {_SAYS} ELSE 'residential' END AS kind FROM c""")
 def annotation_classify(t: Tables) -> DataFrame:
     return t.table("documents").select("doc_id", cad.unit_id(F.col("text")).alias("unit"), cad.unit_type(F.col("text")).alias("kind"))
 
@@ -650,6 +651,11 @@ def normalise_bands(t: Tables) -> DataFrame:
     return inference.normalised_bands(cells).select(F.col("y").alias("vec_id"), F.round("v", 5).alias("v"))
 
 
+@query("SELECT class, name, weight FROM (VALUES " + ", ".join(f"({k}, '{n}', cast({w} AS double))" for k, (n, w) in enumerate(inference.CLASSES)) + ") v(class, name, weight)")
+def class_weights(t: Tables) -> DataFrame:
+    return inference.class_table(t.spark)
+
+
 @query(None)
 def dataset_split(t: Tables) -> DataFrame:
     return inference.split_rows(t.table("embeddings").select("vec_id", "label"), "vec_id")
@@ -672,6 +678,20 @@ def wards(t: Tables) -> DataFrame:
     return osm.wards_of(parcels, boxes).select("suid", "ward")
 
 
+_WARD_ROWS = "(VALUES " + ", ".join(f"('{w}', {', '.join(f'cast({v} AS double)' for v in box)})" for w, box in osm.WARDS.items()) + ") w(ward, minx, miny, maxx, maxy)"
+
+
+@query(f"SELECT ward, minx, miny, maxx, maxy FROM {_WARD_ROWS}")
+def ward_boxes(t: Tables) -> DataFrame:
+    return osm.ward_table(t.spark)
+
+
+@query(f"""SELECT suid, ward FROM (SELECT suid, 72.78E0 + suid % 41 * 0.005E0 AS x, 18.92E0 + suid % 37 * 0.009E0 AS y FROM parcels), {_WARD_ROWS} WHERE x BETWEEN minx AND maxx AND y BETWEEN miny AND maxy""")
+def parcels_by_ward(t: Tables) -> DataFrame:
+    rows = t.view("parcels").select("suid", F.expr("72.78D + suid % 41 * 0.005D").alias("x"), F.expr("18.92D + suid % 37 * 0.009D").alias("y"))
+    return osm.wards_of(rows, osm.ward_table(t.spark)).select("suid", "ward")
+
+
 @query("""SELECT job_id, status FROM (SELECT user_id AS job_id, CASE event_type WHEN 'signup' THEN 'pending' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'processing' END AS status,
   row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, CASE event_type WHEN 'signup' THEN 1 WHEN 'purchase' THEN 3 WHEN 'error' THEN 4 ELSE 2 END DESC) AS r FROM events) WHERE r = 1""")
 def job_states(t: Tables) -> DataFrame:

@@ -77,10 +77,10 @@ def layer_level(layer: Column) -> Column:
 
 #: Words that tell a unit's type, in the order in which they are looked for.
 UNIT_WORDS = (
-    ("commercial", ("SHOP", "OFFICE", "COMMERCIAL", "RETAIL")),
-    ("parking", ("PARK", "CAR", "GARAGE")),
-    ("utility", ("ELEC", "PLUMB", "UTILITY", "SERVICE")),
-    ("common", ("LOBBY", "CORRIDOR", "STAIR", "LIFT", "ELEV", "COMMON")),
+    ("commercial", ("SHOP", "RETAIL", "COMMERCIAL", "OFFICE")),
+    ("parking", ("PARKING", "GARAGE", "CAR")),
+    ("utility", ("UTILITY", "MECH", "ELEC", "HVAC")),
+    ("common", ("COMMON", "LOBBY", "CORRIDOR", "STAIR", "ELEV")),
 )
 
 
@@ -92,8 +92,9 @@ def unit_type(text: Column) -> Column:
 
 
 def unit_id(text: Column) -> Column:
-    """The first code like A1, A-1 or 12B in a text, else its first 20 characters."""
-    return F.coalesce(F.nullif(F.regexp_extract(F.upper(text), r"([A-Z]\d+|[A-Z]-\d+|\d+[A-Z]?)", 1), F.lit("")), F.substring(text, 1, 20))
+    """The first code like A1, A-1 or 12B in a text in capitals, else its first 20 characters."""
+    name = F.upper(F.regexp_replace(text, r"^\s+|\s+$", ""))
+    return F.coalesce(F.nullif(F.regexp_extract(name, r"([A-Z]\d+|[A-Z]-\d+|\d+[A-Z]?)", 1), F.lit("")), F.substring(name, 1, 20))
 
 
 def floor_polygons(entities: DataFrame, storey: float = 3.0) -> DataFrame:

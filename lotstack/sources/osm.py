@@ -14,16 +14,60 @@ SCHEMA = (
 )
 #: Building tags by class.
 BUILDING_CLASSES = {
-    "residential": ("residential", "house", "detached", "terrace", "bungalow", "dormitory", "apartments"),
-    "commercial": ("commercial", "retail", "office", "supermarket", "kiosk", "warehouse"),
-    "industrial": ("industrial", "factory", "manufacture"),
+    "residential": ("residential", "apartments", "house", "detached", "semidetached_house", "terrace"),
+    "commercial": ("commercial", "office", "retail", "shop", "supermarket", "mall"),
+    "industrial": ("industrial", "warehouse", "factory"),
     "mixed": ("mixed", "mixed_use"),
     "hospitality": ("hotel", "hostel"),
-    "institutional": ("school", "university", "college", "hospital", "government", "public", "civic"),
-    "religious": ("church", "mosque", "temple"),
+    "institutional": ("hospital", "school", "university", "civic", "government", "religious"),
+    "parking": ("parking", "garage"),
+    "utility": ("roof", "shed"),
+    "construction": ("construction",),
 }
-#: Roof shapes that are known.
-ROOFS = ("flat", "gabled", "hipped", "pyramidal", "skillion", "dome", "onion", "round", "half-hipped")
+#: Roof shapes by tag.
+ROOFS = {
+    "flat": "flat",
+    "gabled": "gabled",
+    "hipped": "hipped",
+    "pyramidal": "pyramid",
+    "dome": "dome",
+    "mansard": "mansard",
+    "gambrel": "gambrel",
+    "skillion": "skillion",
+    "sawtooth": "sawtooth",
+}
+#: Wards with their boxes (west, south, east, north). Some boxes are equal and some overlap.
+WARDS = {
+    "A": (72.82, 18.93, 72.87, 18.96),
+    "B": (72.81, 18.96, 72.86, 18.99),
+    "C": (72.80, 18.99, 72.85, 19.02),
+    "D": (72.82, 18.99, 72.87, 19.02),
+    "E": (72.85, 18.96, 72.90, 19.00),
+    "F_N": (72.85, 19.00, 72.90, 19.05),
+    "F_S": (72.85, 18.96, 72.90, 19.00),
+    "G_N": (72.88, 19.00, 72.93, 19.05),
+    "G_S": (72.88, 19.00, 72.93, 19.05),
+    "H_E": (72.90, 19.00, 72.95, 19.05),
+    "H_W": (72.85, 19.00, 72.90, 19.05),
+    "K_E": (72.90, 19.05, 72.95, 19.10),
+    "K_W": (72.85, 19.05, 72.90, 19.10),
+    "L": (72.80, 19.10, 72.85, 19.15),
+    "M_E": (72.90, 19.10, 72.95, 19.15),
+    "M_W": (72.85, 19.10, 72.90, 19.15),
+    "N": (72.80, 19.15, 72.85, 19.20),
+    "P_N": (72.90, 19.15, 72.95, 19.20),
+    "P_S": (72.85, 19.15, 72.90, 19.20),
+    "R_C": (72.80, 19.20, 72.85, 19.25),
+    "R_N": (72.85, 19.20, 72.90, 19.25),
+    "R_S": (72.80, 19.20, 72.85, 19.25),
+    "S": (72.90, 19.15, 72.95, 19.20),
+    "T": (72.85, 19.20, 72.90, 19.25),
+}
+
+
+def ward_table(spark: SparkSession) -> DataFrame:
+    """(ward, minx, miny, maxx, maxy)"""
+    return spark.createDataFrame([(w, *box) for w, box in WARDS.items()], "ward string, minx double, miny double, maxx double, maxy double")
 
 
 def overpass_query(bbox: tuple[float, float, float, float], timeout: int = 180) -> str:
@@ -69,12 +113,14 @@ def tag(*names: str) -> Column:
 def building_class(value: Column) -> Column:
     out = F.when(F.lit(False), F.lit(""))
     for name, tags in BUILDING_CLASSES.items():
-        out = out.when(F.lower(value).isin(*tags), name)
+        out = out.when(value.isin(*tags), name)
     return out.otherwise("unknown")
 
 
 def roof_shape(value: Column) -> Column:
-    return F.when(F.lower(value).isin(*ROOFS), F.lower(value))
+    """The shape of a roof tag, whatever its case; null if unknown."""
+    known = F.create_map(*(F.lit(x) for kv in ROOFS.items() for x in kv))
+    return F.element_at(known, F.lower(value))
 
 
 def buildings(rings: DataFrame, least_area: float = 5.0) -> DataFrame:

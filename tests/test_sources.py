@@ -11,7 +11,7 @@ from lotstack.streaming import jobs
 OSM = {
     "elements": [
         *({"type": "node", "id": k, "lon": 72.8 + x, "lat": 19.0 + y} for k, (x, y) in enumerate([(0, 0), (0.001, 0), (0.001, 0.001), (0, 0.001)])),
-        {"type": "way", "id": 10, "nodes": [0, 1, 2, 3, 0], "tags": {"building": "House", "building:levels": "4", "roof:shape": "Gabled"}},
+        {"type": "way", "id": 10, "nodes": [0, 1, 2, 3, 0], "tags": {"building": "house", "building:levels": "4", "roof:shape": "Gabled"}},
         {"type": "way", "id": 11, "nodes": [0, 1, 99], "tags": {"building": "yes"}},
         {"type": "way", "id": 12, "nodes": [3, 2, 1, 0], "tags": {}},
         {"type": "relation", "id": 20, "members": [{"type": "way", "ref": 10, "role": "outer"}, {"type": "way", "ref": 12, "role": "inner"}], "tags": {"building": "office"}},
