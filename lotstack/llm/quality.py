@@ -190,7 +190,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS) -> Tr
             x = _matrix(batch.column(0))
             yield pa.RecordBatch.from_arrays([pa.array(list(x), type=pa.list_(pa.float64())), batch.column(1)], ["x", "quality"])
 
-    got = sample.mapInArrow(measured, "x array<double>, quality int").toArrow()
+    # the bound holds for rows that share an id, too: statistics are a few numbers for each row
+    got = sample.mapInArrow(measured, "x array<double>, quality int").limit(most).toArrow()
     x = np.array(got["x"].combine_chunks().flatten()).reshape(-1, len(STATISTICS))
     y = (np.array(got["quality"]) == 1).astype(float)
     order = np.lexsort([*x.T, y])  # the rows' order of arrival must not matter
