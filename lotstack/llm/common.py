@@ -35,7 +35,7 @@ _powers: dict[int, np.ndarray] = {}
 def _power(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         steps = np.full(size, base, dtype=np.uint64)
         steps[0] = 1
         have = _powers[base] = np.multiply.accumulate(steps)
@@ -90,7 +90,7 @@ def hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def text_chunks(
-    batches: Iterator[pa.RecordBatch], text: str = "text", chunk_bytes: int = 1 << 20
+    batches: Iterator[pa.RecordBatch], text: str = "text", chunk_bytes: int = 1 << 19
 ) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut batches into runs of rows with about `chunk_bytes` of text: (rows, bytes, bounds). Null is empty.
 
