@@ -1,18 +1,20 @@
-"""Language-model scoring with a Katz backoff bigram model.
+"""Language-model scoring with a Katz backoff n-gram model.
 
     P(w | h) = d(c(h,w)) * c(h,w) / c(h)     if c(h,w) >= MIN_COUNT
-             = alpha(h) * P(w)               otherwise
+             = alpha(h) * P(w | h')          otherwise; h' is h without its first word
     P(w)     = d(c(w)) * c(w) / N            for words of the training texts; the rest is one unknown word's
 
-d are Good-Turing discounts. As Katz proposed, bigrams seen once are not kept: their share goes to the backoff, and
-alpha(h) makes the probabilities after each h sum to exactly 1. Where nothing would be left for the backoff (no
-count of h is discounted or left out), c(h) counts one more.
+d are Good-Turing discounts, of each order its own. All n-grams are kept, those seen once too, and alpha(h) makes the
+probabilities after each h sum to exactly 1. Where nothing would be left for the backoff (no count of h is
+discounted), c(h) counts one more. One start stands before a text, so histories are shorter in its first words.
 
 Counts, bigrams and backoff weights are tables of the shared folder. Words that are frequent enough to be among the
 `HOT` most frequent have numbers; their counts and weights, a table of bounded size, are broadcast, and so are the
 `HOT` most frequent bigrams. All other words and bigrams are looked up by joins. A bit map of fixed size, also
 broadcast, tells most of the bigrams that no table holds, so that they need no join; a false alarm costs a look-up,
 never a wrong score. So no table that grows with the input has to fit in a task, and frequent words meet in no task.
+Each order beyond two has a table of its n-grams, worked out from that of the order below, and one of its backoff
+weights; what it adds to a token's score is looked up by joins.
 
 Tokens of a text: its words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, then one end token.
 
@@ -36,8 +38,10 @@ from lotstack.llm.common import documents, hash_words, materialize, mix, text_ch
 
 #: Rows of each broadcast table, and bits of the broadcast bit map.
 HOT, MAP_BITS = 1 << 20, 1 << 27
-#: Least count of a bigram that is kept; counts up to DISCOUNTED are discounted.
-MIN_COUNT, DISCOUNTED = 2, 5
+#: Least count of an n-gram that is kept; counts up to DISCOUNTED are discounted.
+MIN_COUNT, DISCOUNTED = 1, 5
+#: Words of the query's longest n-grams.
+ORDER = 3
 #: Tokens of a bucket of bigrams, and entries that a counting task gathers before it sends them, about.
 IN_BUCKET, GATHERED = 2_000_000, 1_500_000
 
@@ -147,6 +151,25 @@ def pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.where((h >= 0) & (w >= 0), (h << _WIDTH) | np.maximum(w, 0), rare.view(np.int64))
 
 
+def _ngram_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Keys of n-grams from those of their first and of their last n - 1 words."""
+    return mix(h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.view(np.uint64)).view(np.int64)
+
+
+def _history_keys(h: np.ndarray) -> np.ndarray:
+    """Keys of n-grams as histories: a look-up tells them from the n-grams themselves."""
+    return mix(h.view(np.uint64) ^ np.uint64(0xD1B54A32D192ED03)).view(np.int64)
+
+
+def _longer(keys: np.ndarray, bounds: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each order from 3: keys of the first and of the last n - 1 words by token, and where the text has so many."""
+    place = np.arange(len(keys)) - np.repeat(bounds[:-1], np.diff(bounds))
+    for n in range(3, order + 1):
+        before = np.roll(keys, 1)
+        yield before, keys, place >= n - 2
+        keys = _ngram_keys(before, keys)
+
+
 def _slot(keys: np.ndarray) -> np.ndarray:
     return (mix(keys.view(np.uint64)) & np.uint64(MAP_BITS - 1)).astype(np.int64)
 
@@ -286,10 +309,63 @@ def backoff_weights(pairs: DataFrame) -> DataFrame:
     return sums.select("h", ((1 - F.col("p") * scale) / (1 - F.col("low"))).alias("alpha"), scale.alias("scale"))
 
 
-def katz_scores(docs: DataFrame, held_out, most: int = HOT) -> DataFrame:
+def count_longer(training: DataFrame, model, order: int) -> DataFrame:
+    """(h, w, c) of the n-grams of `order` words: keys of their first and of their last words, and counts."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged() -> pa.RecordBatch:
+            h, w = (np.concatenate(x) for x in zip(*parts))
+            parts.clear()
+            return pa.RecordBatch.from_arrays([*map(pa.array, _summed_pairs(h, w, np.ones(len(h), np.int64)))], ["h", "w", "c"])
+
+        for _, data, offsets in text_chunks(batches):
+            words, bounds = _tokens(data, offsets)
+            codes = model.value.codes(words)
+            *_, (h, w, there) = _longer(pair_keys(_pairs(codes, bounds), codes), bounds, order)
+            parts.append((h[there], w[there]))
+            if sum(len(p[0]) for p in parts) > GATHERED:
+                yield merged()
+        if parts:
+            yield merged()
+
+    return training.select("text").mapInArrow(counted, "h long, w long, c long").groupBy("h", "w").agg(F.sum("c").alias("c"))
+
+
+def longer_ngrams(counts: DataFrame, shorter: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
+    """(key, p, seen, gain) of the n-grams and (key, a) of their histories, from counts and the shorter ones' (key, p).
+
+    seen: what an n-gram adds to the score of its shorter one; gain: what it adds to the score of backing off; a: log alpha.
+    """
+    d = discounts(_small_counts(counts), MIN_COUNT)
+    held = F.element_at(F.array(*map(F.lit, d.tolist())), (F.least("c", F.lit(DISCOUNTED + 1)) + 1).cast("int")) * F.col("c")
+    ngrams = counts.join(shorter.select(F.col("key").alias("w"), F.col("p").alias("low")), "w").select("h", "w", "c", "low", held.alias("held"))
+    sums = ngrams.groupBy("h").agg(F.sum("held").alias("p"), F.sum("low").alias("low"), F.sum("c").alias("ch")).withColumn("p", F.col("p") / F.col("ch"))
+    scale = F.when(F.col("p") > 1 - 1e-9, F.col("ch") / (F.col("ch") + 1) / F.col("p")).otherwise(F.lit(1.0))
+    alpha = (1 - F.col("p") * scale) / (1 - F.col("low"))
+    weights = materialize(sums.select("h", F.log10(alpha).alias("a"), (scale / F.col("ch")).alias("scale")), f"backoff-{order}")
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = _ngram_keys(np.asarray(b.column(0)), np.asarray(b.column(1)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *b.columns[2:]], ["key", "p", "seen", "gain"])
+
+    def histories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_history_keys(np.asarray(b.column(0)))), b.column(1)], ["key", "a"])
+
+    p = F.col("held") * F.col("scale")
+    seen = F.log10(p) - F.log10("low")
+    found = ngrams.join(weights, "h").select("h", "w", p.alias("p"), seen.alias("seen"), (seen - F.col("a")).alias("gain"))
+    ngrams = materialize(found.mapInArrow(keyed, "key long, p double, seen double, gain double"), f"{order}-grams")
+    return ngrams, weights.select("h", "a").mapInArrow(histories, "key long, a double")
+
+
+def katz_scores(docs: DataFrame, held_out, most: int = HOT, order: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row.
 
-    held_out: a Column; most: rows of each broadcast table, at most HOT.
+    held_out: a Column; most: rows of each broadcast table, at most HOT; order: words of the longest n-grams, at least 2.
     """
     spark = docs.sparkSession
     send = spark.sparkContext.broadcast
@@ -304,10 +380,10 @@ def katz_scores(docs: DataFrame, held_out, most: int = HOT) -> DataFrame:
     least = _least_count(words, most)
     hot = words.where(F.col("c") >= least).toArrow()
     hashes, counts = np.asarray(hot["w"]).astype(np.uint64), np.asarray(hot["c"]).astype(np.int64)
-    order = np.argsort(hashes)
+    by_hash = np.argsort(hashes)
     word_discount = discounts(small, 1)
     kept = n["tokens"] - sum(small.get(r, 0) * r * (1 - word_discount[r]) for r in range(1, DISCOUNTED + 1))
-    base = {"hashes": hashes[order], "counts": counts[order], "tokens": n["tokens"], "vocabulary": n["vocabulary"]}
+    base = {"hashes": hashes[by_hash], "counts": counts[by_hash], "tokens": n["tokens"], "vocabulary": n["vocabulary"]}
     base |= {"texts": texts, "word_discount": word_discount, "left": 1 - kept / max(n["tokens"], 1) if kept < n["tokens"] else 0.0}
     rare_words = words.where(F.col("c") < least).select(F.col("w").bitwiseOR(F.lit(-(2**63))).alias("code"), "c")
 
@@ -325,19 +401,19 @@ def katz_scores(docs: DataFrame, held_out, most: int = HOT) -> DataFrame:
 
     # what a kept bigram adds to the score of backing off
     gain = F.log10(F.col("p") * F.coalesce("scale", F.lit(1.0))) - F.log10("alpha") - F.log10("low")
-    gains = probable.join(weights, "h").select("h", "w", "c", gain.alias("gain"))
+    gains = probable.join(weights, "h").select("h", "w", "c", gain.alias("gain"), (F.col("p") * F.coalesce("scale", F.lit(1.0))).alias("p"))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = pair_keys(np.asarray(b.column(0)), np.asarray(b.column(1)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), b.column(2), b.column(3), pa.array(_slot(keys))], ["key", "c", "gain", "slot"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), b.column(2), b.column(3), pa.array(_slot(keys)), b.column(4)], ["key", "c", "gain", "slot", "p"])
 
-    table = materialize(gains.mapInArrow(keyed, "key long, c long, gain double, slot long"), "bigram-gains")
+    table = materialize(gains.mapInArrow(keyed, "key long, c long, gain double, slot long, p double"), "bigram-gains")
     least = _least_count(table, most)
     common = table.where(F.col("c") >= least).select("key", "gain").toArrow()
     keys = np.asarray(common["key"])
-    order = np.argsort(keys)
-    base["pairs"], base["gains"] = keys[order], np.asarray(common["gain"])[order]
+    by_key = np.argsort(keys)
+    base["pairs"], base["gains"] = keys[by_key], np.asarray(common["gain"])[by_key]
     others = table.where(F.col("c") < least)
     bits = others.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).toArrow()
     cells = np.zeros(MAP_BITS // 64, np.uint64)
@@ -345,8 +421,14 @@ def katz_scores(docs: DataFrame, held_out, most: int = HOT) -> DataFrame:
     base["maybe"] = cells
     model = send(Model(**base))
 
-    schema = "row_id long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>, pairs array<long>"
-    scored = materialize(docs.withColumn("row_id", F.monotonically_increasing_id()).mapInArrow(_scorer(model), schema), "scores")
+    longer, shorter = None, table
+    for k in range(3, order + 1):
+        shorter, histories = longer_ngrams(materialize(count_longer(training, model, k), f"{k}-gram-counts"), shorter, k)
+        both = shorter.select("key", "seen", "gain").unionByName(histories.select("key", F.lit(0.0).alias("seen"), F.col("a").alias("gain")))
+        longer = both if longer is None else longer.unionByName(both)
+
+    schema = "row_id long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>, pairs array<long>, longer array<long>"
+    scored = materialize(docs.withColumn("row_id", F.monotonically_increasing_id()).mapInArrow(_scorer(model, order), schema), "scores")
     others_by_word = (
         scored.select("row_id", F.explode("rare").alias("code"))
         .groupBy("row_id", "code").agg(F.count("*").alias("n"))
@@ -368,7 +450,14 @@ def katz_scores(docs: DataFrame, held_out, most: int = HOT) -> DataFrame:
         .join(others.select("key", "gain"), "key")
         .select("row_id", F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("b"), F.col("gain").alias("s"))
     )
-    late = by_words.unionByName(by_pair).groupBy("row_id").agg(*(F.sum(x).alias(x) for x in "kbs"))
+    late = by_words.unionByName(by_pair)
+    if longer is not None:
+        late = late.unionByName(
+            scored.select("row_id", "held_out", F.explode("longer").alias("key"))
+            .join(longer, "key")
+            .select("row_id", F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("b"), F.when(F.col("held_out"), F.col("gain")).otherwise(F.col("seen")).alias("s"))
+        )
+    late = late.groupBy("row_id").agg(*(F.sum(x).alias(x) for x in "kbs"))
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     return scored.join(late, "row_id", "left").select(
         "doc_id",
@@ -381,8 +470,11 @@ def katz_scores(docs: DataFrame, held_out, most: int = HOT) -> DataFrame:
     )
 
 
-def _scorer(model):
-    """Scores from the broadcast tables; what those don't hold is left as words and bigrams to look up."""
+def _scorer(model, order: int = 2):
+    """Scores from the broadcast tables; what those don't hold is left as words, bigrams and longer n-grams to look up.
+
+    All n-grams of a training text are in the tables; those of a held-out text are looked up with their histories.
+    """
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
@@ -412,15 +504,25 @@ def _scorer(model):
                 ends = np.concatenate([[0], np.cumsum(np.bincount(of[chosen], minlength=texts))])  # noqa: B023
                 return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values[chosen]))
 
+            held = np.asarray(rows.column(2))[of]
+            found_keys, there = [], []
+            for h, w, so_long in _longer(keys, bounds, order):
+                found_keys += [_ngram_keys(h, w), _history_keys(h)]
+                there += [so_long, so_long & held]
+            longer = np.array(found_keys, np.int64).reshape(-1, len(keys)).T
+            chosen = np.array(there, bool).reshape(-1, len(keys)).T
+            ends = np.concatenate([[0], np.cumsum(np.bincount(of, chosen.sum(axis=1), texts))])
+
             columns = [rows.column(3), rows.column(0), rows.column(2)]
             columns += [pa.array(np.diff(bounds)), pa.array(total(has).astype(np.int64))]
             columns += [pa.array(total(np.where(has, base[at], 0))), pa.array(total(score)), lists(codes, ~has), lists(keys, open_[back])]
-            yield pa.RecordBatch.from_arrays(columns, ["row_id", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "pairs"])
+            columns += [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(longer[chosen]))]
+            yield pa.RecordBatch.from_arrays(columns, ["row_id", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "pairs", "longer"])
 
     return scored
 
 
 def op6_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all documents; every tenth, by checksum of the id, is held out."""
+    """Trigram scores of all documents; every tenth, by checksum of the id, is held out."""
     docs = documents(spark, sf_dir, "doc_id", "text")
-    return katz_scores(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0)
+    return katz_scores(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, order=ORDER)

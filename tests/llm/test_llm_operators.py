@@ -300,6 +300,47 @@ def test_katz_equals_plain_python(spark, most):
         assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == pytest.approx(want[r.doc_id], abs=1e-7)
 
 
+def plain_katz_of_order(texts, held, order):
+    """Scores by the recursive definition, over tuples of words."""
+    tokens = {i: ["<s>", *(t or "").lower().split(), None] for i, t in texts.items()}
+    counts = {n: collections.Counter(tuple(ws[k - n + 1 : k + 1]) for i, ws in tokens.items() if i not in held for k in range(1, len(ws)) if k - n + 1 >= 0) for n in range(1, order + 1)}
+    d, after, before, alpha = {}, collections.defaultdict(list), collections.Counter(), {}
+    for n, of_n in counts.items():
+        of = collections.Counter(of_n.values())
+        d[n] = {r: ((r + 1) * of[r + 1] / (r * of[r]) if of[r] and 0 < (r + 1) * of[r + 1] < r * of[r] else 1.0) for r in range(1, 6)}
+        for gram, c in of_n.items():
+            after[gram[:-1]].append(gram)
+            before[gram[:-1]] += c
+
+    def own(gram):
+        n, h = len(gram), gram[:-1]
+        total = sum(d[n].get(counts[n][g], 1.0) * counts[n][g] for g in after[h])
+        p = d[n].get(counts[n][gram], 1.0) * counts[n][gram] / before[h]
+        return p if total / before[h] <= 1 - 1e-9 else p * before[h] / (before[h] + 1) / (total / before[h])
+
+    def probability(gram):
+        n, h = len(gram), gram[:-1]
+        if counts[n][gram]:
+            return own(gram)
+        if n == 1:
+            return 1 - sum(own(g) for g in after[()])
+        if h in after and h not in alpha:
+            alpha[h] = (1 - sum(own(g) for g in after[h])) / (1 - sum(probability(g[1:]) for g in after[h]))
+        return alpha.get(h, 1.0) * probability(gram[1:])
+
+    return {i: sum(math.log10(probability(tuple(ws[max(0, k - order + 1) : k + 1]))) for k in range(1, len(ws))) for i, ws in tokens.items()}
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_katz_keeps_what_was_seen_once_in_each_order(spark, order):
+    rng = random.Random(5)
+    texts = {i: prose(rng, rng.randint(0, 50), 12) for i in range(60)} | {60: None, 61: "", 62: "Only Here", 63: "w1"}
+    held = {i for i in texts if i % 5 == 0}
+    got = katz.katz_scores(frame(spark, list(texts.items())), F.col("doc_id") % 5 == 0, 30, order).collect()
+    assert {r.doc_id: r.score for r in got} == pytest.approx(plain_katz_of_order(texts, held, order), abs=1e-7)
+    assert katz.MIN_COUNT == 1 and katz.ORDER == 3
+
+
 def test_katz_of_odd_tables(spark):
     assert katz.katz_scores(frame(spark, []), F.lit(False)).count() == 0
     only = katz.katz_scores(frame(spark, [(1, "a b")]), F.lit(True)).first()
