@@ -7,8 +7,10 @@ overlap along that diagonal is then verified token by token.
 
 Verification counts an item's tokens that stand at their place, inside windows of `SPAN` tokens of which at least
 `LEAST_IN_WINDOW` agree, over all hit diagonals (an insertion moves the rest of a passage to another diagonal). A
-text is contaminated by an item when that covers at least `LEAST_COVERED` of the item's tokens. Items shorter than
-a window have to stand whole; items of fewer than `LEAST_TOKENS` tokens are no evidence.
+text is contaminated by an item when that covers at least `LEAST_COVERED` of the item's tokens, or when one diagonal
+has at least `LONG_OVERLAP` such tokens, whatever share of the item they are. Items shorter than a window have to
+stand with at most one word substituted, found by masks that ignore one place each; punctuation at the edges of words
+doesn't count there. Items of fewer than `LEAST_TOKENS` tokens are no evidence.
 
 The benchmark's index is broadcast in blocks of at most `BLOCK_TOKENS` tokens: its size is counted first, and a
 larger benchmark takes one pass over the texts for each block.
@@ -34,12 +36,43 @@ from lotstack.llm.common import hash_words, mix, text_chunks
 MASKS = ("111010010111", "110110100111", "111001011011", "101101110101")
 SPAN = 12
 LEAST_IN_WINDOW, LEAST_COVERED, LEAST_TOKENS = 8, 0.5, 5
+#: Agreeing tokens of one diagonal that contaminate by themselves.
+LONG_OVERLAP = 13
 #: Tokens of benchmark items that are broadcast at once.
 BLOCK_TOKENS = 2_000_000
 
 _STEP = [pow(0x9E3779B97F4A7C15, k + 1, 2**64) | 1 for k in range(SPAN)]
 
 
+_SPACE, _PUNCTUATION = np.zeros(256, bool), np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_PUNCTUATION[list(rb"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~""")] = True
+
+
+def without_edges(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Texts with blanks for the punctuation at the edges of words: ASCII, dashes, quotes and dots of other scripts."""
+    n = len(data)
+    if not n:
+        return data
+    marked = _PUNCTUATION[data]
+    wide = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x80) & (data[2:] >= 0x90) & (data[2:] <= 0xA7))
+    angled = np.flatnonzero((data[:-1] == 0xC2) & ((data[1:] == 0xAB) | (data[1:] == 0xBB)))
+    for at, size in ((wide, 3), (angled, 2)):
+        for k in range(size):
+            marked[at + k] = True
+    bound = np.zeros(n + 1, bool)
+    bound[offsets] = True
+    bound[[0, n]] = True
+    beside = np.concatenate([[False], marked, [False]])
+    starts = np.flatnonzero(marked & (~beside[:-2] | bound[:-1]))
+    ends = np.flatnonzero(marked & (~beside[2:] | bound[1:])) + 1
+    edge = bound[starts] | _SPACE[data[starts - 1]] | bound[ends] | _SPACE[data[np.minimum(ends, n - 1)]]
+    inside = np.zeros(n + 1, np.int64)
+    np.add.at(inside, starts[edge], 1)
+    np.add.at(inside, ends[edge], -1)
+    return np.where(inside.cumsum()[:-1] > 0, np.uint8(0x20), data)
+
+
 def masked_hashes(words: np.ndarray, mask: str) -> np.ndarray:
     """A hash of each window of SPAN words, of the positions that the mask looks at."""
     n = len(words) - SPAN + 1
@@ -53,13 +86,14 @@ def masked_hashes(words: np.ndarray, mask: str) -> np.ndarray:
 
 
 class Index:
-    """The masked windows of a block of items, and the whole of those shorter than a window."""
+    """The masked windows of a block of items, and the whole of those shorter than a window, with a place ignored too."""
 
     def __init__(self, items: list[tuple[int | None, str]]):
         data = "\n".join(t for _, t in items).encode()
         ends = np.cumsum([len(t.encode()) + 1 for _, t in items]) if items else np.zeros(0, np.int64)
         offsets = np.concatenate([[0], np.minimum(ends, len(data))]).astype(np.int64)
-        words, bounds = hash_words(np.frombuffer(data, dtype=np.uint8), offsets)
+        raw = np.frombuffer(data, dtype=np.uint8)
+        words, bounds = hash_words(raw, offsets)
         self.ids = [i for i, _ in items]
         self.words = [words[bounds[k] : bounds[k + 1]] for k in range(len(items))]
         self.seeds = []
@@ -72,6 +106,24 @@ class Index:
             if whole:
                 hashes, items_at, _ = self._table(whole)
                 self.short.append((n, hashes, items_at))
+        bare, bare_bounds = hash_words(without_edges(raw, offsets), offsets)
+        self.bare = [bare[bare_bounds[k] : bare_bounds[k + 1]] for k in range(len(items))]
+        self.near: list[tuple[int, list[tuple[np.ndarray, np.ndarray]]]] = []
+        for n in range(LEAST_TOKENS, SPAN):
+            of_n = [k for k, w in enumerate(self.bare) if len(w) == n and len(self.words[k]) < SPAN]
+            if of_n:
+                tables = [self._table([(next(self._ignoring(self.bare[k], n, (j,))), k) for k in of_n])[:2] for j in range(n)]
+                self.near.append((n, tables))
+
+    @staticmethod
+    def _ignoring(words: np.ndarray, n: int, places) -> Iterator[np.ndarray]:
+        """For each of `places`: a hash of each window of n words, of all its words but that one."""
+        count = max(len(words) - n + 1, 0)
+        total = np.zeros(count, np.uint64)
+        for k in range(n if count else 0):
+            total += words[k : k + count] * np.uint64(_STEP[k])
+        for j in places:
+            yield mix(total - words[j : j + count] * np.uint64(_STEP[j])) if count else total
 
     @staticmethod
     def _whole(words: np.ndarray, n: int) -> np.ndarray:
@@ -89,8 +141,9 @@ class Index:
         order = np.argsort(hashes, kind="stable")
         return hashes[order], item[order], place[order]
 
-    def search(self, words: np.ndarray, bounds: np.ndarray) -> dict[tuple[int, int], float]:
-        """{(text, item): share of the item's tokens that are covered} over a run of texts."""
+    def search(self, data: np.ndarray, offsets: np.ndarray) -> dict[tuple[int, int], float]:
+        """{(text, item): share of the item's tokens that are covered} of the items that contaminate a run of texts."""
+        words, bounds = hash_words(data, offsets)
         ends = bounds[1:]
         text_of = lambda at: np.searchsorted(ends, at, side="right")
         diagonals: set[tuple[int, int, int]] = set()
@@ -100,11 +153,16 @@ class Index:
                 inside = at + SPAN <= ends[text]
                 diagonals.update(zip(text[inside].tolist(), item[entry[inside]].tolist(), (at - place[entry])[inside].tolist()))
         covered: dict[tuple[int, int], np.ndarray] = {}
+        long: set[tuple[int, int]] = set()
         for text, item, start in diagonals:
             found = self._agreeing(words, int(bounds[text]), int(ends[text]), self.words[item], start)
+            if found.sum() >= LONG_OVERLAP:
+                long.add((text, item))
             have = covered.get((text, item))
             covered[text, item] = found if have is None else have | found
-        out = {key: float(c.mean()) for key, c in covered.items()}
+        out = {key: share for key, c in covered.items() if (share := float(c.mean())) >= LEAST_COVERED or key in long}
+        if self.near:
+            self._search_near(without_edges(data, offsets), offsets, out)
         for n, hashes, item in self.short:
             for at, entry in _matches(self._whole(words, n), hashes):
                 text = text_of(at)
@@ -112,6 +170,19 @@ class Index:
                 out.update(((int(t), int(k)), 1.0) for t, k in zip(text[inside], item[entry[inside]]))
         return out
 
+    def _search_near(self, data: np.ndarray, offsets: np.ndarray, out: dict[tuple[int, int], float]) -> None:
+        """Add the short items that stand with at most one word substituted."""
+        words, bounds = hash_words(data, offsets)
+        ends = bounds[1:]
+        for n, tables in self.near:
+            for j, (found, (hashes, item)) in enumerate(zip(self._ignoring(words, n, range(n)), tables)):
+                for at, entry in _matches(found, hashes):
+                    text = np.searchsorted(ends, at, side="right")
+                    inside = at + n <= ends[text]
+                    for t, k, w in zip(text[inside].tolist(), item[entry[inside]].tolist(), words[at[inside] + j]):
+                        share = 1.0 if self.bare[k][j] == w else (n - 1) / n
+                        out[t, k] = max(share, out.get((t, k), 0.0))
+
     @staticmethod
     def _agreeing(words: np.ndarray, first: int, last: int, item: np.ndarray, start: int) -> np.ndarray:
         """Which of the item's tokens stand at their place, in windows that agree well."""
@@ -166,7 +237,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, columns: tuple[str, ...] = (
 
         def found(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for rows, data, offsets in text_chunks(batches):
-                met = sorted((t, k, c) for (t, k), c in index.value.search(*hash_words(data, offsets)).items() if c >= LEAST_COVERED)
+                met = sorted((t, k, c) for (t, k), c in index.value.search(data, offsets).items())
                 if met:
                     own = rows.take(pa.array([t for t, _, _ in met])).columns[:-1]
                     ids = pa.array([index.value.ids[k] for _, k, _ in met], pa.int64())
@@ -186,7 +257,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def kept(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for rows, data, offsets in text_chunks(batches):
-                bad = {t for (t, _), c in index.value.search(*hash_words(data, offsets)).items() if c >= LEAST_COVERED}
+                bad = {t for t, _ in index.value.search(data, offsets)}
                 yield rows if not bad else rows.filter(pa.array([t not in bad for t in range(rows.num_rows)]))
 
         docs = docs.mapInArrow(kept, docs.schema)

@@ -366,6 +366,17 @@ def test_decontamination_finds_copies_with_substitutions(spark):
     assert decontaminate.overlaps(docs, bench.where("item_id < 0")).count() == 0 and decontaminate.overlaps(docs.where("doc_id < 0"), bench).count() == 0
 
 
+def test_decontamination_finds_long_quotes_and_short_items(spark):
+    rng = random.Random(11)
+    long = [f"v{k}" for k in range(500)]
+    bench = frame(spark, [(1, " ".join(long)), (2, "one two three four five six"), (3, "who wrote the first novel")], "item_id long, text string")
+    around = lambda words: " ".join([prose(rng, 50, 5000), *words, prose(rng, 50, 5000)])
+    texts = [around(long[100:300]), around(long[7:20]), around(long[7:19])]
+    texts += [around(t.split()) for t in ("one two three 4 five six", 'One two, "three" four five six.', "(one two three four five seven", "one two 3 4 five six", "“Who wrote the first – novel”?", "who wrote the novel first")]
+    got = {(r.doc_id, r.item_id): round(r.covered, 3) for r in decontaminate.overlaps(frame(spark, list(enumerate(texts))), bench).collect()}
+    assert got == {(0, 1): 0.4, (1, 1): 0.026, (3, 2): 0.833, (4, 2): 1.0, (5, 2): 0.833, (7, 3): 1.0}
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     rng = random.Random(8)
     items = [(k, prose(rng, 30, 5000)) for k in range(12)]
