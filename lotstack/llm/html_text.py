@@ -5,7 +5,7 @@ all visible text, a blank line around paragraphs and headings, one line for each
 with indentation for lists, padded columns for tables, and line breaks kept inside `pre`.
 
 Not visible: comments, `head`, scripts, styles, templates and the like, elements with `hidden`, `display:none` or
-`visibility:hidden`, hidden inputs. Everything else stays, navigation and advertisements included.
+`visibility:hidden`, hidden inputs, and definitions, descriptions and annotations in `svg` and `math`. Everything else stays, navigation and advertisements included.
 
 Defined results: null and empty pages render as empty text; broken markup is mended, never refused (unmatched end
 tags are ignored, open elements end with their parent, a lone `<` is text); repeated rows are rendered alike; very
@@ -25,7 +25,12 @@ from pyspark.sql import types as T
 
 #: Element names of the HTML standard by how they are handled.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style template noscript title meta link base datalist iframe object svg math audio video canvas".split())
+UNSEEN = frozenset("head script style template noscript title meta link base datalist iframe object audio video canvas".split())
+#: What svg and math elements hold without showing it.
+UNDRAWN = {
+    "svg": frozenset("defs metadata desc title symbol clippath mask pattern marker filter lineargradient radialgradient".split()),
+    "math": frozenset("annotation annotation-xml mphantom".split()),
+}
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure hr fieldset".split())
 BLOCK = SPACED | frozenset(
@@ -91,6 +96,12 @@ def build_tree(html: str) -> Node:
     stack = [root]
     counts: dict[str, int] = {}  # how often each name is open: most end tags are decided without a search
 
+    def show(text: str) -> None:
+        """Put text in; text that isn't blank ends an open head."""
+        if stack[-1].name == "head" and text.strip(" \t\n\r\f"):
+            pop_to(len(stack) - 1)
+        stack[-1].children.append(text)
+
     def push(name: str, attributes: dict[str, str]) -> None:
         node = Node(name, attributes, _visible(name, attributes))
         stack[-1].children.append(node)
@@ -119,14 +130,14 @@ def build_tree(html: str) -> Node:
         m = token.match(html, at)
         if m[5] is not None and html[at + 1 : at + 2].isalpha():
             if html.find(">", at) < 0:
-                stack[-1].children.append(html[at:])
+                show(html[at:])
                 break
             token = _UNQUOTED
             m = token.match(html, at)
         at = m.end()
         closing, name, raw, text, lone = m.groups()
         if text is not None or lone is not None:
-            stack[-1].children.append(text if text is not None else lone)
+            show(text if text is not None else lone)
             continue
         if name is None:
             continue
@@ -154,7 +165,12 @@ def build_tree(html: str) -> Node:
             inside = next((n.name for n in reversed(stack) if n.name in ("table", "tr")), "")
             if inside == "table":
                 push("tr", {})
-        if name in VOID:
+        foreign = [x for x in UNDRAWN if counts.get(x)]
+        if any(name in UNDRAWN[x] for x in foreign):
+            attributes = attributes | {"hidden": ""}
+        if foreign and raw.endswith("/"):
+            stack[-1].children.append(Node(name, attributes, _visible(name, attributes)))
+        elif name in VOID:
             stack[-1].children.append(Node(name, attributes, _visible(name, attributes)))
         elif name in RAW:
             stop = re.compile(rf"</{name}\s*>", re.I).search(html, at)
@@ -272,7 +288,7 @@ def render(html: str | None) -> str:
         return ""
     flow = Flow()
     flows, tables, lists = [flow], [], []
-    keep = 0
+    keep = drawn = 0
     todo: list[tuple[Node | str, bool]] = [(build_tree(html), False)]
     while todo:
         node, leaving = todo.pop()
@@ -300,6 +316,10 @@ def render(html: str | None) -> str:
             if name == "input":
                 flow.text(node.attributes.get("value", ""))
                 continue
+            if name == "svg":
+                drawn += 1
+            elif name == "text" and drawn:
+                flow.text(" ")
             if name in SPACED and not (name in ("ul", "ol") and lists):
                 flow.gap()
             elif name in BLOCK:
@@ -353,6 +373,10 @@ def render(html: str | None) -> str:
             flow.indent = flow.indent[:-2]
             if name in SPACED:
                 flow.gap()
+        elif name == "svg":
+            drawn -= 1
+        elif name == "text" and drawn:
+            flow.text(" ")
         elif name == "pre":
             keep -= 1
             flow.gap()

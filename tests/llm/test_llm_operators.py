@@ -103,6 +103,21 @@ def test_html_rendering(html, text):
     assert html_text.render(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("a <svg><defs/><title>no</title><defs><text>no</text></defs><path d='M0'/><text>North</text><text>South</text></svg> b", "a North South b"),
+        ("<svg><style/><metadata>no</metadata><g><text>x<tspan>y</tspan></text></g></svg>z", "xy z"),
+        ("<p>so <math><semantics><mrow><mi>a</mi><mo>=</mo><mn>2</mn></mrow><annotation>no</annotation></semantics></math> holds", "so a=2 holds"),
+        ("<head><title>no</title>\n bare text<p>more", "bare text\n\nmore"),
+        ("<head><meta charset=x>&lt;x", "<x"),
+        ("<defs>yes</defs><desc>too</desc>", "yestoo"),
+    ],
+)
+def test_html_shows_drawn_text_and_text_after_an_open_head(html, text):
+    assert html_text.render(html) == text
+
+
 def test_html_survives_deep_and_long_pages():
     assert html_text.render("<div>" * 50_000 + "x") == "x"
     assert html_text.render("<p>" + "word " * 200_000).count("word") == 200_000
