@@ -285,20 +285,27 @@ def clusters_in_height(points: DataFrame, eps: float = 0.5, least: int = 50) ->
 def farthest_points(points: DataFrame, n: int) -> DataFrame:
     """(cloud_id, place, pt_id): n points of each cloud, each the farthest from those before; the first is the smallest id.
 
-    One step after another by nature: a cloud is a group here, so give clouds that are cut into tiles.
+    One round over all points for each place: a cloud's farthest point is combined before the shuffle, so no task holds
+    a cloud. Ties go to the smaller id; a cloud with fewer points gives them all.
     """
-
-    def chosen(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pt_id")
-        xyz, ids = rows[["x", "y", "z"]].to_numpy(float), rows["pt_id"].to_numpy()
-        best, at, out = np.full(len(xyz), np.inf), 0, []
-        for _ in range(min(n, len(xyz))):
-            out.append(ids[at])
-            best = np.minimum(best, ((xyz - xyz[at]) ** 2).sum(axis=1))
-            at = int(best.argmax())
-        return pd.DataFrame({"cloud_id": rows["cloud_id"].iloc[0], "place": range(len(out)), "pt_id": out})
-
-    return points.groupBy("cloud_id").applyInPandas(chosen, "cloud_id long, place int, pt_id long")
+    points = materialize(points.select(F.col("cloud_id").cast("long"), F.col("pt_id").cast("long"), *(F.col(k).cast("double").alias(k) for k in "xyz")), "farthest")
+    square = lambda p, k: (F.col(k) - p[k]) * (F.col(k) - p[k])
+    taken = None
+    for place in range(n):
+        left, best = points, F.lit(0.0)
+        if taken is not None:
+            left = points.join(taken, "cloud_id").where(~F.exists("taken", lambda p: p["pt_id"] == F.col("pt_id")))
+            best = F.array_min(F.transform("taken", lambda p: square(p, "x") + square(p, "y") + square(p, "z")))
+        rank = F.struct(best.alias("best"), F.bitwise_not("pt_id").alias("first"))
+        found = left.groupBy("cloud_id").agg(F.array(F.max_by(F.struct("pt_id", "x", "y", "z"), rank)).alias("more"))
+        if taken is None:
+            found = found.withColumnRenamed("more", "taken")
+        else:
+            found = taken.join(found, "cloud_id", "left").select("cloud_id", F.coalesce(F.concat("taken", "more"), "taken").alias("taken"))
+        taken = materialize(found, f"farthest-{place}")
+    if taken is None:
+        return points.select("cloud_id", F.lit(0).alias("place"), "pt_id").limit(0)
+    return taken.select("cloud_id", F.posexplode(F.transform("taken", lambda p: p["pt_id"])).alias("place", "pt_id"))
 
 
 def interpolated(queries: DataFrame, points: DataFrame, value: str = "z", k: int = 3, size: float | None = None, within: tuple[str, ...] = ()) -> DataFrame:

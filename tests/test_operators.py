@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -146,6 +147,21 @@ def test_farthest_points_start_small(spark):
     assert len(got) == 10 and got[0].pt_id == 0 and len({(r.cloud_id, r.pt_id) for r in got}) == 10
 
 
+def test_farthest_points_of_whole_clouds_without_grouping_them(spark):
+    rng = random.Random(3)
+    rows = [(c, k, *(float(rng.randint(0, 9)) for _ in range(3))) for c, size in ((0, 60), (1, 3)) for k in range(size)]
+    got = pointcloud.farthest_points(spark.createDataFrame(rows, "cloud_id long, pt_id long, x double, y double, z double"), 6)
+    want = []
+    for c in (0, 1):
+        left, out = {k: p for d, k, *p in rows if d == c}, []
+        while left and len(out) < 6:
+            k = max(left, key=lambda k: (min((sum((a - b) ** 2 for a, b in zip(left[k], q)) for q in out), default=0), -k))
+            want.append((c, len(out), k))
+            out.append(left.pop(k))
+    assert sorted(map(tuple, got.collect())) == want
+    assert "InPandas" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (5, 4), (9, 8), (8, 7), (7, 4), (20, 20)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
