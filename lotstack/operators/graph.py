@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotstack.plans.tables import materialize
+from lotstack.plans.tables import discard, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -30,5 +30,7 @@ def components(links: DataFrame) -> DataFrame:
         # settled: every node points at one node, and none of those points further
         loose = after.groupBy("u").count().where("count > 1").limit(1).count()
         if not loose and not after.join(after.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).count():
+            discard(edges)
             return after.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        discard(edges)
         edges = after
