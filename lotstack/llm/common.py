@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lotstack.plans.tables import materialize, shared_dir
+from lotstack.plans.tables import discard, materialize, shared_dir
 
-__all__ = ["documents", "hash_words", "materialize", "mix", "ordered_int64", "shared_dir", "text_chunks"]
+__all__ = ["BASE", "BASE_INVERSE", "discard", "documents", "hash_words", "materialize", "mix", "ordered_int64", "power", "shared_dir", "text_chunks"]
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -22,23 +22,23 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 _RNG = np.random.default_rng(20240229)
 #: One random odd multiplier for each byte value, and the base of the polynomial.
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 2**64)
+BASE = 0x9E3779B97F4A7C15
+BASE_INVERSE = pow(BASE, -1, 2**64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTE_LOWER = _BYTE[_LOWER]
-_powers: dict[int, np.ndarray] = {}
+_kept_powers: dict[int, np.ndarray] = {}
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
+def power(base: int, n: int) -> np.ndarray:
+    have = _kept_powers.get(base)
     if have is None or len(have) < n:
         size = max(n, 1 << 19)
         steps = np.full(size, base, dtype=np.uint64)
         steps[0] = 1
-        have = _powers[base] = np.multiply.accumulate(steps)
+        have = _kept_powers[base] = np.multiply.accumulate(steps)
     return have[:n]
 
 
@@ -83,8 +83,8 @@ def hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     ends_here &= ~space
     ends = np.flatnonzero(ends_here) + 1
     total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_LOWER[data] * _power(_BASE, n), out=total[1:])
-    hashes = (total[ends] - total[starts]) * _power(_BASE_INVERSE, n)[starts]
+    np.cumsum(_BYTE_LOWER[data] * power(BASE, n), out=total[1:])
+    hashes = (total[ends] - total[starts]) * power(BASE_INVERSE, n)[starts]
     hashes = mix(hashes + (ends - starts).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
     return hashes, np.searchsorted(starts, offsets)
 

@@ -12,10 +12,11 @@ has at least `LONG_OVERLAP` such tokens, whatever share of the item they are. It
 stand with at most one word substituted, found by masks that ignore one place each; punctuation at the edges of words
 doesn't count there. Items of fewer than `LEAST_TOKENS` tokens are no evidence.
 
-The benchmark's index is broadcast in blocks of at most `BLOCK_TOKENS` tokens: its size is counted first, and a
-larger benchmark takes one pass over the texts for each block.
+Hashes are joined inside the tasks: the benchmark's index is broadcast in blocks of at most `BLOCK_TOKENS` tokens (one
+item at least), counted as they are read, and a larger benchmark takes one pass over the texts for each block. Equal
+stretches of a text that lie along diagonals of one item are verified once, so repeated passages cost little.
 
-Defined results: null and empty texts or items match nothing; null item ids are kept as null; equal items each
+Defined results: null and empty texts or items match nothing; null item ids are kept as null, ids of other types as they are; equal items each
 match; repeated rows are each searched; an empty table on either side gives an empty result. Rows are kept whole
 by `decontaminated`, whatever their columns are called.
 """
@@ -26,11 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from lotstack.llm.common import hash_words, mix, text_chunks
+from lotstack.llm.common import BASE, BASE_INVERSE, hash_words, mix, power, text_chunks
 
 #: Fixed masks: 1 is looked at, 0 ignored. Each has weight 8 and span 12.
 MASKS = ("111010010111", "110110100111", "111001011011", "101101110101")
@@ -108,12 +111,12 @@ class Index:
                 self.short.append((n, hashes, items_at))
         bare, bare_bounds = hash_words(without_edges(raw, offsets), offsets)
         self.bare = [bare[bare_bounds[k] : bare_bounds[k + 1]] for k in range(len(items))]
-        self.near: list[tuple[int, list[tuple[np.ndarray, np.ndarray]]]] = []
+        self.near: list[tuple[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]] = []
         for n in range(LEAST_TOKENS, SPAN):
             of_n = [k for k, w in enumerate(self.bare) if len(w) == n and len(self.words[k]) < SPAN]
             if of_n:
                 tables = [self._table([(next(self._ignoring(self.bare[k], n, (j,))), k) for k in of_n])[:2] for j in range(n)]
-                self.near.append((n, tables))
+                self.near.append((n, [(h, item, np.array([self.bare[k][j] for k in item])) for j, (h, item) in enumerate(tables)]))
 
     @staticmethod
     def _ignoring(words: np.ndarray, n: int, places) -> Iterator[np.ndarray]:
@@ -146,15 +149,26 @@ class Index:
         words, bounds = hash_words(data, offsets)
         ends = bounds[1:]
         text_of = lambda at: np.searchsorted(ends, at, side="right")
-        diagonals: set[tuple[int, int, int]] = set()
+        whole = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power(BASE, len(words)))])
+        lengths = np.array([len(w) for w in self.words], np.int64)
+        diagonals: dict[int, tuple[int, int, int]] = {}
         for mask, hashes, item, place in self.seeds:
             for at, entry in _matches(masked_hashes(words, mask), hashes):
                 text = text_of(at)
                 inside = at + SPAN <= ends[text]
-                diagonals.update(zip(text[inside].tolist(), item[entry[inside]].tolist(), (at - place[entry])[inside].tolist()))
+                at, entry, text = at[inside], entry[inside], text[inside]
+                start = at - place[entry]
+                # what lies along the diagonal: equal stretches of a text are verified once for an item
+                first, last = np.maximum(start, bounds[text]), np.minimum(start + lengths[item[entry]], ends[text])
+                stretch = (whole[last] - whole[first]) * power(BASE_INVERSE, len(words))[first] + (first - start).astype(np.uint64)
+                keys = mix(mix(stretch + mix(text.astype(np.uint64))) + item[entry].astype(np.uint64))
+                keys, one = np.unique(keys, return_index=True)
+                for key, k in zip(keys.tolist(), one.tolist()):
+                    if key not in diagonals:
+                        diagonals[key] = int(text[k]), int(item[entry[k]]), int(start[k])
         covered: dict[tuple[int, int], np.ndarray] = {}
         long: set[tuple[int, int]] = set()
-        for text, item, start in diagonals:
+        for text, item, start in diagonals.values():
             found = self._agreeing(words, int(bounds[text]), int(ends[text]), self.words[item], start)
             if found.sum() >= LONG_OVERLAP:
                 long.add((text, item))
@@ -167,7 +181,8 @@ class Index:
             for at, entry in _matches(self._whole(words, n), hashes):
                 text = text_of(at)
                 inside = at + n <= ends[text]
-                out.update(((int(t), int(k)), 1.0) for t, k in zip(text[inside], item[entry[inside]]))
+                pairs = np.unique(text[inside] * len(self.ids) + item[entry[inside]])
+                out.update((divmod(pair, len(self.ids)), 1.0) for pair in pairs.tolist())
         return out
 
     def _search_near(self, data: np.ndarray, offsets: np.ndarray, out: dict[tuple[int, int], float]) -> None:
@@ -175,13 +190,16 @@ class Index:
         words, bounds = hash_words(data, offsets)
         ends = bounds[1:]
         for n, tables in self.near:
-            for j, (found, (hashes, item)) in enumerate(zip(self._ignoring(words, n, range(n)), tables)):
+            for j, (found, (hashes, item, ignored)) in enumerate(zip(self._ignoring(words, n, range(n)), tables)):
                 for at, entry in _matches(found, hashes):
                     text = np.searchsorted(ends, at, side="right")
                     inside = at + n <= ends[text]
-                    for t, k, w in zip(text[inside].tolist(), item[entry[inside]].tolist(), words[at[inside] + j]):
-                        share = 1.0 if self.bare[k][j] == w else (n - 1) / n
-                        out[t, k] = max(share, out.get((t, k), 0.0))
+                    at, entry, text = at[inside], entry[inside], text[inside]
+                    same = (words[at + j] == ignored[entry]).astype(np.int64)
+                    pairs = np.unique((text * len(self.ids) + item[entry]) * 2 + same)
+                    for pair, equal in zip((pairs // 2).tolist(), (pairs % 2).tolist()):
+                        key = divmod(pair, len(self.ids))
+                        out[key] = max(1.0 if equal else (n - 1) / n, out.get(key, 0.0))
 
     @staticmethod
     def _agreeing(words: np.ndarray, first: int, last: int, item: np.ndarray, start: int) -> np.ndarray:
@@ -215,32 +233,36 @@ def _matches(hashes: np.ndarray, table: np.ndarray) -> Iterator[tuple[np.ndarray
         entry = entry + 1
 
 
-def _blocks(items: DataFrame) -> list[DataFrame]:
-    """The benchmark in blocks that are small enough to broadcast; their number comes from its counted size."""
-    rough = F.size(F.split(F.col("text"), r"\s+"))
-    total = items.agg(F.coalesce(F.sum(rough), F.lit(0)).alias("n")).first()["n"]
-    n = max(1, -(-total // BLOCK_TOKENS))
-    if n == 1:
-        return [items]
-    return [items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k) for k in range(n)]
+def _indexes(benchmark: DataFrame) -> Iterator[Broadcast]:
+    """The benchmark's index, broadcast in blocks: items are read one partition after another, one block is held at once."""
+    context = benchmark.sparkSession.sparkContext
+    block: list[tuple] = []
+    held, sent = 0, False
+    for r in benchmark.select("item_id", "text").where(F.col("text").isNotNull()).toLocalIterator():
+        size = len(r["text"].split())
+        if block and held + size > BLOCK_TOKENS:
+            yield context.broadcast(Index(block))
+            block, held, sent = [], 0, True
+        block.append((r["item_id"], r["text"]))
+        held += size
+    if block or not sent:
+        yield context.broadcast(Index(block))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(the docs' `columns`, item_id, covered): each text and each item that contaminates it."""
-    spark = docs.sparkSession
-    items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
     keys = [f for f in docs.schema.fields if f.name in columns]
-    schema = T.StructType([*keys, T.StructField("item_id", T.LongType()), T.StructField("covered", T.DoubleType())])
+    schema = T.StructType([*keys, T.StructField("item_id", benchmark.schema["item_id"].dataType), T.StructField("covered", T.DoubleType())])
+    kind = to_arrow_type(schema["item_id"].dataType)
     out = None
-    for block in _blocks(items):
-        index = spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in block.collect()]))
+    for index in _indexes(benchmark):
 
         def found(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for rows, data, offsets in text_chunks(batches):
                 met = sorted((t, k, c) for (t, k), c in index.value.search(data, offsets).items())
                 if met:
                     own = rows.take(pa.array([t for t, _, _ in met])).columns[:-1]
-                    ids = pa.array([index.value.ids[k] for _, k, _ in met], pa.int64())
+                    ids = pa.array([index.value.ids[k] for _, k, _ in met], kind)
                     yield pa.RecordBatch.from_arrays([*own, ids, pa.array([c for _, _, c in met])], schema.names)
 
         part = docs.select(*(f.name for f in keys), "text").mapInArrow(found, schema)
@@ -250,10 +272,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, columns: tuple[str, ...] = (
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` that no item contaminates."""
-    spark = docs.sparkSession
-    items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
-    for block in _blocks(items):
-        index = spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in block.collect()]))
+    for index in _indexes(benchmark):
 
         def kept(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for rows, data, offsets in text_chunks(batches):

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotstack.llm.common import documents, hash_words, materialize, mix, text_chunks
+from lotstack.llm.common import discard, documents, hash_words, materialize, mix, text_chunks
 
 #: Rows of each broadcast table, and bits of the broadcast bit map.
 HOT, MAP_BITS = 1 << 20, 1 << 27
@@ -238,10 +238,12 @@ def count_pairs(training: DataFrame, model, buckets: int) -> DataFrame:
             h, w = (np.concatenate(x) for x in zip(*rare))
             rare.clear()
             h, w, n = _summed_pairs(h, w, np.ones(len(h), np.int64))
-            return pa.RecordBatch.from_arrays(
+            sent = pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(buckets), pa.int32()), *placed(keys, keys, c), *placed(pair_keys(h, w), h, w, n)],
                 ["bucket", "pairs", "pair_counts", "h", "w", "counts"],
             )
+            filled = (np.diff(np.asarray(sent.column(1).offsets)) > 0) | (np.diff(np.asarray(sent.column(3).offsets)) > 0)
+            return sent.filter(pa.array(filled))
 
         for _, data, offsets in text_chunks(batches):
             words, bounds = _tokens(data, offsets)
@@ -340,7 +342,10 @@ def longer_ngrams(counts: DataFrame, shorter: DataFrame, order: int) -> tuple[Da
     """
     d = discounts(_small_counts(counts), MIN_COUNT)
     held = F.element_at(F.array(*map(F.lit, d.tolist())), (F.least("c", F.lit(DISCOUNTED + 1)) + 1).cast("int")) * F.col("c")
-    ngrams = counts.join(shorter.select(F.col("key").alias("w"), F.col("p").alias("low")), "w").select("h", "w", "c", "low", held.alias("held"))
+    both = counts.join(shorter.select(F.col("key").alias("w"), F.col("p").alias("low")), "w").select("h", "w", "c", "low")
+    both = materialize(both, f"{order}-grams-with-shorter")
+    discard(counts)
+    ngrams = both.withColumn("held", held)
     sums = ngrams.groupBy("h").agg(F.sum("held").alias("p"), F.sum("low").alias("low"), F.sum("c").alias("ch")).withColumn("p", F.col("p") / F.col("ch"))
     scale = F.when(F.col("p") > 1 - 1e-9, F.col("ch") / (F.col("ch") + 1) / F.col("p")).otherwise(F.lit(1.0))
     alpha = (1 - F.col("p") * scale) / (1 - F.col("low"))
@@ -359,6 +364,7 @@ def longer_ngrams(counts: DataFrame, shorter: DataFrame, order: int) -> tuple[Da
     seen = F.log10(p) - F.log10("low")
     found = ngrams.join(weights, "h").select("h", "w", p.alias("p"), seen.alias("seen"), (seen - F.col("a")).alias("gain"))
     ngrams = materialize(found.mapInArrow(keyed, "key long, p double, seen double, gain double"), f"{order}-grams")
+    discard(both)
     return ngrams, weights.select("h", "a").mapInArrow(histories, "key long, a double")
 
 
@@ -392,6 +398,7 @@ def katz_scores(docs: DataFrame, held_out, most: int = HOT, order: int = 2) -> D
     base["pair_discount"] = discounts(_small_counts(pairs), MIN_COUNT)
     model = send(Model(**base))
     probable = materialize(_probabilities(_with_counts(pairs, model, rare_words), model), "bigrams")
+    discard(pairs)
     weights = materialize(backoff_weights(probable), "backoff")
 
     # weights of words with numbers, and of text starts: at most HOT + 1 rows
@@ -409,6 +416,7 @@ def katz_scores(docs: DataFrame, held_out, most: int = HOT, order: int = 2) -> D
             yield pa.RecordBatch.from_arrays([pa.array(keys), b.column(2), b.column(3), pa.array(_slot(keys)), b.column(4)], ["key", "c", "gain", "slot", "p"])
 
     table = materialize(gains.mapInArrow(keyed, "key long, c long, gain double, slot long, p double"), "bigram-gains")
+    discard(probable)
     least = _least_count(table, most)
     common = table.where(F.col("c") >= least).select("key", "gain").toArrow()
     keys = np.asarray(common["key"])
@@ -423,7 +431,8 @@ def katz_scores(docs: DataFrame, held_out, most: int = HOT, order: int = 2) -> D
 
     longer, shorter = None, table
     for k in range(3, order + 1):
-        shorter, histories = longer_ngrams(materialize(count_longer(training, model, k), f"{k}-gram-counts"), shorter, k)
+        counted = materialize(count_longer(training, model, k), f"{k}-gram-counts")
+        shorter, histories = longer_ngrams(counted, shorter, k)
         both = shorter.select("key", "seen", "gain").unionByName(histories.select("key", F.lit(0.0).alias("seen"), F.col("a").alias("gain")))
         longer = both if longer is None else longer.unionByName(both)
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lotstack.llm.common import hash_words, materialize, mix, ordered_int64, text_chunks
+from lotstack.llm.common import discard, hash_words, materialize, mix, ordered_int64, text_chunks
 from lotstack.operators.graph import components
 
 #: Values that a sketch keeps, and words in a shingle.
@@ -108,11 +108,14 @@ def _lists(reps: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _wide_pairs(rest: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) across components that wide sketches leave possible. rest: (rep, n, component).
+def _wide_pairs(rest: DataFrame, docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) across components that wide sketches leave possible, and the table they are read from.
+
+    rest: (rep, n, component).
 
     Of two sets the smaller needs fewer listed values than the larger; where two sketches first meet, what is left of
-    either bounds what they can share. For sets that are sketched whole both bounds are exact.
+    either bounds what they can share. For sets that are sketched whole both bounds are exact. Each row carries the values
+    that its sketch lists before it (at most WIDE), so that a pair comes out where it first meets and nowhere else.
     """
     wide = sketches(docs.join(rest.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), WIDE)
     wide = wide.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), F.explode("sketch").alias("value"))
@@ -130,7 +133,8 @@ def _wide_pairs(rest: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         .withColumn("place", rank + F.col("size") - F.count("*").over(own))
         .where(F.col("place") <= size - F.when(whole, F.ceil(n * percent / 100)).otherwise(loose) + 1)
         .withColumn("short", F.col("place") <= size - F.when(whole, F.ceil(n * 2 * percent / (100 + percent))).otherwise(loose) + 1)
-        .select("value", "rep", "n", "component", "size", "whole", "place", "short")
+        .withColumn("before", F.collect_list("value").over(own.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)))
+        .select("value", "rep", "n", "component", "size", "whole", "place", "short", "before")
     )
     listed = materialize(listed, "wide-lists")
     x = listed.where("short").alias("x")
@@ -140,7 +144,9 @@ def _wide_pairs(rest: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     needed = F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100 + percent))
     possible = ~(F.col("x.whole") & F.col("y.whole")) | (left >= needed)
     on = (F.col("x.value") == F.col("y.value")) & (F.col("x.component") != F.col("y.component")) & ordered & _sizes_fit("x.n", "y.n", percent) & possible
-    return x.join(y, on).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    # two sketches share many values: they meet at the first of them alone
+    on = on & ~F.arrays_overlap("x.before", "y.before")
+    return x.join(y, on).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), listed
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -204,10 +210,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     )
     mixed = placed.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("value")
     rest = materialize(placed.join(mixed, "value").select("rep", "n", "component").distinct(), "rest")
-    pairs = _wide_pairs(rest, docs, percent)
+    pairs, wide_lists = _wide_pairs(rest, docs, percent)
     more = materialize(_confirmed(_likely(pairs, reps, percent), docs, percent), "more-links")
+    discard(lists, rest, wide_lists, reps)
     if more.limit(1).count():
+        discard(found)
         found = components(links.unionAll(more))
+    discard(links, more)
     grouped = usable.select("doc_id", "set_key").distinct().join(classes, "set_key").select("doc_id", "rep").groupBy("doc_id").agg(F.min("rep").alias("rep"))
     answer = (
         grouped.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")

@@ -18,37 +18,45 @@ empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from struct import pack as pack_ids
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from lotstack.llm.common import materialize
+from lotstack.llm.common import BASE, BASE_INVERSE, materialize, power, text_chunks
 
 END_ID = 0
 CAPACITY = 2048
-SALTS = 256
-#: Strings with their ids that a worker keeps, in each of two generations.
-CACHED = 600_000
-
-#: The byte-level tokenizer's own pattern over U+0000 to U+017F, where letters, numbers and spaces are as listed here.
-_LETTER = "A-Za-zªµºÀ-ÖØ-öø-ſ"
-_DIGIT = "0-9²³¹¼-¾"
-_BLANK = "\\t-\\r \u0085 "
-_PIECE = re.compile(
-    f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^{_BLANK}{_LETTER}{_DIGIT}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
-)
-
-_BEYOND = re.compile("[^\u0000-ſ]")
+#: Pieces of one size and salt, about, and the fewest salts.
+IN_SALT, LEAST_SALTS = 50_000, 256
+#: Bytes of a run of texts that are encoded together, about.
+RUN_BYTES = 1 << 21
+
+# The classes of the byte-level tokenizer's own splitting pattern, for U+0000 to U+017F and U+2010 to U+2027.
+_LETTERS = [(0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xB5, 0xB5), (0xBA, 0xBA), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x17F)]
+_DIGITS = [(0x30, 0x39), (0xB2, 0xB3), (0xB9, 0xB9), (0xBC, 0xBE)]
+_BLANKS = [(0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0)]
+_SIGNS = (0x2010, 0x2027)
+_ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+
+_LETTER, _DIGIT, _SIGN, _BLANK, _OTHER = range(5)
+_CLASS = np.full(0x2028, _OTHER, np.uint8)
+_CLASS[:0x180] = _SIGN
+_CLASS[_SIGNS[0] : _SIGNS[1] + 1] = _SIGN
+for _kind, _ranges in ((_LETTER, _LETTERS), (_DIGIT, _DIGITS), (_BLANK, _BLANKS)):
+    for _first, _last in _ranges:
+        _CLASS[_first : _last + 1] = _kind
+_WEIGHT = np.random.default_rng(7).integers(1, 2**63, len(_CLASS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 PIECES = T.StructType(
     [
@@ -61,41 +69,124 @@ PIECES = T.StructType(
 )
 
 
-class Known(dict):
-    """Ids of strings that the tokenizer splits off alone, as little-endian bytes; unknown ones are encoded on demand.
+def split_starts(chars: np.ndarray, kind: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where the strings begin that the tokenizer splits texts into, before it looks for tokens.
 
-    Two generations of at most CACHED entries: what is used stays, the rest goes with the older generation.
+    chars: code points of all texts; kind: their classes; begins: where each text begins. Strings are runs of one class
+    with the blank before them; of several blanks the last goes with what follows; `'s` and its like stand alone.
     """
+    n = len(chars)
+    first, last = np.zeros(n, bool), np.zeros(n, bool)
+    first[begins] = True
+    last[:-1] = first[1:]
+    last[-1] = True
+    changed = np.ones(n, bool)
+    changed[1:] = kind[1:] != kind[:-1]
+    run = first | changed
+    blank, space = kind == _BLANK, chars == 0x20
+    after_space = np.zeros(n, bool)
+    after_space[1:] = space[:-1]
+    after_space &= ~first
+    before_other = np.zeros(n, bool)
+    before_other[:-1] = ~blank[1:]
+    starts = np.where(blank, run | (before_other & ~last), run & ~after_space)
+    quote = np.flatnonzero((chars == 0x27) & run & ~after_space & ~last)
+    if len(quote):
+        ends = np.append(begins[1:], n)[np.searchsorted(begins, quote, side="right") - 1]
+        for ending in _ENDINGS:
+            at = quote[quote + len(ending) < ends]
+            for k, letter in enumerate(ending, 1):
+                at = at[chars[at + k] == ord(letter)]
+            starts[at + 1] = False
+            after = at + len(ending) + 1
+            after = after[after < n]
+            starts[after[kind[after] == _LETTER]] = True
+    return np.flatnonzero(starts)
 
-    def __init__(self, tokenizer: Tokenizer):
-        super().__init__()
-        self.tokenizer, self.older = tokenizer, {}
 
-    def __missing__(self, text: str) -> bytes:
-        ids = self.older.get(text)
-        if ids is None:
-            found = self.tokenizer.encode(text, add_special_tokens=False).ids
-            ids = pack_ids(f"<{len(found)}I", *found)
-        if len(self) >= CACHED:
-            self.older = dict(self)
-            self.clear()
-        self[text] = ids
-        return ids
+class Encoder:
+    """Token ids of whole texts. Each different string that the tokenizer splits off is encoded once in a run of texts.
 
+    Strings are told apart by 64-bit hashes and merged by the tokenizer's own ranks: that a pair's rank is that of the
+    token it makes is checked. Texts with characters beyond the classes above, or with special tokens, and tokenizers
+    of other kinds go to the tokenizer whole.
+    """
 
-class Encoder:
-    """Token ids of whole texts: the tokenizer's, with strings that it splits off alone kept once encoded."""
+    #: What separates strings to be encoded: no text that is split here has it, so it gets an id of its own.
+    SEPARATOR, SEPARATOR_ID = "\ue000", 2**31 - 1
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known = Known(self.tokenizer)
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        split = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        model = told["model"]
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model.get("merges", [])]
+        made = ["".join(m) for m in pairs]
+        in_order = len(set(made)) == len(made) and sorted(made, key=lambda t: model["vocab"].get(t, -1)) == made
+        splits = told["normalizer"] is None and split.items() <= (told["pre_tokenizer"] or {}).items()
+        self.merger = None
+        if in_order and splits and model["type"] == "BPE":
+            plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+            byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(plain)))}
+            ranks = {bytes(byte[c] for c in t): i for t, i in model["vocab"].items() if all(c in byte for c in t)}
+            ranks[self.SEPARATOR.encode()] = self.SEPARATOR_ID
+            self.merger = tiktoken.Encoding("pieces", pat_str=f"{self.SEPARATOR}|[^{self.SEPARATOR}]+", mergeable_ranks=ranks, special_tokens={})
+
+    def _encoded(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of each string begin, how many there are, and the ids."""
+        ids = np.array(self.merger.encode_ordinary(self.SEPARATOR.join(strings)), np.int64)
+        breaks = np.flatnonzero(ids == self.SEPARATOR_ID)
+        begins = np.concatenate([[0], breaks + 1])
+        return begins, np.append(breaks, len(ids)) - begins, ids.astype("<u4")
+
+    def encode_run(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """Ids of each text of a run: UTF-8 bytes of all texts, and their bounds."""
+        whole = data.tobytes().decode()
+        chars = np.frombuffer(whole.encode("utf-32-le"), dtype=np.uint32)
+        bounds = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+        out = [np.zeros(0, "<u4")] * (len(offsets) - 1)
+        if not len(chars):
+            return out
+        kind = _CLASS[np.minimum(chars, len(_CLASS) - 1)]
+        kind[chars >= len(_CLASS)] = _OTHER
+        alone = np.full(len(out), self.merger is None)
+        alone[np.searchsorted(bounds, np.flatnonzero(kind == _OTHER), side="right") - 1] = True
+        if any(s in whole for s in self.special):
+            alone |= [any(s in whole[a:b] for s in self.special) for a, b in zip(bounds, bounds[1:])]
+        for k in np.flatnonzero(alone):
+            out[k] = np.array(self.tokenizer.encode(whole[bounds[k] : bounds[k + 1]], add_special_tokens=False).ids, "<u4")
+        if alone.all():
+            return out
+        filled = bounds[:-1][np.diff(bounds) > 0]
+        starts = split_starts(chars, kind, filled)
+        total = np.zeros(len(chars) + 1, np.uint64)
+        np.cumsum(_WEIGHT[np.minimum(chars, len(_WEIGHT) - 1)] * power(BASE, len(chars)), out=total[1:])
+        ends = np.append(starts[1:], len(chars))
+        text = np.searchsorted(bounds, starts, side="right") - 1
+        if alone.any():
+            kept = ~alone[text]
+            starts, ends, text = starts[kept], ends[kept], text[kept]
+        if not len(starts):
+            return out
+        hashes = (total[ends] - total[starts]) * power(BASE_INVERSE, len(chars))[starts] + (ends - starts).astype(np.uint64)
+        codes, distinct = pd.factorize(hashes)
+        one = np.empty(len(distinct), np.int64)
+        one[codes[::-1]] = np.arange(len(codes))[::-1]
+        begins, lengths, ids = self._encoded([whole[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist())])
+        lengths = lengths[codes]
+        until = lengths.cumsum()
+        ids = ids[np.repeat(begins[codes] - until + lengths, lengths) + np.arange(until[-1])]
+        cuts = np.concatenate([[0], until])[np.searchsorted(text, np.arange(len(out) + 1))]
+        for k in np.flatnonzero(~alone):
+            out[k] = ids[cuts[k] : cuts[k + 1]]
+        return out
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a text."""
-        if (not text.isascii() and _BEYOND.search(text)) or any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, _PIECE.findall(text)))
+        data = np.frombuffer(text.encode(), np.uint8)
+        return self.encode_run(data, np.array([0, len(data)]))[0].tobytes()
 
 
 _encoders: dict[str, Encoder] = {}
@@ -105,28 +196,24 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep
     """(doc_id, piece, start, length, ids_crc32) and, if wanted, `ids`: the pieces of all whole texts."""
     schema = T.StructType([*PIECES.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]) if keep_ids else PIECES
 
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _encoders:
             _encoders[tokenizer] = Encoder(tokenizer)
         encoder, end = _encoders[tokenizer], np.array([END_ID], dtype="<u4").tobytes()
-        for batch in batches:
-            doc_ids = batch.column(0).to_pylist()
-            for at in range(0, batch.num_rows, 256):
-                texts = batch.column(1).slice(at, 256).to_pylist()
-                out: list[tuple] = []
-                for doc_id, text in zip(doc_ids[at : at + 256], texts):
-                    ids = encoder.encode(text or "") + end
-                    total = len(ids) // 4
-                    first = total % capacity or capacity
-                    bounds = [0, *range(first, total + 1, capacity)]
-                    for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
-                        own = ids[4 * a : 4 * b]
-                        row = (doc_id, k, a, b - a, zlib.crc32(own))
-                        out.append((*row, np.frombuffer(own, dtype="<i4")) if keep_ids else row)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())))],
-                    schema.names,
-                )
+        for rows, data, offsets in text_chunks(batches, chunk_bytes=RUN_BYTES):
+            out: list[tuple] = []
+            for doc_id, body in zip(rows.column(0).to_pylist(), encoder.encode_run(data, offsets)):
+                ids = body.tobytes() + end
+                total = len(ids) // 4
+                first = total % capacity or capacity
+                bounds = [0, *range(first, total + 1, capacity)]
+                for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
+                    own = ids[4 * a : 4 * b]
+                    row = (doc_id, k, a, b - a, zlib.crc32(own))
+                    out.append((*row, np.frombuffer(own, dtype="<i4")) if keep_ids else row)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), kinds)], schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(cut, schema)
 
@@ -202,9 +289,11 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """`pieces` with `sequence_id` and `offset`. Give a written table: it is read more than once."""
+    """`pieces` with `sequence_id` and `offset`. Each row has a number, so equal rows are spread over the salts too."""
     spark = pieces.sparkSession
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
+    numbered = materialize(pieces.withColumn("_at", F.monotonically_increasing_id()), "pieces")
+    salts = max(LEAST_SALTS, numbered.count() // IN_SALT)
+    salted = numbered.withColumn("_salt", F.pmod(F.xxhash64("_at"), F.lit(salts)).cast("int"))
     by = materialize(salted.groupBy("length", "_salt").agg(F.count("*").alias("n")), "piece-counts")
     counts = {r["length"]: r["n"] for r in by.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     places = spark.createDataFrame(
@@ -212,19 +301,18 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
     earlier = F.sum("n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
     before = by.select("length", "_salt", F.coalesce(earlier, F.lit(0)).alias("_before"))
-    local = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")) - 1
+    local = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "_at")) - 1
     ranked = salted.withColumn("_local", local).join(before, ["length", "_salt"]).withColumn("_rank", F.col("_local") + F.col("_before"))
     # the plan's rows are bounded by the capacity, not by the input
     return (
         ranked.join(F.broadcast(places), "length")
         .where((F.col("_rank") >= F.col("first_rank")) & (F.col("_rank") < F.col("end_rank")))
         .withColumn("sequence_id", F.col("first_sequence") + F.col("_rank") - F.col("first_rank"))
-        .drop("_salt", "_local", "_before", "_rank", "first_rank", "end_rank", "first_sequence")
+        .drop("_at", "_salt", "_local", "_before", "_rank", "first_rank", "end_rank", "first_sequence")
     )
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    pieces = materialize(token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json")), "pieces")
-    return pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack(token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

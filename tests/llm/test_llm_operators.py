@@ -3,6 +3,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -401,6 +402,50 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert got == {(k, k) for k, _ in items}
 
 
+def plain_overlaps(texts, items):
+    """Every place of every item against every text, word by word; items have 12 words or more."""
+    out = {}
+    for t, text in texts.items():
+        ws = (text or "").lower().split()
+        for i, item in items.items():
+            own = item.lower().split()
+            any_place, most = set(), 0
+            for start in range(-len(own) + 1, len(ws)):
+                equal = [0 <= start + k < len(ws) and ws[start + k] == w for k, w in enumerate(own)]
+                if not any(all(0 <= start + b + k < len(ws) and equal[b + k] for k, bit in enumerate(m) if bit == "1") for m in decontaminate.MASKS for b in range(len(own) - 11)):
+                    continue
+                good = {b + k for b in range(len(own) - 11) if sum(equal[b : b + 12]) >= 8 for k in range(12)}
+                met = {k for k in good if equal[k]}
+                any_place |= met
+                most = max(most, len(met))
+            if 2 * len(any_place) >= len(own) or most >= 13:
+                out[t, i] = len(any_place) / len(own)
+    return out
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = random.Random(19)
+    items = {f"item-{k}": prose(rng, rng.randint(12, 45), 9) if k % 2 else prose(rng, rng.randint(12, 45), 3000) for k in range(14)}
+    texts = {}
+    for k in range(60):
+        ws = rng.choice(list(items.values())).split()
+        a = rng.randint(0, len(ws) - 6)
+        part = [w if rng.random() > 0.12 else "other" for w in ws[a : a + rng.randint(6, 45)]]
+        texts[k] = " ".join([prose(rng, rng.randint(0, 9), 9), *part * rng.choice([1, 1, 3]), prose(rng, rng.randint(0, 9), 3000)])
+    got = decontaminate.overlaps(frame(spark, list(texts.items())), frame(spark, list(items.items()), "item_id string, text string")).collect()
+    want = plain_overlaps(texts, items)
+    assert len(want) > 20 and {(r.doc_id, r.item_id): r.covered for r in got} == pytest.approx(want)
+
+
+def test_decontamination_of_a_passage_that_all_items_and_texts_repeat():
+    shared = [f"s{k}" for k in range(14)]
+    index = decontaminate.Index([(k, " ".join([f"own{k}", *shared, f"end{k}"])) for k in range(600)])
+    data = np.frombuffer(" ".join(shared * 600).encode(), np.uint8)
+    began = time.process_time()
+    found = index.search(data, np.array([0, len(data)]))
+    assert len(found) == 600 and set(found.values()) == {14 / 16} and time.process_time() - began < 6
+
+
 # --- packing ----------------------------------------------------------------------------------
 
 
