@@ -24,10 +24,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id; texts without words all stay."""
-    found = neardup.near_duplicates(docs, neardup.PIPELINE_PERCENT)
-    dropped = found.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near duplicates, the one with the smallest id; texts without words all stay.
+
+    Rows are told apart by a number of their own, so rows with equal or null ids are documents like others.
+    """
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    found = neardup.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), neardup.PIPELINE_PERCENT)
+    groups = found.select(F.col("doc_id").alias("_row"), "component_id").join(rows.select("_row", "doc_id"), "_row")
+    first = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("first")).select(F.col("first._row").alias("_row"))
+    return rows.join(first, "_row", "left_semi").select(*docs.columns)
 
 
 def keep_clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +42,7 @@ def keep_clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document goes in the training sequences."""
-    pieces = materialize(packing.token_pieces(docs, TOKENIZER), "pieces")
-    return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return packing.pack(packing.token_pieces(docs, TOKENIZER)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 STAGES = [
