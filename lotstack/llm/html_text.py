@@ -16,7 +16,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from html import unescape
+from bisect import bisect_right
+from html import unescape as _unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -67,6 +68,23 @@ _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
+#: Numeric references with so many digits that they name no character, or one behind many zeros.
+_LONG_REFERENCE = re.compile(r"&#([xX]?)0*([0-9a-fA-F]*);?")
+
+
+def unescape(text: str) -> str:
+    """Text with its character references resolved, however long their numbers are."""
+
+    def short(m: re.Match) -> str:
+        if len(m[0]) < 12:
+            return m[0]
+        digits = m[2] if m[1] else re.match("[0-9]*", m[2])[0]
+        rest = m[0][m.start(2) - m.start() + len(digits) :]
+        return (f"&#{m[1]}{digits or 0};" if len(digits) < 9 else "\ufffd") + rest.removeprefix(";")
+
+    return _unescape(_LONG_REFERENCE.sub(short, text) if "&#" in text else text)
+
+
 class Node:
     __slots__ = ("name", "children", "seen", "attributes")
 
@@ -94,7 +112,8 @@ def build_tree(html: str) -> Node:
     """The page's tree, with implied tags put in."""
     root = Node("#root", {}, True)
     stack = [root]
-    counts: dict[str, int] = {}  # how often each name is open: most end tags are decided without a search
+    open_at: dict[str, list[int]] = {}  # at which depths each name is open: nothing is searched for in the stack
+    last_close = html.rfind(">")
 
     def show(text: str) -> None:
         """Put text in; text that isn't blank ends an open head."""
@@ -105,33 +124,31 @@ def build_tree(html: str) -> Node:
     def push(name: str, attributes: dict[str, str]) -> None:
         node = Node(name, attributes, _visible(name, attributes))
         stack[-1].children.append(node)
+        open_at.setdefault(name, []).append(len(stack))
         stack.append(node)
-        counts[name] = counts.get(name, 0) + 1
 
     def pop_to(depth: int) -> None:
         while len(stack) > depth:
-            counts[stack.pop().name] -= 1
+            open_at[stack.pop().name].pop()
+
+    def deepest(names: set[str] | frozenset[str]) -> int:
+        return max((open_at[x][-1] for x in names if open_at.get(x)), default=0)
 
     def close(names: set[str] | frozenset[str], until: set[str] | frozenset[str]) -> None:
         """End the outermost of `names` that is open above the nearest of `until`."""
-        if not any(counts.get(x) for x in names):
-            return
-        found = 0
-        for depth in range(len(stack) - 1, 0, -1):
-            if stack[depth].name in until:
-                break
-            if stack[depth].name in names:
-                found = depth
+        limit = deepest(until)
+        found = [own[k] for x in names if (own := open_at.get(x)) and (k := bisect_right(own, limit)) < len(own)]
         if found:
-            pop_to(found)
+            pop_to(min(found))
 
     at, end, token = 0, len(html), _TOKEN
     while at < end:
+        if at > last_close:  # nothing but text follows, up to a comment that isn't ended
+            hidden = html.find("<!--", at)
+            show(html[at:hidden] if hidden >= 0 else html[at:])
+            break
         m = token.match(html, at)
-        if m[5] is not None and html[at + 1 : at + 2].isalpha():
-            if html.find(">", at) < 0:
-                show(html[at:])
-                break
+        if m[5] is not None and html[at + 1 : at + 3].removeprefix("/")[:1].isalpha():
             token = _UNQUOTED
             m = token.match(html, at)
         at = m.end()
@@ -145,27 +162,22 @@ def build_tree(html: str) -> Node:
         if closing:
             if name == "br":
                 stack[-1].children.append(Node("br", {}, True))
-            elif counts.get(name):
-                shield = {"table"} if name not in ("table", "html", "body") else set()
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth].name == name:
-                        pop_to(depth)
-                        break
-                    if stack[depth].name in shield:
-                        break
+            elif open_at.get(name):
+                shield = 0 if name in ("table", "html", "body") else deepest({"table"})
+                if open_at[name][-1] > shield:
+                    pop_to(open_at[name][-1])
             continue
         attributes = _attributes(raw) if raw.strip(" /\n\t") else {}
-        if name in ENDS_P and counts.get("p"):
+        if name in ENDS_P and open_at.get("p"):
             close({"p"}, SHIELDS)
         if name in ENDS:
             close(*ENDS[name])
-        elif counts.get("head") and name not in UNSEEN and name not in ("html", "head"):
+        elif open_at.get("head") and name not in UNSEEN and name not in ("html", "head"):
             close({"head"}, {"body"})
-        if name in ("td", "th") and counts.get("table"):
-            inside = next((n.name for n in reversed(stack) if n.name in ("table", "tr")), "")
-            if inside == "table":
+        if name in ("td", "th") and open_at.get("table"):
+            if deepest({"table"}) > deepest({"tr"}):
                 push("tr", {})
-        foreign = [x for x in UNDRAWN if counts.get(x)]
+        foreign = [x for x in UNDRAWN if open_at.get(x)]
         if any(name in UNDRAWN[x] for x in foreign):
             attributes = attributes | {"hidden": ""}
         if foreign and raw.endswith("/"):
@@ -249,7 +261,8 @@ class Flow:
 
 
 def _number(text: str, most: int) -> int:
-    return min(most, int(text)) if text.isdecimal() and int(text) > 0 else 1
+    digits = text.lstrip("0") if text.isdecimal() else ""
+    return min(most, int(digits)) if 0 < len(digits) < 10 else most if digits else 1
 
 
 def _table_lines(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:

@@ -140,14 +140,28 @@ def test_html_loses_no_visible_words(spark):
     assert html_text.extract(pages.where("page_id < 0")).count() == 0
 
 
+def test_html_of_hostile_pages():
+    digits = "9" * 5000
+    cell = html_text.render(f"<table><tr><td colspan={digits} rowspan=0{digits}>a<td>b</table><ol start={digits}><li>c</ol>&#{digits}; &#x{digits}; &#{'0' * 5000}65; &#65;&#x41")
+    assert "a" in cell and cell.endswith("\ufffd \ufffd A AA")
+    for page in ("</a ", "<!", "<?", "<a ", '</a "', "<p><button>" + "<b>" * 3000 + "<div>", "<td>", "<table><tr>", "<!--"):
+        took = []
+        for n in (1, 8):
+            began = time.process_time()
+            html_text.render(("x " + page * 4000 * n) if len(page) < 15 else page.replace("<b>" * 3000, "<b>" * 3000 * n) + "<div>" * 3000 * n)
+            took.append(time.process_time() - began)
+        assert took[1] < 24 * max(took[0], 0.05), (page, took)
+    assert html_text.render("a<b>b</b> c < d <e") == "ab c < d <e" and html_text.render("a<!--b") == "a"
+
+
 # --- top-k ------------------------------------------------------------------------------------
 
 
 def brute_topk(rows, k=5):
     out = []
-    for q, v in rows.items():
+    for at, (q, v) in enumerate(rows):
         if q % 50 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in rows.items() if i != q)[:k]
+            scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for other, (i, w) in enumerate(rows) if other != at)[:k]
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
     return out
 
@@ -157,10 +171,11 @@ def test_topk_equals_brute_force(spark, levels, monkeypatch):
     rng = np.random.default_rng(levels)
     vectors = {i: (rng.integers(-levels, levels + 1, 8) / 256).tolist() for i in range(300)}
     bad = [(1000, None), (1050, [0.5, None] + [0.0] * 6), (1100, [float("nan")] + [0.0] * 7), (1150, [float("inf")] + [0.0] * 7), (None, [0.1] * 8)]
-    table = frame(spark, [*vectors.items(), *bad, (7, vectors[7])], "vec_id long, embedding array<float>")
+    again = [(7, vectors[7]), (50, vectors[50])]  # rows with equal ids are rows like others
+    table = frame(spark, [*vectors.items(), *bad, *again], "vec_id long, embedding array<float>")
     monkeypatch.setattr(topk, "CANDIDATES_IN_BLOCK", 64)
     got = topk.top_k(topk.quantised(table), F.col("vec_id") % 50 == 0, 5).collect()
-    whole = {i: [math.floor(256 * np.float32(x)) for x in v] for i, v in vectors.items()}
+    whole = [(i, [math.floor(256 * np.float32(x)) for x in v]) for i, v in [*vectors.items(), *again]]
     assert sorted(tuple(r) for r in got) == sorted(brute_topk(whole))
 
 
@@ -171,6 +186,15 @@ def test_topk_of_few_and_none(spark):
     assert topk.top_k(topk.quantised(table.where("vec_id < 0")), F.col("vec_id") == 0, 5).count() == 0
 
 
+def test_topk_of_large_components(spark):
+    vectors = [(0, [1.0, 1.0]), (1, [1e6, 0.0]), (2, [2e5, 0.0]), (50, [2.0**26, 3.0]), (3, [3.0, -1.0])]
+    got = topk.top_k(topk.quantised(frame(spark, vectors, "vec_id long, embedding array<double>")), F.col("vec_id") % 50 == 0, 5).collect()
+    assert sorted(tuple(r) for r in got) == sorted(brute_topk([(i, [math.floor(256 * x) for x in v]) for i, v in vectors]))
+    beyond = frame(spark, [(0, [1e30]), (1, [1e30])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="(?i)too large|overflow|int"):
+        topk.top_k(topk.quantised(beyond), F.col("vec_id") == 0, 5).collect()
+
+
 def test_threshold_stops_early():
     rng = np.random.default_rng(0)
     rows = rng.integers(-5, 6, (4000, 3)).astype(float)
