@@ -10,10 +10,11 @@ all blocks are then merged.
 Queries meet candidates block by block: each block of queries is sent to each block of candidates, a stated query
 set against all rows.
 
-Defined results: vectors that are null or hold null or non-finite components take no part, nor do null ids; of
-rows with equal ids the smallest vector counts; shorter vectors count as filled up with zeros; integer components
-beyond +-2**24 are set to that bound; ties go to the smaller id; a query with fewer candidates gets them all. An
-empty table gives an empty result; extra columns are ignored.
+Defined results: vectors that are null or hold null or non-finite components take no part, nor do null ids; rows with
+equal ids are candidates each, and queries each with ranks of their own, which alone don't meet themselves; shorter
+vectors count as filled up with zeros; where sums could pass 2**53, Python's whole numbers are used, and a score beyond
+64 bits is refused with an error; ties go to the smaller id; a query with fewer candidates gets them all. An empty
+table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,20 +26,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lotstack.llm.common import materialize
+
 #: Rows of a block, at most about.
 CANDIDATES_IN_BLOCK, QUERIES_IN_BLOCK = 4096, 512
-LARGEST = 2**24
+#: Whole numbers below this are exact as floats, and so are sums of them.
+EXACT = 2**53
 
 
 def quantised(vectors: DataFrame, scale: float = 256.0) -> DataFrame:
-    """(vec_id, q): whole components floor(scale * x) of the vectors that take part, one row for each id."""
+    """(row_id, vec_id, q): whole components floor(scale * x), as doubles, of the vectors that take part.
+
+    Rows are told apart by row_id. Doubles from 2**53 on are whole already.
+    """
     good = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
-    whole = F.transform("embedding", lambda x: F.greatest(F.least(F.floor(x.cast("double") * scale), F.lit(LARGEST)), F.lit(-LARGEST)).cast("int"))
-    return vectors.where(F.col("vec_id").isNotNull() & good).select("vec_id", whole.alias("q")).groupBy("vec_id").agg(F.min("q").alias("q"))
+    scaled = F.transform("embedding", lambda x: x.cast("double") * scale)
+    whole = F.transform(scaled, lambda y: F.when(F.abs(y) < EXACT, F.floor(y).cast("double")).otherwise(y))
+    return vectors.where(F.col("vec_id").isNotNull() & good).select(F.monotonically_increasing_id().alias("row_id"), "vec_id", whole.alias("q"))
 
 
 def _packed(rows: DataFrame, block: str) -> DataFrame:
-    return rows.groupBy(block).agg(F.collect_list("vec_id").alias("ids"), F.collect_list("q").alias("qs"))
+    return rows.groupBy(block).agg(*(F.collect_list(c).alias(f"{c}s") for c in ("row_id", "vec_id", "q")))
 
 
 def _matrix(column: pa.ListScalar, dims: int) -> np.ndarray:
@@ -52,17 +60,26 @@ def _matrix(column: pa.ListScalar, dims: int) -> np.ndarray:
     return out
 
 
-def threshold_topk(query: np.ndarray, own: int, ids: np.ndarray, rows: np.ndarray, order: np.ndarray, ranked: np.ndarray, k: int):
-    """(ids, scores) of the query's best k rows of a block, best first.
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k greatest scores, ties to the smaller id."""
+    if scores.dtype == object:
+        return np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k], dtype=np.int64)
+    return np.lexsort((ids, -scores))[:k]
 
-    `order[d]` lists the rows by falling component d and `ranked[d]` their components.
+
+def threshold_topk(query: np.ndarray, own: int, ids: np.ndarray, rows: np.ndarray, order: np.ndarray, ranked: np.ndarray, k: int, row_ids=None):
+    """(ids, scores) of the query's best k rows of a block, best first; `own` is the query's own row, by row_ids or ids.
+
+    `order[d]` lists the rows by falling component d and `ranked[d]` their components. Arrays of Python's whole numbers
+    are walked like floats.
     """
     n = len(ids)
+    row_ids = ids if row_ids is None else row_ids
     used = np.flatnonzero(query)
     weights = query[used]
-    down = weights > 0
+    down = (weights > 0).astype(bool)
     seen = np.zeros(n, dtype=bool)
-    found_ids, found_scores = np.zeros(0, dtype=np.int64), np.zeros(0)
+    found_ids, found_scores = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=rows.dtype)
     depth, step = 0, max(k, 16)
     while depth < n:
         to = n if not len(used) else min(n, depth + step)
@@ -73,10 +90,10 @@ def threshold_topk(query: np.ndarray, own: int, ids: np.ndarray, rows: np.ndarra
         else:
             seen[:] = True
         new = np.flatnonzero(seen & ~before)
-        new = new[ids[new] != own]
+        new = new[row_ids[new] != own]
         found_ids = np.concatenate([found_ids, ids[new]])
         found_scores = np.concatenate([found_scores, rows[new] @ query])
-        best = np.lexsort((found_ids, -found_scores))[:k]
+        best = _best(found_scores, found_ids, k)
         found_ids, found_scores = found_ids[best], found_scores[best]
         depth, step = to, step * 2
         if len(best) == k and depth < n:
@@ -88,45 +105,47 @@ def threshold_topk(query: np.ndarray, own: int, ids: np.ndarray, rows: np.ndarra
 
 def top_k(rows: DataFrame, is_query: Column, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k greatest inner products with the other rows."""
-    spark = rows.sparkSession
+    rows = materialize(rows, "vectors")
     totals = rows.agg(F.count("*").alias("n"), F.max(F.size("q")).alias("dims"), F.sum(is_query.cast("long")).alias("queries")).first()
     blocks = max(1, -(-totals["n"] // CANDIDATES_IN_BLOCK))
     query_blocks = max(1, -(-(totals["queries"] or 0) // QUERIES_IN_BLOCK))
     dims = totals["dims"] or 0
-    dealt = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
+    dealt = lambda n, seed: F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(n)).cast("int")
     candidates = _packed(rows.withColumn("block", dealt(blocks, 1)), "block")
     queries = (
         _packed(rows.where(is_query).withColumn("query_block", dealt(query_blocks, 2)), "query_block")
-        .withColumnsRenamed({"ids": "query_ids", "qs": "query_qs"})
+        .withColumnsRenamed({"row_ids": "query_rows", "vec_ids": "query_ids", "qs": "query_qs"})
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     )
-    met = queries.join(candidates, "block").select("block", "query_ids", "query_qs", "ids", "qs")
+    met = queries.join(candidates, "block").select("block", "query_rows", "query_ids", "query_qs", "row_ids", "vec_ids", "qs")
+    names = ["query_row", "query_id", "vec_id", "score"]
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, kept = None, None
+        last = kept = exact = own_rows = None
+        largest = 0.0
         for batch in batches:
-            block, query_ids, query_qs, ids, qs = batch.columns
+            block, query_rows, query_ids, query_qs, row_ids, ids, qs = batch.columns
             for i in range(batch.num_rows):
                 if block[i].as_py() != last:
-                    own_ids = np.asarray(ids[i].values)
                     matrix = _matrix(qs[i], dims)
                     order = np.ascontiguousarray(np.argsort(-matrix, axis=0, kind="stable").T)
-                    kept = own_ids, matrix, order, np.take_along_axis(matrix.T, order, axis=1)
-                    last = block[i].as_py()
-                out = [
-                    (np.full(len(found[0]), own), *found)
-                    for own, q in zip(np.asarray(query_ids[i].values), _matrix(query_qs[i], dims))
-                    if len((found := threshold_topk(q, own, *kept, k))[0])
-                ]
+                    kept = np.asarray(ids[i].values), matrix, order, np.take_along_axis(matrix.T, order, axis=1)
+                    own_rows = np.asarray(row_ids[i].values)
+                    last, exact, largest = block[i].as_py(), None, float(np.abs(matrix).max(initial=0))
+                out = []
+                for own_row, own_id, q in zip(np.asarray(query_rows[i].values), np.asarray(query_ids[i].values), _matrix(query_qs[i], dims)):
+                    walked = kept
+                    if largest * float(np.abs(q).sum()) >= EXACT:  # sums may be inexact as floats: Python's whole numbers
+                        whole = np.frompyfunc(int, 1, 1)
+                        exact = exact or (kept[0], whole(kept[1]), kept[2], whole(kept[3]))
+                        walked, q = exact, whole(q)
+                    found = threshold_topk(q, own_row, *walked, k, own_rows)
+                    out += [(own_row, own_id, x, int(score)) for x, score in zip(*found)]
                 if out:
-                    columns = [np.concatenate(x) for x in zip(*out)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2].astype(np.int64))],
-                        ["query_id", "vec_id", "score"],
-                    )
-
-    near = met.mapInArrow(best, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+                    yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*out)], names)
+
+    near = met.mapInArrow(best, "query_row long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -139,6 +158,7 @@ def op3_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOPK_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND coalesce(list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false))), true)
 ), s AS (
   SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score
   FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
