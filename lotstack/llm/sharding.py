@@ -11,9 +11,13 @@ shards to the smaller shard. An empty table gives an empty result. Extra columns
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lotstack.llm.common import shared_dir
+
 SLOTS = 4096
 
 
@@ -109,9 +113,11 @@ def assign(docs: DataFrame, slot_map: DataFrame, key: str = "doc_id", slots: int
 
 
 def op10_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in 8 shards of near equal bytes."""
+    """All documents in 8 shards of near equal bytes, by the first version of a stored map."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    slot_map = build_map(slot_bytes(docs), 8)
+    path = f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+    save_map(build_map(slot_bytes(docs), 8), path, 1)
+    slot_map = load_map(spark, path, 1)
     slim = docs.select(
         "doc_id",
         record_size().alias("size"),
