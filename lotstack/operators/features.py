@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The collections on offer.
@@ -63,8 +63,48 @@ def page_links(units: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame
 
 
 def lookup(table: DataFrame, key: str, value) -> DataFrame:
-    """At most two rows with a key: one is the answer, none is not found, two are an error of the data."""
-    return table.where(F.col(key) == value).limit(2)
+    """The row with a key, or none; more than one is an error of the data, raised when the row is read."""
+    two = table.where(F.col(key) == value).limit(2)
+    counted = two.withColumn("_rows", F.count("*").over(Window.partitionBy(key)))
+    refused = F.raise_error(F.lit(f"more than one row with this {key}")).cast("boolean")
+    return counted.where(F.when(F.col("_rows") > 1, refused).otherwise(F.lit(True))).drop("_rows")
+
+
+def children(units: DataFrame, parcels: DataFrame, parcel, most: int = 1000) -> DataFrame:
+    """The first units of a parcel, by suid; an unknown parcel is no filter."""
+    known = parcels.where(F.col("suid") == parcel).limit(1).count()
+    return (units.where(F.col("parent_suid") == parcel) if known else units).orderBy("suid").limit(most)
+
+
+def resolve_parents(units: DataFrame, known: DataFrame, code: str = "parent_code") -> DataFrame:
+    """`units` with `parent_suid`, the smallest suid of the code among `known` (code, suid); null where there is none."""
+    by = known.groupBy(F.col("code").alias(code)).agg(F.min("suid").alias("parent_suid"))
+    return units.join(by, code, "left")
+
+
+def hierarchy_of(paths: DataFrame, known: DataFrame, key: str = "suid") -> DataFrame:
+    """(key, pos, found): each code of `paths` (key, path) in order that `known` (code, found) holds; misses are skipped."""
+    by = known.groupBy("code").agg(F.min("found").alias("found"))
+    return paths.select(key, F.posexplode("path").alias("pos", "code")).join(by, "code").select(key, "pos", "found")
+
+
+def properties_json(table: DataFrame, key: str, properties: tuple[str, ...]) -> DataFrame:
+    """(key, properties): properties as JSON, nulls kept, dates as ISO days."""
+    kinds = dict(table.dtypes)
+    own = [F.date_format(p, "yyyy-MM-dd").alias(p) if kinds[p] in ("date", "timestamp") else F.col(p) for p in properties]
+    return table.select(key, F.to_json(F.struct(*own), {"ignoreNullFields": "false"}).alias("properties"))
+
+
+def has_shape(rows: Column, width: int) -> Column:
+    """Whether an array of arrays is a matrix with so many columns, without nulls: no rows are no matrix."""
+    each = F.forall(rows, lambda r: F.coalesce((F.size(r) == width) & F.forall(r, lambda x: x.isNotNull()), F.lit(False)))
+    return F.coalesce((F.size(rows) > 0) & each, F.lit(False))
+
+
+def is_box(values: Column) -> Column:
+    """Whether an array holds four numbers: minx, miny, maxx, maxy."""
+    finite = F.forall(values, lambda x: F.coalesce(~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")), F.lit(False)))
+    return F.coalesce((F.size(values) == 4) & finite, F.lit(False))
 
 
 def feature_json(units: DataFrame, properties: tuple[str, ...], geometry: Column | None = None) -> DataFrame:
@@ -88,8 +128,11 @@ def collections(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(COLLECTIONS), "id string, title string")
 
 
-def statistics(units: DataFrame) -> DataFrame:
-    """(dimension, value, n): all units, units by type and by floor, in one pass."""
+def statistics(units: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """(dimension, value, n): all units, units by type and by floor, in one pass; and the number of sources, if given."""
+    if sources is not None:
+        of_sources = sources.agg(F.count("*").alias("n")).select(F.lit("sources").alias("dimension"), F.lit(None).cast("string").alias("value"), "n")
+        return statistics(units).unionAll(of_sources)
     return (
         units.groupingSets([[], [F.col("type")], [F.col("floor_level")]], "type", "floor_level")
         .agg(F.count("*").alias("n"), F.grouping_id().alias("g"))
@@ -109,9 +152,15 @@ def severity_summary(results: DataFrame) -> DataFrame:
 
 
 def preview(buildings: DataFrame, levels: str = "levels", type: str = "building_type") -> DataFrame:
-    """(dimension, value, n): buildings by type and by levels, null levels as 0."""
+    """(dimension, value, n): all buildings, buildings by type and by levels, null levels as 0."""
     by = lambda name, col: buildings.groupBy(col.cast("string").alias("value")).agg(F.count("*").alias("n")).select(F.lit(name).alias("dimension"), "value", "n")
-    return by("type", F.col(type)).unionAll(by("levels", F.coalesce(F.col(levels), F.lit(0))))
+    total = buildings.agg(F.count("*").alias("n")).select(F.lit("total").alias("dimension"), F.lit(None).cast("string").alias("value"), "n")
+    return by("type", F.col(type)).unionAll(by("levels", F.coalesce(F.col(levels), F.lit(0)))).unionAll(total)
+
+
+def preview_sample(buildings: DataFrame, key: str = "building_id", n: int = 10) -> DataFrame:
+    """The first buildings, by key."""
+    return buildings.orderBy(key).limit(n)
 
 
 def safe_int(text: Column) -> Column:

@@ -21,27 +21,44 @@ def parcel_key(suid: Column) -> Column:
     return F.when(F.instr(suid, "-") > 0, F.substring_index(suid, "-", 1)).otherwise(F.concat(F.substring(suid, 1, 17), F.lit("00000000")))
 
 
-def adjacency(units: DataFrame) -> DataFrame:
-    """(suid_1, suid_2, relation) of units of one parent whose boxes meet: an equi-join with a residual predicate.
+def pairs_in_cells(units: DataFrame, cell: float = 64.0) -> DataFrame:
+    """Rows (a, b) of units of one parent, a.suid < b.suid, whose boxes meet; touching counts.
 
-    The first relation that holds: overlap (the boxes share volume), adjacent (they share a face), contain, touch.
+    Boxes are dealt to the grid cells of their parent that they cover, and a pair comes out of the cell alone that holds
+    the lower corner of what both share: so units of a parent meet their neighbours, not all others.
     """
-    a, b = units.alias("a"), units.alias("b")
-    met = a.join(b, (F.col("a.parent_suid") == F.col("b.parent_suid")) & (F.col("a.suid") < F.col("b.suid")) & G.boxes_touch("a", "b"))
-    shared = lambda lo, hi: F.least(F.col(f"a.{hi}"), F.col(f"b.{hi}")) - F.greatest(F.col(f"a.{lo}"), F.col(f"b.{lo}"))
-    x, y, z = shared("minx", "maxx"), shared("miny", "maxy"), shared("z_min", "z_max")
-    flat = (x == 0).cast("int") + (y == 0).cast("int") + (z == 0).cast("int")
-    relation = F.when(flat == 0, "overlap").when(flat == 1, "adjacent").otherwise("touch")
-    return met.select(F.col("a.suid").alias("suid_1"), F.col("b.suid").alias("suid_2"), relation.alias("relation"))
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
+    placed = units.withColumn("_cx", span("minx", "maxx")).withColumn("_cy", span("miny", "maxy")).withColumn("_cz", span("z_min", "z_max"))
+    a, b = placed.alias("a"), placed.alias("b")
+    own = lambda c, lo: F.floor(F.greatest(f"a.{lo}", f"b.{lo}") / cell) == F.col(f"a.{c}")
+    keys = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("parent_suid", "_cx", "_cy", "_cz")]
+    first = own("_cx", "minx") & own("_cy", "miny") & own("_cz", "z_min")
+    return a.join(b, [*keys, (F.col("a.suid") < F.col("b.suid")) & G.boxes_touch("a", "b") & first])
+
+
+def relation() -> Column:
+    """How boxes a and b that meet lie: the first that holds of overlap (both share volume, and neither holds the other),
+    adjacent (they share no volume: faces, edges or corners touch), contain (a holds b, or they are equal); else unknown."""
+    shared = lambda lo, hi: F.least(f"a.{hi}", f"b.{hi}") > F.greatest(f"a.{lo}", f"b.{lo}")
+    holds = lambda x, y, lo, hi: (F.col(f"{x}.{lo}") <= F.col(f"{y}.{lo}")) & (F.col(f"{x}.{hi}") >= F.col(f"{y}.{hi}"))
+    axes = (("minx", "maxx"), ("miny", "maxy"), ("z_min", "z_max"))
+    every = lambda f: f(*axes[0]) & f(*axes[1]) & f(*axes[2])
+    inside = every(shared)
+    a_holds, b_holds = every(lambda lo, hi: holds("a", "b", lo, hi)), every(lambda lo, hi: holds("b", "a", lo, hi))
+    return F.when(inside & ~a_holds & ~b_holds, "overlap").when(~inside, "adjacent").when(a_holds, "contain").otherwise("unknown")
+
+
+def adjacency(units: DataFrame) -> DataFrame:
+    """(suid_1, suid_2, relation) of units of one parent whose boxes meet."""
+    return pairs_in_cells(units).select(F.col("a.suid").alias("suid_1"), F.col("b.suid").alias("suid_2"), relation().alias("relation"))
 
 
 def overlaps(units: DataFrame) -> DataFrame:
     """(suid_1, suid_2, volume) of units of one parent whose boxes share volume."""
-    a, b = units.alias("a"), units.alias("b")
     shared = lambda lo, hi: F.least(F.col(f"a.{hi}"), F.col(f"b.{hi}")) - F.greatest(F.col(f"a.{lo}"), F.col(f"b.{lo}"))
     x, y, z = shared("minx", "maxx"), shared("miny", "maxy"), shared("z_min", "z_max")
-    on = (F.col("a.parent_suid") == F.col("b.parent_suid")) & (F.col("a.suid") < F.col("b.suid")) & (x > 0) & (y > 0) & (z > 0)
-    return a.join(b, on).select(F.col("a.suid").alias("suid_1"), F.col("b.suid").alias("suid_2"), (x * y * z).alias("volume"))
+    met = pairs_in_cells(units).where((x > 0) & (y > 0) & (z > 0))
+    return met.select(F.col("a.suid").alias("suid_1"), F.col("b.suid").alias("suid_2"), (x * y * z).alias("volume"))
 
 
 def vertical_gaps(units: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
@@ -102,13 +119,15 @@ def shared_faces(faces: DataFrame) -> DataFrame:
     """(suid_1, suid_2, face_key, relation, severity): faces of two units that face each other, and over-shared faces.
 
     Two tetrahedra of different units with opposite normals are adjacent; of a face with more, each pair of different
-    units overlaps. Counts are combined before the shuffle; pairs come from an equi-join on the key.
+    units overlaps. Counts are combined before the shuffle; pairs come from an equi-join on a 64-bit hash of the key, and equal keys.
     """
-    n = faces.groupBy("face_key").agg(F.count("*").alias("uses")).where("uses > 1")
-    one = faces.join(n, "face_key").withColumn("normal", G.normal(*(F.element_at("corners", k) for k in (1, 2, 3))))
+    hashed = faces.withColumn("face_hash", F.xxhash64("face_key"))
+    n = hashed.groupBy("face_hash", "face_key").agg(F.count("*").alias("uses")).where("uses > 1").withColumnRenamed("face_key", "used_key")
+    one = hashed.join(n, "face_hash").where(F.col("face_key") == F.col("used_key"))
+    one = one.select("tet", "suid", "face_hash", "face_key", "uses", G.normal(*(F.element_at("corners", k) for k in (1, 2, 3))).alias("normal"))
     a, b = one.alias("a"), one.alias("b")
     dot = sum((F.col(f"a.normal.{k}") * F.col(f"b.normal.{k}") for k in "yz"), F.col("a.normal.x") * F.col("b.normal.x"))
-    pairs = a.join(b, (F.col("a.face_key") == F.col("b.face_key")) & (F.col("a.tet") < F.col("b.tet")) & (F.col("a.suid") != F.col("b.suid")))
+    pairs = a.join(b, (F.col("a.face_hash") == F.col("b.face_hash")) & (F.col("a.face_key") == F.col("b.face_key")) & (F.col("a.tet") < F.col("b.tet")) & (F.col("a.suid") != F.col("b.suid")))
     adjacent = F.col("a.uses") == 2
     return pairs.where(~adjacent | (dot < -0.5)).select(
         F.col("a.suid").alias("suid_1"),

@@ -73,12 +73,20 @@ def hierarchy_path(t: Tables) -> DataFrame:
     return _codes(t).select("suid", F.posexplode(ids.hierarchy_path(unit)).alias("pos", "path_code"))
 
 
-@query(f"""WITH {_PARCEL_IDS}, ranked AS (SELECT code, min(suid) AS found FROM codes GROUP BY code)
-SELECT c.suid, r.found FROM codes c JOIN ranked r ON r.code = concat(substr(c.code, 1, 17), '00000000')""")
+@query(f"""WITH {_PARCEL_IDS}, ranked AS (SELECT code, min(suid) AS found FROM codes GROUP BY code),
+path AS (SELECT suid, 0 AS pos, concat(substr(code, 1, 17), '00000000') AS code FROM codes UNION ALL SELECT suid, 1, concat(substr(code, 1, 21), '0000') FROM codes
+  UNION ALL SELECT suid, 2, concat(substr(code, 1, 21), '0005') FROM codes)
+SELECT suid, cast(pos AS int) AS pos, found FROM path JOIN ranked USING (code)""")
 def hierarchy_lookup(t: Tables) -> DataFrame:
     codes = _codes(t)
-    path = codes.select("suid", F.posexplode(ids.hierarchy_path(ids.unit_code(F.col("code"), F.lit(5)))).alias("pos", "code"))
-    return path.join(codes.groupBy("code").agg(F.min("suid").alias("found")), "code").where("pos = 0").select("suid", "found")
+    paths = codes.select("suid", ids.hierarchy_path(ids.unit_code(F.col("code"), F.lit(5))).alias("path"))
+    return features.hierarchy_of(paths, codes.select("code", F.col("suid").alias("found")))
+
+
+@query(f"""WITH {_PARCEL_IDS} SELECT suid, cast(suid % 7 - 1 AS int) AS floor, -100 AS parcel_floor FROM codes""")
+def floor_level_of_code(t: Tables) -> DataFrame:
+    floor = ids.floor_code(F.col("code"), F.col("suid") % 7 - 1)
+    return _codes(t).select("suid", ids.floor_level(floor).alias("floor"), ids.floor_level(F.col("code")).alias("parcel_floor"))
 
 
 @query("""SELECT suid, concat(lpad(cast(floor_level + 100 AS string), 3, '0'), '0') AS vertical, cast(floor_level AS int) AS decoded FROM spatial_units""")
@@ -144,6 +152,35 @@ def feature_json(t: Tables) -> DataFrame:
     return features.feature_json(t.view("spatial_units"), ("type", "floor_level"))
 
 
+@query("SELECT suid, floor_level FROM spatial_units WHERE parent_suid = 7 ORDER BY suid LIMIT 1000")
+def children_of_parcel(t: Tables) -> DataFrame:
+    return features.children(t.view("spatial_units"), t.view("parcels"), 7).select("suid", "floor_level")
+
+
+@query("SELECT suid FROM spatial_units ORDER BY suid LIMIT 1000")
+def children_of_unknown_parcel(t: Tables) -> DataFrame:
+    return features.children(t.view("spatial_units"), t.view("parcels"), -5).select("suid")
+
+
+@query("""SELECT pid, concat('{"pid":"', pid, '","name":"', name, '","type":"', type, '"}') AS properties FROM parties""")
+def party_json(t: Tables) -> DataFrame:
+    return features.properties_json(t.view("parties"), "pid", ("pid", "name", "type"))
+
+
+@query("""SELECT rrr_id, concat('{"rrr_id":', cast(rrr_id AS string), ',"status":"', status, '","valid_from":"', strftime(valid_from, '%Y-%m-%d'), '","valid_until":',
+  coalesce('"' || strftime(valid_until, '%Y-%m-%d') || '"', 'null'), '}') AS properties FROM rrr""")
+def rights_json(t: Tables) -> DataFrame:
+    return features.properties_json(t.view("rrr"), "rrr_id", ("rrr_id", "status", "valid_from", "valid_until"))
+
+
+@query("""SELECT vec_id, len(embedding) > 0 AND vec_id % 3 > 0 AS matrix, vec_id % 4 = 0 AS box FROM embeddings""")
+def input_shapes(t: Tables) -> DataFrame:
+    whole = F.col("embedding").cast("array<double>")
+    rows = F.when(F.col("vec_id") % 3 == 0, F.array(whole, F.slice(whole, 1, 5))).otherwise(F.array(whole, whole))
+    box = F.slice(whole, 1, (F.col("vec_id") % 4 + 4).cast("int"))
+    return t.table("embeddings").select("vec_id", features.has_shape(rows, 64).alias("matrix"), features.is_box(box).alias("box"))
+
+
 @query("SELECT id, title FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in features.COLLECTIONS) + ") v(id, title)")
 def collections(t: Tables) -> DataFrame:
     return features.collections(t.spark)
@@ -151,9 +188,10 @@ def collections(t: Tables) -> DataFrame:
 
 @query("""SELECT 'total' AS dimension, cast(NULL AS string) AS value, count(*) AS n FROM spatial_units
 UNION ALL SELECT 'type', type, count(*) FROM spatial_units GROUP BY type
-UNION ALL SELECT 'floor_level', cast(floor_level AS string), count(*) FROM spatial_units GROUP BY floor_level""")
+UNION ALL SELECT 'floor_level', cast(floor_level AS string), count(*) FROM spatial_units GROUP BY floor_level
+UNION ALL SELECT 'sources', cast(NULL AS string), count(*) FROM survey_sources""")
 def stats_grouping_sets(t: Tables) -> DataFrame:
-    return features.statistics(t.view("spatial_units"))
+    return features.statistics(t.view("spatial_units"), t.view("survey_sources"))
 
 
 @query("""SELECT s.severity, coalesce(n, 0) AS n FROM (VALUES ('error'), ('warning'), ('info')) s(severity) LEFT JOIN (
@@ -164,7 +202,8 @@ def severity_summary(t: Tables) -> DataFrame:
 
 
 @query("""SELECT 'type' AS dimension, building_type AS value, count(*) AS n FROM buildings GROUP BY building_type
-UNION ALL SELECT 'levels', cast(levels AS string), count(*) FROM buildings GROUP BY levels""")
+UNION ALL SELECT 'levels', cast(levels AS string), count(*) FROM buildings GROUP BY levels
+UNION ALL SELECT 'total', cast(NULL AS string), count(*) FROM buildings""")
 def buildings_preview(t: Tables) -> DataFrame:
     return features.preview(t.view("buildings"))
 
@@ -242,11 +281,28 @@ _MEET = """a.parent_suid = b.parent_suid AND a.suid < b.suid AND a.minx <= b.max
 _SHARED = "least(a.max{0}, b.max{0}) - greatest(a.min{0}, b.min{0})"
 
 
-@query(f"""SELECT suid_1, suid_2, CASE flat WHEN 0 THEN 'overlap' WHEN 1 THEN 'adjacent' ELSE 'touch' END AS relation FROM (
-SELECT a.suid AS suid_1, b.suid AS suid_2, cast({_SHARED.format("x")} = 0 AS int) + cast({_SHARED.format("y")} = 0 AS int) + cast(least(a.z_max, b.z_max) - greatest(a.z_min, b.z_min) = 0 AS int) AS flat
-FROM spatial_units a JOIN spatial_units b ON {_MEET})""")
+_BOXES = """
+  SELECT suid * 10 AS suid, parent_suid, minx, maxx, miny, maxy, z_min, z_max FROM spatial_units
+  UNION ALL SELECT suid * 10 + 1, parent_suid, minx + 0.5, maxx - 0.5, miny + 0.5, maxy - 0.5, z_min + 0.25, z_max - 0.25 FROM spatial_units WHERE suid % 3 = 0
+  UNION ALL SELECT suid * 10 + 2, parent_suid, minx + 1.0, maxx + 1.0, miny, maxy, z_min, z_max FROM spatial_units WHERE suid % 4 = 0
+  UNION ALL SELECT suid * 10 + 3, parent_suid, maxx, maxx + 2.0, maxy, maxy + 2.0, z_max, z_max + 1.0 FROM spatial_units WHERE suid % 5 = 0
+  UNION ALL SELECT suid * 10 - 1, parent_suid, minx + 0.25, maxx - 0.25, miny + 0.25, maxy - 0.25, z_min, z_max FROM spatial_units WHERE suid % 7 = 0"""
+_AXES = (("minx", "maxx"), ("miny", "maxy"), ("z_min", "z_max"))
+_INSIDE = " AND ".join(f"a.{lo} < b.{hi} AND b.{lo} < a.{hi}" for lo, hi in _AXES)
+_A_HOLDS = " AND ".join(f"a.{lo} <= b.{lo} AND b.{hi} <= a.{hi}" for lo, hi in _AXES)
+_B_HOLDS = " AND ".join(f"b.{lo} <= a.{lo} AND a.{hi} <= b.{hi}" for lo, hi in _AXES)
+
+
+def _boxes(t: Tables) -> DataFrame:
+    units = t.view("spatial_units")
+    return t.spark.sql(_BOXES.replace("FROM spatial_units", "FROM {u}"), u=units)
+
+
+@query(f"""WITH boxes AS ({_BOXES}) SELECT a.suid AS suid_1, b.suid AS suid_2,
+  CASE WHEN {_INSIDE} AND NOT ({_A_HOLDS}) AND NOT ({_B_HOLDS}) THEN 'overlap' WHEN NOT ({_INSIDE}) THEN 'adjacent' WHEN {_A_HOLDS} THEN 'contain' ELSE 'unknown' END AS relation
+FROM boxes a JOIN boxes b ON {_MEET}""")
 def adjacency(t: Tables) -> DataFrame:
-    return topology.adjacency(t.view("spatial_units"))
+    return topology.adjacency(_boxes(t))
 
 
 @query(f"""SELECT * FROM (SELECT a.suid AS suid_1, b.suid AS suid_2, round(({_SHARED.format("x")}) * ({_SHARED.format("y")}) * (least(a.z_max, b.z_max) - greatest(a.z_min, b.z_min)), 6) AS volume
@@ -465,10 +521,9 @@ def parcel_keys(t: Tables) -> DataFrame:
 
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 13 < 5 THEN cast(NULL AS bigint) ELSE p_partkey - p_partkey % 13 END AS parent FROM part""")
 def parent_resolution(t: Tables) -> DataFrame:
-    units = t.table("part").select("p_partkey", F.when(F.col("p_partkey") % 13 >= 5, F.col("p_partkey") - F.col("p_partkey") % 13).alias("code"))
-    known = t.table("part").select(F.col("p_partkey").alias("code"), F.col("p_partkey").alias("parent"))
-    zero = known.limit(0).unionAll(t.spark.sql("SELECT 0L AS code, 0L AS parent"))
-    return units.join(known.unionAll(zero).dropDuplicates(["code"]), "code", "left").select("p_partkey", "parent")
+    units = t.table("part").select("p_partkey", F.when(F.col("p_partkey") % 13 >= 5, F.col("p_partkey") - F.col("p_partkey") % 13).alias("parent_code"))
+    known = t.table("part").select(F.col("p_partkey").alias("code"), F.col("p_partkey").alias("suid")).unionAll(t.spark.sql("SELECT 0L, 0L"))
+    return features.resolve_parents(units, known).select("p_partkey", F.col("parent_suid").alias("parent"))
 
 
 @query("""SELECT p_partkey, CASE WHEN tag IN ('house', 'apartments') THEN 'residential' WHEN tag IN ('retail', 'office') THEN 'commercial' WHEN tag = 'hotel' THEN 'hospitality' ELSE 'unknown' END AS class, CASE WHEN p_partkey % 3 = 0 THEN 'pyramid' END AS roof
@@ -612,10 +667,10 @@ def softmax_argmax(t: Tables) -> DataFrame:
     return t.table("embeddings").select("vec_id", inference.argmax(F.col("embedding")).alias("class"), F.round(F.array_max(inference.softmax(F.col("embedding"))), 6).alias("p"))
 
 
-@query("""WITH v AS (SELECT label AS pt_id, cast(c - 1 AS int) AS class, avg(cast(embedding[c] AS double)) AS s FROM embeddings, (SELECT unnest(range(1, 9)) AS c) GROUP BY 1, 2)
+@query("""WITH v AS (SELECT label AS pt_id, cast(c - 1 AS int) AS class, avg(cast(embedding[c] AS double)) AS s FROM embeddings, (SELECT unnest(range(1, 65)) AS c) GROUP BY 1, 2)
 SELECT cast(pt_id AS bigint) AS pt_id, arg_max(class, row(s, -class)) AS class FROM v GROUP BY 1""")
 def tile_votes(t: Tables) -> DataFrame:
-    scores = t.table("embeddings").select(F.col("label").cast("long").alias("pt_id"), F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("scores"))
+    scores = t.table("embeddings").select(F.col("label").cast("long").alias("pt_id"), F.col("embedding").cast("array<double>").alias("scores"))
     return inference.voted_class(scores.select("pt_id").distinct(), inference.votes(scores))
 
 
@@ -644,11 +699,12 @@ def tile_windows(t: Tables) -> DataFrame:
     return inference.tile_windows(clouds, 64).select("cloud_id", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
 
 
-@query("""WITH b AS (SELECT label, quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS hi FROM (SELECT label, cast(embedding[1] AS double) AS v FROM embeddings) GROUP BY 1)
-SELECT vec_id, round((least(greatest(cast(embedding[1] AS double), lo), hi) - lo) / (hi - lo + 1e-8), 5) AS v FROM embeddings JOIN b USING (label)""")
+@query("""WITH v AS (SELECT vec_id, label, cast(c - 1 AS int) AS c, cast(embedding[c] AS double) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS c)),
+b AS (SELECT label, c, quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS hi FROM v GROUP BY 1, 2)
+SELECT vec_id, c, round((least(greatest(v, lo), hi) - lo) / (hi - lo + 1e-8), 5) AS v FROM v JOIN b USING (label, c)""")
 def normalise_bands(t: Tables) -> DataFrame:
-    cells = t.table("embeddings").select(F.col("label").cast("string").alias("img_id"), F.lit(0).alias("c"), F.col("vec_id").alias("y"), F.lit(0).alias("x"), F.get("embedding", F.lit(0)).cast("double").alias("v"))
-    return inference.normalised_bands(cells).select(F.col("y").alias("vec_id"), F.round("v", 5).alias("v"))
+    cells = t.table("embeddings").select(F.col("label").cast("string").alias("img_id"), F.col("vec_id").alias("y"), F.lit(0).alias("x"), F.posexplode(F.col("embedding").cast("array<double>")).alias("c", "v"))
+    return inference.normalised_bands(cells).select(F.col("y").alias("vec_id"), "c", F.round("v", 5).alias("v"))
 
 
 @query("SELECT class, name, weight FROM (VALUES " + ", ".join(f"({k}, '{n}', cast({w} AS double))" for k, (n, w) in enumerate(inference.CLASSES)) + ") v(class, name, weight)")
@@ -656,6 +712,20 @@ def class_weights(t: Tables) -> DataFrame:
     return inference.class_table(t.spark)
 
 
+@query("""SELECT p_partkey, round(sqrt(pow(p_size - 3, 2) + pow(p_partkey % 37 - 4, 2) + pow(p_partkey % 5 - 2.5, 2)), 6) AS distance,
+  concat('TRIANGLE Z ((', cast(p_size * 1.0E0 AS string), ' ', cast((p_partkey % 37) * 1.0E0 AS string), ' ', cast((p_partkey % 5) * 1.0E0 AS string), ', 3.0 4.0 2.5, 0.0 0.0 9.0, ',
+    cast(p_size * 1.0E0 AS string), ' ', cast((p_partkey % 37) * 1.0E0 AS string), ' ', cast((p_partkey % 5) * 1.0E0 AS string), '))') AS face FROM part""")
+def picked_distance(t: Tables) -> DataFrame:
+    at = lambda x, y, z: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), z.cast("double").alias("z"))
+    a, b, c = at(F.col("p_size"), F.col("p_partkey") % 37, F.col("p_partkey") % 5), at(F.lit(3), F.lit(4), F.lit(2.5)), at(F.lit(0), F.lit(0), F.lit(9))
+    return t.table("part").select("p_partkey", F.round(G.distance(a, b), 6).alias("distance"), G.triangle_wkt(F.array(a, b, c)).alias("face"))
+
+
+@query("SELECT building_id, levels FROM buildings ORDER BY building_id LIMIT 10")
+def buildings_sample(t: Tables) -> DataFrame:
+    return features.preview_sample(t.view("buildings")).select("building_id", "levels")
+
+
 @query(None)
 def dataset_split(t: Tables) -> DataFrame:
     return inference.split_rows(t.table("embeddings").select("vec_id", "label"), "vec_id")

@@ -83,9 +83,23 @@ def read_elements(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode("elements").alias("e")).select("e.*")
 
 
+def union_of_wards(spark: SparkSession, folder: str) -> DataFrame:
+    """(ward, type, id, …): the elements of all extracts of a folder, each with its file's name; broken files have none."""
+    raw = spark.read.schema(SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE").option("ignoreCorruptFiles", True).json(folder)
+    ward = F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]*)", 1)
+    return raw.select(ward.alias("ward"), F.explode("elements").alias("e")).select("ward", "e.*")
+
+
+def feature_collection(built: DataFrame) -> DataFrame:
+    """One GeoJSON FeatureCollection text of an extract's buildings, in the order of their ids."""
+    lines = feature_lines(built, key=True)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("building_id", "value"))), lambda r: r["value"])
+    return lines.agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(ordered, ","), F.lit("]}")).alias("value"))
+
+
 def way_rings(elements: DataFrame, least: int = 4) -> DataFrame:
     """(way_id, tags, ring): a way's nodes in order, closed; missing nodes are left out, and short rings too."""
-    nodes = elements.where("type = 'node'").groupBy(F.col("id").alias("node")).agg(F.first("lon").alias("lon"), F.first("lat").alias("lat"))
+    nodes = elements.where("type = 'node'").groupBy(F.col("id").alias("node")).agg(F.min(F.struct("lon", "lat")).alias("at")).select("node", "at.lon", "at.lat")
     ways = elements.where("type = 'way'").select(F.col("id").alias("way_id"), "tags", "nodes")
     placed = ways.select("way_id", F.posexplode("nodes").alias("pos", "node")).join(nodes, "node")
     rings = placed.groupBy("way_id").agg(F.array_sort(F.collect_list(F.struct("pos", "lon", "lat"))).alias("r"))
@@ -123,8 +137,13 @@ def roof_shape(value: Column) -> Column:
     return F.element_at(known, F.lower(value))
 
 
-def buildings(rings: DataFrame, least_area: float = 5.0) -> DataFrame:
-    """Buildings of closed ways: class, levels and height (each worked out from the other), area in square metres."""
+def buildings(rings: DataFrame, least_area: float = 5.0, relations: DataFrame | None = None) -> DataFrame:
+    """Buildings of closed ways, and of multipolygon relations by their outer rings if given: class, levels and height
+    (each worked out from the other), area in square metres, without the inner rings'."""
+    rings = rings.select("way_id", "tags", "ring", F.array().cast("array<array<struct<x:double,y:double>>>").alias("inners"))
+    if relations is not None:
+        rings = rings.unionByName(relations.select(F.col("relation_id").alias("way_id"), "tags", F.col("outer").alias("ring"), "inners"))
+    holes = F.aggregate("inners", F.lit(0.0), lambda sum, r: sum + G.shoelace_area(r))
     number = lambda *names: F.regexp_extract(tag(*names), r"^\s*([-+]?\d+(?:\.\d+)?)", 1).try_cast("double")
     rows = rings.where(F.element_at("tags", "building").isNotNull()).select(
         F.col("way_id").alias("building_id"),
@@ -134,8 +153,9 @@ def buildings(rings: DataFrame, least_area: float = 5.0) -> DataFrame:
         number("height", "building:height").alias("height"),
         number("min_height").alias("min_height"),
         roof_shape(tag("roof:shape")).alias("roof_shape"),
-        G.square_metres(G.shoelace_area(F.col("ring")), G.vertex_mean(F.col("ring"))["y"]).alias("area"),
+        G.square_metres(G.shoelace_area(F.col("ring")) - holes, G.vertex_mean(F.col("ring"))["y"]).alias("area"),
         "ring",
+        "inners",
     )
     return delineate.height_and_levels(rows.where(F.col("area") >= least_area))
 
@@ -150,7 +170,7 @@ def floor_rows(built: DataFrame, ground: float = 0.0) -> DataFrame:
     )
 
 
-def feature_lines(built: DataFrame) -> DataFrame:
+def feature_lines(built: DataFrame, key: bool = False) -> DataFrame:
     """GeoJSON features as text lines, for df.write.text."""
     coordinates = F.array(F.transform("ring", lambda p: F.array(p["x"], p["y"])))
     feature = F.struct(
@@ -158,7 +178,7 @@ def feature_lines(built: DataFrame) -> DataFrame:
         F.struct(F.lit("Polygon").alias("type"), coordinates.alias("coordinates")).alias("geometry"),
         F.struct("building_id", "name", "building_type", "levels", "height").alias("properties"),
     )
-    return built.select(F.to_json(feature).alias("value"))
+    return built.select(*(["building_id"] if key else []), F.to_json(feature).alias("value"))
 
 
 def wards_of(rows: DataFrame, wards: DataFrame, size: float = 0.05) -> DataFrame:

@@ -11,6 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 #: The states of a job, in the order in which they follow.
 STATES = ("pending", "processing", "completed", "failed")
 
+#: What Spark's messages hold when machines and not rows are at fault.
+LOST = ("ExecutorLostFailure", "FetchFailed", "No space left on device", "cancelled because SparkContext was shut down")
+
 
 def latest_states(log: DataFrame) -> DataFrame:
     """(job_id, status, error, at): the last logged state of each job; at equal times the later state counts."""
@@ -21,7 +24,8 @@ def latest_states(log: DataFrame) -> DataFrame:
 def run_jobs(submissions: DataFrame, work: Callable[[DataFrame], DataFrame], log_path: str, out_path: str, checkpoint: str) -> StreamingQuery:
     """Process a stream of submissions (job_id, …) with `work`, in micro-batches; one log row for each change of state.
 
-    A batch that is tried again overwrites its own folders, so results and log rows stand once.
+    A failure of the work on its rows is the outcome `failed`; lost executors or disks end the stream, which tries the batch
+    again when it is started anew. A batch that is tried again overwrites its own folders, so results and log rows stand once.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
@@ -29,10 +33,13 @@ def run_jobs(submissions: DataFrame, work: Callable[[DataFrame], DataFrame], log
             states = rows.select("job_id", F.lit(status).alias("status"), F.lit(error).cast("string").alias("error"), F.current_timestamp().alias("at"))
             states.write.mode("overwrite").parquet(f"{log_path}/batch={number}/step={STATES.index(status)}")
 
+        log("pending")
         log("processing")
         try:
             work(rows).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
-        except Exception as problem:  # noqa: BLE001: a job's failure is its outcome
+        except Exception as problem:
+            if any(x in str(problem) for x in LOST):
+                raise  # the stream tries the batch again
             log("failed", str(problem)[:500])
         else:
             log("completed")

@@ -219,3 +219,25 @@ def test_synthetic_building_is_the_same_every_time(spark):
     b = synth.building(spark, 1, 20.0, 15.0, 3, points=500).repartition(5)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     assert synth.dataset(spark, 3, points=100).select("cloud_id").distinct().count() == 3
+
+
+def test_synthetic_buildings_hold_every_class_that_is_drawn(spark):
+    told = {r.label for r in synth.building(spark, 1, 20.0, 15.0, 3, points=4000).select("label").distinct().collect()}
+    assert told == {-1, 0, 1, 2, 3, 4, 5, 6, 8}
+    many = synth.dataset(spark, 40, points=500)
+    assert many.groupBy("cloud_id").count().where("count = 500").count() == 40 and "Union" not in many._jdf.queryExecution().executedPlan().toString()
+
+
+def test_relations_of_nested_and_touching_boxes(spark):
+    boxes = [(1, 0, 10, 0, 10, 0, 10), (2, 1, 3, 1, 3, 1, 3), (3, 10, 12, 10, 12, 10, 12), (4, 9, 11, 0, 5, 0, 5), (5, 0, 10, 0, 10, 0, 10), (6, 500, 501, 0, 1, 0, 1)]
+    units = spark.createDataFrame([(s, 7, *map(float, b)) for s, *b in boxes], "suid long, parent_suid long, minx double, maxx double, miny double, maxy double, z_min double, z_max double")
+    got = {(r.suid_1, r.suid_2): r.relation for r in topology.adjacency(units).collect()}
+    assert got == {(1, 2): "contain", (1, 3): "adjacent", (1, 4): "overlap", (1, 5): "contain", (2, 5): "unknown", (3, 5): "adjacent", (4, 5): "overlap"}
+    assert {(r.suid_1, r.suid_2) for r in topology.overlaps(units).collect()} == {(1, 2), (1, 4), (1, 5), (2, 5), (4, 5)}
+
+
+def test_lookup_refuses_two_rows(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k long, v string")
+    assert [r.v for r in features.lookup(rows, "k", 2).collect()] == ["c"] and features.lookup(rows, "k", 3).count() == 0
+    with pytest.raises(Exception, match="more than one row"):
+        features.lookup(rows, "k", 1).collect()

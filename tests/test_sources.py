@@ -44,6 +44,26 @@ def test_buildings_and_floors(elements):
     assert feature["geometry"]["type"] == "Polygon" and feature["properties"]["levels"] == 4
 
 
+def test_relations_become_buildings(elements):
+    rings = osm.way_rings(elements)
+    whole = osm.multipolygons(elements, rings)
+    tagged = whole.withColumn("tags", F.create_map(F.lit("building"), F.lit("office")))
+    by = {r.building_id: r for r in osm.buildings(rings, 0.0, tagged).collect()}
+    assert by[20].building_type == "commercial" and len(by[20].inners) == 1
+    without = osm.buildings(rings, 0.0, tagged.withColumn("inners", F.slice("inners", 1, 0))).where("building_id = 20").first()
+    assert by[20].area < without.area
+    told = json.loads(osm.feature_collection(osm.buildings(rings, 0.0, tagged)).first().value)
+    assert told["type"] == "FeatureCollection" and [f["properties"]["building_id"] for f in told["features"]] == sorted(by)
+
+
+def test_wards_are_read_together(spark, elements, tmp_path):
+    (tmp_path / "a-ward.json").write_text(json.dumps(OSM))
+    (tmp_path / "b-ward.json").write_text("{")
+    (tmp_path / "c-ward.json").write_text(json.dumps(OSM))
+    by = {r.ward: r["count"] for r in osm.union_of_wards(spark, str(tmp_path)).groupBy("ward").count().collect()}
+    assert by == {"a-ward": len(OSM["elements"]), "c-ward": len(OSM["elements"])}
+
+
 def test_query_text():
     assert '(way["building"](18.9,72.8,19.1,72.9);' in osm.overpass_query((72.8, 18.9, 72.9, 19.1))
 
