@@ -19,6 +19,7 @@ _OPERATORS = (
     packing.op8_best_fit_packing,
     quality.op9_quality_gbdt,
     sharding.op10_slot_sharding,
+    licenses.license_base_places,
 )
 
 
@@ -29,6 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_prefix_target_chat": chat.CHAT_SQL,
+        "license_base_places": licenses.BASE_PLACES_SQL,
         "op3_threshold_topk": topk.TOPK_SQL,
         "op5_bottomk_dedup": neardup.NEARDUP_SQL,
     }
