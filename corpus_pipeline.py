@@ -28,11 +28,14 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     Rows are told apart by a number of their own, so rows with equal or null ids are documents like others.
     """
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    found = neardup.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), neardup.PIPELINE_PERCENT)
-    groups = found.select(F.col("doc_id").alias("_row"), "component_id").join(rows.select("_row", "doc_id"), "_row")
-    first = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("first")).select(F.col("first._row").alias("_row"))
-    return rows.join(first, "_row", "left_semi").select(*docs.columns)
+    key = "_row"
+    while key in map(str.lower, docs.columns):
+        key += "_"
+    rows = docs.withColumn(key, F.monotonically_increasing_id())
+    found = neardup.near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), neardup.PIPELINE_PERCENT)
+    groups = found.select(F.col("doc_id").alias(key), "component_id").join(rows.select(key, "doc_id"), key)
+    first = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", key)).alias("first")).select(F.col(f"first.{key}").alias(key))
+    return rows.join(first, key, "left_semi").select(*docs.columns)
 
 
 def keep_clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
