@@ -44,3 +44,16 @@ def test_stages_keep_what_they_should(spark):
     assert {r.doc_id for r in packed} == kept[3]
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()} == kept[3]
     assert neardup.PIPELINE_PERCENT == 80 and quality.THRESHOLD == 0.3 and decontaminate.LEAST_COVERED == 0.5
+
+
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(5, long, 1), (5, long, 2), (3, long + " more", 3), (None, "a b c d e f g", 4), (None, "a b c d e f g", 5), (7, None, 6), (8, "", 7), (8, None, 8), (5, "x y z and other words", 9)]
+    docs = materialize(spark.createDataFrame(rows, "doc_id long, text string, _ROW int").repartition(3), "docs")
+    kept = corpus_pipeline.keep_one_of_each_group(spark, docs, SF)
+    assert kept.columns == docs.columns
+    got = sorted((str(r.doc_id), r.text or "") for r in kept.collect())
+    assert got == sorted([("3", long + " more"), ("None", "a b c d e f g"), ("7", ""), ("8", ""), ("8", ""), ("5", "x y z and other words")])
+    assert corpus_pipeline.keep_one_of_each_group(spark, docs.limit(0), SF).count() == 0
+    packed = corpus_pipeline.pack_sequences(spark, docs, SF).collect()
+    assert len(packed) == 9 and sum(r.length == 1 for r in packed) == 3
