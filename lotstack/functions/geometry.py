@@ -96,12 +96,15 @@ def solid_faces(ring: Column, z_min: Column, z_max: Column) -> Column:
     return F.concat(F.array(lift(ring, z_min), F.reverse(lift(ring, z_max))), F.transform(open_edges, wall))
 
 
-def solid_wkt(ring: Column, z_min: Column, z_max: Column) -> Column:
-    """POLYHEDRALSURFACE Z of a prism; EMPTY for fewer than four vertices."""
+def solid_wkt(ring: Column, z_min: Column, z_max: Column, holes: Column | None = None) -> Column:
+    """POLYHEDRALSURFACE Z of a prism; EMPTY for fewer than four vertices. Each hole adds a bottom, a top and walls of its own."""
     face = lambda f: F.concat(
         F.lit("(("), F.array_join(F.transform(f, lambda p: F.concat_ws(" ", _number(p["x"]), _number(p["y"]), _number(p["z"]))), ", "), F.lit("))")
     )
-    whole = F.concat(F.lit("POLYHEDRALSURFACE Z ("), F.array_join(F.transform(solid_faces(ring, z_min, z_max), face), ", "), F.lit(")"))
+    faces = solid_faces(ring, z_min, z_max)
+    if holes is not None:
+        faces = F.concat(faces, F.flatten(F.transform(F.filter(holes, lambda h: F.size(closed(h)) >= 4), lambda h: solid_faces(h, z_min, z_max))))
+    whole = F.concat(F.lit("POLYHEDRALSURFACE Z ("), F.array_join(F.transform(faces, face), ", "), F.lit(")"))
     return F.when(F.size(closed(ring)) >= 4, whole).otherwise("POLYHEDRALSURFACE Z EMPTY")
 
 
@@ -151,3 +154,52 @@ def web_mercator(lon: Column, lat: Column) -> Column:
     """EPSG:4326 degrees as EPSG:3857 metres."""
     radius = 6378137.0
     return F.struct((F.radians(lon) * radius).alias("x"), (F.log(F.tan(F.radians(lat) / 2 + F.lit(3.141592653589793 / 4))) * radius).alias("y"))
+
+
+def from_web_mercator(x: Column, y: Column) -> Column:
+    """EPSG:3857 metres as EPSG:4326 degrees."""
+    radius = 6378137.0
+    return F.struct(F.degrees(x / radius).alias("lon"), F.degrees(2 * F.atan(F.exp(y / radius)) - F.lit(3.141592653589793 / 2)).alias("lat"))
+
+
+#: The ellipsoid's axis and flattening, the scale on a zone's middle, and the shifts of x and of southern y.
+_AXIS, _FLATTENING, _SCALE, _EAST, _SOUTH = 6378137.0, 1 / 298.257223563, 0.9996, 500_000.0, 10_000_000.0
+_N = _FLATTENING / (2 - _FLATTENING)
+_RADIUS = _AXIS / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+#: Krueger's series to the third power of the third flattening: to the plane, from it, and to the latitude.
+_TO = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16, 13 * _N**2 / 48 - 3 * _N**3 / 5, 61 * _N**3 / 240)
+_FROM = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96, _N**2 / 48 + _N**3 / 15, 17 * _N**3 / 480)
+_LATITUDE = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3, 7 * _N**2 / 3 - 8 * _N**3 / 5, 56 * _N**3 / 15)
+
+
+def utm_zone(lon: Column) -> Column:
+    """The zone of a longitude, 1 to 60; 180 degrees are in the last."""
+    return F.least(F.floor((lon + 180) / 6) + 1, F.lit(60)).cast("int")
+
+
+def utm(lon: Column, lat: Column, zone: Column | int, south: bool = False) -> Column:
+    """EPSG:4326 degrees as metres (x, y) of a UTM zone (EPSG:326zz, in the south 327zz)."""
+    zone = F.lit(zone) if isinstance(zone, int) else zone
+    k = 2 * _N**0.5 / (1 + _N)
+    off, sine = F.radians(lon - (zone * 6 - 183)), F.sin(F.radians(lat))
+    t = F.sinh(F.atanh(sine) - k * F.atanh(k * sine))
+    up, across = F.atan2(t, F.cos(off)), F.atanh(F.sin(off) / F.sqrt(1 + t * t))
+    x = across + sum((a * F.cos(2 * j * up) * F.sinh(2 * j * across) for j, a in enumerate(_TO, 1)), F.lit(0.0))
+    y = up + sum((a * F.sin(2 * j * up) * F.cosh(2 * j * across) for j, a in enumerate(_TO, 1)), F.lit(0.0))
+    return F.struct((x * (_SCALE * _RADIUS) + _EAST).alias("x"), (y * (_SCALE * _RADIUS) + (_SOUTH if south else 0.0)).alias("y"))
+
+
+def from_utm(x: Column, y: Column, zone: Column | int, south: bool = False) -> Column:
+    """Metres of a UTM zone as EPSG:4326 degrees (lon, lat)."""
+    zone = F.lit(zone) if isinstance(zone, int) else zone
+    up, across = (y - (_SOUTH if south else 0.0)) / (_SCALE * _RADIUS), (x - _EAST) / (_SCALE * _RADIUS)
+    u = up - sum((b * F.sin(2 * j * up) * F.cosh(2 * j * across) for j, b in enumerate(_FROM, 1)), F.lit(0.0))
+    v = across - sum((b * F.cos(2 * j * up) * F.sinh(2 * j * across) for j, b in enumerate(_FROM, 1)), F.lit(0.0))
+    c = F.asin(F.sin(u) / F.cosh(v))
+    lat = c + sum((d * F.sin(2 * j * c) for j, d in enumerate(_LATITUDE, 1)), F.lit(0.0))
+    return F.struct((F.degrees(F.atan2(F.sinh(v), F.cos(u))) + (zone * 6 - 183)).alias("lon"), F.degrees(lat).alias("lat"))
+
+
+def pairs_ring(ring: Column) -> Column:
+    """An array of [x, y] as a ring of points."""
+    return F.transform(ring, lambda p: point(F.get(p, F.lit(0)), F.get(p, F.lit(1))))

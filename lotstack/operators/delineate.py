@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lotstack.functions import geometry as G
 from lotstack.functions import kernel
+from lotstack.functions.binding import let
 
 
 def units_per_floor(type: Column, area: Column) -> Column:
@@ -228,3 +229,66 @@ def quick_building(buildings: DataFrame, ground: float = 0.0, storey: float = 3.
     split = split_floors(floors_.withColumn("z_min", F.lit(ground) + F.col("level") * storey))
     number = F.col("unit_index") + (F.col("quadrant") * F.col("n_units") if mode == "intent" else F.lit(0))
     return split.withColumn("z_max", F.col("z_min") + storey).withColumn("unit_index", number)
+
+
+def ordered_floors(polygons: DataFrame, storey: float = 3.0) -> DataFrame:
+    """Floor polygons (building_id, z_base, level, ord) with `place`: their order in the building by base, or by level where
+    a base is missing; equal ones keep theirs."""
+    base = F.coalesce(F.col("z_base"), F.coalesce(F.col("level"), F.lit(0)) * storey)
+    return polygons.withColumn("place", F.row_number().over(Window.partitionBy("building_id").orderBy(base, "ord")) - 1)
+
+
+def split_rings(floor_rows: DataFrame, least_area: float = 1.0) -> DataFrame:
+    """Units of floors of any shape (ring: array of [x, y]; n_units, layout): (…, unit_index, ring, area) above an area.
+
+    Grid and corridor cells of the ring's box are cut by the ring; a perimeter layout takes sectors about its middle; any
+    other takes the whole floor.
+    """
+    shape = G.pairs_ring(F.col("ring"))
+    side = lambda f, k: f(F.transform(shape, lambda p: p[k]))
+    box = [side(F.array_min, "x"), side(F.array_min, "y"), side(F.array_max, "x"), side(F.array_max, "y")]
+    names = ("minx", "miny", "maxx", "maxy")
+    kept = [c for c in floor_rows.columns if c != "ring"]
+    boxed = floor_rows.select(*kept, F.col("ring").alias("whole"), *(b.alias(f"_{n}") for b, n in zip(box, names)))
+    ends = [F.col(f"_{n}") for n in names]
+    cells = F.when(F.col("layout") == "grid", grid_cells(F.col("n_units"), *ends)).when(F.col("layout") == "corridor", corridor_cells(F.col("n_units"), *ends))
+    celled = boxed.where(F.col("layout").isin("grid", "corridor")).select(*kept, "whole", F.explode(cells).alias("c"))
+    cut = celled.select(*kept, (F.col("c.cell") + 1).alias("unit_index"), clipped_rings("whole", *(F.col(f"c.{n}") for n in names)).alias("ring"))
+    around = boxed.where(F.col("layout") == "perimeter").select(*kept, F.posexplode(sector_rings("whole", "n_units")).alias("_p", "ring"))
+    around = around.select(*kept, (F.col("_p") + 1).alias("unit_index"), "ring")
+    other = boxed.where(F.coalesce(~F.col("layout").isin("grid", "corridor", "perimeter"), F.lit(True))).select(*kept, F.lit(1).alias("unit_index"), F.col("whole").alias("ring"))
+    return cut.unionByName(around).unionByName(other).withColumn("area", G.shoelace_area(G.pairs_ring(F.col("ring")))).where(F.col("area") > least_area)
+
+
+def extrude_rings(buildings: DataFrame, ground: float = 0.0, storey: float = 3.0) -> DataFrame:
+    """Volumetric units (suid, parent, type, label, floor_level, z_min, z_max, geometry, metadata) of footprints of any shape.
+
+    buildings: (building_id, levels, n_units, layout, building_type, ring, holes), holes as rings of [x, y] or null. A building's
+    parcel, solid and floors have its holes; a footprint without area has no units at all.
+    """
+    shape = lambda: G.pairs_ring(F.col("ring"))
+    b = buildings.where((F.size("ring") >= 3) & (G.shoelace_area(shape()) > 0) & (F.col("levels") > 0))
+    b = b.withColumn("holes", F.coalesce("holes", F.array().cast("array<array<array<double>>>")))
+    name, top = F.col("building_id").cast("string"), F.lit(ground) + F.col("levels") * storey
+    each = b.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("levels") - 1))).withColumn("z0", F.lit(ground) + F.col("level") * storey)
+    level = F.col("level").cast("string")
+    parcel, building, floor = F.concat(F.lit("parcel-"), name), F.concat(F.lit("building-"), name), F.concat(F.lit("floor-"), name, F.lit("-L"), level)
+    unit = F.concat(F.lit("unit-"), name, F.lit("-L"), level, F.lit("-"), F.lpad(F.col("unit_index").cast("string"), 4, "0"))
+    own = F.create_map(F.lit("building_id"), name)
+
+    def rows(df: DataFrame, kind: str, suid: Column, parent: Column, label: Column, at: Column, lo: Column, hi: Column) -> DataFrame:
+        holes = None if kind == "unit" else F.transform("holes", G.pairs_ring)
+        told = F.map_concat(own, F.create_map(F.lit("unit_type"), F.col("building_type"))) if kind == "unit" else own
+        solid = let(shape(), lambda ring: G.solid_wkt(ring, lo.cast("double"), hi.cast("double"), holes))
+        return df.select(
+            suid.alias("suid"), parent.alias("parent"), F.lit(kind).alias("type"), label.alias("label"), at.cast("int").alias("floor_level"),
+            lo.cast("double").alias("z_min"), hi.cast("double").alias("z_max"), solid.alias("geometry"), told.alias("metadata"),
+        )
+
+    z0, number = F.col("z0"), F.col("unit_index").cast("string")
+    return (
+        rows(b, "parcel", parcel, F.lit(None).cast("string"), F.concat(F.lit("Parcel "), name), F.lit(0), F.lit(ground), top)
+        .unionByName(rows(b, "building", building, parcel, F.concat(F.lit("Building "), name), F.lit(0), F.lit(ground), top))
+        .unionByName(rows(each, "floor", floor, building, F.concat(F.lit("Floor "), level), F.col("level"), z0, z0 + storey))
+        .unionByName(rows(split_rings(each), "unit", unit, floor, F.concat(F.lit("Unit "), number), F.col("level"), z0, z0 + storey))
+    )

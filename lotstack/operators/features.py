@@ -188,3 +188,9 @@ def tileset(units: DataFrame, error: float = 500.0) -> DataFrame:
     root = F.struct(F.struct(box.alias("box")).alias("boundingVolume"), F.lit(error / 10).alias("geometricError"), F.lit("ADD").alias("refine"))
     text = F.to_json(F.struct(F.struct(F.lit("1.0").alias("version")).alias("asset"), F.lit(error).alias("geometricError"), root.alias("root")))
     return bounds(units).select(text.alias("tileset"))
+
+
+def selected_json(units: DataFrame, code: str = "code") -> DataFrame:
+    """(suid, value): the six properties of a unit that a selection exports, as JSON, nulls kept."""
+    told = F.struct(F.col(code).cast("string").alias("uln"), "label", "type", "floor_level", "z_min", "z_max")
+    return units.select("suid", F.to_json(told, {"ignoreNullFields": "false"}).alias("value"))

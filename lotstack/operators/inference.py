@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotstack.functions.binding import let
+from lotstack.operators.pointcloud import levels_with_outlines, quantiles
+from lotstack.sources.points import byte_colours
 
 
 #: Classes of the floor model with their training weights.
@@ -104,7 +106,7 @@ def onnx_model(path: str, name: str = "input") -> Callable[[np.ndarray], np.ndar
 
 def normalised_bands(cells: DataFrame) -> DataFrame:
     """Raster cells (img_id, c, y, x, v) with v clipped to its band's 2nd and 98th percentiles and scaled to 0 to 1."""
-    bounds = cells.groupBy("img_id", "c").agg(F.percentile("v", 0.02).alias("lo"), F.percentile("v", 0.98).alias("hi"))
+    bounds = quantiles(cells, ("img_id", "c"), "v", {"lo": 0.02, "hi": 0.98})
     scaled = (F.least(F.greatest(F.col("v"), F.col("lo")), F.col("hi")) - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-8)
     return cells.join(bounds, ["img_id", "c"]).select("img_id", "c", "y", "x", scaled.alias("v"))
 
@@ -160,3 +162,108 @@ def augmented(points: DataFrame, angle: float, scale: float, flip: bool = False)
     x, y = F.col("x") * (-1.0 if flip else 1.0), F.col("y")
     c, s = F.cos(F.lit(angle)), F.sin(F.lit(angle))
     return points.withColumns({"x": (x * c - y * s) * scale, "y": (x * s + y * c) * scale, "z": F.col("z") * scale})
+
+
+def tile_rows(points: DataFrame, tile: int = 8192) -> DataFrame:
+    """`points` (cloud_id, place, …) once for each half-overlapping window, with tile_id, at and padded.
+
+    A window of fewer points than a tile repeats its first ones until it is full; those shorter than a quarter tile are left out.
+    """
+    half = tile // 2
+    sizes = points.groupBy("cloud_id").agg(F.count("*").alias("_n"))
+    first = F.greatest(F.floor((F.col("place") - tile) / half) + 1, F.lit(0))
+    start = F.explode(F.transform(F.sequence(first, F.floor(F.col("place") / half)), lambda k: k * half))
+    own = points.join(sizes, "cloud_id").withColumn("_start", start).withColumn("_m", F.least(F.lit(tile), F.col("_n") - F.col("_start")))
+    again = F.sequence(F.col("place") - F.col("_start"), F.lit(tile - 1).cast("long"), F.col("_m"))
+    return (
+        own.where(F.col("_m") * 4 >= tile)
+        .withColumn("at", F.explode(again)).withColumn("padded", F.col("at") >= F.col("_m"))
+        .withColumn("tile_id", F.concat_ws("-", "cloud_id", "_start")).drop("_n", "_m", "_start")
+    )
+
+
+def segmented(points: DataFrame, model: Callable[[np.ndarray], np.ndarray], tile: int = 8192) -> DataFrame:
+    """(pt_id, class) of clouds (cloud_id, pt_id, place, x, y, z, r, g, b): tiles through the model, and the best average."""
+    return voted_class(points, votes(predicted(tile_rows(points, tile), model)))
+
+
+def levels_of_scan(scan: DataFrame, model: Callable[[np.ndarray], np.ndarray], tile: int = 8192, **delineation) -> DataFrame:
+    """(cloud_id, level, z, cluster, area) of scanned points (file, cloud_id, pt_id, place, …): colours as bytes, classes by the
+    model, and the levels of its floor slabs."""
+    found = segmented(byte_colours(scan), model, tile)
+    return levels_with_outlines(scan.drop("classification").join(found.withColumnRenamed("class", "classification"), "pt_id"), **delineation)
+
+
+def model_status(spark: SparkSession, models: dict[str, str]) -> DataFrame:
+    """(model, path, there): whether the file of each model is in the store that Spark sees."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def there(path: str) -> bool:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(conf).exists(where)
+
+    return spark.createDataFrame([(name, path, there(path)) for name, path in models.items()], "model string, path string, there boolean")
+
+
+def reflected(cells: DataFrame, size: int = 256, overlap: int = 32) -> DataFrame:
+    """Raster cells with their mirror images to the right and below, so that whole patches cover the raster (height, width
+    are its own size). Edges are not doubled; an image smaller than its margin is mirrored again."""
+    step = size - overlap
+    sizes = cells.groupBy("img_id").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))
+    whole = lambda n: F.when(F.col(n) <= size, F.lit(size)).otherwise(F.ceil((F.col(n) - size) / step) * step + size).cast("int")
+
+    def images(v: str, n: str) -> Column:
+        period = F.greatest(2 * (F.col(n) - 1), F.lit(1))
+        there = F.sequence(F.col(v), whole(n) - 1, period)
+        back = F.when((F.col(v) > 0) & (F.col(v) < F.col(n) - 1) & (period - F.col(v) < whole(n)), F.sequence(period - F.col(v), whole(n) - 1, period))
+        return F.explode(F.concat(there, F.coalesce(back, F.array().cast("array<int>"))))
+
+    both = cells.withColumns({"y": F.col("y").cast("int"), "x": F.col("x").cast("int")}).join(sizes.select("img_id", F.col("height").cast("int"), F.col("width").cast("int")), "img_id")
+    return both.withColumn("y", images("y", "height")).withColumn("x", images("x", "width"))
+
+
+def uncropped(scores: DataFrame) -> DataFrame:
+    """Averaged patch scores (img_id, height, width, y, x, score) of the raster itself: what `reflected` added is cut off."""
+    return averaged_cells(scores.where((F.col("y") < F.col("height")) & (F.col("x") < F.col("width"))))
+
+
+def prepared(points: DataFrame) -> DataFrame:
+    """Points centred on their cloud's mean, with colours of 0 to 1: those of clouds that go beyond 1 are divided by 255."""
+    of = points.groupBy("cloud_id").agg(*(F.avg(k).alias(f"_{k}") for k in "xyz"), F.max(F.greatest("r", "g", "b")).alias("_top"))
+    colour = lambda k: F.when(F.col("_top") > 1, F.col(k) / 255).otherwise(F.col(k))
+    moved = {k: F.col(k) - F.col(f"_{k}") for k in "xyz"} | {k: colour(k) for k in "rgb"}
+    return points.join(of, "cloud_id").withColumns(moved).drop("_x", "_y", "_z", "_top")
+
+
+def _uniform(seed: int, *columns: str) -> Column:
+    """A number of (0, 1) by a hash: the same on every run."""
+    return (F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+
+
+def jittered(points: DataFrame, deviation: float = 0.01, seed: int = 0) -> DataFrame:
+    """Coordinates with normal noise (Box and Muller), drawn from the point's id."""
+    noise = lambda k: F.sqrt(-2 * F.log(_uniform(seed * 6 + k, "pt_id"))) * F.cos(2 * 3.141592653589793 * _uniform(seed * 6 + k + 3, "pt_id")) * deviation
+    return points.withColumns({name: F.col(name) + noise(k) for k, name in enumerate("xyz")})
+
+
+def thinned(points: DataFrame, share: float = 0.1, seed: int = 0) -> DataFrame:
+    """Points without a share of them, drawn by id (an augmentation; `sampled` fills clouds up again)."""
+    return points.where(_uniform(seed, "pt_id") > share)
+
+
+def turned_raster(cells: DataFrame, height: int, width: int, quarters: int = 0, flip_y: bool = False, flip_x: bool = False) -> DataFrame:
+    """Raster cells mirrored, then turned by quarters against the clock."""
+    y = height - 1 - F.col("y") if flip_y else F.col("y")
+    x = width - 1 - F.col("x") if flip_x else F.col("x")
+    for _ in range(quarters % 4):
+        y, x, height, width = width - 1 - x, y, width, height
+    return cells.withColumns({"y": y, "x": x})
+
+
+def cropped(cells: DataFrame, size: int, seed: int = 0) -> DataFrame:
+    """A square of each raster, whose corner a hash of its id draws; rasters no larger than it stay whole."""
+    sizes = cells.groupBy("img_id").agg((F.max("y") + 1).alias("_h"), (F.max("x") + 1).alias("_w"))
+    larger = (F.col("_h") > size) & (F.col("_w") > size)
+    corner = lambda n, k: F.when(larger, F.floor(_uniform(seed * 2 + k, "img_id") * (F.col(n) - size + 1))).otherwise(0)
+    placed = cells.join(sizes, "img_id").withColumn("y", F.col("y") - corner("_h", 0)).withColumn("x", F.col("x") - corner("_w", 1))
+    return placed.where(~larger | (F.col("y").between(0, size - 1) & F.col("x").between(0, size - 1))).drop("_h", "_w")

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotstack.functions import geometry as G
 from lotstack.functions import kernel
 from lotstack.operators.graph import components
 from lotstack.plans.tables import materialize
@@ -24,6 +25,58 @@ def classified(points: DataFrame, low: int, high: int | None = None) -> DataFram
     return points.where(F.col("classification").between(low, low if high is None else high))
 
 
+def in_ranges(points: DataFrame, **ranges: tuple[float | None, float | None]) -> DataFrame:
+    """Points whose columns lie in ranges, ends included; None is no end, and a null lies in no range."""
+    for name, (low, high) in ranges.items():
+        if low is not None:
+            points = points.where(F.col(name) >= low)
+        if high is not None:
+            points = points.where(F.col(name) <= high)
+    return points
+
+
+def quantiles(rows: DataFrame, key: tuple[str, ...], value: str, shares: dict[str, float], bins: int = 1024) -> DataFrame:
+    """(key…, one column for each of `shares`): exact quantiles of each group, between ranks in proportion.
+
+    A histogram of a group's range tells the bins that hold the ranks wanted; only the values of those bins are counted
+    one by one. So a group is no task's: what comes out of it is a bounded number of bins, and the different values of a few.
+    """
+    own = rows.where(F.col(value).isNotNull()).select(*key, F.col(value).cast("double").alias("_v"))
+    span = own.groupBy(*key).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
+    step = (F.col("_hi") - F.col("_lo")) / bins
+    at = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_v") - F.col("_lo")) / step), F.lit(bins - 1))).otherwise(0).cast("int")
+    binned = own.join(span, [*key]).withColumn("_bin", at)
+    ranks = F.array(*(F.struct(F.lit(name).alias("name"), (F.lit(share) * (F.col("_n") - 1)).alias("rank")) for name, share in shares.items()))
+    upto = Window.partitionBy(*key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = binned.groupBy(*key, "_bin").agg(F.count("*").alias("_m"), F.first("_n").alias("_n")).withColumn("_upto", F.sum("_m").over(upto))
+    holds = F.exists(ranks, lambda r: (F.ceil(r["rank"]) >= F.col("_upto") - F.col("_m")) & (F.floor(r["rank"]) < F.col("_upto")))
+    chosen = counted.where(holds).select(*key, "_bin", (F.col("_upto") - F.col("_m")).alias("_before"))
+    in_bin = Window.partitionBy(*key, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    values = binned.groupBy(*key, "_bin", "_v").agg(F.count("*").alias("_m"), F.first("_n").alias("_n")).join(chosen, [*key, "_bin"])
+    values = values.withColumn("_upto", F.sum("_m").over(in_bin) + F.col("_before")).withColumn("_from", F.col("_upto") - F.col("_m"))
+
+    def quantile(share: float):
+        rank = F.lit(share) * (F.col("_n") - 1)
+        value_at = lambda r: F.max(F.when((r >= F.col("_from")) & (r < F.col("_upto")), F.col("_v")))
+        low, high, part = value_at(F.floor(rank)), value_at(F.ceil(rank)), F.max(rank - F.floor(rank))
+        return F.when(part == 0, low).otherwise((1 - part) * low + part * high)
+
+    return values.groupBy(*key).agg(*(quantile(share).alias(name) for name, share in shares.items()))
+
+
+def filled(cells: DataFrame, window: int = 3) -> DataFrame:
+    """A grid (cx, cy, z) with its holes: an empty cell takes the inverse-square mean of the cells at most `window` away along
+    either axis, if there are any. Holes lie within the grid's box."""
+    steps = F.sequence(F.lit(-window), F.lit(window))
+    around = F.flatten(F.transform(steps, lambda i: F.transform(steps, lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    box = cells.agg(F.min("cx").alias("x1"), F.max("cx").alias("x2"), F.min("cy").alias("y1"), F.max("cy").alias("y2"))
+    near = cells.withColumn("d", F.explode(around)).select((F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"), "z", (F.col("d.i") * F.col("d.i") + F.col("d.j") * F.col("d.j")).alias("far"))
+    weight = F.when(F.col("far") > 0, 1 / F.col("far"))
+    met = near.groupBy("cx", "cy").agg(F.max(F.when(F.col("far") == 0, F.col("z"))).alias("own"), (F.sum(F.col("z") * weight) / F.sum(weight)).alias("mean"))
+    inside = F.col("cx").between(F.col("x1"), F.col("x2")) & F.col("cy").between(F.col("y1"), F.col("y2"))
+    return met.join(F.broadcast(box), inside).select("cx", "cy", F.coalesce("own", "mean").alias("z"), F.col("own").isNull().alias("hole"))
+
+
 def surface_max(points: DataFrame, size: float = 1.0) -> DataFrame:
     """The highest first return of each cell."""
     return points.where("return_number = 1").groupBy(cell(F.col("x"), size).alias("cx"), cell(F.col("y"), size).alias("cy")).agg(F.max("z").alias("z"))
@@ -101,13 +154,24 @@ def canopy(points: DataFrame, size: float = 0.5, least: float = 0.5, ground: int
 
 
 def outliers_by_radius(points: DataFrame, radius: float = 1.0, least: int = 5) -> DataFrame:
-    """(pt_id, neighbours) of points with fewer than `least` others of their cloud within the radius in space."""
-    own = points.withColumn("cx", cell(F.col("x"), radius)).withColumn("cy", cell(F.col("y"), radius)).alias("a")
-    b = _around(points, radius).alias("b")
+    """(pt_id, neighbours) of points with fewer than `least` others of their cloud within the radius in space.
+
+    Points that share a cube whose diagonal is the radius are neighbours: in a cube of more than `least` none is an outlier,
+    so only the points of emptier cubes, few in each, meet those around them.
+    """
+    side = radius / 3**0.5
+    cubes = {f"c{d}": F.floor(F.col(d) / (side * (1 - 1e-9))) for d in "xyz"}
+    held = points.select("cloud_id", "pt_id", *"xyz").withColumns(cubes)
+    full = held.groupBy("cloud_id", *cubes).agg(F.count("*").alias("n")).where(F.col("n") > least).drop("n")
+    sparse = held.join(full, ["cloud_id", *cubes], "left_anti").select("cloud_id", "pt_id", *"xyz")
+    own = sparse.withColumn("cx", cell(F.col("x"), radius)).withColumn("cy", cell(F.col("y"), radius)).withColumn("cz", cell(F.col("z"), radius))
+    up = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    others = _around(points.select("cloud_id", "pt_id", *"xyz"), radius).withColumn("k", up).withColumn("cz", cell(F.col("z"), radius) + F.col("k"))
+    a, b = own.alias("a"), others.alias("b")
     far = sum(((F.col(f"a.{d}") - F.col(f"b.{d}")) * (F.col(f"a.{d}") - F.col(f"b.{d}")) for d in "yz"), (F.col("a.x") - F.col("b.x")) * (F.col("a.x") - F.col("b.x")))
-    on = (F.col("a.cloud_id") == F.col("b.cloud_id")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.pt_id") != F.col("b.pt_id")) & (far <= radius * radius)
-    counted = own.join(b, on).groupBy(F.col("a.pt_id").alias("pt_id")).agg(F.count("*").alias("n"))
-    return points.select("pt_id").join(counted, "pt_id", "left").select("pt_id", F.coalesce("n", F.lit(0)).alias("neighbours")).where(F.col("neighbours") < least)
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("cloud_id", "cx", "cy", "cz")]
+    counted = a.join(b, [*same, (F.col("a.pt_id") != F.col("b.pt_id")) & (far <= radius * radius)]).groupBy(F.col("a.pt_id").alias("pt_id")).agg(F.count("*").alias("n"))
+    return sparse.select("pt_id").join(counted, "pt_id", "left").select("pt_id", F.coalesce("n", F.lit(0)).alias("neighbours")).where(F.col("neighbours") < least)
 
 
 def outliers_by_distance(points: DataFrame, k: int = 8, multiplier: float = 2.0, size: float | None = None) -> DataFrame:
@@ -221,15 +285,18 @@ def hulls(points: DataFrame, key: str, salts: int = 16) -> DataFrame:
     return stats.join(outlines, key)
 
 
-def footprints(points: DataFrame, classification: int = 6, eps: float = 2.0, least: int = 20, least_area: float = 20.0) -> DataFrame:
-    """Building outlines: clusters of a class with their hulls, above an area."""
+def footprints(points: DataFrame, classification: int = 6, eps: float = 2.0, least: int = 20, least_area: float = 20.0, least_height: float | None = None) -> DataFrame:
+    """Building outlines: clusters of a class, of points so high above ground if wanted, with their hulls, above an area."""
     own = classified(points, classification)
+    if least_height is not None:
+        tall = in_ranges(height_above_ground(points), height=(least_height, None))
+        own = materialize(own.join(tall.select("pt_id"), "pt_id", "left_semi"), "tall")
     return hulls(own.join(dbscan(own, eps, least), "pt_id"), "cluster").where(F.col("area") > least_area)
 
 
 def floor_segments(points: DataFrame, storey: float = 3.0) -> DataFrame:
     """(pt_id, floor): whole storeys above the 5th percentile of heights of the cloud; below it -1."""
-    base = points.groupBy("cloud_id").agg(F.percentile("z", 0.05).alias("base"))
+    base = quantiles(points, ("cloud_id",), "z", {"base": 0.05})
     floor = F.floor((F.col("z") - F.col("base")) / storey)
     return points.join(base, "cloud_id").select("cloud_id", "pt_id", F.when(floor < 0, -1).otherwise(floor).cast("int").alias("floor"))
 
@@ -315,11 +382,15 @@ def interpolated(queries: DataFrame, points: DataFrame, value: str = "z", k: int
     return near.groupBy("query_id").agg((F.sum(F.col("_v") * weight) / F.sum(weight)).alias("value"))
 
 
-def process(points: DataFrame, size: float = 1.0) -> dict[str, DataFrame]:
+def process(points: DataFrame, size: float = 1.0, zone: int | None = None, window: int = 3) -> dict[str, DataFrame]:
     """The whole chain: denoised points, ground classes, terrain, surface, canopy and building outlines.
 
-    Ground classes feed the steps after them; the classified points are written once and read by each.
+    With a zone, x and y are degrees, and become metres of that UTM zone first. Ground classes feed the steps after them;
+    the classified points are written once and read by each. Holes of terrain and surface are filled.
     """
+    if zone is not None:
+        metres = G.utm(F.col("x"), F.col("y"), zone)
+        points = points.withColumns({"x": metres["x"], "y": metres["y"]})
     noise = outliers_by_distance(points).select("pt_id")
     clean = materialize(points.join(noise, "pt_id", "left_anti"), "clean")
     ground = ground_filter(clean, size)
@@ -327,19 +398,22 @@ def process(points: DataFrame, size: float = 1.0) -> dict[str, DataFrame]:
     marked = materialize(marked, "classified")
     return {
         "points": marked,
-        "terrain": terrain_idw(marked, size),
-        "surface": surface_max(marked, size),
+        "terrain": filled(terrain_idw(marked, size), window),
+        "surface": filled(surface_max(marked, size), window),
         "canopy": canopy(marked, size / 2),
-        "buildings": footprints(marked),
+        "buildings": footprints(marked, least_height=3.0),
     }
 
 
-def levels_with_outlines(points: DataFrame, slab: int = 2, half: float = 0.1, eps: float = 3.0, least: int = 30, least_area: float = 5.0) -> DataFrame:
+def levels_with_outlines(points: DataFrame, slab: int = 2, half: float = 0.1, eps: float = 3.0, least: int = 30, least_area: float = 5.0, least_slab: int = 100) -> DataFrame:
     """(cloud_id, level, z, cluster, area): storeys found as height clusters of slab points, with their outlines.
 
-    Levels count from 0 by height; an outline is the hull of a plan cluster of the points near a level's middle.
+    Levels count from 0 by height; an outline is the hull of a plan cluster of the points near a level's middle. A cloud
+    with fewer slab points than `least_slab` has no levels.
     """
     slabs = points.where(F.col("classification") == slab)
+    enough = slabs.groupBy("cloud_id").agg(F.count("*").alias("n")).where(F.col("n") >= least_slab)
+    slabs = slabs.join(enough.select("cloud_id"), "cloud_id", "left_semi")
     found = clusters_in_height(slabs)
     levels = found.select("cloud_id", ((F.col("low") + F.col("high")) / 2).alias("level_z")).withColumn(
         "level", F.row_number().over(Window.partitionBy("cloud_id").orderBy("level_z")) - 1

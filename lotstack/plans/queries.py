@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotstack.functions import geometry as G
@@ -342,14 +342,58 @@ def face_index(t: Tables) -> DataFrame:
     return faces.agg(F.count("*").alias("faces"), F.countDistinct("tet").alias("solids"))
 
 
-@query(None)
+_CORNERS = """corners AS (SELECT suid, parent_suid, {'x': minx, 'y': miny, 'z': z_min} AS a, {'x': minx + 4, 'y': miny, 'z': z_min} AS b, {'x': minx, 'y': miny + 6, 'z': z_min} AS c,
+  {'x': minx, 'y': miny, 'z': z_min + 3} AS d, {'x': minx, 'y': miny, 'z': z_min - 3} AS e FROM spatial_units),
+tets AS (SELECT suid * 2 AS tet, suid AS unit, parent_suid, 0 AS k, [a, b, c, d] AS v FROM corners UNION ALL SELECT suid * 2 + 1, suid, parent_suid, 1, [a, c, b, e] FROM corners),
+faces AS (SELECT *, list_sort(corners) AS face_key FROM (SELECT tet, unit, parent_suid, k, unnest([[v[1], v[2], v[3]], [v[1], v[2], v[4]], [v[1], v[3], v[4]], [v[2], v[3], v[4]]]) AS corners FROM tets))"""
+_CROSS = """(corners[2].y - corners[1].y) * (corners[3].z - corners[1].z) - (corners[2].z - corners[1].z) * (corners[3].y - corners[1].y) AS nx,
+  (corners[2].z - corners[1].z) * (corners[3].x - corners[1].x) - (corners[2].x - corners[1].x) * (corners[3].z - corners[1].z) AS ny,
+  (corners[2].x - corners[1].x) * (corners[3].y - corners[1].y) - (corners[2].y - corners[1].y) * (corners[3].x - corners[1].x) AS nz"""
+
+
+@query(f"""WITH {_CORNERS}, used AS (SELECT face_key, count(*) AS uses FROM faces GROUP BY 1 HAVING count(*) > 1),
+  n AS (SELECT tet, concat(cast(unit AS string), '-', cast(k AS string)) AS suid, face_key, uses, {_CROSS} FROM faces JOIN used USING (face_key))
+SELECT a.suid AS suid_1, b.suid AS suid_2, CASE WHEN a.uses = 2 THEN 'adjacent' ELSE 'overlap' END AS relation, CASE WHEN a.uses = 2 THEN 'info' ELSE 'error' END AS severity
+FROM n a JOIN n b ON a.face_key = b.face_key AND a.tet < b.tet
+WHERE a.uses > 2 OR (a.nx * b.nx + a.ny * b.ny + a.nz * b.nz) / (sqrt(a.nx ** 2 + a.ny ** 2 + a.nz ** 2) * sqrt(b.nx ** 2 + b.ny ** 2 + b.nz ** 2)) < -0.5""")
 def shared_faces(t: Tables) -> DataFrame:
     return topology.shared_faces(topology.tetra_faces(_tetrahedra(t))).drop("face_key")
 
 
-@query(None)
+def _of_parcels(t: Tables) -> DataFrame:
+    """The tetrahedra, named so that those of one parcel have one key."""
+    parcels = t.view("spatial_units").select((F.col("suid") * 2).alias("even"), "parent_suid")
+    named = _tetrahedra(t).withColumn("even", F.col("tet") - F.col("tet") % 2).join(parcels, "even")
+    return named.withColumn("suid", F.concat_ws("-", "parent_suid", "suid")).select("tet", "suid", "vertices")
+
+
+@query(f"""WITH {_CORNERS}, z AS (SELECT *, least(corners[1].z, corners[2].z, corners[3].z) AS lo, greatest(corners[1].z, corners[2].z, corners[3].z) AS hi FROM faces),
+  once AS (SELECT face_key FROM z GROUP BY 1 HAVING count(*) = 1), p AS (SELECT parent_suid, min(lo) AS low, max(hi) AS high FROM z GROUP BY 1)
+SELECT concat(cast(parent_suid AS string), '-', cast(unit AS string), '-', cast(k AS string)) AS suid, 'gap' AS relation, 'warning' AS severity
+FROM z JOIN once USING (face_key) JOIN p USING (parent_suid) WHERE lo > low + 0.01 AND hi < high - 0.01""")
 def manifold_gaps(t: Tables) -> DataFrame:
-    return topology.manifold_gaps(topology.tetra_faces(_tetrahedra(t))).drop("face_key")
+    return topology.manifold_gaps(topology.tetra_faces(_of_parcels(t))).drop("face_key")
+
+
+@query(f"""WITH {_CORNERS}, e AS (SELECT unit, unnest([list_sort([corners[1], corners[2]]), list_sort([corners[2], corners[3]]), list_sort([corners[1], corners[3]])]) AS edge FROM faces),
+  n AS (SELECT unit, edge, count(*) AS uses FROM e GROUP BY 1, 2 HAVING count(*) > 2)
+SELECT cast(unit AS string) AS suid, count(*) AS edges, cast(sum(uses) AS bigint) AS uses FROM n GROUP BY 1""")
+def over_used_edges(t: Tables) -> DataFrame:
+    whole = _tetrahedra(t).withColumn("suid", F.floor(F.col("tet") / 2).cast("string"))
+    return topology.over_used_edges(topology.tetra_faces(whole)).groupBy("suid").agg(F.count("*").alias("edges"), F.sum("uses").alias("uses"))
+
+
+_XYZ = "cast(v[{0}].x AS string), ' ', cast(v[{0}].y AS string), ' ', cast(v[{0}].z AS string)"
+
+
+@query(f"""WITH {_CORNERS} SELECT tet, concat('TRIANGLE Z ((', {_XYZ.format(1)}, ', ', {_XYZ.format(2)}, ', ', {_XYZ.format(3)}, ', ', {_XYZ.format(1)}, '))') AS wkt FROM tets""")
+def face_wkt(t: Tables) -> DataFrame:
+    return _tetrahedra(t).select("tet", G.triangle_wkt(F.slice("vertices", 1, 3)).alias("wkt"))
+
+
+@query(None)
+def all_rules(t: Tables) -> DataFrame:
+    return topology.validate(_of_parcels(t).withColumnRenamed("tet", "ord"))
 
 
 # --- geometry and delineation -----------------------------------------------------------------
@@ -476,15 +520,78 @@ def unit_bounds(t: Tables) -> DataFrame:
     return features.bounds(t.view("spatial_units"))
 
 
-@query(None)
+@query("""WITH b AS (SELECT min(minx) AS x1, max(maxx) AS x2, min(miny) AS y1, max(maxy) AS y2, min(z_min) AS z1, max(z_max) AS z2 FROM spatial_units)
+SELECT concat('{"asset":{"version":"1.0"},"geometricError":500.0,"root":{"boundingVolume":{"box":[', array_to_string([(x1 + x2) / 2, (y1 + y2) / 2, (z1 + z2) / 2, (x2 - x1) / 2, 0.0, 0.0, 0.0, (y2 - y1) / 2, 0.0, 0.0, 0.0, (z2 - z1) / 2], ','),
+  ']},"geometricError":50.0,"refine":"ADD"}}') AS tileset FROM b""")
 def tileset(t: Tables) -> DataFrame:
     return features.tileset(t.view("spatial_units"))
 
 
-@query(None)
+@query("SELECT suid, concat('{\"uln\":\"', cast(suid * 7 AS string), '\",\"label\":\"Unit ', cast(suid AS string), '\",\"type\":\"', type, '\",\"floor_level\":', cast(floor_level AS string), ',\"z_min\":', cast(z_min AS string), ',\"z_max\":', cast(z_max AS string), '}') AS value FROM spatial_units")
+def selected_units(t: Tables) -> DataFrame:
+    u = t.view("spatial_units")
+    return features.selected_json(u.withColumn("code", F.col("suid") * 7).withColumn("label", F.concat(F.lit("Unit "), F.col("suid").cast("string"))))
+
+
+@query("""SELECT suid, row_number() OVER (PARTITION BY parent_suid ORDER BY coalesce(CASE WHEN suid % 3 > 0 THEN z_max END, floor_level * 3.0E0), suid) - 1 AS place FROM spatial_units""")
+def floor_order(t: Tables) -> DataFrame:
+    rows = t.view("spatial_units").select("suid", F.col("parent_suid").alias("building_id"), F.when(F.col("suid") % 3 > 0, F.col("z_max")).alias("z_base"), F.col("floor_level").alias("level"), F.col("suid").alias("ord"))
+    return delineate.ordered_floors(rows).select("suid", F.col("place").cast("long").alias("place"))
+
+
+def _plot(t: Tables) -> DataFrame:
+    """Buildings with an L-shaped ring: a box without its upper right quarter."""
+    w, h = F.col("width") + 0.37, F.col("height_y") * F.lit(1.0)
+    corners = ((F.lit(0.0), F.lit(0.0)), (w, F.lit(0.0)), (w, h / 2), (w / 2, h / 2), (w / 2, h), (F.lit(0.0), h))
+    return t.view("buildings").select("building_id", "levels", "building_type", (F.col("building_id") % 9 + 1).cast("int").alias("n_units"), F.lit("grid").alias("layout"), F.array(*(F.array(*c) for c in corners)).alias("ring"))
+
+
+@query("""WITH b AS (SELECT building_id, width + 0.37 AS w, height_y AS h, cast(building_id % 9 + 1 AS int) AS n FROM buildings),
+  g AS (SELECT *, greatest(1, cast(round_even(sqrt(n), 0) AS int)) AS c FROM b), k AS (SELECT *, ceil(n / c) AS r, unnest(range(0, n)) AS k FROM g),
+  x AS (SELECT building_id, w, h, k, k % c * (w / c) AS x1, (k % c + 1) * (w / c) AS x2, floor(k / c) * (h / r) AS y1, (floor(k / c) + 1) * (h / r) AS y2 FROM k),
+  a AS (SELECT building_id, k, (x2 - x1) * (y2 - y1) - greatest(0, x2 - greatest(x1, w / 2)) * greatest(0, y2 - greatest(y1, h / 2)) AS a FROM x)
+SELECT building_id, cast(k + 1 AS int) AS unit_index, round(a, 6) AS area FROM a WHERE a > 1""")
+def ring_units(t: Tables) -> DataFrame:
+    return delineate.split_rings(_plot(t)).select("building_id", F.col("unit_index").cast("int").alias("unit_index"), F.round("area", 6).alias("area"))
+
+
+_AT = "{0}, ' ', {1}, ' ', {2}"
+_FACE = lambda *corners: "'((', " + ", ', ', ".join(_AT.format(*c) for c in corners) + ", '))'"
+_ZERO = "'0.0'"
+_BOX = ((_ZERO, _ZERO), ("w", _ZERO), ("w", "h"), (_ZERO, "h"), (_ZERO, _ZERO))
+_PRISM = [_FACE(*((*c, "lo") for c in _BOX)), _FACE(*((*c, "hi") for c in _BOX[::-1]))]
+_PRISM += [_FACE((*a, "lo"), (*b, "lo"), (*b, "hi"), (*a, "hi"), (*a, "lo")) for a, b in zip(_BOX, _BOX[1:])]
+
+
+_SIX = ", ', ', ".join(_PRISM)
+
+
+@query("WITH f AS (SELECT building_id, cast(width AS string) AS w, cast(height_y AS string) AS h, unnest(range(0, levels)) AS level FROM buildings), "
+       "z AS (SELECT *, cast(level * 3.0E0 AS string) AS lo, cast(level * 3.0E0 + 3 AS string) AS hi FROM f) "
+       "SELECT concat('floor-', cast(building_id AS string), '-L', cast(level AS string)) AS suid, concat('building-', cast(building_id AS string)) AS parent, cast(building_id AS string) AS told, "
+       f"concat('POLYHEDRALSURFACE Z (', {_SIX}, ')') AS geometry FROM z")
+def extruded_floors(t: Tables) -> DataFrame:
+    w, h, zero = F.col("width"), F.col("height_y"), F.lit(0.0)
+    ring = F.array(*(F.array(*c) for c in ((zero, zero), (w, zero), (w, h), (zero, h))))
+    rows = t.view("buildings").select("building_id", "levels", "building_type", F.lit(4).alias("n_units"), F.lit("grid").alias("layout"), ring.alias("ring"), F.lit(None).cast("array<array<array<double>>>").alias("holes"))
+    return delineate.extrude_rings(rows).where("type = 'floor'").select("suid", "parent", F.element_at("metadata", "building_id").alias("told"), "geometry")
+
+
+@query("""SELECT building_id, cast(CASE WHEN n.kind = 'unit' THEN 0 ELSE 6 + 2 + 6 END AS int) AS faces, n.kind AS type, count(*) AS n FROM
+  (SELECT building_id, unnest(['parcel', 'building']) AS kind FROM buildings UNION ALL SELECT building_id, unnest(list_transform(range(0, levels), lambda k: 'floor')) FROM buildings) n GROUP BY 1, 2, 3""")
+def solids_with_holes(t: Tables) -> DataFrame:
+    hole = F.array(*(F.array(F.lit(x), F.lit(y)) for x, y in ((0.1, 0.1), (0.2, 0.1), (0.2, 0.2), (0.1, 0.2))))
+    rows = delineate.extrude_rings(_plot(t).withColumn("holes", F.array(hole))).where("type <> 'unit'")
+    counted = rows.select(F.element_at("metadata", "building_id").cast("long").alias("building_id"), "type", F.size(G.read_wkt_rings(F.col("geometry"))).alias("faces"))
+    return counted.groupBy("building_id", "faces", "type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT building_id, cast(2 AS int) AS parts, round(width * height_y / 2, 6) AS area FROM buildings")
 def perimeter_sectors(t: Tables) -> DataFrame:
     ring = F.array(*(F.array(x, y) for x, y in ((F.lit(0.0), F.lit(0.0)), (F.col("width"), F.lit(0.0)), (F.col("width"), F.col("height_y")), (F.lit(0.0), F.col("height_y")))))
-    return t.view("buildings").select("building_id", F.size(delineate.sector_rings(ring, F.lit(2))).alias("parts"))
+    parts = t.view("buildings").select("building_id", delineate.sector_rings(ring, F.lit(2)).alias("parts"))
+    areas = F.aggregate("parts", F.lit(0.0), lambda total, r: total + G.shoelace_area(G.pairs_ring(r)))
+    return parts.select("building_id", F.size("parts").alias("parts"), F.round(areas, 6).alias("area"))
 
 
 @query("SELECT building_id, round(width / 2 * (height_y / 2), 6) AS area FROM buildings")
@@ -642,7 +749,8 @@ def ground_points(t: Tables) -> DataFrame:
     return pointcloud.ground_filter(t.view("points"), 4.0, 4)
 
 
-@query(None)
+@query("""WITH g AS (SELECT q.pt_id, q.x, q.y, q.z - arg_min(p.z, row((q.x - p.x) ** 2 + (q.y - p.y) ** 2, p.pt_id)) AS height FROM points q JOIN points p USING (cloud_id) WHERE p.classification = 2 GROUP BY q.pt_id, q.x, q.y, q.z)
+SELECT cast(floor(x / 10) AS bigint) AS cx, cast(floor(y / 10) AS bigint) AS cy, max(height) AS height FROM g WHERE height >= 0.5 GROUP BY 1, 2""")
 def canopy_height(t: Tables) -> DataFrame:
     return pointcloud.canopy(t.view("points"), 10.0)
 
@@ -653,6 +761,41 @@ def reproject_mercator(t: Tables) -> DataFrame:
     return t.view("parcels").select("suid", F.round(m["x"], 4).alias("mx"), F.round(m["y"], 4).alias("my"))
 
 
+_KRUEGER = {"n": repr(G._N), "r": repr(G._RADIUS)} | {f"a{j}": repr(a) for j, a in enumerate(G._TO, 1)}
+
+
+@query("""WITH p AS (SELECT suid, radians(x - 75.0E0) AS off, sin(radians(y)) AS s FROM parcels), k AS (SELECT *, 2 * sqrt({n}) / (1 + {n}) AS k FROM p),
+  t AS (SELECT suid, off, sinh(atanh(s) - k * atanh(k * s)) AS t FROM k), u AS (SELECT suid, atan2(t, cos(off)) AS u, atanh(sin(off) / sqrt(1 + t * t)) AS v FROM t)
+SELECT suid, round((v + {a1} * cos(2 * u) * sinh(2 * v) + {a2} * cos(4 * u) * sinh(4 * v) + {a3} * cos(6 * u) * sinh(6 * v)) * 0.9996 * {r} + 500000, 4) AS ux,
+  round((u + {a1} * sin(2 * u) * cosh(2 * v) + {a2} * sin(4 * u) * cosh(4 * v) + {a3} * sin(6 * u) * cosh(6 * v)) * 0.9996 * {r}, 4) AS uy FROM u""".format(**_KRUEGER))
+def reproject_utm(t: Tables) -> DataFrame:
+    m = G.utm(F.col("x"), F.col("y"), 43)
+    return t.view("parcels").select("suid", F.round(m["x"], 4).alias("ux"), F.round(m["y"], 4).alias("uy"))
+
+
+@query("SELECT suid, round(x, 8) AS lon, round(y, 8) AS lat, round(x, 8) AS mlon, round(y, 8) AS mlat FROM parcels")
+def reprojected_back(t: Tables) -> DataFrame:
+    zone = G.utm_zone(F.col("x"))
+    plane = t.view("parcels").select("suid", zone.alias("zone"), G.utm(F.col("x"), F.col("y"), zone).alias("u"), G.web_mercator(F.col("x"), F.col("y")).alias("m"))
+    back, m = G.from_utm(F.col("u.x"), F.col("u.y"), F.col("zone")), G.from_web_mercator(F.col("m.x"), F.col("m.y"))
+    return plane.select("suid", F.round(back["lon"], 8).alias("lon"), F.round(back["lat"], 8).alias("lat"), F.round(m["lon"], 8).alias("mlon"), F.round(m["lat"], 8).alias("mlat"))
+
+
+@query("SELECT pt_id, z FROM points WHERE classification BETWEEN 2 AND 6 AND return_number = 1 AND z >= 12.5")
+def points_in_ranges(t: Tables) -> DataFrame:
+    return pointcloud.in_ranges(t.view("points"), classification=(2, 6), return_number=(1, 1), z=(12.5, None)).select("pt_id", "z")
+
+
+@query("""WITH g AS (SELECT cast(floor(x / 10) AS bigint) AS cx, cast(floor(y / 10) AS bigint) AS cy, max(z) AS z FROM points WHERE return_number = 1 GROUP BY 1, 2),
+  b AS (SELECT min(cx) AS x1, max(cx) AS x2, min(cy) AS y1, max(cy) AS y2 FROM g),
+  e AS (SELECT cx, cy FROM (SELECT unnest(range(x1, x2 + 1)) AS cx, y1, y2 FROM b), LATERAL (SELECT unnest(range(y1, y2 + 1)) AS cy))
+SELECT e.cx, e.cy, round(coalesce(max(CASE WHEN g.cx = e.cx AND g.cy = e.cy THEN g.z END), sum(g.z / ((g.cx - e.cx) ** 2 + (g.cy - e.cy) ** 2)) / sum(1 / ((g.cx - e.cx) ** 2 + (g.cy - e.cy) ** 2))), 6) AS z,
+  max(CASE WHEN g.cx = e.cx AND g.cy = e.cy THEN 1 ELSE 0 END) = 0 AS hole
+FROM e JOIN g ON abs(g.cx - e.cx) <= 3 AND abs(g.cy - e.cy) <= 3 GROUP BY 1, 2""")
+def dsm_filled(t: Tables) -> DataFrame:
+    return pointcloud.filled(pointcloud.surface_max(t.view("points"), 10.0)).withColumn("z", F.round("z", 6))
+
+
 @query(None)
 def farthest_points(t: Tables) -> DataFrame:
     return pointcloud.farthest_points(t.view("points"), 8)
@@ -699,6 +842,28 @@ def tile_windows(t: Tables) -> DataFrame:
     return inference.tile_windows(clouds, 64).select("cloud_id", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
 
 
+@query("""WITH w AS (SELECT cloud_id, start, least(64, n - start) AS m FROM (SELECT cloud_id, n, unnest(range(0, n, 32)) AS start FROM (SELECT cloud_id, count(*) AS n FROM points GROUP BY 1)))
+SELECT concat(cast(cloud_id AS string), '-', cast(start AS string)) AS tile_id, cast(64 AS bigint) AS n, cast(64 - m AS bigint) AS padded FROM w WHERE m * 4 >= 64""")
+def padded_tiles(t: Tables) -> DataFrame:
+    placed = t.view("points").withColumn("place", F.row_number().over(Window.partitionBy("cloud_id").orderBy("pt_id")).cast("long") - 1)
+    return inference.tile_rows(placed, 64).groupBy("tile_id").agg(F.count("*").alias("n"), F.sum(F.col("padded").cast("long")).alias("padded"))
+
+
+@query("""WITH p AS (SELECT unnest(range(0, 12)) AS p), m AS (SELECT p, least(p, 14 - p) AS s FROM p)
+SELECT vec_id AS img_id, count(*) AS n, round(sum(cast(embedding[a.s * 8 + b.s + 1] AS double) * (a.p * 12 + b.p)), 3) AS total FROM embeddings, m a, m b GROUP BY 1""")
+def reflected_rasters(t: Tables) -> DataFrame:
+    cells = t.table("embeddings").select(F.col("vec_id").alias("img_id"), F.posexplode("embedding").alias("k", "v")).select("img_id", F.floor(F.col("k") / 8).alias("y"), (F.col("k") % 8).alias("x"), "v")
+    grown = inference.reflected(cells, 12, 4)
+    return grown.groupBy("img_id").agg(F.count("*").alias("n"), F.round(F.sum(F.col("v").cast("double") * (F.col("y") * 12 + F.col("x"))), 3).alias("total"))
+
+
+@query("""WITH c AS (SELECT *, avg(x) OVER w AS mx, avg(z) OVER w AS mz, max(x % 300) OVER w > 1 AS wide FROM points WINDOW w AS (PARTITION BY cloud_id))
+SELECT pt_id, round(x - mx, 6) AS x, round(z - mz, 6) AS z, round(CASE WHEN wide THEN x % 300 / 255 ELSE x % 300 END, 6) AS r FROM c""")
+def prepared_points(t: Tables) -> DataFrame:
+    coloured = t.view("points").withColumns({"r": F.col("x") % 300, "g": F.lit(0.5), "b": F.lit(0.25)})
+    return inference.prepared(coloured).select("pt_id", *(F.round(k, 6).alias(k) for k in "xzr"))
+
+
 @query("""WITH v AS (SELECT vec_id, label, cast(c - 1 AS int) AS c, cast(embedding[c] AS double) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS c)),
 b AS (SELECT label, c, quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS hi FROM v GROUP BY 1, 2)
 SELECT vec_id, c, round((least(greatest(v, lo), hi) - lo) / (hi - lo + 1e-8), 5) AS v FROM v JOIN b USING (label, c)""")

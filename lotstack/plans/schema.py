@@ -66,6 +66,11 @@ def read_jdbc(spark: SparkSession, url: str, table: str, column: str, low: int,
     return spark.read.jdbc(url, table, column=column, lowerBound=low, upperBound=high, numPartitions=parts)
 
 
+def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", at_once: int = 10_000, parts: int = 8) -> None:
+    """Rows into a table of a relational store, by at most `parts` connections; each commits its own rows, or none of them."""
+    df.coalesce(parts).write.option("batchsize", at_once).option("isolationLevel", "READ_COMMITTED").jdbc(url, table, mode)
+
+
 def register_validators(spark: SparkSession, units: DataFrame) -> None:
     """Table functions over `units`: validate_vertical_continuity, validate_3d_adjacency and validate_boundary_alignment."""
     units.createOrReplaceTempView("validated_units")

@@ -241,3 +241,83 @@ def test_lookup_refuses_two_rows(spark):
     assert [r.v for r in features.lookup(rows, "k", 2).collect()] == ["c"] and features.lookup(rows, "k", 3).count() == 0
     with pytest.raises(Exception, match="more than one row"):
         features.lookup(rows, "k", 1).collect()
+
+
+def test_quantiles_equal_exact_percentiles(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k % 3, float(v)) for k, v in enumerate(np.round(rng.lognormal(0, 3, 900), 2))] + [(7, 4.0), (8, None), (9, -1.0), (9, 1.0)] + [(7, 4.0)] * 40
+    df = spark.createDataFrame(rows, "g int, v double")
+    for bins in (1, 16, 1024):
+        got = {r.g: (r.lo, r.mid, r.hi) for r in pointcloud.quantiles(df, ("g",), "v", {"lo": 0.02, "mid": 0.5, "hi": 0.98}, bins).collect()}
+        assert set(got) == {0, 1, 2, 7, 9}
+        for g, found in got.items():
+            assert found == pytest.approx(tuple(np.quantile([v for k, v in rows if k == g], [0.02, 0.5, 0.98])))
+
+
+def test_outliers_of_a_dense_clump_and_a_stray_point(spark):
+    rows = [(0, k, 0.001 * k, 0.0, 0.0) for k in range(300)] + [(0, 1000, 0.9, 0.0, 0.0), (0, 1001, 50.0, 0.0, 0.0), (1, 1002, 0.0, 0.0, 0.0)]
+    points = spark.createDataFrame(rows, "cloud_id long, pt_id long, x double, y double, z double")
+    got = {r.pt_id: r.neighbours for r in pointcloud.outliers_by_radius(points, 1.0, 5).collect()}
+    assert got == {1001: 0, 1002: 0}
+
+
+def test_levels_need_enough_slab_points(spark):
+    rows = [(c, c * 1000 + k, k % 10 / 2, k // 10 % 10 / 2, 3.0 * (k // 100), 2) for c, n in ((0, 300), (1, 60)) for k in range(n)]
+    points = spark.createDataFrame(rows, "cloud_id long, pt_id long, x double, y double, z double, classification int")
+    got = sorted((r.cloud_id, r.level, r.z, r.area) for r in pointcloud.levels_with_outlines(points).collect())
+    assert got == [(0, 0, 0.0, 20.25), (0, 1, 3.0, 20.25), (0, 2, 6.0, 20.25)]
+
+
+def test_scan_to_levels_with_a_model(spark):
+    rows = [("a", 0, k, k, k % 10 / 2, k // 10 / 2, 3.0, 65535.0, 0.0, 0.0) for k in range(100)]
+    scan = spark.createDataFrame(rows, "file string, cloud_id long, pt_id long, place long, x double, y double, z double, r double, g double, b double")
+    seen = lambda x: np.eye(4)[np.where(x[:, 3] > 0.5, 2, 1)]
+    got = inference.levels_of_scan(scan, seen, 64).collect()
+    assert [(r.cloud_id, r.level, r.z, r.area) for r in got] == [(0, 0, 3.0, 20.25)]
+
+
+def test_building_points_stand_above_ground(spark):
+    ground = [(0, k, float(k % 20), float(k // 20), 0.0, 2) for k in range(400)]
+    roof = [(0, 1000 + k, float(k % 6), float(k // 6), 5.0, 6) for k in range(36)] + [(0, 2000 + k, 12.0 + k % 6, float(k // 6), 1.0, 6) for k in range(36)]
+    points = spark.createDataFrame(ground + roof, "cloud_id long, pt_id long, x double, y double, z double, classification int")
+    assert [(r.n, r.area) for r in pointcloud.footprints(points, eps=3.0, least=10, least_height=3.0).collect()] == [(36, 25.0)]
+    assert pointcloud.footprints(points, eps=3.0, least=10).count() == 2
+
+
+def test_chain_in_metres_of_a_zone(spark):
+    rows = [(0, k, 75.0 + 1e-5 * (k % 20), 28.0 + 1e-5 * (k // 20), 0.1 * (k % 3), 1, 1) for k in range(400)]
+    points = spark.createDataFrame(rows, "cloud_id long, pt_id long, x double, y double, z double, classification int, return_number int")
+    got = pointcloud.process(points, 2.0, zone=43)
+    span = got["points"].agg(F.min("x"), F.max("x")).first()
+    assert 499_999 < span[0] and span[1] < 500_020
+    assert got["terrain"].where("z IS NULL").count() == 0 and got["surface"].count() > 0
+
+
+def test_rasters_are_turned_cropped_and_grown(spark):
+    cells = spark.createDataFrame([(0, y, x, float(3 * y + x)) for y in range(2) for x in range(3)], "img_id long, y int, x int, v double")
+    grid = np.arange(6).reshape(2, 3)
+    got = {(r.y, r.x): r.v for r in inference.turned_raster(cells, 2, 3, 1, flip_y=True).collect()}
+    want = np.rot90(np.flip(grid, 0))
+    assert got == {(y, x): want[y, x] for y in range(3) for x in range(2)}
+    grown = {(r.y, r.x): r.v for r in inference.reflected(cells, 4, 1).collect()}
+    want = np.pad(grid, ((0, 2), (0, 1)), "reflect")
+    assert grown == {(y, x): want[y, x] for y in range(4) for x in range(4)}
+    assert inference.cropped(cells, 1).count() == 1 and inference.cropped(cells, 5).count() == 6
+    averaged = inference.uncropped(inference.reflected(cells, 4, 1).withColumn("score", F.col("v")))
+    assert {(r.y, r.x): r.score for r in averaged.collect()} == {(y, x): grid[y, x] for y in range(2) for x in range(3)}
+
+
+def test_noise_is_drawn_by_id(spark):
+    points = spark.range(2000).select(F.col("id").alias("pt_id"), *(F.lit(1.0).alias(k) for k in "xyz"))
+    told = inference.jittered(points, 0.5, 3).agg(F.avg("x"), F.stddev_pop("y")).first()
+    assert abs(told[0] - 1) < 0.05 and abs(told[1] - 0.5) < 0.05
+    kept = inference.thinned(points, 0.1, 3)
+    assert 1700 < kept.count() < 1900 and kept.exceptAll(inference.thinned(points, 0.1, 3)).count() == 0
+
+
+def test_rings_without_area_have_no_units(spark):
+    rows = [(1, 2, 2, "perimeter", "mixed", [[0.0, 0.0], [4.0, 0.0], [4.0, 4.0], [0.0, 4.0]], None), (2, 2, 2, "whole", "mixed", [[0.0, 0.0], [4.0, 0.0], [2.0, 0.0]], None)]
+    plots = spark.createDataFrame(rows, "building_id long, levels int, n_units int, layout string, building_type string, ring array<array<double>>, holes array<array<array<double>>>")
+    got = delineate.extrude_rings(plots).collect()
+    assert sorted(r.type for r in got) == ["building", "floor", "floor", "parcel"] + ["unit"] * 4
+    assert {r.metadata["building_id"] for r in got} == {"1"} and {r.metadata.get("unit_type") for r in got if r.type == "unit"} == {"mixed"}
