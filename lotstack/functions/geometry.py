@@ -65,8 +65,7 @@ def square_metres(area: Column, latitude: Column) -> Column:
 
 def _number(v: Column) -> Column:
     """A coordinate as text, without an exponent and with at least one decimal place."""
-    text = F.regexp_replace(F.format_string("%.9f", v), "0+$", "")
-    return F.when(text.endswith("."), F.concat(text, F.lit("0"))).otherwise(text)
+    return F.regexp_replace(F.format_string("%.9f", v), r"(\.\d+?)0+$", "$1")
 
 
 def polygon_wkt(ring: Column) -> Column:
