@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotstack.llm import chat, decontaminate, html_text, katz, licenses, neardup, packing, quality, sharding, topk
+from lotstack.llm import chat, collocations, decontaminate, hnsw, html_text, katz, licenses, neardup, packing, quality, repair, sharding, topk
 
 _OPERATORS = (
     chat.op1_prefix_target_chat,
@@ -19,6 +19,9 @@ _OPERATORS = (
     packing.op8_best_fit_packing,
     quality.op9_quality_gbdt,
     sharding.op10_slot_sharding,
+    hnsw.op11_hnsw_dedup,
+    repair.op12_minplus_repair,
+    collocations.op13_pcy_collocations,
     licenses.license_base_places,
 )
 
@@ -33,4 +36,7 @@ def oracle_sql() -> dict[str, str]:
         "license_base_places": licenses.BASE_PLACES_SQL,
         "op3_threshold_topk": topk.TOPK_SQL,
         "op5_bottomk_dedup": neardup.NEARDUP_SQL,
+        "op11_hnsw_dedup": hnsw.HNSW_SQL,
+        "op12_minplus_repair": repair.REPAIR_SQL,
+        "op13_pcy_collocations": collocations.COLLOCATIONS_SQL,
     }
