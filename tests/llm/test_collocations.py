@@ -78,29 +78,18 @@ def test_overlapping_runs_count_each_time(spark):
 
 
 def test_words_of_one_hash_start_the_job_anew(spark, monkeypatch):
-    true = collocations.words_of
+    docs = rows(4, 60)
+    expected = brute([(t, lang) for _, t, lang, _, _ in docs], 5, 3, 40)
+    true, first, seeds = collocations.words_of, collocations._first_pass, []
 
     def poor(data, offsets, seed=0):
         hashes, *rest = true(data, offsets, seed)
         return (hashes & np.uint64(3) if seed == 0 else hashes), *rest
 
-    docs = rows(4, 60)
-    expected = brute([(t, lang) for _, t, lang, _, _ in docs], 5, 3, 40)
-    seeds = []
-    first = collocations._first_pass
-
     def tried(bits, at_least, seed):
         seeds.append(seed)
-        count = first(bits, at_least, seed)
-
-        def patched(batches):
-            collocations.words_of = poor
-            try:
-                yield from count(batches)
-            finally:
-                collocations.words_of = true
-
-        return patched
+        return first(bits, at_least, seed)
 
+    monkeypatch.setattr(collocations, "words_of", poor)
     monkeypatch.setattr(collocations, "_first_pass", tried)
     assert found(spark, docs, at_least=5, longest=3, top=40) == expected and seeds == [0, 1]
