@@ -36,6 +36,7 @@ _SALTS = 64
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_CUBES = _LOWER.astype(np.int64) ** 3
 _CUTS = np.zeros(256, dtype=bool)
 _CUTS[list(b".,;:!?\n\x0b\x0c\r")] = True
 _SPACE = _CUTS.copy()
@@ -168,29 +169,39 @@ def _by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarra
         codes = np.asarray(langs.indices)
         for code, lang in enumerate(langs.dictionary.to_pylist()):
             rows = batch if len(langs.dictionary) == 1 else batch.filter(pa.array(codes == code))
-            for _, data, offsets in text_chunks([rows], chunk_bytes=4 << 20):
+            for _, data, offsets in text_chunks([rows], chunk_bytes=1 << 20):
                 yield lang, data, offsets
 
 
 def _first_pass(bits: int, at_least: int, seed: int):
+    def spelt(lang: str, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+        n = len(hashes)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32)), pa.array(hashes.view(np.int64)))
+        return _batch(n, lang=pa.array([lang] * n, pa.string()), words=lists, count=pa.array(np.zeros(n, dtype=np.int64)), word=_spelt(data, starts, ends))
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = Buckets(bits, at_least)
+        buckets, counted, told = Buckets(bits, at_least), {}, {}
         for lang, data, offsets in _by_lang(batches):
             hashes, starts, ends, pieces = words_of(data, offsets, seed)
             if not len(hashes):
                 continue
             found, first, inverse, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-            letters = np.concatenate([[0], np.cumsum(_LOWER[data].astype(np.int64) ** 3)])
-            sums = letters[ends] - letters[starts]
+            sums = np.cumsum(_CUBES[data])
+            sums = sums[ends - 1] - sums[starts] + _CUBES[data[starts]]
             if len(odd := np.flatnonzero(sums != sums[first[inverse]])):  # another word of the same hash: told, so that it is noticed
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(odd) + 1, dtype=np.int32)), pa.array(hashes[odd].view(np.int64)))
-                yield _batch(len(odd), lang=pa.array([lang] * len(odd)), words=lists, count=pa.array([0] * len(odd), pa.int64()), word=_spelt(data, starts[odd], ends[odd]))
-            for at in range(0, len(found), 1 << 16):
-                part, n = slice(at, at + (1 << 16)), len(found[at : at + (1 << 16)])
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32)), pa.array(found[part].view(np.int64)))
-                yield _batch(n, lang=pa.array([lang] * n), words=lists, count=pa.array(counts[part].astype(np.int64)), word=_spelt(data, starts[first[part]], ends[first[part]]))
+                yield spelt(lang, hashes[odd], data, starts[odd], ends[odd])
+            # a task spells a word once, or again when it has forgotten it
+            known = told.get(lang, np.zeros(0, dtype=np.uint64))
+            new = ~np.isin(found, known)
+            yield spelt(lang, found[new], data, starts[first[new]], ends[first[new]])
+            told[lang] = np.concatenate([known, found[new]]) if len(known) < HELD else found
+            for words, n in counted.setdefault(lang, Counted(1)).add(found, found[:, None], counts):
+                yield from _gram_batches(lang, words, n)
             pairs = np.flatnonzero(pieces[:-1] == pieces[1:])
             buckets.add(gram_hashes(np.stack([hashes[pairs], hashes[pairs + 1]], axis=1), _salt(lang)))
+        for lang, mine in counted.items():
+            for words, n in mine.flush():
+                yield from _gram_batches(lang, words, n)
         yield from _slice_batches(buckets)
 
     return count
@@ -276,7 +287,7 @@ def frequent_phrases(docs: DataFrame, at_least: int = AT_LEAST, longest: int = L
     while True:
         raw = materialize(texts.mapInArrow(_first_pass(bucket_bits, at_least, seed), _ROWS), "words")
         counts = raw.where("words IS NOT NULL").groupBy("lang", "words")
-        counts = materialize(counts.agg(F.sum("count").alias("f"), F.min("word").alias("word"), F.max("word").alias("other")), "word_counts")
+        counts = materialize(counts.agg(F.sum("count").cast("long").alias("f"), F.min("word").alias("word"), F.max("word").alias("other")), "word_counts")
         if not counts.where("word <> other").limit(1).count():
             break
         discard(raw, counts)
