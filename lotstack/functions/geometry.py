@@ -58,6 +58,57 @@ def contains(ring: Column, x: Column, y: Column) -> Column:
     return F.size(crossed) % 2 == 1
 
 
+def _turn(a: Column, b: Column, x: Column, y: Column) -> Column:
+    """Above 0 if (x, y) lies to the left of the line from a to b, 0 on it."""
+    return (b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"])
+
+
+def on_ring(ring: Column, x: Column, y: Column) -> Column:
+    """Whether a place lies on an edge."""
+    between = lambda e, k, v: v.between(F.least(e["a"][k], e["b"][k]), F.greatest(e["a"][k], e["b"][k]))
+    return F.exists(edges(ring), lambda e: between(e, "x", x) & between(e, "y", y) & (_turn(e["a"], e["b"], x, y) == 0))
+
+
+def ring_meets_box(ring: Column, minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
+    """Whether the inside or the border of a ring meets a box; touching counts."""
+
+    def meets(e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        near = (F.least(a["x"], b["x"]) <= maxx) & (F.greatest(a["x"], b["x"]) >= minx) & (F.least(a["y"], b["y"]) <= maxy) & (F.greatest(a["y"], b["y"]) >= miny)
+        sides = [_turn(a, b, x, y) for x in (minx, maxx) for y in (miny, maxy)]
+        return near & (F.least(*sides) <= 0) & (F.greatest(*sides) >= 0)
+
+    return F.exists(edges(ring), meets) | contains(ring, minx, miny)
+
+
+def _crossed(e: Column, f: Column) -> Column:
+    """Whether two edges cross in one place within both."""
+    turns = lambda a, b: _turn(a["a"], a["b"], b["a"]["x"], b["a"]["y"]) * _turn(a["a"], a["b"], b["b"]["x"], b["b"]["y"])
+    return (turns(e, f) < 0) & (turns(f, e) < 0)
+
+
+def _middles(ring: Column) -> Column:
+    return F.transform(edges(ring), lambda e: point((e["a"]["x"] + e["b"]["x"]) / 2, (e["a"]["y"] + e["b"]["y"]) / 2))
+
+
+def ring_within(inner: Column, outer: Column, holes: Column | None = None) -> Column:
+    """Whether a ring lies inside another, and outside its holes; borders may touch.
+
+    No edges cross, all corners and the middles of edges of the inner ring lie in the outer one or on it, and no corner of the
+    outer one lies strictly inside the inner one.
+    """
+    strictly = lambda ring, p: contains(ring, p["x"], p["y"]) & ~on_ring(ring, p["x"], p["y"])
+    inside = lambda ring, p: contains(ring, p["x"], p["y"]) | on_ring(ring, p["x"], p["y"])
+    apart = lambda ring: ~F.exists(edges(inner), lambda e: F.exists(edges(ring), lambda f: _crossed(e, f))) & ~F.exists(ring, lambda p: strictly(inner, p))
+    out = F.forall(F.concat(inner, _middles(inner)), lambda p: inside(outer, p)) & apart(outer)
+    if holes is not None:
+        free = lambda h: ~F.exists(F.concat(inner, _middles(inner)), lambda p: strictly(h, p)) & apart(h)
+        # a hole that is the inner ring itself has no corner strictly inside it, but its middle
+        filled = lambda h: strictly(inner, vertex_mean(h))
+        out &= F.forall(F.coalesce(holes, F.array().cast("array<array<struct<x:double,y:double>>>")), lambda h: free(h) & ~filled(h))
+    return out
+
+
 def square_metres(area: Column, latitude: Column) -> Column:
     """Square degrees as square metres at a latitude."""
     return area * DEGREE * DEGREE * F.cos(F.radians(latitude))

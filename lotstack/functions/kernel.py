@@ -31,6 +31,35 @@ def area(ring: np.ndarray) -> float:
     return float(abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2)
 
 
+def simple(ring: np.ndarray, chunk: int = 256) -> bool:
+    """Whether a ring, closed or not, has area and meets itself nowhere: a sweep over its edges in order of their left ends."""
+    ring = np.asarray(ring, dtype=float).reshape(-1, 2)
+    if not len(ring) or not np.isfinite(ring).all():
+        return False
+    ring = ring[(ring != np.roll(ring, -1, axis=0)).any(axis=1)]
+    n = len(ring)
+    if n < 3 or not area(ring):
+        return False
+    a, b = ring, np.roll(ring, -1, axis=0)
+    order = np.argsort(np.minimum(a[:, 0], b[:, 0]), kind="stable")
+    a, b = a[order], b[order]
+    left, right = np.minimum(a[:, 0], b[:, 0]), np.maximum(a[:, 0], b[:, 0])
+    turn = lambda p, q, r: (q[..., 0] - p[..., 0]) * (r[..., 1] - p[..., 1]) - (q[..., 1] - p[..., 1]) * (r[..., 0] - p[..., 0])
+    for begin in range(0, n, chunk):
+        end = int(np.searchsorted(left, right[begin : begin + chunk].max(), side="right"))
+        p, q, r, s = a[begin : begin + chunk, None], b[begin : begin + chunk, None], a[None, begin:end], b[None, begin:end]
+        boxes = (np.minimum(p, q) <= np.maximum(r, s)).all(axis=2) & (np.minimum(r, s) <= np.maximum(p, q)).all(axis=2)
+        t1, t2, t3, t4 = turn(p, q, r), turn(p, q, s), turn(r, s, p), turn(r, s, q)
+        meets = boxes & (t1 * t2 <= 0) & (t3 * t4 <= 0)
+        i, j = order[begin : begin + chunk, None], order[None, begin:end]
+        # neighbours share a corner, and may share no more: one may not run back over the other
+        beside = ((i - j) % n == 1) | ((j - i) % n == 1)
+        back = beside & (t1 == 0) & (t2 == 0) & (((q - p) * (s - r)).sum(axis=2) < 0)
+        if (meets & (i != j) & ~beside).any() or back.any():
+            return False
+    return True
+
+
 def clip(ring: np.ndarray, window: np.ndarray) -> np.ndarray:
     """`ring` inside a convex anticlockwise `window`: cut by one side after the other."""
     out = np.asarray(ring, dtype=float)

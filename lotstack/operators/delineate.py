@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lotstack.functions import geometry as G
-from lotstack.functions import kernel
+from lotstack.functions import kernel, overlay
 from lotstack.functions.binding import let
+from lotstack.operators import cells
+from lotstack.operators.graph import components
+from lotstack.plans.tables import discard, materialize
 
 
 def units_per_floor(type: Column, area: Column) -> Column:
@@ -167,28 +172,119 @@ def extrude(buildings: DataFrame, ground: float = 0.0, storey: float = 3.0) -> D
 _RING = T.ArrayType(T.ArrayType(T.DoubleType()))
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _largest_part(boxes: pd.Series) -> pd.Series:
-    """[area, minx, miny, maxx, maxy] of the largest connected part of each row's boxes."""
-    found = (kernel.box_union(np.array([list(b) for b in own], dtype=float)) for own in boxes)
-    return pd.Series([[area, *bounds.tolist()] for area, bounds in found])
+#: A polygon as an array of rings: its outline, then its holes.
+_POLYGON = T.ArrayType(_RING)
+_PARTS = T.ArrayType(_POLYGON)
+
+
+def _polygons(rows: list | None) -> list[overlay.Polygon]:
+    return [[np.array([p[:2] for p in ring], dtype=float).reshape(-1, 2) for ring in polygon or () if ring is not None] for polygon in rows or ()]
+
+
+def _listed(parts: list[overlay.Polygon]) -> list:
+    return [[ring.tolist() for ring in part] for part in parts]
+
+
+@F.arrow_udf(_PARTS)
+def united_polygons(polygons: pa.Array) -> pa.Array:
+    """The parts of the union of each row's polygons."""
+    return pa.array([_listed(overlay.overlay(_polygons(own), [])) for own in polygons.to_pylist()], to_arrow_type(_PARTS))
+
+
+@F.arrow_udf(_PARTS)
+def shared_polygons(ours: pa.Array, others: pa.Array) -> pa.Array:
+    """The parts of what each row's two lists of polygons share."""
+    both = zip(ours.to_pylist(), others.to_pylist())
+    return pa.array([_listed(overlay.overlay(_polygons(a), _polygons(b), overlay.INTERSECTION)) for a, b in both], to_arrow_type(_PARTS))
+
+
+@F.arrow_udf(T.BooleanType())
+def simple_rings(rings: pa.Array) -> pa.Array:
+    """Whether rings, of (x, y) structs or of [x, y], have area and meet themselves nowhere."""
+    told = ([[p["x"], p["y"]] if isinstance(p, dict) else p[:2] for p in ring] for ring in (r or () for r in rings.to_pylist()))
+    return pa.array([kernel.simple(np.array(ring, dtype=float)) for ring in told], pa.bool_())
+
+
+def ring_area(ring: Column) -> Column:
+    return G.shoelace_area(G.pairs_ring(ring))
+
+
+def polygon_area(rings: Column) -> Column:
+    """The area of an outline without its holes."""
+    holes = F.aggregate(F.slice(rings, F.lit(2), F.greatest(F.size(rings) - 1, F.lit(0))), F.lit(0.0), lambda total, h: total + ring_area(h))
+    return ring_area(F.get(rings, F.lit(0))) - holes
+
+
+def _boxed(polygons: DataFrame) -> DataFrame:
+    """With the box of the outline: minx … maxy."""
+    side = lambda f, k: f(F.transform(F.get("rings", F.lit(0)), lambda p: F.get(p, F.lit(k))))
+    return polygons.withColumns({"minx": side(F.array_min, 0), "miny": side(F.array_min, 1), "maxx": side(F.array_max, 0), "maxy": side(F.array_max, 1)})
+
+
+def united(polygons: DataFrame, *key: str, most: int = 256) -> DataFrame:
+    """(key…, rings, area): the parts of the union of each group's polygons (rings: outline, then holes, of [x, y]), whatever their shape.
+
+    Equal polygons of a group count once. Polygons that lie close together are united first, at most about `most` at a time; then
+    parts whose boxes touch are linked, and what hangs together is united. So no task holds a group, only what becomes one polygon.
+    Rings without area add nothing; a null key is a group like others.
+    """
+    name = [f"_k{i}" for i in range(len(key))]
+    groups = materialize(polygons.select(*key).distinct().withColumn("_group", F.monotonically_increasing_id()), "groups")
+    same = F.lit(True)
+    for k, n in zip(key, name):
+        same &= F.col(k).eqNullSafe(F.col(n))
+    own = polygons.select(*(F.col(k).alias(n) for k, n in zip(key, name)), "rings").where(F.size("rings") > 0)
+    own = own.join(groups, same).select("_group", "rings").distinct()
+    placed = _boxed(own).where(F.col("minx").isNotNull() & F.col("miny").isNotNull())
+    placed = placed.withColumns({"x": (F.col("minx") + F.col("maxx")) / 2, "y": (F.col("miny") + F.col("maxy")) / 2, "_row": F.monotonically_increasing_id()})
+    placed = materialize(placed, "polygons")
+    cut = cells.tree(placed, ("_group",), "xy", most)
+    if cut is None:
+        return groups.limit(0).select(*key, F.lit(None).cast(_POLYGON).alias("rings"), F.lit(0.0).alias("area"))
+    leaf = ["_group", "_depth", *cut.names]
+    near = cut.placed(placed).groupBy(*leaf).agg(F.collect_list("rings").alias("all"))
+    near = near.withColumn("_leaf", F.monotonically_increasing_id()).select("_group", "_leaf", F.explode(united_polygons("all")).alias("rings"))
+    parts = materialize(_boxed(near).withColumn("_row", F.monotonically_increasing_id()), "parts")
+    slim = parts.select("_group", "_leaf", "_row", "minx", "miny", "maxx", "maxy")
+    touching = cells.box_pairs(slim, ("_group",), "_row", (("minx", "maxx"), ("miny", "maxy"))).where("a._leaf <> b._leaf")
+    linked = components(touching.select(F.col("a._row").alias("a"), F.col("b._row").alias("b"))).select(F.col("node").alias("_row"), "component")
+    linked = materialize(linked.unionAll(linked.select(F.col("component").alias("_row"), "component").distinct()), "linked")
+    whole = parts.select("_group", "_row", "rings").join(linked, "_row", "left")
+    alone = whole.where("component IS NULL").select("_group", "rings")
+    together = whole.where("component IS NOT NULL").groupBy("_group", "component").agg(F.collect_list("rings").alias("all"))
+    both = alone.unionAll(together.select("_group", F.explode(united_polygons("all")).alias("rings")))
+    done = materialize(both.withColumn("area", polygon_area(F.col("rings"))), "united")
+    discard(placed, cut.cells, parts, linked)
+    return groups.join(done, "_group").select(*key, "rings", "area")
+
+
+def box_polygon(minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
+    """A box as a polygon: one ring of [x, y]."""
+    return F.array(F.array(*(F.array(x.cast("double"), y.cast("double")) for x, y in ((minx, miny), (maxx, miny), (maxx, maxy), (minx, maxy)))))
+
+
+def largest_parts(polygons: DataFrame, *key: str) -> DataFrame:
+    """(key…, area, minx … maxy, rings): the largest part of the union of each group's polygons; ties to the one lowest, then to the left."""
+    parts = _boxed(united(polygons, *key))
+    rank = F.struct("area", (-F.col("miny")).alias("down"), (-F.col("minx")).alias("left"))
+    names = ("area", "minx", "miny", "maxx", "maxy", "rings")
+    return parts.groupBy(*key).agg(F.max_by(F.struct(*names), rank).alias("p")).select(*key, *(f"p.{n}" for n in names))
 
 
 def merged_footprints(polygons: DataFrame, *key: str) -> DataFrame:
-    """(key…, area, minx … maxy): the largest connected part of the union of each group's boxes.
+    """(key…, area, minx … maxy, rings): the largest part of the union of each group's boxes, or of its `rings` if there are any.
 
-    Boxes without area are left out and equal ones are one, so that storeys that repeat a plan don't grow a group.
+    Those without area are left out and equal ones are one, so that storeys that repeat a plan don't grow a group.
     """
-    names = ("minx", "miny", "maxx", "maxy")
+    if "rings" in polygons.columns:
+        return largest_parts(polygons, *key)
     solid = polygons.where((F.col("maxx") > F.col("minx")) & (F.col("maxy") > F.col("miny")))
-    grouped = solid.groupBy(*key).agg(F.collect_set(F.array(*names)).alias("boxes"))
-    part = grouped.select(*key, _largest_part("boxes").alias("p"))
-    return part.select(*key, *(F.get("p", F.lit(k)).alias(n) for k, n in enumerate(("area", *names))))
+    return largest_parts(solid.select(*key, box_polygon(*(F.col(c) for c in ("minx", "miny", "maxx", "maxy"))).alias("rings")), *key)
 
 
 def merged_units(polygons: DataFrame, least_area: float = 1.0) -> DataFrame:
-    """Floor polygons of equal level, unit_id and unit_type as one, above an area."""
-    return merged_footprints(polygons, "level", "unit_id", "unit_type").where(F.col("area") > least_area)
+    """(level, unit_id, unit_type, rings, area): floor polygons (…, rings) of equal level, unit_id and unit_type as one; all parts of the union above an area."""
+    return united(polygons, "level", "unit_id", "unit_type").where(F.col("area") > least_area)
 
 
 def top_of(rows: DataFrame, ground: float = 0.0) -> DataFrame:
@@ -208,11 +304,15 @@ def sector_rings(rings: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([one(r, k) for r, k in zip(rings, n)])
 
 
-@F.pandas_udf(_RING)
-def clipped_rings(rings: pd.Series, minx: pd.Series, miny: pd.Series, maxx: pd.Series, maxy: pd.Series) -> pd.Series:
-    """The part of each ring inside a box: cells of a footprint that is no rectangle."""
-    rows = zip(rings, minx, miny, maxx, maxy)
-    return pd.Series([kernel.clip(np.array([list(p) for p in r], dtype=float), np.array([(a, b), (c, b), (c, d), (a, d)])).tolist() for r, a, b, c, d in rows])
+def clipped_rings(rings: Column | str, minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
+    """The largest part of each ring inside a box; empty where there is none."""
+    own = F.col(rings) if isinstance(rings, str) else rings
+    parts = shared_polygons(F.array(F.array(own)), F.array(box_polygon(minx, miny, maxx, maxy)))
+    return F.coalesce(F.get(F.get(largest_first(parts), F.lit(0)), F.lit(0)), F.array().cast(_RING))
+
+
+def largest_first(parts: Column) -> Column:
+    return F.transform(F.reverse(F.array_sort(F.transform(parts, lambda p: F.struct(polygon_area(p).alias("area"), p.alias("rings"))))), lambda p: p["rings"])
 
 
 def quick_building(buildings: DataFrame, ground: float = 0.0, storey: float = 3.0, mode: str = "intent") -> DataFrame:
@@ -239,32 +339,53 @@ def ordered_floors(polygons: DataFrame, storey: float = 3.0) -> DataFrame:
 
 
 def split_rings(floor_rows: DataFrame, least_area: float = 1.0) -> DataFrame:
-    """Units of floors of any shape (ring: array of [x, y]; n_units, layout): (…, unit_index, ring, area) above an area.
+    """Units of floors of any shape (ring: array of [x, y], and holes: array of rings, if the table has any; n_units, layout): (…, unit_index, ring, parts, area).
 
-    Grid and corridor cells of the ring's box are cut by the ring; a perimeter layout takes sectors about its middle; any
-    other takes the whole floor.
+    Grid and corridor cells of the ring's box are cut by the floor without its holes; a cell of several parts is one unit, with all of
+    them in `parts` (outline, then holes; the largest first) and the largest outline in `ring`. A perimeter layout takes sectors about the
+    middle; any other takes the whole floor. Units whose area is not above the least are left out.
     """
+    if "holes" not in floor_rows.columns:
+        floor_rows = floor_rows.withColumn("holes", F.array().cast(_POLYGON))
+        return split_rings(floor_rows, least_area).drop("holes")
     shape = G.pairs_ring(F.col("ring"))
     side = lambda f, k: f(F.transform(shape, lambda p: p[k]))
     box = [side(F.array_min, "x"), side(F.array_min, "y"), side(F.array_max, "x"), side(F.array_max, "y")]
     names = ("minx", "miny", "maxx", "maxy")
     kept = [c for c in floor_rows.columns if c != "ring"]
-    boxed = floor_rows.select(*kept, F.col("ring").alias("whole"), *(b.alias(f"_{n}") for b, n in zip(box, names)))
+    whole = F.concat(F.array(F.col("ring").cast(_RING)), F.coalesce("holes", F.array().cast(_POLYGON)))
+    boxed = floor_rows.select(*kept, F.col("ring").alias("_outline"), whole.alias("_whole"), *(b.alias(f"_{n}") for b, n in zip(box, names)))
     ends = [F.col(f"_{n}") for n in names]
-    cells = F.when(F.col("layout") == "grid", grid_cells(F.col("n_units"), *ends)).when(F.col("layout") == "corridor", corridor_cells(F.col("n_units"), *ends))
-    celled = boxed.where(F.col("layout").isin("grid", "corridor")).select(*kept, "whole", F.explode(cells).alias("c"))
-    cut = celled.select(*kept, (F.col("c.cell") + 1).alias("unit_index"), clipped_rings("whole", *(F.col(f"c.{n}") for n in names)).alias("ring"))
-    around = boxed.where(F.col("layout") == "perimeter").select(*kept, F.posexplode(sector_rings("whole", "n_units")).alias("_p", "ring"))
-    around = around.select(*kept, (F.col("_p") + 1).alias("unit_index"), "ring")
-    other = boxed.where(F.coalesce(~F.col("layout").isin("grid", "corridor", "perimeter"), F.lit(True))).select(*kept, F.lit(1).alias("unit_index"), F.col("whole").alias("ring"))
-    return cut.unionByName(around).unionByName(other).withColumn("area", G.shoelace_area(G.pairs_ring(F.col("ring")))).where(F.col("area") > least_area)
+    in_cells = F.when(F.col("layout") == "grid", grid_cells(F.col("n_units"), *ends)).when(F.col("layout") == "corridor", corridor_cells(F.col("n_units"), *ends))
+    celled = boxed.where(F.col("layout").isin("grid", "corridor")).select(*kept, "_whole", F.explode(in_cells).alias("c"))
+    parts = shared_polygons(F.array("_whole"), F.array(box_polygon(*(F.col(f"c.{n}") for n in names))))
+    cut = celled.select(*kept, (F.col("c.cell") + 1).alias("unit_index"), parts.alias("parts"))
+    around = boxed.where(F.col("layout") == "perimeter").select(*kept, F.posexplode(sector_rings("_outline", "n_units")).alias("_p", "ring"))
+    around = around.select(*kept, (F.col("_p") + 1).alias("unit_index"), F.array(F.array("ring")).alias("parts"))
+    other = boxed.where(F.coalesce(~F.col("layout").isin("grid", "corridor", "perimeter"), F.lit(True)))
+    other = other.select(*kept, F.lit(1).alias("unit_index"), F.array("_whole").alias("parts"))
+    units = cut.unionByName(around).unionByName(other).withColumn("parts", largest_first(F.col("parts")))
+    area = F.aggregate("parts", F.lit(0.0), lambda total, p: total + polygon_area(p))
+    return units.withColumn("area", area).where(F.col("area") > least_area).withColumn("ring", F.get(F.get("parts", F.lit(0)), F.lit(0)))
+
+
+def split_footprints(floor_rows: DataFrame, least_area: float = 1.0) -> DataFrame:
+    """Units of floors whose footprint has any number of polygons (polygons: array of outline and holes): as `split_rings`.
+
+    The polygons of a footprint of several are its units, in their order, whatever the layout; a single one is split by its layout.
+    """
+    kept = [c for c in floor_rows.columns if c != "polygons"]
+    one = floor_rows.where(F.size("polygons") == 1).select(*kept, F.get(F.get("polygons", F.lit(0)), F.lit(0)).alias("ring"), F.slice(F.get("polygons", F.lit(0)), 2, 1 << 30).alias("holes"))
+    many = floor_rows.where(F.size("polygons") > 1).select(*kept, F.posexplode("polygons").alias("_p", "_rings"))
+    many = many.select(*kept, (F.col("_p") + 1).alias("unit_index"), F.array("_rings").alias("parts"), polygon_area(F.col("_rings")).alias("area"), F.get("_rings", F.lit(0)).alias("ring"))
+    return split_rings(one, least_area).drop("holes").unionByName(many.where(F.col("area") > 0))
 
 
 def extrude_rings(buildings: DataFrame, ground: float = 0.0, storey: float = 3.0) -> DataFrame:
     """Volumetric units (suid, parent, type, label, floor_level, z_min, z_max, geometry, metadata) of footprints of any shape.
 
     buildings: (building_id, levels, n_units, layout, building_type, ring, holes), holes as rings of [x, y] or null. A building's
-    parcel, solid and floors have its holes; a footprint without area has no units at all.
+    parcel, solid and floors have its holes, and its units are cut by them; a footprint without area has no units at all.
     """
     shape = lambda: G.pairs_ring(F.col("ring"))
     b = buildings.where((F.size("ring") >= 3) & (G.shoelace_area(shape()) > 0) & (F.col("levels") > 0))
@@ -277,7 +398,9 @@ def extrude_rings(buildings: DataFrame, ground: float = 0.0, storey: float = 3.0
     own = F.create_map(F.lit("building_id"), name)
 
     def rows(df: DataFrame, kind: str, suid: Column, parent: Column, label: Column, at: Column, lo: Column, hi: Column) -> DataFrame:
-        holes = None if kind == "unit" else F.transform("holes", G.pairs_ring)
+        # a unit's solid has the faces of all rings of its parts
+        more = F.slice(F.flatten("parts"), 2, 1 << 30) if kind == "unit" else F.col("holes")
+        holes = F.transform(more, G.pairs_ring)
         told = F.map_concat(own, F.create_map(F.lit("unit_type"), F.col("building_type"))) if kind == "unit" else own
         solid = let(shape(), lambda ring: G.solid_wkt(ring, lo.cast("double"), hi.cast("double"), holes))
         return df.select(

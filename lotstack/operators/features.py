@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lotstack.functions import geometry as G
+
 #: The collections on offer.
 COLLECTIONS = (
     ("spatial_units", "Parcels, buildings, floors and units"),
@@ -37,13 +39,17 @@ def parse_bbox(text: str | None) -> tuple[float, float, float, float] | None:
     return tuple(map(float, parts))
 
 
-def in_bbox(units: DataFrame, bbox: str | None) -> DataFrame:
-    """Units whose box meets the envelope, touching included; a malformed envelope is no filter. Pushed to the scan."""
+def in_bbox(units: DataFrame, bbox: str | None, ring: str | None = None) -> DataFrame:
+    """Units whose box meets the envelope, touching included; a malformed envelope is no filter. Pushed to the scan.
+
+    With `ring`, a column of rings, only those whose ring itself meets the envelope, inside or border.
+    """
     box = parse_bbox(bbox)
     if box is None:
         return units
     x1, y1, x2, y2 = box
-    return units.where((F.col("minx") <= x2) & (F.col("maxx") >= x1) & (F.col("miny") <= y2) & (F.col("maxy") >= y1))
+    near = units.where((F.col("minx") <= x2) & (F.col("maxx") >= x1) & (F.col("miny") <= y2) & (F.col("maxy") >= y1))
+    return near.where(G.ring_meets_box(F.col(ring), *map(F.lit, box))) if ring else near
 
 
 def page(units: DataFrame, limit: int = 100, offset: int = 0, key: str = "suid") -> DataFrame:

@@ -62,20 +62,27 @@ def tile_windows(clouds: DataFrame, tile: int = 8192) -> DataFrame:
     return windows.where((F.col("stop") - F.col("start")) * 4 >= tile).select("cloud_id", "start", "stop")
 
 
+def _point(rows: DataFrame) -> list[str]:
+    """What names a point: its id, within its cloud if there is one."""
+    return [c for c in ("cloud_id", "pt_id") if c in rows.columns]
+
+
 def votes(tile_scores: DataFrame) -> DataFrame:
-    """(pt_id, class, score): class scores averaged over the tiles that saw a point."""
-    long = tile_scores.select("pt_id", F.posexplode("scores").alias("class", "p"))
-    return long.groupBy("pt_id", "class").agg(F.avg("p").alias("score"))
+    """(cloud_id if there, pt_id, class, score): class scores averaged over the tiles that saw a point."""
+    own = _point(tile_scores)
+    long = tile_scores.select(*own, F.posexplode("scores").alias("class", "p"))
+    return long.groupBy(*own, "class").agg(F.avg("p").alias("score"))
 
 
 def voted_class(points: DataFrame, averaged: DataFrame) -> DataFrame:
-    """(pt_id, class): the best class, ties to the smaller; -1 without a vote."""
-    best = averaged.groupBy("pt_id").agg(F.max(F.struct("score", (-F.col("class")).alias("less")))["less"].alias("less"))
-    return points.select("pt_id").join(best, "pt_id", "left").select("pt_id", F.coalesce(-F.col("less"), F.lit(-1)).cast("int").alias("class"))
+    """(cloud_id if the votes have it, pt_id, class): the best class, ties to the smaller; -1 without a vote."""
+    own = _point(averaged)
+    best = averaged.groupBy(*own).agg(F.max(F.struct("score", (-F.col("class")).alias("less")))["less"].alias("less"))
+    return points.select(*own).join(best, own, "left").select(*own, F.coalesce(-F.col("less"), F.lit(-1)).cast("int").alias("class"))
 
 
 def predicted(tiles: DataFrame, model: Callable[[np.ndarray], np.ndarray], columns: tuple[str, ...] = ("x", "y", "z", "r", "g", "b")) -> DataFrame:
-    """(pt_id, scores) of tiles (tile_id, pt_id, …): centred coordinates and colours of 0 to 1 go through the model.
+    """(cloud_id if there, pt_id, scores) of tiles (tile_id, pt_id, …): centred coordinates and colours of 0 to 1 go through the model.
 
     The model maps (n, 6) to (n, classes). Load heavy models inside the callable, once for each worker.
     """
@@ -85,9 +92,10 @@ def predicted(tiles: DataFrame, model: Callable[[np.ndarray], np.ndarray], colum
         x[:, :3] -= x[:, :3].mean(axis=0)
         if x[:, 3:].max(initial=0) > 1:
             x[:, 3:] /= 255
-        return pd.DataFrame({"pt_id": rows["pt_id"], "scores": list(np.asarray(model(x), dtype=float))})
+        return pd.DataFrame({c: rows[c] for c in own} | {"scores": list(np.asarray(model(x), dtype=float))})
 
-    return tiles.groupBy("tile_id").applyInPandas(scored, "pt_id long, scores array<double>")
+    own = _point(tiles)
+    return tiles.groupBy("tile_id").applyInPandas(scored, ", ".join(f"{c} {dict(tiles.dtypes)[c]}" for c in own) + ", scores array<double>")
 
 
 def onnx_model(path: str, name: str = "input") -> Callable[[np.ndarray], np.ndarray]:
@@ -183,7 +191,7 @@ def tile_rows(points: DataFrame, tile: int = 8192) -> DataFrame:
 
 
 def segmented(points: DataFrame, model: Callable[[np.ndarray], np.ndarray], tile: int = 8192) -> DataFrame:
-    """(pt_id, class) of clouds (cloud_id, pt_id, place, x, y, z, r, g, b): tiles through the model, and the best average."""
+    """(cloud_id, pt_id, class) of clouds (cloud_id, pt_id, place, x, y, z, r, g, b): tiles through the model, and the best average."""
     return voted_class(points, votes(predicted(tile_rows(points, tile), model)))
 
 
@@ -191,7 +199,7 @@ def levels_of_scan(scan: DataFrame, model: Callable[[np.ndarray], np.ndarray], t
     """(cloud_id, level, z, cluster, area) of scanned points (file, cloud_id, pt_id, place, …): colours as bytes, classes by the
     model, and the levels of its floor slabs."""
     found = segmented(byte_colours(scan), model, tile)
-    return levels_with_outlines(scan.drop("classification").join(found.withColumnRenamed("class", "classification"), "pt_id"), **delineation)
+    return levels_with_outlines(scan.drop("classification").join(found.withColumnRenamed("class", "classification"), ["cloud_id", "pt_id"]), **delineation)
 
 
 def model_status(spark: SparkSession, models: dict[str, str]) -> DataFrame:

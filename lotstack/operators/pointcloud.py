@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from lotstack.functions import geometry as G
 from lotstack.functions import kernel
+from lotstack.operators import cells
 from lotstack.operators.graph import components
-from lotstack.plans.tables import materialize
+from lotstack.plans.tables import discard, materialize
 
 
 def cell(v: Column, size: float) -> Column:
@@ -64,13 +65,13 @@ def quantiles(rows: DataFrame, key: tuple[str, ...], value: str, shares: dict[st
     return values.groupBy(*key).agg(*(quantile(share).alias(name) for name, share in shares.items()))
 
 
-def filled(cells: DataFrame, window: int = 3) -> DataFrame:
+def filled(grid: DataFrame, window: int = 3) -> DataFrame:
     """A grid (cx, cy, z) with its holes: an empty cell takes the inverse-square mean of the cells at most `window` away along
     either axis, if there are any. Holes lie within the grid's box."""
     steps = F.sequence(F.lit(-window), F.lit(window))
     around = F.flatten(F.transform(steps, lambda i: F.transform(steps, lambda j: F.struct(i.alias("i"), j.alias("j")))))
-    box = cells.agg(F.min("cx").alias("x1"), F.max("cx").alias("x2"), F.min("cy").alias("y1"), F.max("cy").alias("y2"))
-    near = cells.withColumn("d", F.explode(around)).select((F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"), "z", (F.col("d.i") * F.col("d.i") + F.col("d.j") * F.col("d.j")).alias("far"))
+    box = grid.agg(F.min("cx").alias("x1"), F.max("cx").alias("x2"), F.min("cy").alias("y1"), F.max("cy").alias("y2"))
+    near = grid.withColumn("d", F.explode(around)).select((F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"), "z", (F.col("d.i") * F.col("d.i") + F.col("d.j") * F.col("d.j")).alias("far"))
     weight = F.when(F.col("far") > 0, 1 / F.col("far"))
     met = near.groupBy("cx", "cy").agg(F.max(F.when(F.col("far") == 0, F.col("z"))).alias("own"), (F.sum(F.col("z") * weight) / F.sum(weight)).alias("mean"))
     inside = F.col("cx").between(F.col("x1"), F.col("x2")) & F.col("cy").between(F.col("y1"), F.col("y2"))
@@ -101,87 +102,65 @@ def terrain_idw(points: DataFrame, size: float = 1.0, reach: int = 1, ground: in
     return _around(classified(points, ground), size, reach).groupBy("cx", "cy").agg((F.sum(F.col("z") * weight) / F.sum(weight)).alias("z"))
 
 
-def nearest(queries: DataFrame, points: DataFrame, k: int = 1, size: float | None = None, dims: str = "xy", within: tuple[str, ...] = ()) -> DataFrame:
-    """(query_id, pt_id, distance, place) of each query's k nearest points; ties go to the smaller pt_id.
+def nearest(queries: DataFrame, points: DataFrame, k: int = 1, dims: str = "xy", within: tuple[str, ...] = (), told: tuple[str, ...] = (), carried: tuple[str, ...] = ()) -> DataFrame:
+    """(within…, query_id, pt_id, distance, place) of each query's k nearest points; ties go to the smaller pt_id.
 
-    With `within`, only points with equal columns of these names count. A query is settled once k points lie no farther than a cell's width, which the cells around it cover whole;
-    others look again in cells twice as wide. Without a size, cells begin so wide that one holds about 4 k points.
+    With `within`, only points with equal columns of these names count, and ids may repeat from one to the next. `told` are
+    columns of the queries and `carried` of the points that the result has too. Rows without a coordinate, or without one of
+    `within`, take no part; rows with equal ids are queries and points each.
+
+    Points lie in a tree of cells cut by counts. Queries of one cell look together: in the cells that can hold one of the
+    k nearest by the boxes of their points. So a query meets a bounded number of points however they lie, and a stray far
+    away changes nothing for the others.
     """
-    spark = queries.sparkSession
-    q0 = materialize(queries.select("query_id", *within, *dims), "queries")
-    p0 = materialize(points.select("pt_id", *within, *dims), "points")
-    extent = p0.select("x", "y").unionByName(q0.select("x", "y")).agg(*(f(d).alias(f"{n}{d}") for d in "xy" for n, f in (("lo", F.min), ("hi", F.max)))).first()
-    if extent["lox"] is None:
-        return spark.createDataFrame([], "query_id long, pt_id long, distance double, place int")
-    widest = max(extent["hix"] - extent["lox"], extent["hiy"] - extent["loy"])
-    if size is None:
-        counted = p0.agg(F.count("*").alias("n"), (F.approx_count_distinct(F.struct(*within)) if within else F.lit(1)).alias("groups")).first()
-        area = max(extent["hix"] - extent["lox"], widest / 1e6) * max(extent["hiy"] - extent["loy"], widest / 1e6)
-        size = max((area * 4 * k * max(counted["groups"], 1) / max(counted["n"], 1)) ** 0.5, widest / 1e6, 1e-9)
-    out, left = None, q0
-    while True:
-        q = left.withColumn("cx", cell(F.col("x"), size)).withColumn("cy", cell(F.col("y"), size))
-        near = q.alias("q").join(_around(p0, size).alias("p"), [*within, "cx", "cy"])
-        gap = F.sqrt(sum(((F.col(f"q.{d}") - F.col(f"p.{d}")) * (F.col(f"q.{d}") - F.col(f"p.{d}")) for d in dims[1:]), (F.col("q.x") - F.col("p.x")) * (F.col("q.x") - F.col("p.x"))))
-        ranked = near.select("query_id", "pt_id", gap.alias("distance")).withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "pt_id"))).where(F.col("place") <= k)
-        ranked = materialize(ranked, "near")
-        last = size > widest
-        if last:
-            settled = ranked
-        else:
-            sure = ranked.where((F.col("place") == k) & (F.col("distance") <= size)).select("query_id")
-            settled = ranked.join(sure, "query_id", "left_semi")
-            left = materialize(left.join(sure, "query_id", "left_anti"), "queries")
-        out = settled if out is None else out.unionByName(settled)
-        if last or not left.limit(1).count():
-            return out
-        size *= 2
-
-
-def height_above_ground(points: DataFrame, ground: int = 2, size: float | None = None) -> DataFrame:
-    """(pt_id, height) of all points above the nearest ground point of their cloud, in plan."""
-    found = nearest(points.withColumnRenamed("pt_id", "query_id"), classified(points, ground), 1, size, "xy", ("cloud_id",))
-    base = points.select(F.col("pt_id"), F.col("z").alias("ground_z"))
-    return points.select(F.col("pt_id").alias("query_id"), "z").join(found.select("query_id", "pt_id"), "query_id").join(base, "pt_id").select(
-        F.col("query_id").alias("pt_id"), (F.col("z") - F.col("ground_z")).alias("height")
-    )
+    return cells.nearest(queries, points, k, dims, within, told, carried)
+
+
+def height_above_ground(points: DataFrame, ground: int = 2) -> DataFrame:
+    """(cloud_id, pt_id, x, y, height) of all points above the nearest ground point of their cloud, in plan."""
+    own = points.select("cloud_id", F.col("pt_id").alias("query_id"), "x", "y", "z")
+    base = classified(points, ground).select("cloud_id", "pt_id", "x", "y", F.col("z").alias("ground_z"))
+    found = nearest(own, base, 1, "xy", ("cloud_id",), ("x", "y", "z"), ("ground_z",))
+    return found.select("cloud_id", F.col("query_id").alias("pt_id"), "x", "y", (F.col("z") - F.col("ground_z")).alias("height"))
 
 
 def canopy(points: DataFrame, size: float = 0.5, least: float = 0.5, ground: int = 2) -> DataFrame:
     """The greatest height above ground of each cell."""
-    tall = points.join(height_above_ground(points, ground), "pt_id").where(F.col("height") >= least)
+    tall = height_above_ground(points, ground).where(F.col("height") >= least)
     return tall.groupBy(cell(F.col("x"), size).alias("cx"), cell(F.col("y"), size).alias("cy")).agg(F.max("height").alias("height"))
 
 
 def outliers_by_radius(points: DataFrame, radius: float = 1.0, least: int = 5) -> DataFrame:
-    """(pt_id, neighbours) of points with fewer than `least` others of their cloud within the radius in space.
+    """(cloud_id, pt_id, neighbours) of points with fewer than `least` others of their cloud within the radius in space.
 
     Points that share a cube whose diagonal is the radius are neighbours: in a cube of more than `least` none is an outlier,
     so only the points of emptier cubes, few in each, meet those around them.
     """
     side = radius / 3**0.5
     cubes = {f"c{d}": F.floor(F.col(d) / (side * (1 - 1e-9))) for d in "xyz"}
-    held = points.select("cloud_id", "pt_id", *"xyz").withColumns(cubes)
+    points = materialize(points.select("cloud_id", "pt_id", *"xyz").withColumn("_row", F.monotonically_increasing_id()), "points")
+    held = points.withColumns(cubes)
     full = held.groupBy("cloud_id", *cubes).agg(F.count("*").alias("n")).where(F.col("n") > least).drop("n")
-    sparse = held.join(full, ["cloud_id", *cubes], "left_anti").select("cloud_id", "pt_id", *"xyz")
+    sparse = held.join(full, ["cloud_id", *cubes], "left_anti").select("_row", "cloud_id", "pt_id", *"xyz")
     own = sparse.withColumn("cx", cell(F.col("x"), radius)).withColumn("cy", cell(F.col("y"), radius)).withColumn("cz", cell(F.col("z"), radius))
     up = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    others = _around(points.select("cloud_id", "pt_id", *"xyz"), radius).withColumn("k", up).withColumn("cz", cell(F.col("z"), radius) + F.col("k"))
+    others = _around(points.select("_row", "cloud_id", *"xyz"), radius).withColumn("k", up).withColumn("cz", cell(F.col("z"), radius) + F.col("k"))
     a, b = own.alias("a"), others.alias("b")
     far = sum(((F.col(f"a.{d}") - F.col(f"b.{d}")) * (F.col(f"a.{d}") - F.col(f"b.{d}")) for d in "yz"), (F.col("a.x") - F.col("b.x")) * (F.col("a.x") - F.col("b.x")))
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("cloud_id", "cx", "cy", "cz")]
-    counted = a.join(b, [*same, (F.col("a.pt_id") != F.col("b.pt_id")) & (far <= radius * radius)]).groupBy(F.col("a.pt_id").alias("pt_id")).agg(F.count("*").alias("n"))
-    return sparse.select("pt_id").join(counted, "pt_id", "left").select("pt_id", F.coalesce("n", F.lit(0)).alias("neighbours")).where(F.col("neighbours") < least)
+    counted = a.join(b, [*same, (F.col("a._row") != F.col("b._row")) & (far <= radius * radius)]).groupBy(F.col("a._row").alias("_row")).agg(F.count("*").alias("n"))
+    return sparse.select("_row", "cloud_id", "pt_id").join(counted, "_row", "left").select("cloud_id", "pt_id", F.coalesce("n", F.lit(0)).alias("neighbours")).where(F.col("neighbours") < least)
 
 
-def outliers_by_distance(points: DataFrame, k: int = 8, multiplier: float = 2.0, size: float | None = None) -> DataFrame:
-    """(pt_id, mean_distance) of points whose mean distance to k others of their cloud is above mean + multiplier * deviation."""
-    near = nearest(points.withColumnRenamed("pt_id", "query_id"), points, k + 1, size, "xyz", ("cloud_id",)).where("query_id <> pt_id")
-    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "pt_id"))).where(F.col("r") <= k)
-    means = ranked.groupBy(F.col("query_id").alias("pt_id")).agg(F.avg("distance").alias("mean_distance"))
-    means = materialize(means.join(points.select("pt_id", "cloud_id"), "pt_id"), "means")
+def outliers_by_distance(points: DataFrame, k: int = 8, multiplier: float = 2.0) -> DataFrame:
+    """(cloud_id, pt_id, mean_distance) of points whose mean distance to k others of their cloud is above mean + multiplier * deviation."""
+    own = points.select("cloud_id", F.col("pt_id").alias("query_id"), *"xyz")
+    near = nearest(own, points, k + 1, "xyz", ("cloud_id",)).where("query_id <> pt_id")
+    by = Window.partitionBy("cloud_id", "query_id").orderBy("distance", "pt_id")
+    ranked = near.withColumn("r", F.row_number().over(by)).where(F.col("r") <= k)
+    means = materialize(ranked.groupBy("cloud_id", F.col("query_id").alias("pt_id")).agg(F.avg("distance").alias("mean_distance")), "means")
     limit = means.groupBy("cloud_id").agg((F.avg("mean_distance") + multiplier * F.stddev_pop("mean_distance")).alias("bound"))
-    return means.join(limit, "cloud_id").where(F.col("mean_distance") > F.col("bound")).select("pt_id", "mean_distance")
+    return means.join(limit, "cloud_id").where(F.col("mean_distance") > F.col("bound")).select("cloud_id", "pt_id", "mean_distance")
 
 
 def tiles(points: DataFrame, length: float = 1000.0, buffer: float = 50.0) -> DataFrame:
@@ -195,7 +174,7 @@ def tiles(points: DataFrame, length: float = 1000.0, buffer: float = 50.0) -> Da
 
 
 def ground_filter(points: DataFrame, size: float = 1.0, window: int = 16, slope: float = 0.2, threshold: float = 0.45, scalar: float = 1.2, tile: int = 128) -> DataFrame:
-    """(pt_id, is_ground): progressive opening of the lowest surface (Pingel, Clarke and McBride), tile by tile.
+    """(cloud_id, pt_id, is_ground): progressive opening of the lowest surface (Pingel, Clarke and McBride), tile by tile.
 
     A cell is an object if an opening by a growing window lowers it by more than the slope allows; a point is ground
     if its height is close to the surface that is left. Tiles carry a margin of the window's width.
@@ -225,7 +204,7 @@ def ground_filter(points: DataFrame, size: float = 1.0, window: int = 16, slope:
     surface = placed.groupBy("cloud_id", "tx", "ty").applyInPandas(opened, "cloud_id long, cx long, cy long, surface double, object boolean")
     own = points.withColumn("cx", cell(F.col("x"), size)).withColumn("cy", cell(F.col("y"), size))
     return own.join(surface, ["cloud_id", "cx", "cy"]).select(
-        "pt_id", (~F.col("object") & (F.col("z") - F.col("surface") <= threshold + scalar * slope * size)).alias("is_ground")
+        "cloud_id", "pt_id", (~F.col("object") & (F.col("z") - F.col("surface") <= threshold + scalar * slope * size)).alias("is_ground")
     )
 
 
@@ -240,58 +219,96 @@ def _moving(grid: np.ndarray, w: int, least) -> np.ndarray:
     return out
 
 
-def dbscan(points: DataFrame, eps: float, least: int, dims: str = "xy") -> DataFrame:
-    """(pt_id, cluster): density clusters (Ester et al.), named by their smallest core point; noise has none.
+def dbscan(points: DataFrame, eps: float, least: int, dims: str = "xy", within: tuple[str, ...] = ("cloud_id",)) -> DataFrame:
+    """(within…, pt_id, cluster): density clusters (Ester et al.), named by their smallest core point; noise has none.
+
+    Groups of equal `within` are clustered each, and ids may repeat from one to the next. A point of the border goes to the
+    smallest cluster of its core neighbours.
 
-    Clouds are clustered each. A point of the border goes to the smallest cluster of its core neighbours. Cells of width eps bring neighbours
-    together; components of core links are found by alternating stars.
+    Cells have a diagonal of eps, so all points of a cell with `least` of them are core without a look at any pair. Only points of
+    emptier cells, fewer than `least` in each, meet those around them, and are counted at once. Clusters are components of
+    cells: two are linked if two of their core points are near, which the boxes of an eighth of a cell tell but for pairs of cells
+    that touch eps closely. No pairs of points are written.
     """
-    points = materialize(points.select("cloud_id", "pt_id", *dims), "points")
-    if dims == "x":
-        points = points.withColumn("y", F.lit(0.0))
-    a = points.withColumn("cx", cell(F.col("x"), eps)).withColumn("cy", cell(F.col("y"), eps)).alias("a")
-    b = _around(points, eps).alias("b")
-    far = sum(((F.col(f"a.{d}") - F.col(f"b.{d}")) * (F.col(f"a.{d}") - F.col(f"b.{d}")) for d in dims[1:]), (F.col("a.x") - F.col("b.x")) * (F.col("a.x") - F.col("b.x")))
-    near = a.join(b, (F.col("a.cloud_id") == F.col("b.cloud_id")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (far <= eps * eps)).select(F.col("a.pt_id").alias("a"), F.col("b.pt_id").alias("b"))
-    near = materialize(near, "neighbours")
-    core = materialize(near.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("a"), "core")
-    from_core = near.join(core, "a")
-    links = from_core.join(core.select(F.col("a").alias("b")), "b").where("a < b").select("a", "b")
-    found = core.join(components(links).select(F.col("node").alias("a"), "component"), "a", "left").select("a", F.coalesce("component", "a").alias("cluster"))
-    reached = from_core.join(found, "a").groupBy(F.col("b").alias("pt_id")).agg(F.min("cluster").alias("least"))
-    own = found.select(F.col("a").alias("pt_id"), "cluster")
-    return reached.join(own, "pt_id", "left").select("pt_id", F.coalesce("cluster", "least").alias("cluster"))
-
-
-def hulls(points: DataFrame, key: str, salts: int = 16) -> DataFrame:
-    """(key, n, mean_z, min_z, max_z, area, hull) of each group: a hull of the hulls of its salted parts.
+    side = eps / 2**0.5 * (1 - 1e-9)
+    own = points.select(*within, "pt_id", F.col("x").cast("double").alias("x"), (F.col("y").cast("double") if "y" in dims else F.lit(0.0)).alias("y"))
+    own = own.dropna(subset=["x", "y", *within]).withColumns({"cx": cell(F.col("x"), side), "cy": cell(F.col("y"), side)})
+    points = materialize(own.withColumn("_row", F.monotonically_increasing_id()), "points")
+    place = [*within, "cx", "cy"]
+    dense = points.groupBy(*place).agg(F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
+    sparse = points.join(dense, place, "left_anti")
+    steps = F.sequence(F.lit(-2), F.lit(2))
+    offsets = F.flatten(F.transform(steps, lambda i: F.transform(steps, lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    gap = lambda a, b: (F.col(f"{a}.x") - F.col(f"{b}.x")) * (F.col(f"{a}.x") - F.col(f"{b}.x")) + (F.col(f"{a}.y") - F.col(f"{b}.y")) * (F.col(f"{a}.y") - F.col(f"{b}.y"))
+
+    def around(rows: DataFrame, others: DataFrame) -> DataFrame:
+        """Rows (a) with the others (b) at most eps away."""
+        spread = rows.withColumn("_d", F.explode(offsets)).withColumns({"cx": F.col("cx") + F.col("_d.i"), "cy": F.col("cy") + F.col("_d.j")}).alias("a")
+        return spread.join(others.alias("b"), [*(F.col(f"a.{c}") == F.col(f"b.{c}") for c in place), gap("a", "b") <= eps * eps])
+
+    enough = around(sparse, points).groupBy(F.col("a._row").alias("_row")).agg(F.count("*").alias("n")).where(F.col("n") >= least).select("_row")
+    core = materialize(points.join(dense, place, "left_semi").unionByName(sparse.join(enough, "_row", "left_semi").select(*points.columns)), "core")
+
+    eighth = {"sx": cell(F.col("x"), side / 8), "sy": cell(F.col("y"), side / 8)}
+    held = core.withColumns(eighth)
+    box = [f(d).alias(f"{n}{d}") for d in "xy" for n, f in (("lo", F.min), ("hi", F.max))]
+    subs = held.groupBy(*place, "sx", "sy").agg(F.min("pt_id").alias("first"), *box)
+    nodes = materialize(subs.groupBy(*place).agg(F.min("first").alias("first")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    subs = materialize(subs.join(nodes.drop("first"), place), "subs")
+    # half of the cells around, so that each pair of cells meets once
+    half = F.filter(offsets, lambda d: (d["i"] > 0) | ((d["i"] == 0) & (d["j"] > 0)))
+    moved = subs.withColumn("_d", F.explode(half)).withColumns({"cx": F.col("cx") + F.col("_d.i"), "cy": F.col("cy") + F.col("_d.j")}).alias("a")
+    met = moved.join(subs.alias("b"), [F.col(f"a.{c}") == F.col(f"b.{c}") for c in place])
+    pair = [F.col("a.node").alias("a"), F.col("b.node").alias("b")]
+    sure = materialize(met.where(cells.far("a", "b", "xy", True) <= eps).select(*pair).distinct(), "sure")
+    doubtful = met.where((cells.far("a", "b", "xy", True) > eps) & (cells.far("a", "b", "xy", False) <= eps))
+    doubtful = doubtful.select(*pair, *(F.col(f"{k}.{c}").alias(f"{k}{c}") for k in "ab" for c in ("sx", "sy"))).join(sure, ["a", "b"], "left_anti")
+    numbered = held.join(nodes.drop("first"), place).select("node", "sx", "sy", "x", "y")
+    side_of = lambda k: numbered.select(F.col("node").alias(k), F.col("sx").alias(f"{k}sx"), F.col("sy").alias(f"{k}sy"), F.struct("x", "y").alias(f"{k}p"))
+    near = doubtful.join(side_of("a"), ["a", "asx", "asy"]).join(side_of("b"), ["b", "bsx", "bsy"]).where(gap("ap", "bp") <= eps * eps)
+    links = sure.unionByName(near.select("a", "b").distinct())
+
+    found = nodes.join(components(links).withColumnRenamed("component", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = found.groupBy("root").agg(F.min("first").alias("cluster"))
+    of_cell = materialize(found.join(named, "root").select(*place, "cluster"), "clusters")
+    labelled = core.join(of_cell, place)
+    border = around(sparse.join(core.select("_row"), "_row", "left_anti"), labelled)
+    border = border.groupBy("a._row", *(F.col(f"a.{w}").alias(w) for w in within), F.col("a.pt_id").alias("pt_id")).agg(F.min("b.cluster").alias("cluster"))
+    done = materialize(labelled.select(*within, "pt_id", "cluster").unionByName(border.select(*within, "pt_id", "cluster")), "dbscan")
+    discard(points, core, nodes, subs, sure, of_cell)
+    return done
+
+
+def hulls(points: DataFrame, key: str | tuple[str, ...], salts: int = 16) -> DataFrame:
+    """(key…, n, mean_z, min_z, max_z, area, hull) of each group: a hull of the hulls of its salted parts.
 
     A part's hull stands for its points, so that a group of any size is never gathered in one task.
     """
-    kind = dict(points.dtypes)[key]
-    schema = f"{key} {kind}, x double, y double"
+    keys = [key] if isinstance(key, str) else [*key]
+    named = ", ".join(f"{k} {dict(points.dtypes)[k]}" for k in keys)
 
     def part(rows: pd.DataFrame) -> pd.DataFrame:
         h = kernel.hull(rows[["x", "y"]].to_numpy(float))
-        return pd.DataFrame({key: [rows[key].iloc[0]] * len(h), "x": h[:, 0], "y": h[:, 1]})
+        return pd.DataFrame({k: [rows[k].iloc[0]] * len(h) for k in keys} | {"x": h[:, 0], "y": h[:, 1]})
 
     def whole(rows: pd.DataFrame) -> pd.DataFrame:
         h = kernel.hull(rows[["x", "y"]].to_numpy(float))
-        return pd.DataFrame({key: [rows[key].iloc[0]], "area": [kernel.area(h)], "hull": [h.tolist()]})
+        return pd.DataFrame({k: [rows[k].iloc[0]] for k in keys} | {"area": [kernel.area(h)], "hull": [h.tolist()]})
 
-    slim = points.select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.pmod(F.xxhash64("x", "y"), F.lit(salts)).alias("_salt"))
-    outlines = slim.groupBy(key, "_salt").applyInPandas(part, schema).groupBy(key).applyInPandas(whole, f"{key} {kind}, area double, hull array<array<double>>")
-    stats = points.groupBy(key).agg(F.count("*").alias("n"), F.avg("z").alias("mean_z"), F.min("z").alias("min_z"), F.max("z").alias("max_z"))
-    return stats.join(outlines, key)
+    slim = points.select(*keys, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.pmod(F.xxhash64("x", "y"), F.lit(salts)).alias("_salt"))
+    outlines = slim.groupBy(*keys, "_salt").applyInPandas(part, f"{named}, x double, y double").groupBy(*keys).applyInPandas(whole, f"{named}, area double, hull array<array<double>>")
+    stats = points.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("z").alias("mean_z"), F.min("z").alias("min_z"), F.max("z").alias("max_z"))
+    return stats.join(outlines, keys)
 
 
 def footprints(points: DataFrame, classification: int = 6, eps: float = 2.0, least: int = 20, least_area: float = 20.0, least_height: float | None = None) -> DataFrame:
-    """Building outlines: clusters of a class, of points so high above ground if wanted, with their hulls, above an area."""
+    """(cloud_id, cluster, n, …, area, hull): building outlines, clusters of a class, of points so high above ground if wanted, above an area."""
     own = classified(points, classification)
     if least_height is not None:
         tall = in_ranges(height_above_ground(points), height=(least_height, None))
-        own = materialize(own.join(tall.select("pt_id"), "pt_id", "left_semi"), "tall")
-    return hulls(own.join(dbscan(own, eps, least), "pt_id"), "cluster").where(F.col("area") > least_area)
+        own = materialize(own.join(tall.select("cloud_id", "pt_id").distinct(), ["cloud_id", "pt_id"], "left_semi"), "tall")
+    clustered = own.join(dbscan(own, eps, least).distinct(), ["cloud_id", "pt_id"])
+    return hulls(clustered, ("cloud_id", "cluster")).where(F.col("area") > least_area)
 
 
 def floor_segments(points: DataFrame, storey: float = 3.0) -> DataFrame:
@@ -375,11 +392,11 @@ def farthest_points(points: DataFrame, n: int) -> DataFrame:
     return taken.select("cloud_id", F.posexplode(F.transform("taken", lambda p: p["pt_id"])).alias("place", "pt_id"))
 
 
-def interpolated(queries: DataFrame, points: DataFrame, value: str = "z", k: int = 3, size: float | None = None, within: tuple[str, ...] = ()) -> DataFrame:
-    """(query_id, value): inverse-distance means of the k nearest points' values."""
-    near = nearest(queries, points, k, size, "xy", within).join(points.select("pt_id", F.col(value).alias("_v")), "pt_id")
+def interpolated(queries: DataFrame, points: DataFrame, value: str = "z", k: int = 3, within: tuple[str, ...] = ()) -> DataFrame:
+    """(within…, query_id, value): inverse-distance means of the k nearest points' values."""
+    near = nearest(queries, points.withColumn("_v", F.col(value)), k, "xy", within, (), ("_v",))
     weight = 1 / (F.col("distance") + 1e-8)
-    return near.groupBy("query_id").agg((F.sum(F.col("_v") * weight) / F.sum(weight)).alias("value"))
+    return near.groupBy(*within, "query_id").agg((F.sum(F.col("_v") * weight) / F.sum(weight)).alias("value"))
 
 
 def process(points: DataFrame, size: float = 1.0, zone: int | None = None, window: int = 3) -> dict[str, DataFrame]:
@@ -391,10 +408,11 @@ def process(points: DataFrame, size: float = 1.0, zone: int | None = None, windo
     if zone is not None:
         metres = G.utm(F.col("x"), F.col("y"), zone)
         points = points.withColumns({"x": metres["x"], "y": metres["y"]})
-    noise = outliers_by_distance(points).select("pt_id")
-    clean = materialize(points.join(noise, "pt_id", "left_anti"), "clean")
+    own = ["cloud_id", "pt_id"]
+    noise = outliers_by_distance(points).select(*own)
+    clean = materialize(points.join(noise, own, "left_anti"), "clean")
     ground = ground_filter(clean, size)
-    marked = clean.join(ground, "pt_id").withColumn("classification", F.when(F.col("is_ground"), 2).otherwise(F.col("classification"))).drop("is_ground")
+    marked = clean.join(ground, own).withColumn("classification", F.when(F.col("is_ground"), 2).otherwise(F.col("classification"))).drop("is_ground")
     marked = materialize(marked, "classified")
     return {
         "points": marked,
@@ -419,12 +437,11 @@ def levels_with_outlines(points: DataFrame, slab: int = 2, half: float = 0.1, ep
         "level", F.row_number().over(Window.partitionBy("cloud_id").orderBy("level_z")) - 1
     )
     near = slabs.join(levels, "cloud_id").where(F.abs(F.col("z") - F.col("level_z")) <= half)
-    # each level of a cloud is clustered by itself: the two make one cloud number
-    keyed = near.withColumn("own_cloud", F.col("cloud_id")).withColumn("cloud_id", F.xxhash64("cloud_id", "level"))
-    clustered = keyed.join(dbscan(keyed, eps, least), "pt_id")
-    outlines = hulls(clustered, "cluster").where(F.col("area") > least_area)
-    of = clustered.groupBy("cluster").agg(F.min("own_cloud").alias("cloud_id"), F.min("level").alias("level"), F.min("level_z").alias("z"))
-    return outlines.join(of, "cluster").select("cloud_id", "level", "z", "cluster", "area")
+    # each level of a cloud is clustered by itself
+    level = ["cloud_id", "level"]
+    clustered = near.join(dbscan(near, eps, least, within=tuple(level)).distinct(), [*level, "pt_id"])
+    outlines = hulls(clustered, (*level, "cluster")).where(F.col("area") > least_area)
+    return outlines.join(levels.withColumnRenamed("level_z", "z"), level).select("cloud_id", "level", "z", "cluster", "area")
 
 
 def outline_or_box(outlines: DataFrame, least_area: float = 1.0, buffer: float = 0.5) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotstack.functions import geometry as G
+from lotstack.operators import cells
 
 TOLERANCE = 0.01
 #: The corner numbers of a tetrahedron's faces.
@@ -21,19 +22,16 @@ def parcel_key(suid: Column) -> Column:
     return F.when(F.instr(suid, "-") > 0, F.substring_index(suid, "-", 1)).otherwise(F.concat(F.substring(suid, 1, 17), F.lit("00000000")))
 
 
-def pairs_in_cells(units: DataFrame, cell: float = 64.0) -> DataFrame:
-    """Rows (a, b) of units of one parent, a.suid < b.suid, whose boxes meet; touching counts.
+_AXES = (("minx", "maxx"), ("miny", "maxy"), ("z_min", "z_max"))
 
-    Boxes are dealt to the grid cells of their parent that they cover, and a pair comes out of the cell alone that holds
-    the lower corner of what both share: so units of a parent meet their neighbours, not all others.
+
+def pairs_in_cells(units: DataFrame) -> DataFrame:
+    """Rows (a, b) of units of one parent, as structs, a.suid < b.suid, whose boxes meet; touching counts.
+
+    Boxes meet in cells of about their own size (`cells.box_pairs`): units of a parent meet their neighbours, not all others, in
+    metres and in degrees, and a box of any width covers a bounded number of cells.
     """
-    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
-    placed = units.withColumn("_cx", span("minx", "maxx")).withColumn("_cy", span("miny", "maxy")).withColumn("_cz", span("z_min", "z_max"))
-    a, b = placed.alias("a"), placed.alias("b")
-    own = lambda c, lo: F.floor(F.greatest(f"a.{lo}", f"b.{lo}") / cell) == F.col(f"a.{c}")
-    keys = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("parent_suid", "_cx", "_cy", "_cz")]
-    first = own("_cx", "minx") & own("_cy", "miny") & own("_cz", "z_min")
-    return a.join(b, [*keys, (F.col("a.suid") < F.col("b.suid")) & G.boxes_touch("a", "b") & first])
+    return cells.box_pairs(units, ("parent_suid",), "suid", _AXES)
 
 
 def relation() -> Column:
@@ -99,6 +97,19 @@ def boundary_violations(units: DataFrame, parcels: DataFrame, tolerance: float =
     return units.join(parcels, "parent_suid").where(outside).select("suid", "parent_suid")
 
 
+def outside_of_parcels(units: DataFrame, parcels: DataFrame) -> DataFrame:
+    """(suid, parent_suid) of units (suid, parent_suid, ring) that don't lie within their parcel (parent_suid, outline, holes), edge by edge.
+
+    The boxes are compared first. A unit without a parcel is left out, and so are holes that are null.
+    """
+    side = lambda ring, f, k: f(F.transform(ring, lambda p: p[k]))
+    beyond = F.lit(False)
+    for k in "xy":
+        beyond |= (side("ring", F.array_min, k) < side("outline", F.array_min, k)) | (side("ring", F.array_max, k) > side("outline", F.array_max, k))
+    met = units.select("suid", "parent_suid", "ring").join(parcels.select("parent_suid", "outline", "holes"), "parent_suid")
+    return met.where(beyond | ~G.ring_within(F.col("ring"), F.col("outline"), F.col("holes"))).select("suid", "parent_suid")
+
+
 def corner(v: Column, tolerance: float) -> Column:
     """A vertex on the grid of the tolerance, in whole steps: corners that nearly meet are equal."""
     return F.struct(*(F.rint(v[k] / tolerance).cast("long").alias(k) for k in "xyz"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotstack.functions import geometry as G
@@ -316,9 +316,11 @@ _BOUNDS = "SELECT parent_suid, min(minx) AS px1, min(miny) AS py1, min(minx) + 8
 
 @query(f"WITH p AS ({_BOUNDS}) SELECT suid, parent_suid FROM spatial_units JOIN p USING (parent_suid) WHERE minx < px1 - 0.01 OR miny < py1 - 0.01 OR maxx > px2 + 0.01 OR maxy > py2 + 0.01")
 def boundary_violation(t: Tables) -> DataFrame:
-    units = t.view("spatial_units")
-    parcels = units.groupBy("parent_suid").agg(F.min("minx").alias("px1"), F.min("miny").alias("py1"), (F.min("minx") + 8).alias("px2"), (F.min("miny") + 8).alias("py2"))
-    return topology.boundary_violations(units, parcels)
+    return topology.boundary_violations(t.view("spatial_units"), _bounds(t))
+
+
+def _bounds(t: Tables) -> DataFrame:
+    return t.view("spatial_units").groupBy("parent_suid").agg(F.min("minx").alias("px1"), F.min("miny").alias("py1"), (F.min("minx") + 8).alias("px2"), (F.min("miny") + 8).alias("py2"))
 
 
 def _tetrahedra(t: Tables) -> DataFrame:
@@ -515,6 +517,50 @@ def footprint_union(t: Tables) -> DataFrame:
     return delineate.merged_footprints(t.view("spatial_units"), "parent_suid").select("parent_suid", F.round("area", 6).alias("area"))
 
 
+@query("""SELECT parent_suid, cast(count(*) AS bigint) AS parts, round(sum(area), 6) AS area, round(max(area), 6) AS largest
+FROM (SELECT parent_suid, minx, max((maxx - minx) * (maxy - miny)) / 2 AS area FROM spatial_units GROUP BY 1, 2) GROUP BY 1""")
+def union_of_rings(t: Tables) -> DataFrame:
+    """Triangles over each unit's base: those of one base hold each other, those side by side touch in a corner only."""
+    corners = (("minx", "miny"), ("maxx", "miny"))
+    apex = F.array((F.col("minx") + F.col("maxx")) / 2, F.col("maxy"))
+    triangle = F.array(F.array(*(F.array(F.col(x), F.col(y)) for x, y in corners), apex))
+    parts = delineate.united(t.view("spatial_units").select("parent_suid", triangle.alias("rings")), "parent_suid")
+    return parts.groupBy("parent_suid").agg(F.count("*").alias("parts"), F.round(F.sum("area"), 6).alias("area"), F.round(F.max("area"), 6).alias("largest"))
+
+
+@query("""SELECT level, unit_id, unit_type, cast(1 AS bigint) AS parts, round(sum(area), 6) AS area
+FROM (SELECT floor_level % 2 AS level, parent_suid AS unit_id, 'flat' AS unit_type, minx, max((maxx - minx) * (maxy - miny)) AS area FROM spatial_units GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3""")
+def merged_levels(t: Tables) -> DataFrame:
+    """Boxes of a parcel's even and odd floors: equal or side by side along an edge, so one part each."""
+    boxes = t.view("spatial_units").select((F.col("floor_level") % 2).alias("level"), F.col("parent_suid").alias("unit_id"), F.lit("flat").alias("unit_type"), delineate.box_polygon(*(F.col(c) for c in ("minx", "miny", "maxx", "maxy"))).alias("rings"))
+    return delineate.merged_units(boxes).groupBy("level", "unit_id", "unit_type").agg(F.count("*").alias("parts"), F.round(F.sum("area"), 6).alias("area"))
+
+
+def _notched(w: Column, h: Column, x: Column, y: Column) -> Column:
+    """A box from (x, y) without its upper right quarter, as a ring of points."""
+    return F.array(*(G.point(x + a, y + b) for a, b in ((F.lit(0.0), F.lit(0.0)), (w, F.lit(0.0)), (w, h / 2), (w / 2, h / 2), (w / 2, h), (F.lit(0.0), h))))
+
+
+@query("""SELECT suid FROM spatial_units WHERE minx <= 2005 AND maxx >= 103 AND miny <= 120 AND maxy >= 4.5 AND (103 <= (minx + maxx) / 2 OR 4.5 <= (miny + maxy) / 2)""")
+def features_bbox_exact(t: Tables) -> DataFrame:
+    """Units without their upper right quarter: those whose box alone meets the envelope are left out."""
+    ring = _notched(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"), F.col("minx"), F.col("miny"))
+    return features.in_bbox(t.view("spatial_units").withColumn("ring", ring), "103,4.5,2005,120", "ring").select("suid")
+
+
+@query(f"""WITH p AS ({_BOUNDS}) SELECT suid, parent_suid FROM spatial_units JOIN p USING (parent_suid)
+WHERE minx < px1 OR miny < py1 OR maxx > px2 OR maxy > py2 OR (maxx > (px1 + px2) / 2 AND maxy > (py1 + py2) / 2)
+  OR (parent_suid % 3 = 0 AND minx < px1 + (px2 - px1) / 8 AND miny < py1 + (py2 - py1) / 8)""")
+def boundary_violation_rings(t: Tables) -> DataFrame:
+    """Boxes of units in parcels without their upper right quarter, and with a hole at the lower left corner."""
+    units = t.view("spatial_units")
+    w, h = F.col("px2") - F.col("px1"), F.col("py2") - F.col("py1")
+    hole = G.box_ring(F.col("px1"), F.col("py1"), F.col("px1") + w / 8, F.col("py1") + h / 8)
+    parcels = _bounds(t).select("parent_suid", _notched(w, h, F.col("px1"), F.col("py1")).alias("outline"), F.when(F.col("parent_suid") % 3 == 0, F.array(hole)).alias("holes"))
+    boxes = units.select("suid", "parent_suid", G.box_ring(*(F.col(c) for c in ("minx", "miny", "maxx", "maxy"))).alias("ring"))
+    return topology.outside_of_parcels(boxes, parcels)
+
+
 @query("SELECT min(minx) AS minx, min(miny) AS miny, max(maxx) AS maxx, max(maxy) AS maxy, min(z_min) AS z_min, max(z_max) AS z_max FROM spatial_units")
 def unit_bounds(t: Tables) -> DataFrame:
     return features.bounds(t.view("spatial_units"))
@@ -555,6 +601,33 @@ def ring_units(t: Tables) -> DataFrame:
     return delineate.split_rings(_plot(t)).select("building_id", F.col("unit_index").cast("int").alias("unit_index"), F.round("area", 6).alias("area"))
 
 
+@query("""WITH b AS (SELECT building_id, width + 0.37 AS w, height_y AS h, cast(building_id % 9 + 1 AS int) AS n FROM buildings),
+  g AS (SELECT *, greatest(1, cast(round_even(sqrt(n), 0) AS int)) AS c FROM b), k AS (SELECT *, ceil(n / c) AS r, unnest(range(0, n)) AS k FROM g),
+  x AS (SELECT building_id, w, h, k, k % c * (w / c) AS x1, (k % c + 1) * (w / c) AS x2, floor(k / c) * (h / r) AS y1, (floor(k / c) + 1) * (h / r) AS y2 FROM k),
+  a AS (SELECT building_id, k, (x2 - x1) * (y2 - y1) - greatest(0, least(x2, 0.6 * w) - greatest(x1, 0.3 * w)) * greatest(0, least(y2, 0.7 * h) - greatest(y1, 0.2 * h)) AS a FROM x)
+SELECT building_id, cast(k + 1 AS int) AS unit_index, round(a, 6) AS area FROM a WHERE a > 1""")
+def units_of_holed_floors(t: Tables) -> DataFrame:
+    w, h = F.col("width") + 0.37, F.col("height_y") * F.lit(1.0)
+    ring = lambda x1, y1, x2, y2: delineate.box_polygon(w * x1, h * y1, w * x2, h * y2)[0]
+    floors = t.view("buildings").select("building_id", (F.col("building_id") % 9 + 1).cast("int").alias("n_units"), F.lit("grid").alias("layout"), ring(0.0, 0.0, 1.0, 1.0).alias("ring"), F.array(ring(0.3, 0.2, 0.6, 0.7)).alias("holes"))
+    return delineate.split_rings(floors).select("building_id", F.col("unit_index").cast("int").alias("unit_index"), F.round("area", 6).alias("area"))
+
+
+@query("""WITH b AS (SELECT building_id, width + 3.0 AS w, height_y AS h FROM buildings)
+SELECT building_id, k AS unit_index, cast(k AS int) AS parts, round(CASE k WHEN 1 THEN w * h / 2 ELSE w * h / 3 END, 6) AS area FROM b, (SELECT unnest([1, 2]) AS k)
+UNION ALL SELECT building_id, 2 + k, 1, round(CASE k WHEN 1 THEN w * h ELSE 4.0 END, 6) FROM b, (SELECT unnest([1, 2]) AS k)""")
+def units_in_parts(t: Tables) -> DataFrame:
+    """A U-shaped floor cut in two: the upper unit has two parts. A footprint of two polygons: each is a unit."""
+    w, h = F.col("width") + 3.0, F.col("height_y") * F.lit(1.0)
+    at = lambda *corners: F.array(*(F.array(w * x, h * y) for x, y in corners))
+    u = at((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (2 / 3, 1.0), (2 / 3, 0.5), (1 / 3, 0.5), (1 / 3, 1.0), (0.0, 1.0))
+    two = F.array(F.array(at((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0))), delineate.box_polygon(w + 1, F.lit(0.0), w + 3, F.lit(2.0)))
+    floors = t.view("buildings").select("building_id", F.lit(2).alias("n_units"), F.lit("grid").alias("layout"), F.explode(F.array(F.struct(F.lit(0).alias("k"), F.array(F.array(u)).alias("p")), F.struct(F.lit(2).alias("k"), two.alias("p")))).alias("s"))
+    floors = floors.select("building_id", "n_units", "layout", "s.k", F.col("s.p").alias("polygons"))
+    units = delineate.split_footprints(floors)
+    return units.select("building_id", (F.col("k") + F.col("unit_index")).cast("int").alias("unit_index"), F.size("parts").alias("parts"), F.round("area", 6).alias("area"))
+
+
 _AT = "{0}, ' ', {1}, ' ', {2}"
 _FACE = lambda *corners: "'((', " + ", ', ', ".join(_AT.format(*c) for c in corners) + ", '))'"
 _ZERO = "'0.0'"
@@ -704,7 +777,7 @@ def detect_floor_heights(t: Tables) -> DataFrame:
 FROM points q JOIN points p USING (cloud_id) WHERE q.classification = 6 AND p.classification = 2 GROUP BY 1""")
 def nearest_ground(t: Tables) -> DataFrame:
     p = t.view("points")
-    found = pointcloud.nearest(pointcloud.classified(p, 6).withColumnRenamed("pt_id", "query_id"), pointcloud.classified(p, 2), 1, None, "xy", ("cloud_id",))
+    found = pointcloud.nearest(pointcloud.classified(p, 6).withColumnRenamed("pt_id", "query_id"), pointcloud.classified(p, 2), 1, "xy", ("cloud_id",))
     return found.select("query_id", "pt_id", F.round("distance", 6).alias("distance"))
 
 
@@ -713,21 +786,48 @@ def nearest_ground(t: Tables) -> DataFrame:
 SELECT query_id, round(sum(z / (d + 1e-8)) / sum(1 / (d + 1e-8)), 4) AS value FROM d WHERE r <= 3 GROUP BY 1""")
 def interpolate_3nn(t: Tables) -> DataFrame:
     p = t.view("points")
-    found = pointcloud.interpolated(pointcloud.classified(p, 6).withColumnRenamed("pt_id", "query_id"), pointcloud.classified(p, 2), "z", 3, None, ("cloud_id",))
-    return found.withColumn("value", F.round("value", 4))
+    found = pointcloud.interpolated(pointcloud.classified(p, 6).withColumnRenamed("pt_id", "query_id"), pointcloud.classified(p, 2), "z", 3, ("cloud_id",))
+    return found.select("query_id", F.round("value", 4).alias("value"))
+
+
+#: Points whose ids begin anew in each cloud, as those of scanned files do.
+_LOCAL = "(SELECT cloud_id, (pt_id // 160) * 10 + pt_id % 10 AS pt_id, x, y, z, classification FROM points)"
+
+
+def _local_points(t: Tables) -> DataFrame:
+    return t.view("points").withColumn("pt_id", F.floor(F.col("pt_id") / 160) * 10 + F.col("pt_id") % 10)
+
+
+@query(f"""SELECT cloud_id, q.pt_id AS query_id, arg_min(p.pt_id, row((q.x - p.x) ** 2 + (q.y - p.y) ** 2, p.pt_id)) AS pt_id, round(sqrt(min((q.x - p.x) ** 2 + (q.y - p.y) ** 2)), 6) AS distance
+FROM {_LOCAL} q JOIN {_LOCAL} p USING (cloud_id) WHERE q.classification = 6 AND p.classification = 2 GROUP BY 1, 2""")
+def nearest_repeated_ids(t: Tables) -> DataFrame:
+    p = _local_points(t)
+    found = pointcloud.nearest(pointcloud.classified(p, 6).withColumnRenamed("pt_id", "query_id"), pointcloud.classified(p, 2), 1, "xy", ("cloud_id",))
+    return found.select("cloud_id", "query_id", "pt_id", F.round("distance", 6).alias("distance"))
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT cloud_id, pt_id, x, y FROM {_LOCAL} WHERE classification = 6),
+  near AS (SELECT a.cloud_id, a.pt_id AS a, b.pt_id AS b FROM p a JOIN p b ON a.cloud_id = b.cloud_id AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 100.0),
+  core AS (SELECT cloud_id, a FROM near GROUP BY 1, 2 HAVING count(*) >= 7),
+  links AS (SELECT n.cloud_id, n.a, n.b FROM near n JOIN core c USING (cloud_id, a) JOIN core d ON d.cloud_id = n.cloud_id AND d.a = n.b),
+  reach AS (SELECT cloud_id, a, a AS b FROM core UNION SELECT r.cloud_id, r.a, l.b FROM reach r JOIN links l ON l.cloud_id = r.cloud_id AND l.a = r.b),
+  named AS (SELECT cloud_id, a, min(b) AS cluster FROM reach GROUP BY 1, 2)
+SELECT cloud_id, n.b AS pt_id, coalesce(max(CASE WHEN n.a = n.b THEN cluster END), min(cluster)) AS cluster FROM near n JOIN named USING (cloud_id, a) GROUP BY 1, 2""")
+def density_clusters(t: Tables) -> DataFrame:
+    return pointcloud.dbscan(pointcloud.classified(_local_points(t), 6), 10.0, 7)
 
 
 @query("""SELECT a.pt_id, count(b.pt_id) AS neighbours FROM points a LEFT JOIN points b ON a.cloud_id = b.cloud_id AND a.pt_id <> b.pt_id AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 <= 64.0
 GROUP BY 1 HAVING count(b.pt_id) < 3""")
 def outlier_radius(t: Tables) -> DataFrame:
-    return pointcloud.outliers_by_radius(t.view("points"), 8.0, 3)
+    return pointcloud.outliers_by_radius(t.view("points"), 8.0, 3).drop("cloud_id")
 
 
 @query("""WITH d AS (SELECT a.cloud_id, a.pt_id, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d FROM points a JOIN points b ON a.cloud_id = b.cloud_id AND a.pt_id <> b.pt_id),
   m AS (SELECT cloud_id, pt_id, list_avg(min(d, 8)) AS m FROM d GROUP BY 1, 2), s AS (SELECT cloud_id, avg(m) + 2 * stddev_pop(m) AS bound FROM m GROUP BY 1)
 SELECT pt_id, round(m, 6) AS mean_distance FROM m JOIN s USING (cloud_id) WHERE m > bound""")
 def outlier_statistical(t: Tables) -> DataFrame:
-    return pointcloud.outliers_by_distance(t.view("points"), 8, 2.0).withColumn("mean_distance", F.round("mean_distance", 6))
+    return pointcloud.outliers_by_distance(t.view("points"), 8, 2.0).drop("cloud_id").withColumn("mean_distance", F.round("mean_distance", 6))
 
 
 @query(None)

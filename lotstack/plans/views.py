@@ -67,6 +67,8 @@ def with_views(sql: str) -> str:
     used = [v for v in VIEWS if re.search(rf"\b{v}\b", sql)]
     ahead = ", ".join(f"{v} AS ({VIEWS[v]})" for v in used)
     sql = sql.strip()
+    if sql[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ahead + ', ' if ahead else ''}{sql[15:]}"
     if sql[:5].upper() == "WITH ":
         return f"WITH {ahead + ', ' if ahead else ''}{sql[5:]}"
     return (f"WITH {ahead} " if ahead else "") + sql

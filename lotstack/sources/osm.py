@@ -139,7 +139,7 @@ def roof_shape(value: Column) -> Column:
 
 def buildings(rings: DataFrame, least_area: float = 5.0, relations: DataFrame | None = None) -> DataFrame:
     """Buildings of closed ways, and of multipolygon relations by their outer rings if given: class, levels and height
-    (each worked out from the other), area in square metres, without the inner rings'."""
+    (each worked out from the other), area in square metres, without the inner rings'. Rings that meet themselves are refused."""
     rings = rings.select("way_id", "tags", "ring", F.array().cast("array<array<struct<x:double,y:double>>>").alias("inners"))
     if relations is not None:
         rings = rings.unionByName(relations.select(F.col("relation_id").alias("way_id"), "tags", F.col("outer").alias("ring"), "inners"))
@@ -157,7 +157,7 @@ def buildings(rings: DataFrame, least_area: float = 5.0, relations: DataFrame |
         "ring",
         "inners",
     )
-    return delineate.height_and_levels(rows.where(F.col("area") >= least_area))
+    return delineate.height_and_levels(rows.where((F.col("area") >= least_area) & delineate.simple_rings("ring")))
 
 
 def floor_rows(built: DataFrame, ground: float = 0.0) -> DataFrame:

@@ -95,7 +95,7 @@ def test_nearest_equals_brute_force(spark):
     xyz, points = cloud(spark)
     far = spark.createDataFrame([(1000, 500.0, -300.0)], "query_id long, x double, y double")
     queries = points.where("pt_id < 40").select(F.col("pt_id").alias("query_id"), "x", "y").unionByName(far)
-    got = pointcloud.nearest(queries, points, 3, 0.5).collect()
+    got = pointcloud.nearest(queries, points, 3).collect()
     found = {(r.query_id, r.place): r.pt_id for r in got}
     for q in [*range(40), 1000]:
         at = np.array([500.0, -300.0]) if q == 1000 else xyz[q, :2]
