@@ -136,9 +136,9 @@ def unit_code(floor: Column, unit: Column) -> Column:
     return _with(floor, unit=unit)
 
 
-def code_for(level: Column, x: Column, y: Column, building: Column, floor: Column, unit: Column) -> Column:
-    """The code at a level: parcel, building, floor or unit; an unknown level is an error."""
-    parcel = parcel_code(x, y)
+def code_for(level: Column, x: Column, y: Column, building: Column, floor: Column, unit: Column, admin: dict[str, Column] | None = None) -> Column:
+    """The code at a level: parcel, building, floor or unit, of an administrative area if given; an unknown level is an error."""
+    parcel = parcel_code(x, y, admin)
     on_floor = floor_code(building_code(parcel, building), floor)
     return (
         F.when(level == "parcel", parcel)

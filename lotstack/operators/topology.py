@@ -116,12 +116,15 @@ def corner(v: Column, tolerance: float) -> Column:
 
 
 def tetra_faces(tetrahedra: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """(tet, suid, corners, face_key): four faces of each tetrahedron (tet, suid, vertices); equal faces have equal keys."""
+    """(tet, suid, corners, low, high, face_key): four faces of each tetrahedron (tet, suid, vertices); equal faces have equal keys.
+
+    `low` is the height of the solid's first vertex, `high` that of its highest.
+    """
     vertex = lambda k: F.element_at("vertices", k + 1)
     faces = F.array(*(F.array(*(vertex(k) for k in f)) for f in FACES))
     return (
         tetrahedra.where(F.size("vertices") >= 4)
-        .select("tet", "suid", F.explode(faces).alias("corners"))
+        .select("tet", "suid", F.explode(faces).alias("corners"), F.get("vertices", F.lit(0))["z"].alias("low"), F.array_max(F.transform("vertices", lambda v: v["z"])).alias("high"))
         .withColumn("face_key", F.sort_array(F.transform("corners", lambda v: corner(v, tolerance))))
     )
 
@@ -129,37 +132,41 @@ def tetra_faces(tetrahedra: DataFrame, tolerance: float = TOLERANCE) -> DataFram
 def shared_faces(faces: DataFrame) -> DataFrame:
     """(suid_1, suid_2, face_key, relation, severity): faces of two units that face each other, and over-shared faces.
 
-    Two tetrahedra of different units with opposite normals are adjacent; of a face with more, each pair of different
-    units overlaps. Counts are combined before the shuffle; pairs come from an equi-join on a 64-bit hash of the key, and equal keys.
+    Two tetrahedra of different units with opposite normals are adjacent: both come out of one grouping by the key, whose least and
+    greatest tetrahedron they are. Only faces with more uses are looked up again: of them, each pair of different units overlaps.
     """
-    hashed = faces.withColumn("face_hash", F.xxhash64("face_key"))
-    n = hashed.groupBy("face_hash", "face_key").agg(F.count("*").alias("uses")).where("uses > 1").withColumnRenamed("face_key", "used_key")
-    one = hashed.join(n, "face_hash").where(F.col("face_key") == F.col("used_key"))
-    one = one.select("tet", "suid", "face_hash", "face_key", "uses", G.normal(*(F.element_at("corners", k) for k in (1, 2, 3))).alias("normal"))
-    a, b = one.alias("a"), one.alias("b")
+    slim = faces.select("tet", "suid", "face_key", F.xxhash64("face_key").alias("face_hash"), G.normal(*(F.element_at("corners", k) for k in (1, 2, 3))).alias("normal"))
+    one = F.struct("tet", "suid", "normal")
+    used = slim.groupBy("face_hash", "face_key").agg(F.count("*").alias("uses"), F.min(one).alias("a"), F.max(one).alias("b")).where("uses > 1")
     dot = sum((F.col(f"a.normal.{k}") * F.col(f"b.normal.{k}") for k in "yz"), F.col("a.normal.x") * F.col("b.normal.x"))
+    row = lambda relation, severity: (F.col("a.suid").alias("suid_1"), F.col("b.suid").alias("suid_2"), F.col("face_key"), F.lit(relation).alias("relation"), F.lit(severity).alias("severity"))
+    adjacent = used.where((F.col("uses") == 2) & (F.col("a.suid") != F.col("b.suid")) & (dot < -0.5)).select(*row("adjacent", "info"))
+    crowded = used.where("uses > 2").select("face_hash", "face_key")
+    held = slim.select("tet", "suid", "face_hash", "face_key").join(crowded, ["face_hash", "face_key"])
+    a, b = held.alias("a"), held.alias("b")
     pairs = a.join(b, (F.col("a.face_hash") == F.col("b.face_hash")) & (F.col("a.face_key") == F.col("b.face_key")) & (F.col("a.tet") < F.col("b.tet")) & (F.col("a.suid") != F.col("b.suid")))
-    adjacent = F.col("a.uses") == 2
-    return pairs.where(~adjacent | (dot < -0.5)).select(
-        F.col("a.suid").alias("suid_1"),
-        F.col("b.suid").alias("suid_2"),
-        F.col("a.face_key").alias("face_key"),
-        F.when(adjacent, "adjacent").otherwise("overlap").alias("relation"),
-        F.when(adjacent, "info").otherwise("error").alias("severity"),
-    )
-
-
-def manifold_gaps(faces: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """(suid, face_key, relation, severity): faces used once that lie on no boundary of their parcel in height."""
-    key = parcel_key(F.col("suid"))
-    tall = faces.withColumn("parcel", key).withColumn("zs", F.transform("corners", lambda v: v["z"]))
-    bounds = tall.groupBy("parcel").agg(F.min(F.array_min("zs")).alias("low"), F.max(F.array_max("zs")).alias("high"))
-    once = tall.groupBy("face_key").agg(F.count("*").alias("uses")).where("uses = 1").select("face_key")
+    overlap = pairs.select(F.col("a.suid").alias("suid_1"), F.col("b.suid").alias("suid_2"), F.col("a.face_key").alias("face_key"), F.lit("overlap").alias("relation"), F.lit("error").alias("severity"))
+    return adjacent.unionByName(overlap)
+
+
+def face_text(face_key: Column, tolerance: float = TOLERANCE) -> Column:
+    """A face's text from its key: corners on the grid of the tolerance."""
+    return G.triangle_wkt(F.transform(face_key, lambda v: F.struct(*((v[k] * tolerance).alias(k) for k in "xyz"))))
+
+
+def manifold_gaps(faces: DataFrame, tolerance: float = TOLERANCE, mode: str = "intent") -> DataFrame:
+    """(suid, face_key, relation, severity): faces used once that lie on no boundary in height: of their parcel (`intent`), or of
+    their own solid, between its first and its highest vertex (`asis`)."""
+    zs = F.transform("corners", lambda v: v["z"])
+    if mode == "asis":
+        tall = faces.select("suid", "face_key", zs.alias("zs"), "low", "high")
+    else:
+        tall = faces.select("suid", "face_key", zs.alias("zs"), parcel_key(F.col("suid")).alias("parcel"))
+        bounds = tall.groupBy("parcel").agg(F.min(F.array_min("zs")).alias("low"), F.max(F.array_max("zs")).alias("high"))
+        tall = tall.join(bounds, "parcel")
+    once = faces.groupBy("face_key").agg(F.count("*").alias("uses")).where("uses = 1").select("face_key")
     inner = (F.array_min("zs") > F.col("low") + tolerance) & (F.array_max("zs") < F.col("high") - tolerance)
-    return (
-        tall.join(once, "face_key").join(bounds, "parcel").where(inner)
-        .select("suid", "face_key", F.lit("gap").alias("relation"), F.lit("warning").alias("severity"))
-    )
+    return tall.where(inner).join(once, "face_key").select("suid", "face_key", F.lit("gap").alias("relation"), F.lit("warning").alias("severity"))
 
 
 def over_used_edges(faces: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
@@ -173,12 +180,14 @@ def over_used_edges(faces: DataFrame, tolerance: float = TOLERANCE) -> DataFrame
 
 
 def validate(units: DataFrame, mode: str = "intent", tolerance: float = TOLERANCE) -> DataFrame:
-    """All rules over (ord, suid, vertices): (rule, suid_1, suid_2, relation, details, severity)."""
+    """All rules over (ord, suid, vertices): (rule, suid_1, suid_2, relation, details, severity); the details of rules about a
+    face end with its text. The mode holds for rules 2 and 4; the others have but one reading."""
     faces = tetra_faces(units.select(F.col("ord").alias("tet"), "suid", "vertices"), tolerance)
     zs = F.transform("vertices", lambda v: v["z"])
     tall = units.select("suid", "ord", parcel_key(F.col("suid")).alias("parcel"), F.array_min(zs).alias("z_min"), F.array_max(zs).alias("z_max"))
     row = lambda df, rule, two, details: df.select(F.lit(rule).alias("rule"), *two, "relation", details.alias("details"), "severity")
-    rule1 = row(shared_faces(faces), 1, ("suid_1", "suid_2"), F.lit("shared face"))
+    told = lambda what: F.concat(F.lit(f"{what} "), face_text(F.col("face_key"), tolerance))
+    rule1 = row(shared_faces(faces), 1, ("suid_1", "suid_2"), told("shared face"))
     rule2 = row(vertical_consecutive(tall, mode, "parcel", "ord", tolerance), 2, ("suid_1", "suid_2"), F.format_string("vertical gap of %.3f m", F.col("gap")))
     xs, ys = F.transform("vertices", lambda v: v["x"]), F.transform("vertices", lambda v: v["y"])
     flat = units.select(
@@ -190,5 +199,5 @@ def validate(units: DataFrame, mode: str = "intent", tolerance: float = TOLERANC
     ).select("parent_suid", "b.*")
     outside = boundary_violations(flat.where(~whole), parcels, tolerance)
     rule3 = outside.select(F.lit(3).alias("rule"), F.col("suid").alias("suid_1"), F.col("parent_suid").alias("suid_2"), F.lit("overlap").alias("relation"), F.lit("outside its parcel").alias("details"), F.lit("error").alias("severity"))
-    rule4 = row(manifold_gaps(faces, tolerance).withColumn("suid_2", F.lit("")), 4, (F.col("suid").alias("suid_1"), "suid_2"), F.lit("open face"))
+    rule4 = row(manifold_gaps(faces, tolerance, mode).withColumn("suid_2", F.lit("")), 4, (F.col("suid").alias("suid_1"), "suid_2"), told("open face"))
     return rule1.unionByName(rule2).unionByName(rule3).unionByName(rule4)

@@ -71,6 +71,28 @@ def test_tetra_rules(spark):
     assert {r.rule for r in report.collect()} >= {1} and report.columns == ["rule", "suid_1", "suid_2", "relation", "details", "severity"]
 
 
+def test_report_of_all_rules_in_both_modes(spark):
+    at = lambda x, y, z: {"x": float(x), "y": float(y), "z": float(z)}
+    base = [at(0, 0, 0), at(1, 0, 0), at(0, 1, 0)]
+    rows = [(0, "p-1", [*base, at(0, 0, 1)]), (1, "p-2", [base[0], base[2], base[1], at(0, 0, -1)])]
+    rows += [(k, f"q-{k}", [*(at(5 + v["x"], v["y"], 0) for v in base), at(5, 0, k)]) for k in (2, 3, 4)]  # one face, used by three
+    rows += [(5, "r-1", [at(9, 0, 5), at(9, 1, 5), at(9, 0, 9), at(8, 0, 9)]), (6, "r-2", [at(9, 5, 0), at(9, 6, 0), at(9, 5, 20), at(8, 5, 20)])]
+    rows += [(7, "7" * 17 + "00000000", [at(0, 9, 0), at(2, 9, 0), at(0, 11, 0), at(0, 9, 3)]), (8, "7" * 17 + "00010001", [at(1, 9, 0), at(5, 9, 0), at(1, 10, 0), at(1, 9, 3)])]
+    u = spark.createDataFrame(rows, "ord long, suid string, vertices array<struct<x:double,y:double,z:double>>")
+    for mode in ("intent", "asis"):
+        report = topology.validate(u, mode).collect()
+        by = lambda rule: sorted((r.suid_1, r.suid_2, r.relation, r.severity) for r in report if r.rule == rule)
+        assert by(1) == [("p-1", "p-2", "adjacent", "info"), *(("q-2" if k < 2 else "q-3", "q-3" if k == 0 else "q-4", "overlap", "error") for k in range(3))]
+        assert all(r.details.startswith("shared face TRIANGLE Z ((") for r in report if r.rule == 1)
+        assert by(3) == [("7" * 17 + "00010001", "7" * 17 + "00000000", "overlap", "error")]
+        # the faces of r-1 that lie within its parcel's height; of its own, every face touches an end
+        assert {r[0] for r in by(4)} == ({"r-1"} if mode == "intent" else set())
+    # a first vertex below the others' faces: long-standing output tells no end there
+    low = spark.createDataFrame([(0, "s-1", [at(0, 0, -9), at(1, 0, 0), at(0, 1, 0), at(0, 0, 1)]), (1, "s-2", [at(0, 0, 2), at(1, 0, 0), at(0, 1, 0), at(1, 1, 9)])], u.schema)
+    faces = topology.tetra_faces(low.withColumnRenamed("ord", "tet"))
+    assert topology.manifold_gaps(faces, mode="asis").count() == 0 and topology.manifold_gaps(faces).count() == 2
+
+
 def test_split_covers_the_floor(spark):
     for n in (1, 4, 9):
         cells = spark.range(1).select(F.explode(delineate.grid_cells(F.lit(n), F.lit(0.0), F.lit(0.0), F.lit(6.0), F.lit(4.0))).alias("c")).select("c.*").collect()
