@@ -10,13 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lotstack.plans.tables import discard, materialize, shared_dir
 
-__all__ = ["BASE", "BASE_INVERSE", "discard", "documents", "hash_words", "materialize", "mix", "ordered_int64", "power", "shared_dir", "text_chunks"]
+__all__ = ["BASE", "BASE_INVERSE", "discard", "documents", "free_name", "hash_words", "materialize", "mix", "ordered_int64", "power", "shared_dir", "text_chunks"]
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("*",)))
 
 
+def free_name(name: str, df: DataFrame) -> str:
+    """`name`, with underscores after it until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 # --- word hashing -----------------------------------------------------------------------------
 
 _RNG = np.random.default_rng(20240229)

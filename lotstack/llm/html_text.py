@@ -58,6 +58,9 @@ ENDS_P = BLOCK - {"html", "body", "option", "optgroup", "caption", "legend"}
 SHIELDS = frozenset({"table", "td", "th", "caption", "button", "object", "html", "body"})
 #: Cells are padded up to this many characters; a wider one pushes the rest of its row.
 WIDEST_COLUMN = 40
+#: Beyond these, text is shown without more layout, so that a page takes time and room in proportion to its size: columns of
+#: indentation, columns of an aligned table, depth of tables within tables, and steps over row spans in a table.
+WIDEST_INDENT, WIDEST_TABLE, DEEPEST_TABLE, SPAN_STEPS = 80, 1000, 12, 1_000_000
 
 _TAG = r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)(%s)>|([^<]+)|(<)"""
 _TOKEN = re.compile(_TAG % r"""(?:[^>"']|"[^"]*"|'[^']*')*+""", re.S)
@@ -260,37 +263,52 @@ class Flow:
         return self.lines
 
 
+def _deeper(indent: str, more: int) -> str:
+    return indent + " " * more if len(indent) + more <= WIDEST_INDENT else indent
+
+
 def _number(text: str, most: int) -> int:
     digits = text.lstrip("0") if text.isdecimal() else ""
     return min(most, int(digits)) if 0 < len(digits) < 10 else most if digits else 1
 
 
 def _table_lines(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
-    """Rows of (lines, columns, rows) cells as text with padded columns."""
+    """Rows of (lines, columns, rows) cells as text with padded columns; a table that is too wide has its cells side by side."""
     grid: list[dict[int, list[str]]] = []
-    held: dict[int, int] = {}  # columns that a cell of an earlier row still covers
-    for row in rows:
+    spans: list[list[int]] = []  # [first column, end, row from which it is free again] of cells of earlier rows, by column
+    steps = 0
+    for number, row in enumerate(rows):
         cells: dict[int, list[str]] = {}
-        column, after = 0, {k: v - 1 for k, v in held.items() if v > 1}
+        new: list[list[int]] = []
+        spans = [s for s in spans if s[2] > number]
+        column = at = 0
         for lines, across, down in row:
-            while held.get(column):
-                column += 1
+            while at < len(spans) and spans[at][0] <= column:
+                column = max(column, spans[at][1])
+                at += 1
             cells[column] = lines
-            for k in range(column, column + across):
-                if down > 1:
-                    after[k] = down - 1
+            if down > 1:
+                if new and new[-1][1] == column and new[-1][2] == number + down:
+                    new[-1][1] += across
+                else:
+                    new.append([column, column + across, number + down])
             column += across
         grid.append(cells)
-        held = after
+        steps += len(spans) + len(new)
+        spans = sorted(spans + new) if steps < SPAN_STEPS else []
     width: dict[int, int] = {}
     for cells in grid:
         for k, lines in cells.items():
             width[k] = max(width.get(k, 0), min(WIDEST_COLUMN, max(map(len, lines), default=0)))
     used = [k for k in sorted(width) if width[k]]
+    aligned = sum(width[k] + 2 for k in used) <= WIDEST_TABLE
     out = []
     for cells in grid:
         for i in range(max((len(lines) for lines in cells.values()), default=0)):
-            parts = [(cells.get(k, [])[i : i + 1] or [""])[0].ljust(width[k]) for k in used]
+            if aligned:
+                parts = [(cells.get(k, [])[i : i + 1] or [""])[0].ljust(width[k]) for k in used]
+            else:
+                parts = [lines[i] for lines in cells.values() if i < len(lines) and lines[i]]
             out.append("  ".join(parts).rstrip())
     return out
 
@@ -301,7 +319,8 @@ def render(html: str | None) -> str:
         return ""
     flow = Flow()
     flows, tables, lists = [flow], [], []
-    keep = drawn = 0
+    indents: list[str] = []  # before each open item of a list without one, each definition and each quotation
+    keep = drawn = sunk = 0
     todo: list[tuple[Node | str, bool]] = [(build_tree(html), False)]
     while todo:
         node, leaving = todo.pop()
@@ -346,12 +365,18 @@ def render(html: str | None) -> str:
                 if kind[0] == "ol":
                     mark = f"{kind[1]}. "
                     kind[1] += 1
-                flow.indent = kind[2] + " " * len(mark)
+                indents.append(flow.indent)
+                flow.indent = _deeper(kind[2], len(mark))
                 flow.bullet = mark
             elif name in ("dd", "blockquote"):
-                flow.indent += "  "
+                indents.append(flow.indent)
+                flow.indent = _deeper(flow.indent, 2)
             elif name == "pre":
                 keep += 1
+            elif name == "table" and len(tables) >= DEEPEST_TABLE:
+                sunk += 1
+            elif name in ("tr", "td", "th") and sunk:
+                flow.end_line()
             elif name == "table":
                 tables.append(([], flow, len(lists)))
             elif name == "tr" and tables:
@@ -364,7 +389,12 @@ def render(html: str | None) -> str:
             todo.append((node, True))
             todo.extend((child, False) for child in reversed(node.children))
             continue
-        if name in ("td", "th") and tables:
+        if name in ("tr", "td", "th") and sunk:
+            flow.end_line()
+        elif name == "table" and sunk:
+            sunk -= 1
+            flow.gap()
+        elif name in ("td", "th") and tables:
             lines = flow.result()
             flows.pop()
             flow = flows[-1]
@@ -380,10 +410,11 @@ def render(html: str | None) -> str:
         elif name == "li":
             flow.end_line()
             flow.bullet = ""
-            flow.indent = lists[-1][2] if lists else flow.indent[2:]
+            before = indents.pop()
+            flow.indent = lists[-1][2] if lists else before
         elif name in ("dd", "blockquote"):
             flow.end_line()
-            flow.indent = flow.indent[:-2]
+            flow.indent = indents.pop()
             if name in SPACED:
                 flow.gap()
         elif name == "svg":

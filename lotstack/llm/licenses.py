@@ -20,6 +20,8 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lotstack.llm.common import free_name
+
 #: Key phrases that are a label by themselves.
 BASE_PHRASES = {
     "cc by": "cc-by",
@@ -89,7 +91,11 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> dict[str, int]:
 
 
 def scan(docs: DataFrame, frequencies: dict[str, int], text: str = "text") -> DataFrame:
-    """`docs` with `n_words` and `places`: an array of (entry, start, label, base, share) of all that stands."""
+    """`docs` with `n_words` and `places`: an array of (entry, start, label, base, share) of all that stands.
+
+    Columns of these two names are replaced; all others pass through.
+    """
+    own_name, hit_name = free_name("_words", docs), free_name("_hits", docs)
     entries = _entries()
     rank = lambda w: (frequencies.get(w, 0), w)
     postings: dict[str, list[tuple[int, int]]] = {}
@@ -118,7 +124,7 @@ def scan(docs: DataFrame, frequencies: dict[str, int], text: str = "text") -> Da
             for k, (label, own, spans, base) in enumerate(entries)
         )
     )
-    own_words = F.col("_words")
+    own_words = F.col(own_name)
 
     def stands(t: Column, start: Column, j: Column) -> Column:
         return F.coalesce(F.get(own_words, start + j) == F.get(t["own"], j), F.lit(False))
@@ -144,7 +150,7 @@ def scan(docs: DataFrame, frequencies: dict[str, int], text: str = "text") -> Da
         F.transform(own_words, lambda w, i: F.when(w.isin(*sorted(postings)), i)), lambda i: i.isNotNull()
     )
     proposals = F.flatten(
-        F.transform("_hits", lambda i: F.transform(F.element_at(look_up, F.get(own_words, i)), lambda p: p["k"].cast("long") + (i - p["i"]).cast("long") * len(entries)))
+        F.transform(hit_name, lambda i: F.transform(F.element_at(look_up, F.get(own_words, i)), lambda p: p["k"].cast("long") + (i - p["i"]).cast("long") * len(entries)))
     )
     count = F.lit(len(entries)).cast("long")
     split = F.transform(
@@ -152,11 +158,11 @@ def scan(docs: DataFrame, frequencies: dict[str, int], text: str = "text") -> Da
         lambda c: F.struct(F.pmod(c, count).cast("int").alias("k"), F.floor(c / count).cast("int").alias("start")),
     )
     return (
-        docs.withColumn("_words", words(F.col(text)))
-        .withColumn("_hits", hits)
-        .withColumn("n_words", F.size("_words").cast("long"))
+        docs.withColumn(own_name, words(F.col(text)))
+        .withColumn(hit_name, hits)
+        .withColumn("n_words", F.size(own_name).cast("long"))
         .withColumn("places", F.filter(F.transform(F.filter(split, possible), judged), lambda p: p["share"] >= LEAST_SHARE))
-        .drop("_words", "_hits")
+        .drop(own_name, hit_name)
     )
 
 

@@ -203,15 +203,15 @@ def _matrix(texts: pa.Array) -> np.ndarray:
     return np.array(rows).reshape(len(rows), len(STATISTICS))
 
 
-def score(docs: DataFrame, trees: Trees, text: str = "text") -> DataFrame:
-    """`docs` with `score`, from whole texts."""
-    fields = [f for f in docs.schema.fields if f.name != "score"]
-    schema = T.StructType([*fields, T.StructField("score", T.DoubleType())])
+def score(docs: DataFrame, trees: Trees, text: str = "text", name: str = "score") -> DataFrame:
+    """`docs` with a column `name`, from whole texts; a column of that name is replaced."""
+    fields = [f for f in docs.schema.fields if f.name.lower() != name.lower()]
+    schema = T.StructType([*fields, T.StructField(name, T.DoubleType())])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = trees.scores(_matrix(batch.column(batch.schema.get_field_index(text))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], [*batch.schema.names, name])
 
     return docs.select(*(f"`{f.name}`" for f in fields)).mapInArrow(scored, schema)
 

@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lotstack.llm.common import shared_dir
+from lotstack.llm.common import free_name, shared_dir
 
 SLOTS = 4096
 
@@ -100,15 +100,18 @@ def assign(docs: DataFrame, slot_map: DataFrame, key: str = "doc_id", slots: int
 
     A place is the number of rows in the shard's earlier slots plus the row's rank in its own slot, so no shard
     is gathered in one task. The map has at most `slots` rows, small enough to broadcast at any input size.
+    Columns of these three names are replaced; all others pass through.
     """
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in ("virtual_slot", "shard", "place")))
+    ahead = free_name("rows_before", docs)
     before = F.sum("slot_rows").over(Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1))
-    mapped = slot_map.select("virtual_slot", "shard", F.coalesce(before, F.lit(0)).alias("rows_before"))
+    mapped = slot_map.select("virtual_slot", "shard", F.coalesce(before, F.lit(0)).alias(ahead))
     rank = F.row_number().over(Window.partitionBy("virtual_slot").orderBy(key))
     return (
         docs.withColumn("virtual_slot", virtual_slot(key, slots))
         .join(F.broadcast(mapped), "virtual_slot")
-        .withColumn("place", (F.col("rows_before") + rank - 1).cast("long"))
-        .drop("rows_before")
+        .withColumn("place", (F.col(ahead) + rank - 1).cast("long"))
+        .drop(ahead)
     )
 
 

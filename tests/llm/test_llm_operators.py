@@ -606,3 +606,52 @@ def test_maps_are_kept_by_version(spark, tmp_path):
     sharding.save_map(sharding.grow(first, 2), str(tmp_path), 2)
     assert {r.shard for r in sharding.load_map(spark, str(tmp_path), 1).collect()} == {0, 1}
     assert {r.shard for r in sharding.load_map(spark, str(tmp_path), 2).collect()} == {0, 1, 2}
+
+
+# --- hostile pages and clashing columns ---------------------------------------------------------
+
+
+@pytest.mark.parametrize("unit", ["<ul><li>x", "<dl><dd>x", "<blockquote>x", "<table><tr><td>x", "<ol><li><table><tr><th>x"])
+def test_deeply_nested_pages_grow_in_proportion(unit):
+    small, large = html_text.render(unit * 2000), html_text.render(unit * 8000)
+    assert small.count("x") == 2000 and large.count("x") == 8000
+    assert len(large) < 4.5 * len(small) and len(large) < 12 * 8000 * len(unit)
+
+
+@pytest.mark.parametrize("rowspan", [lambda i: 65534, lambda i: 65534 - i])
+def test_many_row_spans_take_time_in_proportion(rowspan):
+    def page(n):
+        return "<table><tr>" + "".join(f"<td colspan=1000 rowspan={rowspan(i)}>x" for i in range(n)) + "<tr><td>y" * (10 * n) + "</table>"
+
+    took = []
+    for n in (1000, 4000):
+        began = time.time()
+        text = html_text.render(page(n))
+        took.append(time.time() - began)
+        assert text.count("x") == n and text.count("y") == 10 * n
+    assert took[1] < 8 * took[0] + 1
+
+
+def test_row_spans_push_cells_to_free_columns():
+    page = "<table><tr><td rowspan=2>a<td>b<td rowspan=3>c<tr><td>d<td>e<tr><td>f<td>g<td>h</table>"
+    assert html_text.render(page).split("\n") == ["a  b  c", "   d     e", "f  g     h"]
+
+
+def test_wide_tables_keep_all_cells():
+    row = "".join(f"<td>{'w' * 30}{i}" for i in range(200))
+    lines = html_text.render(f"<table><tr>{row}<tr><td>z<td><td>y</table>").split("\n")
+    assert lines[0].split() == [f"{'w' * 30}{i}" for i in range(200)] and lines[1] == "z  y"
+
+
+def test_scans_and_shards_replace_their_own_names_only(spark):
+    rows = [(1, "Licensed under CC BY", "a", "b", 3, 4, 5), (2, None, None, None, None, None, None)]
+    docs = frame(spark, rows, "doc_id long, text string, _words string, _HITS string, n_words int, places int, shard int")
+    found = licenses.scan(docs, licenses.document_frequencies(docs))
+    assert sorted(found.columns) == sorted(["doc_id", "text", "_words", "_HITS", "shard", "n_words", "places"])
+    got = {r.doc_id: r for r in found.collect()}
+    assert got[1]._words == "a" and got[1]["_HITS"] == "b" and got[1].n_words == 4 and len(got[1].places) == 1 and got[2].places == []
+    slot_map = sharding.build_map(sharding.slot_bytes(docs), 2)
+    wide = docs.withColumnsRenamed({"_words": "virtual_slot", "_HITS": "rows_before"})
+    placed = sharding.assign(wide, slot_map)
+    assert sorted(placed.columns) == sorted(["doc_id", "text", "rows_before", "n_words", "places", "virtual_slot", "shard", "place"])
+    assert {r.doc_id: r.rows_before for r in placed.collect()} == {1: "b", 2: None}

@@ -57,3 +57,24 @@ def test_one_row_of_each_group_stays_whatever_its_id(spark):
     assert corpus_pipeline.keep_one_of_each_group(spark, docs.limit(0), SF).count() == 0
     packed = corpus_pipeline.pack_sequences(spark, docs, SF).collect()
     assert len(packed) == 9 and sum(r.length == 1 for r in packed) == 3
+
+
+def test_every_stage_keeps_columns_of_any_name(spark):
+    import random
+
+    rng = random.Random(1)
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    source = spark.read.parquet(f"{SF}/documents.parquet").limit(300).collect()
+    rows = [(r.doc_id if k % 7 else None, r.text if k % 11 else None, -5.0, k, f"q{k}", "x") for k, r in enumerate(source)]
+    rows += [(9000 + k, f"{items[k]} and {rng.random()}", -5.0, 1000 + k, "b", "x") for k in range(5)] + [(None, "", -5.0, 2000, None, None), (1, " \t", None, 2001, None, None)]
+    docs = materialize(spark.createDataFrame(rows, "doc_id long, text string, score double, _row int, _quality string, component_id string"), "odd")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, SF)
+        assert kept.columns == docs.columns
+        before = {r._row: r for r in docs.collect()}
+        after = {r._row: r for r in kept.collect()}
+        assert all(before[k] == r for k, r in after.items()) and len(after) == kept.count()
+        assert stage(spark, docs.limit(0), SF).count() == 0
+        docs = materialize(kept, name)
+    assert not set(range(1000, 1005)) & set(after)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= len(after)
