@@ -12,26 +12,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotstack.llm import decontaminate, neardup, packing, quality
-from lotstack.llm.common import materialize
+from lotstack.llm.common import free_name, materialize
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts, as they are, whatever columns they have."""
     trees = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, trees).where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+    own = free_name("_quality", docs)
+    return quality.score(docs, trees, name=own).where(F.col(own) >= quality.THRESHOLD).drop(own)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id; texts without words all stay.
 
-    Rows are told apart by a number of their own, so rows with equal or null ids are documents like others.
+    Rows are told apart by a number of their own, so rows with equal or null ids are documents like others. The numbers are
+    written before they are used, so that a task that runs again can't number rows otherwise.
     """
-    key = "_row"
-    while key in map(str.lower, docs.columns):
-        key += "_"
-    rows = docs.withColumn(key, F.monotonically_increasing_id())
+    key = free_name("_row", docs)
+    rows = materialize(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
     found = neardup.near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), neardup.PIPELINE_PERCENT)
     groups = found.select(F.col("doc_id").alias(key), "component_id").join(rows.select(key, "doc_id"), key)
     first = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", key)).alias("first")).select(F.col(f"first.{key}").alias(key))
