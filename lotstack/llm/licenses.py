@@ -28,6 +28,29 @@ BASE_PHRASES = {
     "general public license": "gpl",
     "all rights reserved": "reserved",
 }
+#: Parts of notices that more than one of them has.
+_BSD_GRANT = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+_BSD_CLAUSES = (
+    "1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form "
+    "must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+)
+_BSD_THIRD = (
+    "3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission"
+)
+_BSD_DISCLAIMER = (
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied "
+    "warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any "
+    "direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use "
+    "data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or "
+    "otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+_GPL_HEADER = (
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software "
+    "foundation either version {} of the license or at your option any later version this program is distributed in the hope that it will be useful but without any "
+    "warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details you should "
+    "have received a copy of the gnu general public license along with this program if not see https www gnu org licenses"
+)
 #: Notices, each with its label and its mandatory key phrases.
 TEMPLATES = (
     ("mit", "released under the mit license", ("mit license",)),
@@ -56,6 +79,46 @@ TEMPLATES = (
     ),
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
+    ("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
+    # whole notices
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software "
+        "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or "
+        "sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability "
+        "fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other "
+        "liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+        ("permission is hereby granted free of charge", "to deal in the software without restriction"),
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that "
+        "the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties "
+        "with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special "
+        "direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract "
+        "negligence or other tortious action arising out of or in connection with the use or performance of this software",
+        ("permission to use copy modify and or distribute", "with or without fee is hereby granted"),
+    ),
+    ("bsd-2-clause", f"{_BSD_GRANT} {_BSD_CLAUSES} {_BSD_DISCLAIMER}", ("source and binary forms", "2 redistributions in binary form", "distribution this software is provided by")),
+    ("bsd-3-clause", f"{_BSD_GRANT} {_BSD_CLAUSES} {_BSD_THIRD} {_BSD_DISCLAIMER}", ("source and binary forms", "to endorse or promote products")),
+    (
+        "apache-2.0",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of "
+        "the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license "
+        "is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language "
+        "governing permissions and limitations under the license",
+        ("licensed under the apache license version 2 0", "except in compliance with the license"),
+    ),
+    ("gpl-3.0", _GPL_HEADER.format(3), ("gnu general public license as published by", "either version 3 of the license")),
+    ("gpl-2.0", _GPL_HEADER.format(2), ("gnu general public license as published by", "either version 2 of the license")),
+    (
+        "mpl-2.0",
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain "
+        "one at https mozilla org mpl 2 0",
+        ("this source code form", "mozilla public license v 2 0"),
+    ),
 )
 #: Index words of each template, and how many of them have to stand at their places.
 RARE_WORDS, RARE_MATCHES = 4, 2

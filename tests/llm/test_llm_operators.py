@@ -229,6 +229,41 @@ def test_license_places(spark):
     assert licenses.scan(docs.where("doc_id < 0"), {}).count() == 0
 
 
+def plain_places(text, frequencies):
+    """Every place of every entry, by trying all starts: index words, key phrases and share as the method asks."""
+    words = [w for w in re.split(r"[\x00-/:-`{-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")) if w]
+    out = set()
+    for k, (label, own, spans, base) in enumerate(licenses._entries()):
+        rare = sorted(set(own), key=lambda w: (frequencies.get(w, 0), w))[: 1 if base else licenses.RARE_WORDS]
+        index = [own.index(w) for w in rare]
+        stands = lambda start, j: 0 <= start + j < len(words) and words[start + j] == own[j]  # noqa: B023, E731
+        for start in range(-len(own), len(words)):
+            share = sum(stands(start, j) for j in range(len(own))) / len(own)
+            together = sum(stands(start, j) for j in index) >= min(len(index), licenses.RARE_MATCHES)
+            if together and all(stands(start, j) for a, n in spans for j in range(a, a + n)) and share >= licenses.LEAST_SHARE:
+                out.add((k, start, label, base, round(share, 9)))
+    return out
+
+
+def test_license_scans_equal_a_walk_over_all_places(spark):
+    rng = random.Random(8)
+    notices = [text for _, text, _ in licenses.TEMPLATES]
+    texts = [None, "", "mit license " * 30, " ".join(p for p in licenses.BASE_PHRASES)]
+    for k in range(120):
+        words = rng.choice(notices).split()
+        if k % 3:  # some words lost, changed or put in
+            for _ in range(rng.randrange(1, 6)):
+                at = rng.randrange(len(words))
+                words[at : at + rng.choice([0, 1, 1])] = rng.choice([[], ["other"], [words[at]]]) if len(words) > 3 else words[at : at + 1]
+        around = [rng.choice(["the", "license", "software", "general", "public", "copy"]) for _ in range(rng.randrange(9))]
+        texts.append(rng.choice([" ", ", ", ".\n# "]).join([*around, *(w.upper() if rng.random() < 0.2 else w for w in words), *around[:3]]))
+    docs = frame(spark, list(enumerate(texts)))
+    frequencies = licenses.document_frequencies(docs)
+    got = {r.doc_id: {(p.entry, p.start, p.label, p.base, round(p.share, 9)) for p in r.places} for r in licenses.scan(docs, frequencies).collect()}
+    assert got == {k: plain_places(t, frequencies) for k, t in enumerate(texts)}
+    assert {p[2] for places in got.values() for p in places} >= {"mit", "isc", "bsd-2-clause", "bsd-3-clause", "apache-2.0", "gpl-2.0", "gpl-3.0", "mpl-2.0", "cc-by-4.0"}
+
+
 # --- near duplicates --------------------------------------------------------------------------
 
 
