@@ -101,6 +101,15 @@ def properties_json(table: DataFrame, key: str, properties: tuple[str, ...]) ->
     return table.select(key, F.to_json(F.struct(*own), {"ignoreNullFields": "false"}).alias("properties"))
 
 
+def merged_json(first: Column, second: Column) -> Column:
+    """Two JSON objects as one, as texts: keys of the second win, whatever their values; what is no object counts as empty, and two
+    nulls stay null."""
+    fields = "map<string,variant>"
+    object_ = lambda c: F.coalesce(F.from_json(c, fields), F.create_map().cast(fields))
+    kept = F.map_filter(object_(first), lambda k, _: ~F.array_contains(F.map_keys(object_(second)), k))
+    return F.when(first.isNotNull() | second.isNotNull(), F.to_json(F.map_concat(kept, object_(second))))
+
+
 def has_shape(rows: Column, width: int) -> Column:
     """Whether an array of arrays is a matrix with so many columns, without nulls: no rows are no matrix."""
     each = F.forall(rows, lambda r: F.coalesce((F.size(r) == width) & F.forall(r, lambda x: x.isNotNull()), F.lit(False)))

@@ -423,7 +423,7 @@ def process(points: DataFrame, size: float = 1.0, zone: int | None = None, windo
     }
 
 
-def levels_with_outlines(points: DataFrame, slab: int = 2, half: float = 0.1, eps: float = 3.0, least: int = 30, least_area: float = 5.0, least_slab: int = 100) -> DataFrame:
+def levels_with_outlines(points: DataFrame, slab: int = 2, half: float = 0.1, eps: float = 3.0, least: int = 30, least_area: float = 5.0, least_slab: int = 100, least_height: int = 50) -> DataFrame:
     """(cloud_id, level, z, cluster, area): storeys found as height clusters of slab points, with their outlines.
 
     Levels count from 0 by height; an outline is the hull of a plan cluster of the points near a level's middle. A cloud
@@ -432,7 +432,7 @@ def levels_with_outlines(points: DataFrame, slab: int = 2, half: float = 0.1, ep
     slabs = points.where(F.col("classification") == slab)
     enough = slabs.groupBy("cloud_id").agg(F.count("*").alias("n")).where(F.col("n") >= least_slab)
     slabs = slabs.join(enough.select("cloud_id"), "cloud_id", "left_semi")
-    found = clusters_in_height(slabs)
+    found = clusters_in_height(slabs, 0.5, least_height)
     levels = found.select("cloud_id", ((F.col("low") + F.col("high")) / 2).alias("level_z")).withColumn(
         "level", F.row_number().over(Window.partitionBy("cloud_id").orderBy("level_z")) - 1
     )

@@ -173,6 +173,16 @@ def rights_json(t: Tables) -> DataFrame:
     return features.properties_json(t.view("rrr"), "rrr_id", ("rrr_id", "status", "valid_from", "valid_until"))
 
 
+@query("""SELECT suid, CASE WHEN suid % 3 = 0 THEN 'failed' ELSE type END AS state, CASE WHEN suid % 3 = 0 THEN concat('no unit ', cast(suid AS string)) END AS error, floor_level AS level FROM spatial_units""")
+def metadata_merge(t: Tables) -> DataFrame:
+    """What a failed step adds to a unit's metadata, read back from the merged text."""
+    own = F.to_json(F.struct(F.col("type").alias("state"), F.col("floor_level").alias("level")))
+    more = F.when(F.col("suid") % 3 == 0, F.to_json(F.struct(F.lit("failed").alias("state"), F.concat(F.lit("no unit "), F.col("suid").cast("string")).alias("error"))))
+    merged = t.view("spatial_units").select("suid", features.merged_json(own, more).alias("m"))
+    told = lambda k: F.get_json_object("m", f"$.{k}").alias(k)
+    return merged.select("suid", told("state"), told("error"), F.get_json_object("m", "$.level").cast("long").alias("level"))
+
+
 @query("""SELECT vec_id, len(embedding) > 0 AND vec_id % 3 > 0 AS matrix, vec_id % 4 = 0 AS box FROM embeddings""")
 def input_shapes(t: Tables) -> DataFrame:
     whole = F.col("embedding").cast("array<double>")
@@ -362,6 +372,20 @@ def shared_faces(t: Tables) -> DataFrame:
     return topology.shared_faces(topology.tetra_faces(_tetrahedra(t))).drop("face_key")
 
 
+@query("""WITH m AS (SELECT parent_suid, count(*) AS uses FROM spatial_units GROUP BY 1)
+SELECT a.suid AS suid_1, b.suid AS suid_2, CASE WHEN uses = 2 THEN 'adjacent' ELSE 'overlap' END AS relation, CASE WHEN uses = 2 THEN 'info' ELSE 'error' END AS severity
+FROM spatial_units a JOIN spatial_units b ON a.parent_suid = b.parent_suid AND a.suid < b.suid JOIN m ON m.parent_suid = a.parent_suid WHERE uses > 2 OR a.suid % 2 <> b.suid % 2""")
+def over_shared_faces(t: Tables) -> DataFrame:
+    """All units of a parcel stand on one face, on either side of it by turns: two are adjacent, more overlap pair by pair."""
+    x, y = (F.col("parent_suid") % 1000) * 10.0, F.floor(F.col("parent_suid") / 1000) * 10.0
+    a, b, c = (G.point(x + i, y + j, F.lit(0.0)) for i, j in ((0, 0), (4, 0), (0, 6)))
+    side = F.when(F.col("suid") % 2 == 0, 1.0).otherwise(-1.0)
+    apex = G.point(x, y, side * (F.col("floor_level") + 10.0))
+    solid = F.when(side > 0, F.array(a, b, c, apex)).otherwise(F.array(a, c, b, apex))
+    units = t.view("spatial_units").select(F.col("suid").alias("tet"), "suid", solid.alias("vertices"))
+    return topology.shared_faces(topology.tetra_faces(units)).drop("face_key")
+
+
 def _of_parcels(t: Tables) -> DataFrame:
     """The tetrahedra, named so that those of one parcel have one key."""
     parcels = t.view("spatial_units").select((F.col("suid") * 2).alias("even"), "parent_suid")
@@ -675,6 +699,88 @@ def clipped_quarter(t: Tables) -> DataFrame:
     return t.view("buildings").select("building_id", part.alias("part")).select("building_id", F.round(G.shoelace_area(points), 6).alias("area"))
 
 
+def _map_elements(t: Tables) -> DataFrame:
+    """Parcels as nodes of a map; ways around four of them, of which some are missing; relations of a way with up to two inner ones."""
+    p, none = t.view("parcels"), F.lit(None)
+    typed = lambda name, kind: none.cast(kind).alias(name)
+    tags = F.create_map(F.lit("building"), F.when(F.col("suid") % 8 == 0, "house").otherwise("retail"), F.lit("name"), F.concat(F.lit("B"), F.col("suid").cast("string")))
+    nodes = p.select(F.lit("node").alias("type"), F.col("suid").alias("id"), F.col("x").alias("lon"), F.col("y").alias("lat"), typed("nodes", "array<bigint>"), typed("members", "array<struct<type:string,ref:bigint,role:string>>"), typed("tags", "map<string,string>"))
+    around = F.array(*(F.col("suid") + k for k in (0, 1, 41, 40)))
+    ways = p.where("suid % 4 = 0").select(F.lit("way").alias("type"), F.col("suid").alias("id"), typed("lon", "double"), typed("lat", "double"), around.alias("nodes"), typed("members", "array<struct<type:string,ref:bigint,role:string>>"), tags.alias("tags"))
+    member = lambda k, role: F.struct(F.lit("way").alias("type"), (F.col("suid") + k).alias("ref"), F.lit(role).alias("role"))
+    whole = F.array(member(4, "inner"), member(0, "outer"), member(8, "inner"))
+    relations = p.where("suid % 12 = 0").select(F.lit("relation").alias("type"), F.col("suid").alias("id"), typed("lon", "double"), typed("lat", "double"), typed("nodes", "array<bigint>"), whole.alias("members"), tags.alias("tags"))
+    return nodes.unionByName(ways).unionByName(relations)
+
+
+_MAP_RINGS = """w AS (SELECT suid AS way_id, unnest([0, 1, 2, 3]) AS pos, unnest([suid, suid + 1, suid + 41, suid + 40]) AS node FROM parcels WHERE suid % 4 = 0),
+  m AS (SELECT way_id, pos, x, y, count(*) OVER (PARTITION BY way_id) AS n, row_number() OVER (PARTITION BY way_id ORDER BY pos) AS k FROM w JOIN parcels ON suid = node),
+  rings AS (SELECT way_id, cast(max(n) + 1 AS int) AS points, sum(x) + sum(CASE WHEN k = 1 THEN x END) AS sx, sum(y) + sum(CASE WHEN k = 1 THEN y END) AS sy FROM m GROUP BY 1 HAVING max(n) + 1 >= 4)"""
+
+
+@query(f"WITH {_MAP_RINGS} SELECT way_id, points, round(sx, 6) AS sx, round(sy, 6) AS sy, CASE WHEN way_id % 8 = 0 THEN 'residential' ELSE 'commercial' END AS class, concat('B', cast(way_id AS string)) AS name FROM rings")
+def way_rings(t: Tables) -> DataFrame:
+    rings = osm.way_rings(_map_elements(t))
+    total = lambda k: F.round(F.aggregate("ring", F.lit(0.0), lambda a, p: a + p[k]), 6).alias(f"s{k}")
+    return rings.select("way_id", F.size("ring").alias("points"), total("x"), total("y"), osm.building_class(osm.tag("building")).alias("class"), osm.tag("name").alias("name"))
+
+
+@query(f"""WITH {_MAP_RINGS} SELECT suid AS relation_id, o.points AS outer_points, cast((SELECT count(*) FROM rings i WHERE i.way_id IN (suid + 4, suid + 8)) AS int) AS inners
+FROM parcels JOIN rings o ON o.way_id = suid WHERE suid % 12 = 0""")
+def relation_rings(t: Tables) -> DataFrame:
+    elements = _map_elements(t)
+    found = osm.multipolygons(elements, osm.way_rings(elements))
+    return found.select("relation_id", F.size("outer").alias("outer_points"), F.size("inners").alias("inners"))
+
+
+@query("""SELECT building_id, cast(building_id % 5 AS int) AS level, building_id % 5 * 3.0E0 AS z_base, round(width * height_y, 6) AS area,
+  CASE WHEN building_id % 2 = 0 THEN concat('A', cast(building_id % 9 AS string)) ELSE 'U' END AS unit_id, CASE WHEN building_id % 2 = 0 THEN 'commercial' ELSE 'residential' END AS unit_type FROM buildings""")
+def plan_texts(t: Tables) -> DataFrame:
+    """Outlines on the layer of a floor, with a text inside those of even buildings, and others outside or on another layer."""
+    w, h, own = F.col("width"), F.col("height_y"), F.col("building_id")
+    file, layer = own.cast("string").alias("file"), F.concat(F.lit("FL_"), (own % 5).cast("string"))
+    at = lambda *corners: F.array(*(G.point(x * F.lit(1.0), y * F.lit(1.0)) for x, y in corners))
+    zero = F.lit(0.0)
+    row = lambda ord_, kind, layer, text, closed, points: F.struct(F.lit(ord_).alias("ord"), F.lit(kind).alias("kind"), layer.alias("layer"), text.alias("text"), F.lit(closed).alias("closed"), points.alias("points"))
+    rows = [
+        row(0, "LWPOLYLINE", layer, F.lit(None).cast("string"), True, at((zero, zero), (w, zero), (w, h), (zero, h))),
+        row(1, "TEXT", layer, F.lit("OFFICE B1"), False, at((w + 5, zero))),
+        row(2, "TEXT", F.lit("NOTES"), F.lit("GARAGE C1"), False, at((w / 2, h / 2))),
+        row(3, "MTEXT", layer, F.concat(F.lit("SHOP A"), (own % 9).cast("string")), False, at((F.when(own % 2 == 0, w / 2).otherwise(w + 1), h / 2))),
+        row(4, "LWPOLYLINE", layer, F.lit(None).cast("string"), False, at((zero, zero), (w, zero), (w, h))),
+    ]
+    entities = t.view("buildings").select(file, "building_id", F.explode(F.array(*rows)).alias("e")).select("file", "e.*")
+    found = cad.floor_polygons(entities)
+    return found.select(F.col("file").cast("long").alias("building_id"), "level", "z_base", F.round("area", 6).alias("area"), "unit_id", "unit_type")
+
+
+@query("""SELECT s.suid AS space, concat('room ', cast(s.suid AS string)) AS name, s.suid % 100 + 0.5E0 AS area, CASE WHEN s.suid % 3 = 0 THEN 0.0E0 ELSE 70.25E0 END AS volume, s.suid AS storey,
+  s.floor_level * 3.0E0 AS elevation, coalesce(lead(s.floor_level * 3.0E0) OVER (PARTITION BY s.parent_suid ORDER BY s.floor_level) - s.floor_level * 3.0E0, 3.0E0) AS height FROM spatial_units s""")
+def plan_storeys(t: Tables) -> DataFrame:
+    """A storey and a space for each unit, linked by the relations of a building model."""
+    own = F.col("suid")
+    n = lambda k: (own * 10 + k).cast("string")
+    ref = lambda *ks: F.concat(F.lit("("), F.concat_ws(",", *(F.concat(F.lit("#"), n(k)) for k in ks)), F.lit(")"))
+    none = F.lit(None).cast("string")
+    parts = lambda **at: F.array(*(at.get(f"p{k}", none) for k in range(10)))
+    row = lambda k, kind, **at: F.struct((own * 10 + k).alias("id"), F.lit(kind).alias("entity"), parts(**at).alias("parts"))
+    volume = F.when(own % 3 == 0, F.lit("GrossVolume")).otherwise(F.lit("NetVolume"))
+    rows = [
+        row(0, "IFCBUILDINGSTOREY", p2=F.lit("floor"), p9=(F.col("floor_level") * 3.0).cast("string")),
+        row(1, "IFCSPACE", p2=F.concat(F.lit("room "), own.cast("string"))),
+        row(2, "IFCQUANTITYAREA", p0=F.lit("NetFloorArea"), p3=(own % 100 + 0.5).cast("string")),
+        row(3, "IFCQUANTITYVOLUME", p0=volume, p3=F.lit("70.25")),
+        row(4, "IFCELEMENTQUANTITY", p5=ref(2, 3)),
+        row(5, "IFCRELDEFINESBYPROPERTIES", p4=ref(1), p5=F.concat(F.lit("#"), n(4))),
+        row(6, "IFCRELCONTAINEDINSPATIALSTRUCTURE", p4=ref(1), p5=F.concat(F.lit("#"), n(0))),
+    ]
+    entities = t.view("spatial_units").select(F.col("parent_suid").cast("string").alias("file"), F.explode(F.array(*rows)).alias("e")).select("file", "e.*")
+    spaces = cad.space_quantities(entities).join(cad.contained(entities).withColumnRenamed("element", "space"), ["file", "space"])
+    met = spaces.join(cad.storeys(entities).select("file", "storey", "elevation", "height"), ["file", "storey"])
+    tenth = lambda c: F.floor(F.col(c) / 10).cast("long").alias(c)
+    return met.select(tenth("space"), "name", "area", "volume", tenth("storey"), "elevation", "height")
+
+
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN -1 WHEN p_partkey % 5 = 1 THEN 0 WHEN p_partkey % 5 = 2 THEN 99 WHEN p_partkey % 5 = 3 THEN cast(p_size AS int) END AS level,
   CASE WHEN p_partkey % 5 = 0 THEN -3.0E0 WHEN p_partkey % 5 = 1 THEN 0.0E0 WHEN p_partkey % 5 = 2 THEN 0.0E0 WHEN p_partkey % 5 = 3 THEN p_size * 3.0E0 END AS z_base FROM part""")
 def layer_levels(t: Tables) -> DataFrame:
@@ -830,11 +936,57 @@ def outlier_statistical(t: Tables) -> DataFrame:
     return pointcloud.outliers_by_distance(t.view("points"), 8, 2.0).drop("cloud_id").withColumn("mean_distance", F.round("mean_distance", 6))
 
 
-@query(None)
+@query("""WITH RECURSIVE p AS (SELECT cloud_id, pt_id, x, y FROM points WHERE classification = 6),
+  near AS (SELECT a.cloud_id, a.pt_id AS a, b.pt_id AS b FROM p a JOIN p b ON a.cloud_id = b.cloud_id AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 36.0),
+  core AS (SELECT a FROM near GROUP BY 1 HAVING count(*) >= 6),
+  links AS (SELECT n.a, n.b FROM near n JOIN core c ON n.a = c.a JOIN core d ON d.a = n.b),
+  reach AS (SELECT a, a AS b FROM core UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+  named AS (SELECT a, min(b) AS cluster FROM reach GROUP BY 1),
+  member AS (SELECT n.b AS pt_id, coalesce(max(CASE WHEN n.a = n.b THEN cluster END), min(cluster)) AS cluster FROM near n JOIN named USING (a) GROUP BY 1),
+  m AS (SELECT cluster, count(*) AS n, list(DISTINCT {'x': x, 'y': y}) AS pts FROM member JOIN p USING (pt_id) GROUP BY 1),
+  e AS (SELECT cluster, n, pts, unnest(pts) AS a FROM m), f AS (SELECT cluster, n, pts, a, unnest(pts) AS b FROM e),
+  h AS (SELECT cluster, n, a, b FROM f WHERE a <> b AND list_bool_and(list_transform(pts, lambda q: (b.x - a.x) * (q.y - a.y) - (b.y - a.y) * (q.x - a.x) > 0
+    OR ((b.x - a.x) * (q.y - a.y) = (b.y - a.y) * (q.x - a.x) AND (q.x - a.x) * (q.x - b.x) + (q.y - a.y) * (q.y - b.y) <= 0))))
+SELECT cluster, n, round(sum(a.x * b.y - b.x * a.y) / 2, 6) AS area FROM h GROUP BY 1, 2 HAVING sum(a.x * b.y - b.x * a.y) / 2 > 1""")
 def cluster_footprints(t: Tables) -> DataFrame:
     return pointcloud.footprints(t.view("points"), 6, 6.0, 6, 1.0).select("cluster", "n", F.round("area", 6).alias("area"))
 
 
+@query("""WITH q AS (SELECT cloud_id, z / 4 AS z FROM points WHERE pt_id * 13 % 50 < z AND z % 10 NOT IN (3, 4, 5)), c AS (SELECT cloud_id, z, count(*) AS m FROM q GROUP BY 1, 2),
+  k AS (SELECT *, sum(m) OVER (PARTITION BY cloud_id ORDER BY z RANGE BETWEEN 0.5 PRECEDING AND 0.5 FOLLOWING) >= 20 AS core FROM c),
+  g AS (SELECT *, max(CASE WHEN core THEN z END) OVER (PARTITION BY cloud_id ORDER BY z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below,
+    min(CASE WHEN core THEN z END) OVER (PARTITION BY cloud_id ORDER BY z ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS above FROM k),
+  n AS (SELECT *, sum(cast(core AND (below IS NULL OR z - below > 0.5) AS int)) OVER (PARTITION BY cloud_id ORDER BY z) AS upto FROM g),
+  j AS (SELECT *, CASE WHEN core OR z - below <= 0.5 THEN upto WHEN above - z <= 0.5 THEN upto + 1 END AS cluster FROM n)
+SELECT cloud_id, cast(cluster AS int) AS cluster, min(z) AS low, max(z) AS high, cast(sum(m) AS bigint) AS n FROM j WHERE cluster IS NOT NULL GROUP BY 1, 2""")
+def height_clusters(t: Tables) -> DataFrame:
+    """Heights that lie closer than eps, with gaps, and with heights at the border of a cluster."""
+    p = t.view("points").where("pt_id * 13 % 50 < z AND z % 10 NOT IN (3, 4, 5)").withColumn("z", F.col("z") / 4)
+    return pointcloud.clusters_in_height(p, 0.5, 20)
+
+
+@query("""WITH p AS (SELECT cloud_id, pt_id, floor(z / 10) * 3 AS z FROM points WHERE classification = 2), c AS (SELECT cloud_id FROM p GROUP BY 1 HAVING count(*) >= 40),
+  l AS (SELECT cloud_id, z, min(pt_id) AS cluster FROM p JOIN c USING (cloud_id) GROUP BY 1, 2 HAVING count(*) >= 5)
+SELECT cloud_id, cast(row_number() OVER (PARTITION BY cloud_id ORDER BY z) - 1 AS int) AS level, z, cluster FROM l""")
+def levels_of_clouds(t: Tables) -> DataFrame:
+    """Slab points on storeys three units apart; wide neighbourhoods make one outline of each storey."""
+    p = t.view("points").withColumn("z", F.floor(F.col("z") / 10) * 3.0)
+    return pointcloud.levels_with_outlines(p, eps=1e6, least=5, least_area=0.0, least_slab=40, least_height=5).select("cloud_id", F.col("level").cast("int").alias("level"), "z", "cluster")
+
+
+@query("""SELECT building_id, CASE WHEN building_id % 2 = 0 THEN 0.0 ELSE -0.5 END AS x1, CASE WHEN building_id % 2 = 0 THEN width ELSE width + 0.5 END AS x2,
+  CASE WHEN building_id % 2 = 0 THEN 0.0 ELSE 1.5 END AS y1, CASE WHEN building_id % 2 = 0 THEN height_y ELSE 2.5 END AS y2 FROM buildings""")
+def outlines_or_boxes(t: Tables) -> DataFrame:
+    """Outlines of even buildings as they are; those of odd ones are a line, and become a box around it."""
+    w, h = F.col("width"), F.col("height_y")
+    at = lambda *corners: F.array(*(F.array(x * F.lit(1.0), y * F.lit(1.0)) for x, y in corners))
+    zero, two = F.lit(0.0), F.lit(2.0)
+    hull = F.when(F.col("building_id") % 2 == 0, at((zero, zero), (w, zero), (w, h), (zero, h))).otherwise(at((zero, two), (w, two)))
+    made = pointcloud.outline_or_box(t.view("buildings").select("building_id", hull.alias("hull"), F.when(F.col("building_id") % 2 == 0, w * h).otherwise(0.0).alias("area")))
+    side = lambda f, k: f(F.transform("hull", lambda p: F.get(p, F.lit(k))))
+    return made.select("building_id", side(F.array_min, 0).alias("x1"), side(F.array_max, 0).alias("x2"), side(F.array_min, 1).alias("y1"), side(F.array_max, 1).alias("y2"))
+
+
 @query("""WITH c AS (SELECT cloud_id, z, count(*) AS m FROM points GROUP BY 1, 2),
   k AS (SELECT *, sum(m) OVER (PARTITION BY cloud_id ORDER BY z RANGE BETWEEN 0.5 PRECEDING AND 0.5 FOLLOWING) >= 60 AS core FROM c),
   g AS (SELECT *, z - lag(z) OVER (PARTITION BY cloud_id ORDER BY z) > 0.5 AS apart FROM k WHERE core),
@@ -896,7 +1048,13 @@ def dsm_filled(t: Tables) -> DataFrame:
     return pointcloud.filled(pointcloud.surface_max(t.view("points"), 10.0)).withColumn("z", F.round("z", 6))
 
 
-@query(None)
+@query("""WITH RECURSIVE p AS (SELECT cloud_id, pt_id, {'pt_id': pt_id, 'x': x, 'y': y, 'z': z} AS spot FROM points), f AS (
+  SELECT cloud_id, cast(0 AS int) AS place, [arg_min(spot, pt_id)] AS taken FROM p GROUP BY 1
+  UNION ALL SELECT cloud_id, cast(place + 1 AS int), list_append(taken, best) FROM (
+    SELECT f.cloud_id, f.place, any_value(f.taken) AS taken, arg_max(p.spot, {'d': list_min(list_transform(f.taken, lambda q:
+      (p.spot.x - q.x) * (p.spot.x - q.x) + (p.spot.y - q.y) * (p.spot.y - q.y) + (p.spot.z - q.z) * (p.spot.z - q.z))), 'first': -p.pt_id}) AS best
+    FROM f JOIN p ON p.cloud_id = f.cloud_id WHERE f.place < 7 AND NOT list_contains(list_transform(f.taken, lambda q: q.pt_id), p.pt_id) GROUP BY 1, 2))
+SELECT cloud_id, place, taken[place + 1].pt_id AS pt_id FROM f""")
 def farthest_points(t: Tables) -> DataFrame:
     return pointcloud.farthest_points(t.view("points"), 8)
 

@@ -16,9 +16,10 @@ from lotstack.functions import geometry as G
 
 
 def publish(df: DataFrame, path: str, *by: str) -> None:
-    """Write a result as Parquet so that readers see all of it or the one before: beside the place first, then renamed.
+    """Write a result as Parquet so that readers never see a part of it: beside the place first, then renamed.
 
-    A failed job leaves what was there. The result before is removed once the new one is in place.
+    A failed job leaves what was there. The result before is moved aside by one rename and replaced by a second: a reader between
+    the two finds none, and must ask again. It is removed once the new one is in place.
     """
     spark = df.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

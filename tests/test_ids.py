@@ -58,3 +58,11 @@ def test_sql_functions(spark):
     row = spark.sql("SELECT generate_parcel_id('1', '2', '3', '4', '5', '6', '7') AS c, compute_floor_level(3.0, 6.0, 0.0) AS f").first()
     assert row.c == "01" + "002" + "03" + "0004" + "000005" + "0006" + "0007" and row.f == 2
     assert spark.sql(f"SELECT parse_parcel_id('{row.c}').village AS v").first().v == "0004"
+
+
+def test_codes_of_an_administrative_area(spark):
+    area = {"state": F.lit("27"), "village": F.lit("4321")}
+    x, y, n = F.lit(77.2), F.lit(28.6), F.lit(3)
+    for level in ("parcel", "building", "floor", "unit"):
+        default, told = one(spark, *(ids.code_for(F.lit(level), x, y, n, n, n, a) for a in (None, area)))
+        assert told[:2] == "27" and default[:2] == "01" and told[11:] == default[11:] and one(spark, ids.parse(F.lit(told)).alias("p")).p.village == "4321"

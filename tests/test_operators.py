@@ -1,3 +1,4 @@
+import json
 import math
 import random
 
@@ -343,3 +344,23 @@ def test_rings_without_area_have_no_units(spark):
     got = delineate.extrude_rings(plots).collect()
     assert sorted(r.type for r in got) == ["building", "floor", "floor", "parcel"] + ["unit"] * 4
     assert {r.metadata["building_id"] for r in got} == {"1"} and {r.metadata.get("unit_type") for r in got if r.type == "unit"} == {"mixed"}
+
+
+def test_json_objects_merge_by_their_first_keys(spark):
+    rows = [('{"a":1,"b":[1,{"c":null}]}', '{"b":"x","error":"no \\"room\\""}'), (None, '{"a":null}'), ('{"a":1.5}', None), (None, None), ("[1]", "x"), ("{}", '{"k":{"a":1}}')]
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = [r[0] and json.loads(r[0]) for r in df.select(features.merged_json(F.col("a"), F.col("b"))).collect()]
+    assert got == [{"a": 1, "b": "x", "error": 'no "room"'}, {"a": None}, {"a": 1.5}, None, {}, {"k": {"a": 1}}]
+
+
+def test_floor_polygons_merge_by_unit(spark):
+    box = lambda x, y, w: [[[x, y], [x + w, y], [x + w, y + 2.0], [x, y + 2.0]]]
+    rows = [(0, "A", "flat", box(0.0, 0.0, 2.0)), (0, "A", "flat", box(1.0, 0.0, 2.0)), (0, "A", "flat", box(9.0, 9.0, 0.1)), (0, "A", "shop", box(0.0, 0.0, 2.0)), (1, None, "flat", box(5.0, 0.0, 3.0))]
+    units = delineate.merged_units(spark.createDataFrame(rows, "level int, unit_id string, unit_type string, rings array<array<array<double>>>"))
+    assert sorted((r.level, str(r.unit_id), r.unit_type, round(r.area, 6)) for r in units.collect()) == [(0, "A", "flat", 6.0), (0, "A", "shop", 4.0), (1, "None", "flat", 6.0)]
+
+
+def test_outlines_or_boxes(spark):
+    rows = [(1, [[0.0, 0.0], [4.0, 0.0], [4.0, 4.0]], 8.0), (2, [[0.0, 0.0], [4.0, 0.0]], 0.0)]
+    got = {r.k: r.hull for r in pointcloud.outline_or_box(spark.createDataFrame(rows, "k int, hull array<array<double>>, area double")).collect()}
+    assert got == {1: rows[0][1], 2: [[-0.5, -0.5], [4.5, -0.5], [4.5, 0.5], [-0.5, 0.5]]}

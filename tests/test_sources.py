@@ -44,6 +44,15 @@ def test_buildings_and_floors(elements):
     assert feature["geometry"]["type"] == "Polygon" and feature["properties"]["levels"] == 4
 
 
+def test_ways_that_meet_themselves_are_no_buildings(spark):
+    at = lambda *corners: [{"x": 72.8 + 0.001 * x, "y": 19.0 + 0.001 * y} for x, y in corners]
+    square, bow = at((0, 0), (1, 0), (1, 1), (0, 1), (0, 0)), at((0, 0), (2, 2), (2, 0), (0, 1), (0, 0))
+    twice = at((0, 0), (2, 0), (2, 2), (1, 2), (1, 0), (0, 0))
+    rows = [(k, {"building": "yes"}, ring) for k, ring in enumerate((square, bow, twice, square[::-1]))]
+    built = osm.buildings(spark.createDataFrame(rows, "way_id long, tags map<string,string>, ring array<struct<x:double,y:double>>"))
+    assert sorted(r.building_id for r in built.collect()) == [0, 3]
+
+
 def test_relations_become_buildings(elements):
     rings = osm.way_rings(elements)
     whole = osm.multipolygons(elements, rings)
