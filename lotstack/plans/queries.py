@@ -1068,6 +1068,53 @@ def softmax_argmax(t: Tables) -> DataFrame:
     return t.table("embeddings").select("vec_id", inference.argmax(F.col("embedding")).alias("class"), F.round(F.array_max(inference.softmax(F.col("embedding"))), 6).alias("p"))
 
 
+def _scan(t: Tables) -> DataFrame:
+    """Points as a scan with places and colours: red above the middle stands for a slab."""
+    place = F.row_number().over(Window.partitionBy("cloud_id").orderBy("pt_id")) - 1
+    red = (F.col("pt_id") * 7 % 256).cast("double")
+    return t.view("points").select(F.lit("a").alias("file"), "cloud_id", "pt_id", place.alias("place"), "x", "y", (F.floor(F.col("z") / 10) * 3.0).alias("z"), red.alias("r"), F.lit(0.0).alias("g"), F.lit(255.0).alias("b"))
+
+
+def _by_red(x):
+    """A stand-in for a network: class 2 where red is above the middle, else 1."""
+    import numpy as np
+
+    return np.eye(4)[np.where(x[:, 3] > 0.5, 2, 1)]
+
+
+@query("SELECT cloud_id, pt_id, cast(CASE WHEN pt_id * 7 % 256 > 127 THEN 2 ELSE 1 END AS int) AS class FROM points")
+def segmented_points(t: Tables) -> DataFrame:
+    """Every point through the model in half-overlapping tiles, and the best average of its tiles."""
+    return inference.segmented(_scan(t), _by_red, 64)
+
+
+@query("""WITH p AS (SELECT cloud_id, pt_id, floor(z / 10) * 3 AS z FROM points WHERE pt_id * 7 % 256 > 127), c AS (SELECT cloud_id FROM p GROUP BY 1 HAVING count(*) >= 40),
+  l AS (SELECT cloud_id, z, min(pt_id) AS cluster FROM p JOIN c USING (cloud_id) GROUP BY 1, 2 HAVING count(*) >= 5)
+SELECT cloud_id, cast(row_number() OVER (PARTITION BY cloud_id ORDER BY z) - 1 AS int) AS level, z, cluster FROM l""")
+def levels_of_scan(t: Tables) -> DataFrame:
+    """From a scan through the model to storeys and their outlines."""
+    found = inference.levels_of_scan(_scan(t), _by_red, 64, eps=1e6, least=5, least_area=0.0, least_slab=40, least_height=5)
+    return found.select("cloud_id", F.col("level").cast("int").alias("level"), "z", "cluster")
+
+
+@query("""SELECT pt_id, round((-x * cos(0.5) - y * sin(0.5)) * 1.25, 6) AS x, round((-x * sin(0.5) + y * cos(0.5)) * 1.25, 6) AS y, round(z * 1.25, 6) AS z FROM points""")
+def augmented_points(t: Tables) -> DataFrame:
+    made = inference.augmented(t.view("points"), 0.5, 1.25, flip=True)
+    return made.select("pt_id", *(F.round(k, 6).alias(k) for k in "xyz"))
+
+
+@query("""WITH b AS (SELECT building_id, building_id % 4 AS k, 2.0E0 + building_id % 3 AS s, building_id % 11 / 10.0E0 AS u, building_id % 7 / 6.0E0 AS v FROM buildings),
+  a AS (SELECT *, 1 - abs(2 * v - 1) AS across, 1 - abs(2 * u - 1) AS along FROM b)
+SELECT building_id, round(CASE k WHEN 1 THEN greatest(2.0, s * 0.8) * across WHEN 2 THEN greatest(2.0, s * 0.8) * least(across, along * 2) WHEN 3 THEN greatest(2.5, s) * least(across, along) ELSE 0 END, 6) AS z FROM a""")
+def roof_heights(t: Tables) -> DataFrame:
+    own = F.col("building_id")
+    storey, u, v = F.lit(2.0) + own % 3, own % 11 / 10.0, own % 7 / 6.0
+    z = F.lit(0.0)
+    for k, shape in enumerate(("flat", "gabled", "hipped", "pyramid")):
+        z = F.when(own % 4 == k, synth.roof_z(shape, u, v, storey)).otherwise(z)
+    return t.view("buildings").select("building_id", F.round(z, 6).alias("z"))
+
+
 @query("""WITH v AS (SELECT label AS pt_id, cast(c - 1 AS int) AS class, avg(cast(embedding[c] AS double)) AS s FROM embeddings, (SELECT unnest(range(1, 65)) AS c) GROUP BY 1, 2)
 SELECT cast(pt_id AS bigint) AS pt_id, arg_max(class, row(s, -class)) AS class FROM v GROUP BY 1""")
 def tile_votes(t: Tables) -> DataFrame:
