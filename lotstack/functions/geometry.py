@@ -167,6 +167,7 @@ def read_wkt_rings(wkt: Column) -> Column:
 
 def wkt_centroid(wkt: Column) -> Column:
     """The mean of all vertices of a text; z is 0 where absent; (0, 0, 0) without vertices."""
+    # fixed value: what counts as a vertex in a text
     pattern = r"([\d\.-]+)\s+([\d\.-]+)(?:\s+([\d\.-]+))?"
     part = lambda k: F.transform(F.regexp_extract_all(wkt, F.lit(pattern), k), lambda v: F.coalesce(F.expr("1D") * F.nullif(v, F.lit("")).cast("double"), F.lit(0.0)))
     mean = lambda k: F.when(F.size(part(k)) > 0, _sum(part(k)) / F.size(part(k))).otherwise(0.0)
@@ -191,15 +192,6 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(sum(((a[k] - b[k]) * (a[k] - b[k]) for k in "yz"), (a["x"] - b["x"]) * (a["x"] - b["x"])))
 
 
-def boxes_touch(a: str, b: str, axes: str = "xyz") -> Column:
-    """Whether two boxes (columns a.minx, a.maxx, ...) meet; touching counts."""
-    low, high = {"x": "minx", "y": "miny", "z": "z_min"}, {"x": "maxx", "y": "maxy", "z": "z_max"}
-    out = F.lit(True)
-    for k in axes:
-        out = out & (F.col(f"{a}.{low[k]}") <= F.col(f"{b}.{high[k]}")) & (F.col(f"{b}.{low[k]}") <= F.col(f"{a}.{high[k]}"))
-    return out
-
-
 def web_mercator(lon: Column, lat: Column) -> Column:
     """EPSG:4326 degrees as EPSG:3857 metres."""
     radius = 6378137.0

@@ -18,6 +18,9 @@ from lotstack.operators.graph import components
 from lotstack.plans.tables import discard, materialize
 
 
+# The areas and counts of the next four functions, by which types of buildings are told apart.
+
+
 def units_per_floor(type: Column, area: Column) -> Column:
     """Units on a floor of so many square metres; halves go to the even number."""
     by = lambda k: F.greatest(F.lit(1.0), F.rint(area / k))

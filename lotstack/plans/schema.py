@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotstack.operators import constraints
+from lotstack.operators import constraints, topology
 
 #: Columns of each table; the first is its key. `metadata` is a flat map of texts.
 TABLES = {
@@ -74,10 +74,7 @@ def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", at_onc
 def register_validators(spark: SparkSession, units: DataFrame) -> None:
     """Table functions over `units`: validate_vertical_continuity, validate_3d_adjacency and validate_boundary_alignment."""
     units.createOrReplaceTempView("validated_units")
-    meet = " AND ".join(f"a.{lo} <= b.{hi} AND b.{lo} <= a.{hi}" for lo, hi in (("minx", "maxx"), ("miny", "maxy"), ("z_min", "z_max")))
-    holds = " AND ".join(f"a.{lo} <= b.{lo} AND a.{hi} >= b.{hi}" for lo, hi in (("minx", "maxx"), ("miny", "maxy"), ("z_min", "z_max")))
-    held = " AND ".join(f"b.{lo} <= a.{lo} AND b.{hi} >= a.{hi}" for lo, hi in (("minx", "maxx"), ("miny", "maxy"), ("z_min", "z_max")))
-    inside = " AND ".join(f"least(a.{hi}, b.{hi}) > greatest(a.{lo}, b.{lo})" for lo, hi in (("minx", "maxx"), ("miny", "maxy"), ("z_min", "z_max")))
+    topology.adjacency(units).createOrReplaceTempView("validated_adjacency")
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION validate_vertical_continuity(tolerance DOUBLE) RETURNS TABLE (upper_suid BIGINT, lower_suid BIGINT, gap DOUBLE) RETURN "
         "SELECT a.suid, b.suid, a.z_min - b.z_max FROM validated_units a JOIN validated_units b ON a.parent_suid = b.parent_suid AND a.floor_level = b.floor_level + 1 "
@@ -85,8 +82,7 @@ def register_validators(spark: SparkSession, units: DataFrame) -> None:
     )
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION validate_3d_adjacency() RETURNS TABLE (suid_1 BIGINT, suid_2 BIGINT, relation STRING) RETURN "
-        f"SELECT a.suid, b.suid, CASE WHEN {inside} AND NOT ({holds}) AND NOT ({held}) THEN 'overlap' WHEN NOT ({inside}) THEN 'adjacent' WHEN {holds} THEN 'contain' ELSE 'unknown' END FROM validated_units a JOIN validated_units b "
-        f"ON a.parent_suid = b.parent_suid AND a.suid < b.suid AND {meet}"
+        "SELECT suid_1, suid_2, relation FROM validated_adjacency"
     )
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION validate_boundary_alignment(tolerance DOUBLE) RETURNS TABLE (suid BIGINT, parent_suid BIGINT) RETURN "
