@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lotstack.functions.binding import let
+
 #: Metres in a degree of latitude.
 DEGREE = 111_000.0
 
@@ -192,6 +194,24 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(sum(((a[k] - b[k]) * (a[k] - b[k]) for k in "yz"), (a["x"] - b["x"]) * (a["x"] - b["x"])))
 
 
+def on_globe(lon: Column, lat: Column) -> Column:
+    """(lon, lat, turns) of the place that degrees beyond a pole come to: a latitude of 100 is one of 80 on the other side. Places
+    within both poles stay as they are, with 0 turns."""
+    turns = F.floor((lat + 90) / 180).cast("long")
+    turns = F.when(lat.between(-90, 90), F.lit(0).cast("long")).otherwise(turns)
+    odd = F.pmod(turns, F.lit(2)) == 1
+    folded = F.when(odd, turns * 180 - lat).otherwise(lat - turns * 180)
+    across = F.when(lon > 0, lon - 180).otherwise(lon + 180)
+    return F.struct(F.when(odd, across).otherwise(lon).alias("lon"), F.when(turns == 0, lat).otherwise(folded).alias("lat"), turns.alias("turns"))
+
+
+def off_globe(lon: Column, lat: Column, turns: Column) -> Column:
+    """The degrees (lon, lat) that `on_globe` turned into these; longitudes as they were between -180 and 180."""
+    odd = F.pmod(turns, F.lit(2)) == 1
+    across = F.when(lon > 0, lon - 180).otherwise(lon + 180)
+    return F.struct(F.when(odd, across).otherwise(lon).alias("lon"), F.when(turns == 0, lat).when(odd, turns * 180 - lat).otherwise(turns * 180 + lat).alias("lat"))
+
+
 def web_mercator(lon: Column, lat: Column) -> Column:
     """EPSG:4326 degrees as EPSG:3857 metres."""
     radius = 6378137.0
@@ -235,11 +255,25 @@ def from_utm(x: Column, y: Column, zone: Column | int, south: bool = False) -> C
     """Metres of a UTM zone as EPSG:4326 degrees (lon, lat)."""
     zone = F.lit(zone) if isinstance(zone, int) else zone
     up, across = (y - (_SOUTH if south else 0.0)) / (_SCALE * _RADIUS), (x - _EAST) / (_SCALE * _RADIUS)
+    k = 2 * _N**0.5 / (1 + _N)
+    # the series' first values are off by the powers that they leave out: one step each undoes what `utm` does to the last digits
     u = up - sum((b * F.sin(2 * j * up) * F.cosh(2 * j * across) for j, b in enumerate(_FROM, 1)), F.lit(0.0))
     v = across - sum((b * F.cos(2 * j * up) * F.sinh(2 * j * across) for j, b in enumerate(_FROM, 1)), F.lit(0.0))
-    c = F.asin(F.sin(u) / F.cosh(v))
-    lat = c + sum((d * F.sin(2 * j * c) for j, d in enumerate(_LATITUDE, 1)), F.lit(0.0))
-    return F.struct((F.degrees(F.atan2(F.sinh(v), F.cos(u))) + (zone * 6 - 183)).alias("lon"), F.degrees(lat).alias("lat"))
+    step = lambda p: F.struct(
+        (up - sum((a * F.sin(2 * j * p["u"]) * F.cosh(2 * j * p["v"]) for j, a in enumerate(_TO, 1)), F.lit(0.0))).alias("u"),
+        (across - sum((a * F.cos(2 * j * p["u"]) * F.sinh(2 * j * p["v"]) for j, a in enumerate(_TO, 1)), F.lit(0.0))).alias("v"),
+    )
+
+    def degrees(p: Column) -> Column:
+        east, north = F.sinh(p["v"]), F.cos(p["u"])
+        t = F.sin(p["u"]) / F.sqrt(east * east + north * north)
+        c = F.atan(t)
+        first = c + sum((d * F.sin(2 * j * c) for j, d in enumerate(_LATITUDE, 1)), F.lit(0.0))
+        flat = F.signum(t) * F.asinh(F.abs(t))
+        better = lambda lat: F.atan(F.sinh(flat + k * F.atanh(k * F.sin(lat))))
+        return F.struct((F.degrees(F.atan2(east, north)) + (zone * 6 - 183)).alias("lon"), F.degrees(better(better(first))).alias("lat"))
+
+    return let(F.struct(u.alias("u"), v.alias("v")), lambda p: let(step(p), lambda q: let(step(q), degrees)))
 
 
 def pairs_ring(ring: Column) -> Column:

@@ -364,3 +364,13 @@ def test_outlines_or_boxes(spark):
     rows = [(1, [[0.0, 0.0], [4.0, 0.0], [4.0, 4.0]], 8.0), (2, [[0.0, 0.0], [4.0, 0.0]], 0.0)]
     got = {r.k: r.hull for r in pointcloud.outline_or_box(spark.createDataFrame(rows, "k int, hull array<array<double>>, area double")).collect()}
     assert got == {1: rows[0][1], 2: [[-0.5, -0.5], [4.5, -0.5], [4.5, 0.5], [-0.5, 0.5]]}
+
+
+def test_degrees_come_back_from_the_plane_to_the_eighth_place_and_beyond_a_pole(spark):
+    rows = [(77 + 0.013 * (i % 40), -89.9 + 0.26 * i) for i in range(1600)] + [(-1.5, -200.0), (179.0, 89.99)]
+    at = spark.createDataFrame(rows, "x double, y double").select("x", "y", G.on_globe(F.col("x"), F.col("y")).alias("g")).withColumn("zone", G.utm_zone(F.col("g.lon")))
+    planes = at.select("*", G.utm(F.col("g.lon"), F.col("g.lat"), F.col("zone")).alias("u"), G.web_mercator(F.col("g.lon"), F.col("g.lat")).alias("m"))
+    back = planes.select("x", "y", "g.turns", G.from_utm(F.col("u.x"), F.col("u.y"), F.col("zone")).alias("u"), G.from_web_mercator(F.col("m.x"), F.col("m.y")).alias("m"))
+    whole = back.select("x", "y", *(G.off_globe(F.col(f"{k}.lon"), F.col(f"{k}.lat"), F.col("turns")).alias(k) for k in "um"))
+    for r in whole.collect():
+        assert max(abs(r.u.lon - r.x), abs(r.m.lon - r.x), abs(r.u.lat - r.y), abs(r.m.lat - r.y)) < 1e-9, r
