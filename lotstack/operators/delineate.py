@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -180,25 +184,77 @@ _POLYGON = T.ArrayType(_RING)
 _PARTS = T.ArrayType(_POLYGON)
 
 
-def _polygons(rows: list | None) -> list[overlay.Polygon]:
-    return [[np.array([p[:2] for p in ring], dtype=float).reshape(-1, 2) for ring in polygon or () if ring is not None] for polygon in rows or ()]
+@dataclass
+class _Flat:
+    """Lists of polygons as arrays: points, and the ends of rings in them, of polygons in rings and of rows in polygons, each with a zero ahead."""
+
+    points: np.ndarray
+    rings: np.ndarray
+    polygons: np.ndarray
+    rows: np.ndarray
+
+
+def _ends(lengths: list[int] | np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(np.asarray(lengths, dtype=np.int64))])
+
+
+def _flat(rows: pa.Array) -> _Flat:
+    """Polygons of each row; nulls are as if they weren't there, and of a point the first two numbers count."""
+    ends, at, whole = [], rows, True
+    for _ in range(4):
+        whole &= at.null_count == 0
+        ends.append(_ends(pc.fill_null(pc.list_value_length(at), 0).to_numpy(zero_copy_only=False)))
+        at = at.flatten()
+    if whole and (np.diff(ends[3]) >= 2).all():
+        values = at.to_numpy(zero_copy_only=False).astype(float)
+        return _Flat(np.stack([values[ends[3][:-1]], values[ends[3][:-1] + 1]], axis=1), ends[2], ends[1], ends[0])
+    held = [[[np.array([p[:2] for p in ring], dtype=float).reshape(-1, 2) for ring in polygon or () if ring is not None] for polygon in own or ()] for own in rows.to_pylist()]
+    polygons = [polygon for own in held for polygon in own]
+    rings = [ring for polygon in polygons for ring in polygon]
+    return _Flat(np.concatenate([np.zeros((0, 2)), *rings]), _ends([len(r) for r in rings]), _ends([len(p) for p in polygons]), _ends([len(own) for own in held]))
 
 
-def _listed(parts: list[overlay.Polygon]) -> list:
-    return [[ring.tolist() for ring in part] for part in parts]
+def _picked(ends: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, ends) of what the lists with these ends hold, list by list in this order."""
+    lengths = np.diff(ends)[order]
+    after = _ends(lengths)
+    return np.repeat(ends[:-1][order] - after[:-1], lengths) + np.arange(after[-1]), after
+
+
+def _side_by_side(a: _Flat, b: _Flat) -> tuple[_Flat, np.ndarray]:
+    """Rows with the polygons of both, and whether each polygon is of the first."""
+    n = len(a.polygons) - 1
+    polygons, rings = np.concatenate([a.polygons, b.polygons[1:] + a.polygons[-1]]), np.concatenate([a.rings, b.rings[1:] + a.rings[-1]])
+    row = np.concatenate([np.repeat(np.arange(len(f.rows) - 1), np.diff(f.rows)) for f in (a, b)])
+    order = np.argsort(row, kind="stable")
+    ring_order, polygons = _picked(polygons, order)
+    points, rings = _picked(rings, ring_order)
+    return _Flat(np.concatenate([a.points, b.points])[points], rings, polygons, a.rows + b.rows), order < n
+
+
+def _listed(rows: list[list[overlay.Polygon]]) -> pa.Array:
+    """The parts of each row as nested lists."""
+    parts = [part for own in rows for part in own]
+    rings = [ring for part in parts for ring in part]
+    points = np.concatenate([np.zeros((0, 2)), *rings])
+    out = pa.array(points.reshape(-1))
+    for lengths in (np.full(len(points), 2), [len(r) for r in rings], [len(p) for p in parts], [len(own) for own in rows]):
+        out = pa.ListArray.from_arrays(pa.array(_ends(lengths), pa.int32()), out)
+    return out.cast(to_arrow_type(_PARTS))
 
 
 @F.arrow_udf(_PARTS)
 def united_polygons(polygons: pa.Array) -> pa.Array:
     """The parts of the union of each row's polygons."""
-    return pa.array([_listed(overlay.overlay(_polygons(own), [])) for own in polygons.to_pylist()], to_arrow_type(_PARTS))
+    f = _flat(polygons)
+    return _listed(overlay.overlays(f.points, f.rings, f.polygons, np.ones(len(f.polygons) - 1, dtype=bool), f.rows, np.logical_or))
 
 
 @F.arrow_udf(_PARTS)
 def shared_polygons(ours: pa.Array, others: pa.Array) -> pa.Array:
     """The parts of what each row's two lists of polygons share."""
-    both = zip(ours.to_pylist(), others.to_pylist())
-    return pa.array([_listed(overlay.overlay(_polygons(a), _polygons(b), overlay.INTERSECTION)) for a, b in both], to_arrow_type(_PARTS))
+    f, first = _side_by_side(_flat(ours), _flat(others))
+    return _listed(overlay.overlays(f.points, f.rings, f.polygons, first, f.rows, np.logical_and))
 
 
 @F.arrow_udf(T.BooleanType())
@@ -227,9 +283,26 @@ def _boxed(polygons: DataFrame) -> DataFrame:
 def united(polygons: DataFrame, *key: str, most: int = 256) -> DataFrame:
     """(key…, rings, area): the parts of the union of each group's polygons (rings: outline, then holes, of [x, y]), whatever their shape.
 
-    Equal polygons of a group count once. Polygons that lie close together are united first, at most about `most` at a time; then
+    Equal polygons of a group count once. A group of `most` polygons or fewer is united at once, which is all where groups are
+    many and small; only the others are taken apart (`_united_apart`). Rings without area add nothing; a null key is a group like others.
+    """
+    own = polygons.select(*key, "rings").where(F.size("rings") > 0)
+    crowded = materialize(own.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > most).drop("_n"), "crowded")
+    same = lambda a, b: reduce(lambda x, y: x & y, (a[k].eqNullSafe(b[k]) for k in key))
+    any_crowded = bool(crowded.limit(1).count())
+    small = own.join(crowded, same(own, crowded), "left_anti") if any_crowded else own
+    whole = small.groupBy(*key).agg(F.collect_list("rings").alias("all")).select(*key, F.explode(united_polygons(F.array_distinct("all"))).alias("rings"))
+    done = whole.withColumn("area", polygon_area(F.col("rings")))
+    if any_crowded:
+        many = own.join(crowded, same(own, crowded), "left_semi")
+        return done.unionByName(_united_apart(many, *key, most=most))
+    discard(crowded)
+    return done
+
+
+def _united_apart(polygons: DataFrame, *key: str, most: int) -> DataFrame:
+    """`united` of large groups: polygons that lie close together are united first, at most about `most` at a time; then
     parts whose boxes touch are linked, and what hangs together is united. So no task holds a group, only what becomes one polygon.
-    Rings without area add nothing; a null key is a group like others.
     """
     name = [f"_k{i}" for i in range(len(key))]
     groups = materialize(polygons.select(*key).distinct().withColumn("_group", F.monotonically_increasing_id()), "groups")

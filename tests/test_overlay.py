@@ -142,3 +142,18 @@ def test_exact_ring_tests(spark):
     rows = spark.createDataFrame([(k, i, l_shape, [hole]) for k, (i, _, _) in enumerate(inner)], f"k int, i {point}, o {point}, h array<{point}>")
     got = {r.k: (r.a, r.b) for r in rows.select("k", G.ring_within(F.col("i"), F.col("o")).alias("a"), G.ring_within(F.col("i"), F.col("o"), F.col("h")).alias("b")).collect()}
     assert got == {k: (a, b) for k, (_, a, b) in enumerate(inner)}
+
+
+def test_many_overlays_at_once_equal_those_one_by_one():
+    rng = np.random.default_rng(11)
+    kinds = ["plain", "holed", "crossed"]
+    rows = [([some_polygon(rng, rng.choice(kinds)) for _ in range(rng.integers(1, 6))], [some_polygon(rng, rng.choice(kinds)) for _ in range(rng.integers(0, 3))]) for _ in range(60)]
+    rows += [([[SQUARE], [SQUARE + (4, 0)]], [[SQUARE + 2]]), ([], []), ([[SQUARE[:2]]], []), ([[np.array([(0.0, 0.0), (np.nan, 1.0), (4.0, 0.0), (4.0, 4.0)])]], [])]
+    polygons = [p for a, b in rows for p in (*a, *b)]
+    rings = [r for p in polygons for r in p]
+    ends = lambda sizes: np.concatenate([[0], np.cumsum(list(sizes))]).astype(int)
+    ours = np.array([side for a, b in rows for side in [True] * len(a) + [False] * len(b)])
+    for one, many in ((overlay.UNION, np.logical_or), (overlay.INTERSECTION, np.logical_and)):
+        got = overlay.overlays(np.concatenate(rings), ends(map(len, rings)), ends(map(len, polygons)), ours, ends(len(a) + len(b) for a, b in rows), many)
+        true = [overlay.overlay(a, b, one) for a, b in rows]
+        assert [[[r.tolist() for r in p] for p in parts] for parts in got] == [[[r.tolist() for r in p] for p in parts] for parts in true]
