@@ -148,16 +148,36 @@ def solid_faces(ring: Column, z_min: Column, z_max: Column) -> Column:
     return F.concat(F.array(lift(ring, z_min), F.reverse(lift(ring, z_max))), F.transform(open_edges, wall))
 
 
+def _prism_text(ring: Column, low: Column, high: Column) -> Column:
+    """The faces of a prism as in `solid_faces`, as texts: each corner and height is written as text once, however many faces have it."""
+    at = lambda p, z: F.concat(p, z)
+    face = lambda *corners: F.concat(F.lit("(("), *[x for c in corners for x in (c, F.lit(", "))][:-1], F.lit("))"))
+    flat = lambda r, z: F.concat(F.lit("(("), F.array_join(F.transform(r, lambda p: at(p, z)), ", "), F.lit("))"))
+    wall = lambda a, b: face(at(a, low), at(b, low), at(b, high), at(a, high), at(a, low))
+
+    def faces(r: Column) -> Column:
+        walls = F.zip_with(F.slice(r, 1, F.size(r) - 1), F.slice(r, 2, F.size(r) - 1), wall)
+        return F.concat(F.array(flat(r, low), flat(F.reverse(r), high)), walls)
+
+    texts = lambda r: F.transform(r, lambda p: F.concat_ws(" ", _number(p["x"]), _number(p["y"])))
+    return let(texts(ring), faces)
+
+
 def solid_wkt(ring: Column, z_min: Column, z_max: Column, holes: Column | None = None) -> Column:
     """POLYHEDRALSURFACE Z of a prism; EMPTY for fewer than four vertices. Each hole adds a bottom, a top and walls of its own."""
-    face = lambda f: F.concat(
-        F.lit("(("), F.array_join(F.transform(f, lambda p: F.concat_ws(" ", _number(p["x"]), _number(p["y"]), _number(p["z"]))), ", "), F.lit("))")
-    )
-    faces = solid_faces(ring, z_min, z_max)
+
+    def whole(rings: Column) -> Column:
+        def told(z: Column) -> Column:
+            faces = F.flatten(F.transform(rings, lambda r: _prism_text(r, z["low"], z["high"])))
+            return F.concat(F.lit("POLYHEDRALSURFACE Z ("), F.array_join(faces, ", "), F.lit(")"))
+
+        heights = F.struct(*(F.coalesce(F.concat(F.lit(" "), _number(z.cast("double"))), F.lit("")).alias(n) for z, n in ((z_min, "low"), (z_max, "high"))))
+        return F.when(F.size(F.get(rings, F.lit(0))) >= 4, let(heights, told)).otherwise("POLYHEDRALSURFACE Z EMPTY")
+
+    outline = F.array(let(ring, closed))
     if holes is not None:
-        faces = F.concat(faces, F.flatten(F.transform(F.filter(holes, lambda h: F.size(closed(h)) >= 4), lambda h: solid_faces(h, z_min, z_max))))
-    whole = F.concat(F.lit("POLYHEDRALSURFACE Z ("), F.array_join(F.transform(faces, face), ", "), F.lit(")"))
-    return F.when(F.size(closed(ring)) >= 4, whole).otherwise("POLYHEDRALSURFACE Z EMPTY")
+        outline = F.concat(outline, F.coalesce(F.filter(F.transform(holes, closed), lambda h: F.size(h) >= 4), F.filter(outline, lambda r: F.lit(False))))
+    return let(outline, whole)
 
 
 def read_wkt_rings(wkt: Column) -> Column:

@@ -19,7 +19,7 @@ from lotstack.functions import kernel, overlay
 from lotstack.functions.binding import let
 from lotstack.operators import cells
 from lotstack.operators.graph import components
-from lotstack.plans.tables import discard, materialize
+from lotstack.plans.tables import discard, materialize, spread
 
 
 # The areas and counts of the next four functions, by which types of buildings are told apart.
@@ -430,7 +430,7 @@ def split_rings(floor_rows: DataFrame, least_area: float = 1.0) -> DataFrame:
     names = ("minx", "miny", "maxx", "maxy")
     kept = [c for c in floor_rows.columns if c != "ring"]
     whole = F.concat(F.array(F.col("ring").cast(_RING)), F.coalesce("holes", F.array().cast(_POLYGON)))
-    boxed = floor_rows.select(*kept, F.col("ring").alias("_outline"), whole.alias("_whole"), *(b.alias(f"_{n}") for b, n in zip(box, names)))
+    boxed = spread(floor_rows).select(*kept, F.col("ring").alias("_outline"), whole.alias("_whole"), *(b.alias(f"_{n}") for b, n in zip(box, names)))
     ends = [F.col(f"_{n}") for n in names]
     in_cells = F.when(F.col("layout") == "grid", grid_cells(F.col("n_units"), *ends)).when(F.col("layout") == "corridor", corridor_cells(F.col("n_units"), *ends))
     celled = boxed.where(F.col("layout").isin("grid", "corridor")).select(*kept, "_whole", F.explode(in_cells).alias("c"))
@@ -464,7 +464,7 @@ def extrude_rings(buildings: DataFrame, ground: float = 0.0, storey: float = 3.0
     parcel, solid and floors have its holes, and its units are cut by them; a footprint without area has no units at all.
     """
     shape = lambda: G.pairs_ring(F.col("ring"))
-    b = buildings.where((F.size("ring") >= 3) & (G.shoelace_area(shape()) > 0) & (F.col("levels") > 0))
+    b = spread(buildings).where((F.size("ring") >= 3) & (G.shoelace_area(shape()) > 0) & (F.col("levels") > 0))
     b = b.withColumn("holes", F.coalesce("holes", F.array().cast("array<array<array<double>>>")))
     name, top = F.col("building_id").cast("string"), F.lit(ground) + F.col("levels") * storey
     each = b.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("levels") - 1))).withColumn("z0", F.lit(ground) + F.col("level") * storey)

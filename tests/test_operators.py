@@ -374,3 +374,22 @@ def test_degrees_come_back_from_the_plane_to_the_eighth_place_and_beyond_a_pole(
     whole = back.select("x", "y", *(G.off_globe(F.col(f"{k}.lon"), F.col(f"{k}.lat"), F.col("turns")).alias(k) for k in "um"))
     for r in whole.collect():
         assert max(abs(r.u.lon - r.x), abs(r.m.lon - r.x), abs(r.u.lat - r.y), abs(r.m.lat - r.y)) < 1e-9, r
+
+
+def test_rows_of_one_small_file_are_worked_out_by_many_tasks(spark, tmp_path):
+    ring = [[0.0, 0.0], [8.0, 0.0], [8.0, 4.0], [4.0, 4.0], [4.0, 8.0], [0.0, 8.0]]
+    spark.createDataFrame([(i, 4, "grid", ring) for i in range(200)], "building_id long, n_units int, layout string, ring array<array<double>>").coalesce(1).write.parquet(str(tmp_path / "floors"))
+    units = delineate.split_rings(spark.read.parquet(str(tmp_path / "floors")))
+    assert units.groupBy("building_id").agg(F.sum("area").alias("a"), F.count("*").alias("n")).where("a <> 48 OR n <> 3").count() == 0
+    assert units.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_each_corner_of_a_solid_is_written_once(spark):
+    ring = F.transform(F.col("r"), lambda p: G.point(p[0], p[1]))
+    text = spark.createDataFrame([([[0.0, 0.0], [1.25, 0.0], [0.0, 2.0]],)], "r array<array<double>>").select(G.solid_wkt(ring, F.lit(-1.5), F.lit(3.0)).alias("w"))
+    assert text.first().w == (
+        "POLYHEDRALSURFACE Z (((0.0 0.0 -1.5, 1.25 0.0 -1.5, 0.0 2.0 -1.5, 0.0 0.0 -1.5)), ((0.0 0.0 3.0, 0.0 2.0 3.0, 1.25 0.0 3.0, 0.0 0.0 3.0)), "
+        "((0.0 0.0 -1.5, 1.25 0.0 -1.5, 1.25 0.0 3.0, 0.0 0.0 3.0, 0.0 0.0 -1.5)), ((1.25 0.0 -1.5, 0.0 2.0 -1.5, 0.0 2.0 3.0, 1.25 0.0 3.0, 1.25 0.0 -1.5)), "
+        "((0.0 2.0 -1.5, 0.0 0.0 -1.5, 0.0 0.0 3.0, 0.0 2.0 3.0, 0.0 2.0 -1.5)))"
+    )
+    assert text._jdf.queryExecution().optimizedPlan().toString().count("format_string") <= 8
