@@ -182,9 +182,13 @@ def solid_wkt(ring: Column, z_min: Column, z_max: Column, holes: Column | None =
 
 def read_wkt_rings(wkt: Column) -> Column:
     """The rings of a surface's text with at least three points, as arrays of arrays of numbers; null if EMPTY."""
-    rings = F.regexp_extract_all(wkt, F.lit(r"\(\(([^)(]+)\)\)"), 1)
-    numbers = F.transform(rings, lambda r: F.transform(F.split(F.trim(r), r"\s*,\s*"), lambda p: F.split(F.trim(p), r"\s+").cast("array<double>")))
-    return F.when(~wkt.contains("EMPTY"), F.filter(numbers, lambda r: F.size(F.filter(r, lambda p: F.size(p) >= 3)) >= 3))
+
+    def read(text: Column) -> Column:
+        rings = F.regexp_extract_all(text, F.lit(r"\(\(([^)(]+)\)\)"), 1)
+        numbers = F.transform(rings, lambda r: F.transform(F.split(F.trim(r), r"\s*,\s*"), lambda p: F.split(F.trim(p), r"\s+").cast("array<double>")))
+        return F.when(~text.contains("EMPTY"), F.filter(numbers, lambda r: F.size(F.filter(r, lambda p: F.size(p) >= 3)) >= 3))
+
+    return let(wkt, read)
 
 
 def wkt_centroid(wkt: Column) -> Column:
