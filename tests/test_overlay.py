@@ -157,3 +157,10 @@ def test_many_overlays_at_once_equal_those_one_by_one():
         got = overlay.overlays(np.concatenate(rings), ends(map(len, rings)), ends(map(len, polygons)), ours, ends(len(a) + len(b) for a, b in rows), many)
         true = [overlay.overlay(a, b, one) for a, b in rows]
         assert [[[r.tolist() for r in p] for p in parts] for parts in got] == [[[r.tolist() for r in p] for p in parts] for parts in true]
+
+
+def test_large_and_small_groups_are_united_alike(spark):
+    box = lambda k, g: (g, [[[float(k), 0.0], [k + 1.0, 0.0], [k + 1.0, 2.0], [float(k), 2.0]]])
+    rows = [box(k, g) for g in (1, None) for k in range(12)] + [box(k, 2) for k in (0, 0, 1, 5)] + [(3, [[[0.0, 0.0], [1.0, 0.0], [2.0, 0.0]]])]
+    parts = delineate.united(spark.createDataFrame(rows, "g long, rings array<array<array<double>>>"), "g", most=6).collect()
+    assert sorted(((r.g or 0), round(r.area, 9)) for r in parts) == [(0, 24.0), (1, 24.0), (2, 2.0), (2, 4.0)]
