@@ -38,6 +38,36 @@ def test_nearest_of_uneven_clouds_with_equal_ids(spark, dims):
     assert found_nearest(spark, queries, points, k, dims) == brute_nearest(queries, points, k, dims)
 
 
+@pytest.mark.parametrize("dims", [1, 2, 3])
+def test_nearest_asks_beyond_the_walls_of_small_leaves(spark, dims):
+    rng = random.Random(dims)
+    points = [(1, i, float(rng.randrange(30)), float(rng.randrange(30)), float(rng.randrange(30))) for i in range(400)]
+    points += [(1, 2000 + i, 7.0, 7.0, 7.0) for i in range(60)] + [(2, 3000, 1.0, 1.0, 1.0), (1, 3001, 60.0, 0.0, 0.0)]
+    queries = points[::9] + [(1, 5000, -1e6, 0.0, 15.0), (1, 5001, 50.0, 15.0, 15.0), (2, 5002, 9.0, 9.0, 9.0), (9, 5003, 0.0, 0.0, 0.0)]
+    q, p = spark.createDataFrame(queries, POINTS).withColumnRenamed("pt_id", "query_id"), spark.createDataFrame(points, POINTS)
+    got = cells.nearest(q, p, 3, "xyz"[:dims], ("cloud_id",), ("y",), ("z",), most=16)
+    assert {(r.cloud_id, r.query_id, r.pt_id, r.place) for r in got.collect()} == brute_nearest(queries, points, 3, dims)
+    z = {p[1]: p[4] for p in points}
+    assert all(r.z == z[r.pt_id] for r in got.collect())
+
+
+def test_nearest_writes_a_query_once(spark, monkeypatch):
+    rng = random.Random(3)
+    points = [(1, i, rng.random(), rng.random(), 0.0) for i in range(3000)]
+    rows = {}
+
+    def counted(df, name, *more):
+        out = write(df, name, *more)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    write = cells.materialize
+    monkeypatch.setattr(cells, "materialize", counted)
+    assert len(found_nearest(spark, points, points, 3, 2)) == 9000
+    # points, queries with their leaves, and what was found: no table of places tried or of pairs
+    assert sum(rows.values()) <= 3.5 * 3000
+
+
 def test_nearest_leaves_out_rows_without_a_place_and_bears_empty_tables(spark):
     points = [(1, 1, 0.0, 0.0, 0.0), (1, 2, None, 0.0, 0.0), (None, 3, 0.0, 0.0, 0.0)]
     assert found_nearest(spark, points, points, 2, 2) == {(1, 1, 1, 1)}
