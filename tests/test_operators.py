@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lotstack.functions import geometry as G
 from lotstack.functions import kernel
-from lotstack.operators import constraints, delineate, features, inference, pointcloud, synth, topology
+from lotstack.operators import constraints, delineate, features, inference, pointcloud, runs, synth, topology
 from lotstack.operators.graph import components
 
 SQUARE = [(0.0, 0.0), (4.0, 0.0), (4.0, 3.0), (0.0, 3.0)]
@@ -164,6 +164,24 @@ def test_ground_filter_finds_a_block(spark):
     assert all(got[k] == (z < 5) for _, k, _, _, z, _, _ in rows)
 
 
+@pytest.mark.parametrize("w", [1, 2, 3, 4, 7, 16])
+def test_moving_least_takes_steps_by_the_logarithm_of_its_width(w):
+    rng = np.random.default_rng(w)
+    grid, taken = rng.random((40, 23)), []
+
+    def least(a, b):
+        taken.append(1)
+        return np.minimum(a, b)
+
+    near = lambda i, j: grid[max(i - w, 0) : i + w + 1, max(j - w, 0) : j + w + 1]
+    want = np.array([[near(i, j).min() for j in range(23)] for i in range(40)])
+    assert (pointcloud._moving(grid, w, np.minimum) == want).all()
+    assert (pointcloud._moving(-grid, w, np.maximum) == -want).all()
+    least.reduce = lambda parts: [taken.append(1) for _ in parts] and np.minimum.reduce(parts)
+    pointcloud._moving(grid, w, least)
+    assert len(taken) <= 2 * (2 + np.log2(2 * w + 1))
+
+
 def test_farthest_points_start_small(spark):
     _, points = cloud(spark, 50)
     got = pointcloud.farthest_points(points, 5).orderBy("cloud_id", "place").collect()
@@ -393,3 +411,14 @@ def test_each_corner_of_a_solid_is_written_once(spark):
         "((0.0 2.0 -1.5, 0.0 0.0 -1.5, 0.0 0.0 3.0, 0.0 2.0 3.0, 0.0 2.0 -1.5)))"
     )
     assert text._jdf.queryExecution().optimizedPlan().toString().count("format_string") <= 8
+
+
+def test_many_small_groups_share_batches(spark):
+    rows = spark.createDataFrame([(f"t{i % 900}", i, float(i)) for i in range(9000)], "tile string, id long, v double").repartition(3)
+    calls = runs.per_run(rows, ("tile",), ["id"], lambda g: (np.flatnonzero(g["v"] >= 900), {"top": np.full((g["v"] >= 900).sum(), g["v"].max()), "pair": np.column_stack([g["v"], -g["v"]])[g["v"] >= 900]}), "top double, pair array<double>")
+    got = {r.id: (r.top, r.pair) for r in calls.collect()}
+    assert got == {i: (float(8100 + i % 900), [float(i), -float(i)]) for i in range(900, 9000)}
+    assert "FlatMapGroupsInPandas" not in calls._jdf.queryExecution().executedPlan().toString()
+    tiles = spark.createDataFrame([("a", 1, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0)], "tile_id string, pt_id long, x double, y double, z double, r double, g double, b double")
+    plan = inference.predicted(tiles, lambda x: np.eye(2)[np.zeros(len(x), int)])._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" in plan
