@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lotstack.functions import geometry as G
 from lotstack.operators import cells
+from lotstack.plans.tables import materialize
 
 TOLERANCE = 0.01
 #: The corner numbers of a tetrahedron's faces.
@@ -129,23 +130,37 @@ def tetra_faces(tetrahedra: DataFrame, tolerance: float = TOLERANCE) -> DataFram
     )
 
 
-def shared_faces(faces: DataFrame) -> DataFrame:
+_HASHES = ("face_hash", "face_check")
+
+
+def _hashes() -> list[Column]:
+    """128 bits of a face's key, by two seeds: two of 10 billion different faces agree in both with a chance below 1e-18."""
+    return [F.xxhash64("face_key").alias(_HASHES[0]), F.xxhash64(F.lit(1), "face_key").alias(_HASHES[1])]
+
+
+def shared_faces(faces: DataFrame, told: bool = True) -> DataFrame:
     """(suid_1, suid_2, face_key, relation, severity): faces of two units that face each other, and over-shared faces.
 
     Two tetrahedra of different units with opposite normals are adjacent: both come out of one grouping by the key, whose least and
     greatest tetrahedron they are. Only faces with more uses are looked up again: of them, each pair of different units overlaps.
+    Faces meet by 128 bits of their keys, in one pass where none is over-shared; the keys themselves are shuffled only if they are `told`.
     """
-    slim = faces.select("tet", "suid", "face_key", F.xxhash64("face_key").alias("face_hash"), G.normal(*(F.element_at("corners", k) for k in (1, 2, 3))).alias("normal"))
+    key = ["face_key"] if told else []
+    slim = faces.select("tet", "suid", *key, *_hashes(), G.normal(*(F.element_at("corners", k) for k in (1, 2, 3))).alias("normal"))
     one = F.struct("tet", "suid", "normal")
-    used = slim.groupBy("face_hash", "face_key").agg(F.count("*").alias("uses"), F.min(one).alias("a"), F.max(one).alias("b")).where("uses > 1")
+    # dealt before they are grouped: most faces are used once or twice, and grouping them in every task first would save little
+    used = slim.repartition(*_HASHES).groupBy(*_HASHES).agg(F.count("*").alias("uses"), F.min(one).alias("a"), F.max(one).alias("b"), *(F.first(c).alias(c) for c in key)).where("uses > 1")
+    used = materialize(used, "used")
     dot = sum((F.col(f"a.normal.{k}") * F.col(f"b.normal.{k}") for k in "yz"), F.col("a.normal.x") * F.col("b.normal.x"))
-    row = lambda relation, severity: (F.col("a.suid").alias("suid_1"), F.col("b.suid").alias("suid_2"), F.col("face_key"), F.lit(relation).alias("relation"), F.lit(severity).alias("severity"))
+    row = lambda relation, severity: (F.col("a.suid").alias("suid_1"), F.col("b.suid").alias("suid_2"), *key, F.lit(relation).alias("relation"), F.lit(severity).alias("severity"))
     adjacent = used.where((F.col("uses") == 2) & (F.col("a.suid") != F.col("b.suid")) & (dot < -0.5)).select(*row("adjacent", "info"))
-    crowded = used.where("uses > 2").select("face_hash", "face_key")
-    held = slim.select("tet", "suid", "face_hash", "face_key").join(crowded, ["face_hash", "face_key"])
-    a, b = held.alias("a"), held.alias("b")
-    pairs = a.join(b, (F.col("a.face_hash") == F.col("b.face_hash")) & (F.col("a.face_key") == F.col("b.face_key")) & (F.col("a.tet") < F.col("b.tet")) & (F.col("a.suid") != F.col("b.suid")))
-    overlap = pairs.select(F.col("a.suid").alias("suid_1"), F.col("b.suid").alias("suid_2"), F.col("a.face_key").alias("face_key"), F.lit("overlap").alias("relation"), F.lit("error").alias("severity"))
+    crowded = used.where("uses > 2").select(*_HASHES)
+    if not crowded.limit(1).count():
+        return adjacent
+    held = materialize(slim.select("tet", "suid", *_HASHES, *key).join(crowded, [*_HASHES], "left_semi"), "crowded")
+    a, b = held.alias("a"), held.drop(*key).alias("b")
+    pairs = a.join(b, [*(F.col(f"a.{h}") == F.col(f"b.{h}") for h in _HASHES), F.col("a.tet") < F.col("b.tet"), F.col("a.suid") != F.col("b.suid")])
+    overlap = pairs.select(F.col("a.suid").alias("suid_1"), F.col("b.suid").alias("suid_2"), *key, F.lit("overlap").alias("relation"), F.lit("error").alias("severity"))
     return adjacent.unionByName(overlap)
 
 
@@ -158,15 +173,16 @@ def manifold_gaps(faces: DataFrame, tolerance: float = TOLERANCE, mode: str = "i
     """(suid, face_key, relation, severity): faces used once that lie on no boundary in height: of their parcel (`intent`), or of
     their own solid, between its first and its highest vertex (`asis`)."""
     zs = F.transform("corners", lambda v: v["z"])
-    if mode == "asis":
-        tall = faces.select("suid", "face_key", zs.alias("zs"), "low", "high")
-    else:
-        tall = faces.select("suid", "face_key", zs.alias("zs"), parcel_key(F.col("suid")).alias("parcel"))
-        bounds = tall.groupBy("parcel").agg(F.min(F.array_min("zs")).alias("low"), F.max(F.array_max("zs")).alias("high"))
-        tall = tall.join(bounds, "parcel")
-    once = faces.groupBy("face_key").agg(F.count("*").alias("uses")).where("uses = 1").select("face_key")
-    inner = (F.array_min("zs") > F.col("low") + tolerance) & (F.array_max("zs") < F.col("high") - tolerance)
-    return tall.where(inner).join(once, "face_key").select("suid", "face_key", F.lit("gap").alias("relation"), F.lit("warning").alias("severity"))
+    tall = faces.select("suid", "face_key", *_hashes(), F.array_min(zs).alias("lo"), F.array_max(zs).alias("hi"), "low", "high")
+    if mode != "asis":
+        tall = tall.drop("low", "high").withColumn("parcel", parcel_key(F.col("suid")))
+        bounds = tall.groupBy("parcel").agg(F.min("lo").alias("low"), F.max("hi").alias("high"))
+    kept = [c for c in tall.columns if c not in _HASHES]
+    once = tall.repartition(*_HASHES).groupBy(*_HASHES).agg(F.count("*").alias("uses"), *(F.first(c).alias(c) for c in kept)).where("uses = 1")
+    if mode != "asis":
+        once = once.join(bounds, "parcel")
+    inner = (F.col("lo") > F.col("low") + tolerance) & (F.col("hi") < F.col("high") - tolerance)
+    return once.where(inner).select("suid", "face_key", F.lit("gap").alias("relation"), F.lit("warning").alias("severity"))
 
 
 def over_used_edges(faces: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:

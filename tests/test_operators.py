@@ -422,3 +422,16 @@ def test_many_small_groups_share_batches(spark):
     tiles = spark.createDataFrame([("a", 1, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0)], "tile_id string, pt_id long, x double, y double, z double, r double, g double, b double")
     plan = inference.predicted(tiles, lambda x: np.eye(2)[np.zeros(len(x), int)])._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" in plan
+
+
+def test_faces_meet_by_short_keys_in_one_pass(spark, monkeypatch):
+    spot = "struct<x:double,y:double,z:double>"
+    solids = [(k, f"p-{k}", [(0.0, 0.0, 0.0), (1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, float(k))]) for k in (1, 2)]
+    faces = topology.tetra_faces(spark.createDataFrame(solids, f"tet long, suid string, vertices array<{spot}>"))
+    shuffles = lambda df: [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x or "Aggregate(" in x]
+    gaps = shuffles(topology.manifold_gaps(faces).drop("face_key"))
+    assert gaps and not any("face_key" in x for x in gaps)
+    written = []
+    monkeypatch.setattr(topology, "materialize", lambda df, name: written.append((name, shuffles(df))) or df)
+    assert topology.shared_faces(faces, told=False).columns == ["suid_1", "suid_2", "relation", "severity"]
+    assert [name for name, _ in written] == ["used"] and not any("face_key" in x for x in written[0][1])
