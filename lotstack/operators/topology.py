@@ -6,10 +6,16 @@ be reported because upper and lower were taken the wrong way round.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotstack.functions import geometry as G
+from lotstack.functions import kernel
 from lotstack.operators import cells
 from lotstack.plans.tables import materialize
 
@@ -101,14 +107,45 @@ def boundary_violations(units: DataFrame, parcels: DataFrame, tolerance: float =
 def outside_of_parcels(units: DataFrame, parcels: DataFrame) -> DataFrame:
     """(suid, parent_suid) of units (suid, parent_suid, ring) that don't lie within their parcel (parent_suid, outline, holes), edge by edge.
 
-    The boxes are compared first. A unit without a parcel is left out, and so are holes that are null.
+    The boxes are compared first. A unit without a parcel is left out, and so are holes that are null. What the boxes don't tell goes to a
+    kernel in Arrow batches, many rings at once; a ring with a corner that is null is told by the boxes only.
     """
-    side = lambda ring, f, k: f(F.transform(ring, lambda p: p[k]))
-    beyond = F.lit(False)
-    for k in "xy":
-        beyond |= (side("ring", F.array_min, k) < side("outline", F.array_min, k)) | (side("ring", F.array_max, k) > side("outline", F.array_max, k))
-    met = units.select("suid", "parent_suid", "ring").join(parcels.select("parent_suid", "outline", "holes"), "parent_suid")
-    return met.where(beyond | ~G.ring_within(F.col("ring"), F.col("outline"), F.col("holes"))).select("suid", "parent_suid")
+    shape = "array<struct<x:double,y:double>>"
+    met = units.select("suid", "parent_suid", F.col("ring").cast(shape).alias("ring")).join(
+        parcels.select("parent_suid", F.col("outline").cast(shape).alias("outline"), F.coalesce(F.col("holes").cast(f"array<{shape}>"), F.array().cast(f"array<{shape}>")).alias("holes")), "parent_suid"
+    )
+    met = met.where(F.col("ring").isNotNull() & F.col("outline").isNotNull())
+    kinds = dict(met.dtypes)
+    return met.mapInArrow(_outside, f"suid {kinds['suid']}, parent_suid {kinds['parent_suid']}")
+
+
+def _outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(suid, parent_suid) of the rows of `outside_of_parcels` that lie outside."""
+
+    def read(column: pa.ListArray) -> tuple[kernel.Rings, np.ndarray]:
+        """Rings, and which of them are null or have a corner that is."""
+        counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
+        axes = column.flatten().flatten()
+        rings = kernel.Rings(np.concatenate([[0], np.cumsum(counts)]), *(v.to_numpy(zero_copy_only=False) for v in axes))
+        lacking = column.is_null().to_numpy(zero_copy_only=False).copy()
+        if any(v.null_count for v in axes):
+            lacking[rings.owner[pc.or_(*(v.is_null() for v in axes)).to_numpy(zero_copy_only=False)]] = True
+        return rings, lacking
+
+    for batch in batches:
+        own, lacks = read(batch.column("ring"))
+        outline, lacks_too = read(batch.column("outline"))
+        out = np.zeros(batch.num_rows, bool)
+        for k in "xy":
+            low, high = own.span(getattr(own, k))
+            least, most = outline.span(getattr(outline, k))
+            out |= (low < least) | (high > most)
+        asked = np.flatnonzero(~(out | lacks | lacks_too))
+        listed = batch.column("holes").take(pa.array(asked))
+        holes, lack = read(listed.flatten())
+        hole_of, whole = np.repeat(np.arange(len(asked)), pc.list_value_length(listed).to_numpy().astype(np.int64)), np.flatnonzero(~lack)
+        out[asked] = ~kernel.rings_within(own.take(asked), outline.take(asked), holes.take(whole), hole_of[whole])
+        yield batch.select(["suid", "parent_suid"]).filter(pa.array(out))
 
 
 def corner(v: Column, tolerance: float) -> Column:

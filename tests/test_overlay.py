@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lotstack.functions import geometry as G
 from lotstack.functions import kernel, overlay
-from lotstack.operators import delineate
+from lotstack.operators import delineate, topology
 
 SQUARE = np.array([(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)])
 
@@ -164,3 +164,22 @@ def test_large_and_small_groups_are_united_alike(spark):
     rows = [box(k, g) for g in (1, None) for k in range(12)] + [box(k, 2) for k in (0, 0, 1, 5)] + [(3, [[[0.0, 0.0], [1.0, 0.0], [2.0, 0.0]]])]
     parts = delineate.united(spark.createDataFrame(rows, "g long, rings array<array<array<double>>>"), "g", most=6).collect()
     assert sorted(((r.g or 0), round(r.area, 9)) for r in parts) == [(0, 24.0), (1, 24.0), (2, 2.0), (2, 4.0)]
+
+
+def test_rings_of_parcels_are_told_many_at_once(spark):
+    """Units are judged in Arrow batches, as `ring_within` judges one by one: no row goes through nested lambdas."""
+    rng = np.random.default_rng(3)
+    point = "array<struct<x:double,y:double>>"
+    ring = lambda n: [tuple(map(float, p)) for p in rng.integers(0, 7, (n, 2))]
+    box = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s), (x, y)]
+    corner = [(0.0, 0.0), (8.0, 0.0), (8.0, 4.0), (4.0, 4.0), (4.0, 8.0), (0.0, 8.0)]
+    rows = [(k, ring(rng.integers(3, 7)), corner if k % 2 else ring(rng.integers(3, 7)), [[ring(3)], [], None, [ring(4), box(1.0, 1.0, 1.0)]][k % 4]) for k in range(400)]
+    rows += [(1000 + k, box(float(k), 0.0, 1.0), corner, [box(1.0, 0.0, 1.0)]) for k in range(9)] + [(2000, [], corner, None), (2001, corner, [], None)]
+    df = spark.createDataFrame(rows, f"suid long, ring {point}, outline {point}, holes array<{point}>").withColumn("parent_suid", F.col("suid"))
+    true = {r.suid for r in df.where(~G.ring_within(F.col("ring"), F.col("outline"), F.col("holes"))).collect()}
+    got = topology.outside_of_parcels(df.select("suid", "parent_suid", "ring"), df.select("parent_suid", "outline", "holes"))
+    assert {r.suid for r in got.collect()} == true and 0 < len(true) < len(rows)
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    unknown = spark.createDataFrame([(1, 1, [(1.0, 1.0), (None, 2.0), (2.0, 2.0)]), (2, 1, [(9.0, 1.0), None, (2.0, 2.0)]), (3, 1, None)], f"suid long, parent_suid long, ring {point}")
+    parcel = spark.createDataFrame([(1, corner, [None, box(5.0, 0.0, 1.0)])], f"parent_suid long, outline {point}, holes array<{point}>")
+    assert [r.suid for r in topology.outside_of_parcels(unknown, parcel).collect()] == [2]
