@@ -368,16 +368,17 @@ def top_of(rows: DataFrame, ground: float = 0.0) -> DataFrame:
     return rows.groupBy("building_id").agg(F.max(F.coalesce("z_base", F.lit(ground)) + F.col("height")).alias("z_max"))
 
 
-@F.pandas_udf(T.ArrayType(_RING))
-def sector_rings(rings: pd.Series, n: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(_RING))
+def sector_rings(rings: pa.Array, n: pa.Array) -> pa.Array:
     """Rings (arrays of [x, y]) cut into n equal angles about their mean; the whole ring where no sector has area."""
-
-    def one(ring, k):
-        ring = np.array([list(p) for p in ring], dtype=float)
-        parts = [s for s in kernel.sectors(ring, int(k)) if kernel.area(s) > 0]
-        return [s.tolist() for s in parts or [ring]]
-
-    return pd.Series([one(r, k) for r, k in zip(rings, n)])
+    ends = lambda counts: pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+    points = rings.flatten()
+    counts = pc.fill_null(pc.list_value_length(rings), 0).to_numpy().astype(np.int64)
+    axes = [pc.list_element(points, k).to_numpy(zero_copy_only=False) for k in range(2)]
+    owner, parts = kernel.all_sectors(kernel.Rings(np.concatenate([[0], np.cumsum(counts)]), *axes), pc.fill_null(n, 1).to_numpy().astype(np.int64))
+    pairs = pa.ListArray.from_arrays(ends(np.full(len(parts.x), 2)), pa.array(np.column_stack([parts.x, parts.y]).ravel()))
+    each = pa.ListArray.from_arrays(ends(np.diff(parts.starts)), pairs)
+    return pa.ListArray.from_arrays(ends(np.bincount(owner, minlength=len(rings))), each)
 
 
 def clipped_rings(rings: Column | str, minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
