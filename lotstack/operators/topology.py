@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from lotstack.functions import geometry as G
 from lotstack.functions import kernel
 from lotstack.operators import cells
+from lotstack.operators.runs import whole_runs
 from lotstack.plans.tables import materialize
 
 TOLERANCE = 0.01
@@ -222,14 +223,45 @@ def manifold_gaps(faces: DataFrame, tolerance: float = TOLERANCE, mode: str = "i
     return once.where(inner).select("suid", "face_key", F.lit("gap").alias("relation"), F.lit("warning").alias("severity"))
 
 
-def over_used_edges(faces: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """(edge_key, uses): edges that more than two faces of one unit share, so that it has no clean surface."""
-    snapped = F.transform("corners", lambda v: corner(v, tolerance))
-    edge = lambda i, j: F.sort_array(F.array(F.get(snapped, i), F.get(snapped, j)))
-    return (
-        faces.select("suid", F.explode(F.array(edge(F.lit(0), F.lit(1)), edge(F.lit(1), F.lit(2)), edge(F.lit(2), F.lit(0)))).alias("edge_key"))
-        .groupBy("suid", "edge_key").agg(F.count("*").alias("uses")).where("uses > 2")
-    )
+def over_used_edges(tetrahedra: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """(suid, edge_key, uses): edges that more than two faces of one unit's tetrahedra (suid, vertices) share, so that it has no clean surface.
+
+    A unit's tetrahedra are dealt to one task, as four corners each, and their edges are counted there, many units at once: edges,
+    of which there are six to a tetrahedron and each in two of its faces, are not shuffled.
+    """
+    at = [F.rint(F.get("vertices", F.lit(i))[k] / tolerance).cast("long").alias(f"{k}{i}") for i in range(4) for k in "xyz"]
+    rows = tetrahedra.where(F.size("vertices") >= 4).select("suid", *at)
+    edges = [(i, j) for i in range(4) for j in range(i + 1, 4)]
+
+    def counted(table: pa.Table, owner: np.ndarray) -> pa.RecordBatch:
+        v = np.column_stack([table.column(f"{k}{i}").to_numpy() for i in range(4) for k in "xyz"]).reshape(-1, 4, 3)
+        a, b = (v[:, [e[side] for e in edges]].reshape(-1, 3) for side in (0, 1))
+        # the lower corner first, by x, y and z
+        less, same = a < b, a == b
+        swap = ~(less[:, 0] | (same[:, 0] & (less[:, 1] | (same[:, 1] & (less[:, 2] | same[:, 2])))))
+        key = np.column_stack([np.repeat(owner, 6), np.where(swap[:, None], b, a), np.where(swap[:, None], a, b)])
+        # one sort by a hash; only if two different edges have the same one do all columns decide
+        mixed = np.zeros(len(key), np.uint64)
+        for column in key.T.astype(np.uint64):
+            mixed = (mixed ^ column) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+        order = np.argsort(mixed)
+        apart = lambda: (key[order[1:]] != key[order[:-1]]).any(axis=1)
+        other = apart()
+        if (other & (mixed[order[1:]] == mixed[order[:-1]])).any():
+            order = np.lexsort(key.T[::-1])
+            other = apart()
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], other]))
+        uses = 2 * np.diff(np.append(first, len(key)))
+        first, uses = first[uses > 2], uses[uses > 2]
+        ends = pa.StructArray.from_arrays([pa.array(key[first, 1:].reshape(-1, 3)[:, k]) for k in range(3)], ["x", "y", "z"])
+        listed = pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1, dtype=np.int32) * 2), ends)
+        return pa.RecordBatch.from_arrays([table.column("suid").combine_chunks().take(pa.array(order[first] // 6)), listed, pa.array(uses)], ["suid", "edge_key", "uses"])
+
+    corners = "array<struct<x:bigint,y:bigint,z:bigint>>"
+    # a unit of null is one like others; a corner that is null is in no edge
+    return whole_runs(rows.dropna(subset=rows.columns[1:]), "suid", counted, f"suid {dict(rows.dtypes)['suid']}, edge_key {corners}, uses long")
 
 
 def validate(units: DataFrame, mode: str = "intent", tolerance: float = TOLERANCE) -> DataFrame:

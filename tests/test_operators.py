@@ -1,3 +1,4 @@
+import itertools
 import json
 import math
 import random
@@ -435,3 +436,20 @@ def test_faces_meet_by_short_keys_in_one_pass(spark, monkeypatch):
     monkeypatch.setattr(topology, "materialize", lambda df, name: written.append((name, shuffles(df))) or df)
     assert topology.shared_faces(faces, told=False).columns == ["suid_1", "suid_2", "relation", "severity"]
     assert [name for name, _ in written] == ["used"] and not any("face_key" in x for x in written[0][1])
+
+
+def test_over_used_edges_are_counted_within_units_without_shuffling_edges(spark):
+    random.seed(4)
+    place = lambda: tuple(float(random.randint(0, 2)) for _ in range(3))
+    rows = [(random.choice([None, "a", "b", "c", "d"]), [place() for _ in range(random.choice([3, 4, 5]))]) for _ in range(60)]
+    rows += [("near", [(0.0, 0.0, 0.0), (1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, z)]) for z in (1.0, 1.004, 2.0)]
+    df = spark.createDataFrame(rows, "suid string, vertices array<struct<x:double,y:double,z:double>>")
+    true = {}
+    for suid, v in rows:
+        for face in itertools.combinations(v[:4], 3) if len(v) > 3 else []:
+            for a, b in itertools.combinations(face, 2):
+                edge = (suid, *sorted(tuple(round(c / 0.01) for c in p) for p in (a, b)))
+                true[edge] = true.get(edge, 0) + 1
+    found = topology.over_used_edges(df)
+    assert {(r.suid, *map(tuple, r.edge_key)): r.uses for r in found.collect()} == {e: n for e, n in true.items() if n > 2}
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
