@@ -453,3 +453,19 @@ def test_over_used_edges_are_counted_within_units_without_shuffling_edges(spark)
     found = topology.over_used_edges(df)
     assert {(r.suid, *map(tuple, r.edge_key)): r.uses for r in found.collect()} == {e: n for e, n in true.items() if n > 2}
     assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_outliers_by_radius_count_in_tiles_that_few_points_are_twice_in(spark):
+    rng = np.random.default_rng(8)
+    places = np.concatenate([rng.integers(-150, 150, (900, 3)) / 1.0 * (1, 1, 0.05), rng.integers(-6, 6, (500, 3)) / 2.0])
+    rows = [(int(rng.integers(0, 2)), k, *map(float, p)) for k, p in enumerate(places)] + [(None, 5000, 0.0, 0.0, 0.0), (1, 5001, None, 0.0, 0.0), (1, 5002, 1e9, -1e9, 0.0)]
+    points = spark.createDataFrame(rows, "cloud_id long, pt_id long, x double, y double, z double")
+    gap = np.linalg.norm(places[:, None] - places[None], axis=2) ** 2
+    cloud = np.array([r[0] for r in rows[: len(places)]])
+    near = ((gap <= 9.0 + 1e-9) & (cloud[:, None] == cloud[None])).sum(axis=1) - 1
+    true = {k: n for k, n in enumerate(near) if n < 4} | {5000: 0, 5001: 0, 5002: 0}
+    for most in (200_000, 100):
+        got = pointcloud.outliers_by_radius(points, 3.0, 4, most=most).collect()
+        assert {r.pt_id: r.neighbours for r in got} == true and len(got) == len(true)
+    tiled = pointcloud.in_tiles(points.where("pt_id < 900"), 3.0, ("cloud_id",))
+    assert tiled.count() < 1.2 * 900 and tiled.where("home").count() == 900
