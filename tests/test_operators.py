@@ -469,3 +469,18 @@ def test_outliers_by_radius_count_in_tiles_that_few_points_are_twice_in(spark):
         assert {r.pt_id: r.neighbours for r in got} == true and len(got) == len(true)
     tiled = pointcloud.in_tiles(points.where("pt_id < 900"), 3.0, ("cloud_id",))
     assert tiled.count() < 1.2 * 900 and tiled.where("home").count() == 900
+
+
+def test_boxes_of_small_groups_meet_within_their_group(spark):
+    random.seed(6)
+    boxes = []
+    for k in range(260):
+        low = [random.randint(0, 12) * 1.0 for _ in range(3)]
+        boxes.append((k, None if k % 50 == 7 else min(k // 10, 12), *(v for c in low for v in (c, c + random.randint(0, 4)))))
+    df = spark.createDataFrame(boxes, "suid long, parent_suid long, minx double, maxx double, miny double, maxy double, z_min double, z_max double")
+    meet = lambda a, b: all(a[i] <= b[i + 1] and b[i] <= a[i + 1] for i in (2, 4, 6))
+    true = {(a[0], b[0]) for a in boxes for b in boxes if a[0] < b[0] and a[1] is not None and a[1] == b[1] and meet(a, b)}
+    got = topology.pairs_in_cells(df).select("a.suid", "b.suid").collect()
+    assert set(map(tuple, got)) == true and len(got) == len(true) and sum(b[1] == 12 for b in boxes) > 64
+    small = topology.pairs_in_cells(df.where("parent_suid < 12"))
+    assert "Generate" not in small._jdf.queryExecution().executedPlan().toString()
