@@ -484,3 +484,15 @@ def test_boxes_of_small_groups_meet_within_their_group(spark):
     assert set(map(tuple, got)) == true and len(got) == len(true) and sum(b[1] == 12 for b in boxes) > 64
     small = topology.pairs_in_cells(df.where("parent_suid < 12"))
     assert "Generate" not in small._jdf.queryExecution().executedPlan().toString()
+
+
+def test_farthest_points_sort_no_whole_cloud(spark):
+    import pyarrow as pa
+
+    cloud, best, ids = [1, None, 1, 1, 2, None], [1.0, 0.0, 5.0, 5.0, None, 2.0], [4, 9, 8, 3, 7, 6]
+    batch = pa.RecordBatch.from_pydict({"cloud_id": pa.array(cloud, pa.int64()), "best": best, "pt_id": ids})
+    (few,) = pointcloud._farthest_of_batches(iter([batch]))
+    assert sorted((r["cloud_id"] or 0, r["pt_id"]) for r in few.to_pylist()) == [(0, 6), (1, 3), (2, 7)]
+    points = spark.createDataFrame([(1, k, float(k % 5), 0.0, 0.0) for k in range(7)] + [(2, 1, 0.0, 0.0, 0.0), (None, 1, 0.0, 0.0, 0.0), (None, 2, 3.0, 0.0, 0.0)], "cloud_id long, pt_id long, x double, y double, z double")
+    got = pointcloud.farthest_points(points, 4).collect()
+    assert sorted((r.cloud_id or 0, r.place, r.pt_id) for r in got) == [(0, 0, 1), (1, 0, 0), (1, 1, 4), (1, 2, 2), (1, 3, 1), (2, 0, 1)]
