@@ -28,3 +28,13 @@ def test_table_functions(spark):
     parcels = units.selectExpr("suid AS parent_suid", "minx AS px1", "miny AS py1", "maxx AS px2", "maxy AS py2")
     outside = spark.sql("SELECT * FROM validate_boundary_alignment(0.01D)").collect()
     assert sorted(outside) == sorted(topology.boundary_violations(units, parcels).collect()) and outside
+
+
+def test_points_are_grouped_in_parts_of_bounded_size(spark, monkeypatch):
+    from lotstack.plans import views
+
+    tables = views.Tables(spark, "/root/testdata/sf0.001")
+    whole = sorted(map(tuple, spark.sql(views.VIEWS["points"].replace("FROM lineitem", "FROM {l}"), l=tables.table("lineitem")).collect()))
+    monkeypatch.setattr(views, "PART_ROWS", 500)
+    dealt = tables.view("points")
+    assert dealt.rdd.getNumPartitions() >= 12 and sorted(map(tuple, dealt.collect())) == whole
