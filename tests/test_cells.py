@@ -163,3 +163,16 @@ def test_outliers_and_heights_keep_clouds_apart(spark):
     heights = pointcloud.height_above_ground(points).collect()
     assert len(heights) == 51 and {(r.cloud_id, r.pt_id): r.height for r in heights}[2, 25] == 7.0
     assert {r.height for r in heights if r.pt_id < 25} == {0.0}
+
+
+def test_dbscan_over_borders_of_tiles_sends_no_noise_around(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    places = np.concatenate([rng.integers(-40, 40, (150, 2)), rng.integers(60, 68, (120, 2)), rng.integers(-4, 4, (60, 2))]) / 1.0
+    rows = [(k % 2, k, float(x), float(y), 0.0) for k, (x, y) in enumerate(places)]
+    kept = []
+    monkeypatch.setattr(pointcloud, "discard", lambda *tables: kept.extend(tables))
+    for most in (200_000, 20):
+        got = pointcloud.dbscan(spark.createDataFrame(rows, POINTS), 1.5, 5, most=most).collect()
+        assert {(r.cloud_id, r.pt_id, r.cluster) for r in got} == brute_dbscan(rows, 1.5, 5) and len(got) == len({r.pt_id for r in got})
+    marked = next(t for t in kept if "kind" in t.columns)
+    assert marked.where("kind > 0").count() == len(got) < len(rows)
