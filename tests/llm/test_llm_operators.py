@@ -1,9 +1,11 @@
 import collections
 import hashlib
 import math
+import pathlib
 import random
 import re
 import time
+import urllib.parse
 import zlib
 
 import numpy as np
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lotstack.llm import chat, common, decontaminate, html_text, katz, licenses, neardup, packing, quality, sharding, topk
+from lotstack.plans import tables
 
 DOCS = "doc_id long, text string"
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -416,6 +419,29 @@ def test_katz_keeps_what_was_seen_once_in_each_order(spark, order):
     assert katz.MIN_COUNT == 1 and katz.ORDER == 3
 
 
+def test_katz_counts_more_ngrams_of_a_text_than_one_row_holds(spark):
+    texts = {1: " ".join(f"w{i}" for i in range(40_000)), 2: "w1 w2 w3 w9 w8", 5: "w1 w2 w3 w4 w7 w7"}
+    got = katz.katz_scores(frame(spark, list(texts.items())), F.col("doc_id") == 5, 30, 3).collect()
+    want = plain_katz_of_order(texts, {5}, 3)
+    assert {r.doc_id: r.score for r in got} == pytest.approx(want, rel=1e-10)
+
+
+def test_katz_tables_stay_small_beside_the_texts(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = [(i, " ".join(f"w{int(rng.paretovariate(0.3)) % 5000}" for _ in range(300))) for i in range(600)]
+    kept = []
+
+    def materialize(df, name):
+        out = tables.materialize(df, name)
+        kept.append((out, sum(pathlib.Path(urllib.parse.urlparse(f).path).stat().st_size for f in out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(katz, "materialize", materialize)
+    katz.katz_scores(frame(spark, texts), F.col("doc_id") % 10 == 0, order=3).collect()
+    size = sum(len(t) for _, t in texts)
+    assert sum(n for _, n in kept) < 5 * size
+
+
 def test_katz_of_odd_tables(spark):
     assert katz.katz_scores(frame(spark, []), F.lit(False)).count() == 0
     only = katz.katz_scores(frame(spark, [(1, "a b")]), F.lit(True)).first()
