@@ -7,8 +7,9 @@ score is above the bound: the score of a candidate with the values that the walk
 tie with the kth score can still have a smaller id, so a bound that equals it doesn't stop the walk. The best of
 all blocks are then merged.
 
-Queries meet candidates block by block: each block of queries is sent to each block of candidates, a stated query
-set against all rows.
+Queries meet candidates block by block: each query is sent to each block of candidates, a stated query set against all
+rows. Both are dealt together and sorted so that a task reads a block of candidates and then its queries, one block at a
+time: nothing is broadcast, and the candidates are sent once.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, nor do null ids; rows with
 equal ids are candidates each, and queries each with ranks of their own, which alone don't meet themselves; shorter
@@ -28,8 +29,10 @@ from pyspark.sql import functions as F
 
 from lotstack.llm.common import materialize
 
-#: Rows of a block, at most about.
-CANDIDATES_IN_BLOCK, QUERIES_IN_BLOCK = 4096, 512
+#: Rows of a block, at most about. Candidates come in small blocks up to so many of them, then blocks grow up to the large size:
+#: queries are sent once to each block, so until then what is sent grows with the tables and not with their square.
+CANDIDATES_IN_BLOCK = 4096
+FEW_BLOCKS, CANDIDATES_IN_LARGE_BLOCK = 64, 32768
 #: Whole numbers below this are exact as floats, and so are sums of them.
 EXACT = 2**53
 
@@ -45,12 +48,7 @@ def quantised(vectors: DataFrame, scale: float = 256.0) -> DataFrame:
     return vectors.where(F.col("vec_id").isNotNull() & good).select(F.monotonically_increasing_id().alias("row_id"), "vec_id", whole.alias("q"))
 
 
-def _packed(rows: DataFrame, block: str) -> DataFrame:
-    return rows.groupBy(block).agg(*(F.collect_list(c).alias(f"{c}s") for c in ("row_id", "vec_id", "q")))
-
-
-def _matrix(column: pa.ListScalar, dims: int) -> np.ndarray:
-    values = column.values
+def _matrix(values: pa.ListArray, dims: int) -> np.ndarray:
     lengths = np.diff(np.asarray(values.offsets))
     flat = np.asarray(values.flatten(), dtype=np.float64)
     if (lengths == dims).all():
@@ -106,34 +104,39 @@ def threshold_topk(query: np.ndarray, own: int, ids: np.ndarray, rows: np.ndarra
 def top_k(rows: DataFrame, is_query: Column, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k greatest inner products with the other rows."""
     rows = materialize(rows, "vectors")
-    totals = rows.agg(F.count("*").alias("n"), F.max(F.size("q")).alias("dims"), F.sum(is_query.cast("long")).alias("queries")).first()
-    blocks = max(1, -(-totals["n"] // CANDIDATES_IN_BLOCK))
-    query_blocks = max(1, -(-(totals["queries"] or 0) // QUERIES_IN_BLOCK))
+    totals = rows.agg(F.count("*").alias("n"), F.max(F.size("q")).alias("dims")).first()
+    blocks = max(1, -(-totals["n"] // CANDIDATES_IN_LARGE_BLOCK), min(FEW_BLOCKS, -(-totals["n"] // CANDIDATES_IN_BLOCK)))
     dims = totals["dims"] or 0
-    dealt = lambda n, seed: F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(n)).cast("int")
-    candidates = _packed(rows.withColumn("block", dealt(blocks, 1)), "block")
-    queries = (
-        _packed(rows.where(is_query).withColumn("query_block", dealt(query_blocks, 2)), "query_block")
-        .withColumnsRenamed({"row_ids": "query_rows", "vec_ids": "query_ids", "qs": "query_qs"})
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    )
-    met = queries.join(candidates, "block").select("block", "query_rows", "query_ids", "query_qs", "row_ids", "vec_ids", "qs")
+    candidates = rows.withColumns({"block": F.pmod(F.xxhash64("row_id", F.lit(1)), F.lit(blocks)).cast("int"), "asks": F.lit(False)})
+    queries = rows.where(is_query).withColumns({"block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), "asks": F.lit(True)})
+    met = candidates.unionByName(queries).repartition(blocks, "block").sortWithinPartitions("block", "asks")
     names = ["query_row", "query_id", "vec_id", "score"]
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = kept = exact = own_rows = None
-        largest = 0.0
+        waiting, last, kept, exact, largest = [], None, None, None, 0.0
         for batch in batches:
-            block, query_rows, query_ids, query_qs, row_ids, ids, qs = batch.columns
-            for i in range(batch.num_rows):
-                if block[i].as_py() != last:
-                    matrix = _matrix(qs[i], dims)
+            block, asks = batch.column("block").to_numpy(), batch.column("asks").to_numpy(zero_copy_only=False)
+            change = np.flatnonzero((block[1:] != block[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for start, stop in zip([0, *change], [*change, batch.num_rows]):
+                if start == stop:
+                    continue
+                part = batch.slice(start, stop - start)
+                if not asks[start]:
+                    if block[start] != last:
+                        waiting, last, kept = [], block[start], None
+                    waiting.append(part)
+                    continue
+                if block[start] != last:  # no candidate was dealt to this block
+                    continue
+                if kept is None:
+                    whole_block = pa.Table.from_batches(waiting).combine_chunks()
+                    own_rows, ids = (whole_block.column(c).to_numpy() for c in ("row_id", "vec_id"))
+                    matrix = _matrix(whole_block.column("q").combine_chunks(), dims)
                     order = np.ascontiguousarray(np.argsort(-matrix, axis=0, kind="stable").T)
-                    kept = np.asarray(ids[i].values), matrix, order, np.take_along_axis(matrix.T, order, axis=1)
-                    own_rows = np.asarray(row_ids[i].values)
-                    last, exact, largest = block[i].as_py(), None, float(np.abs(matrix).max(initial=0))
+                    kept = ids, matrix, order, np.take_along_axis(matrix.T, order, axis=1)
+                    waiting, exact, largest = [], None, float(np.abs(matrix).max(initial=0))
                 out = []
-                for own_row, own_id, q in zip(np.asarray(query_rows[i].values), np.asarray(query_ids[i].values), _matrix(query_qs[i], dims)):
+                for own_row, own_id, q in zip(part.column("row_id").to_numpy(), part.column("vec_id").to_numpy(), _matrix(part.column("q"), dims)):
                     walked = kept
                     if largest * float(np.abs(q).sum()) >= EXACT:  # sums may be inexact as floats: Python's whole numbers
                         whole = np.frompyfunc(int, 1, 1)

@@ -182,6 +182,24 @@ def test_topk_equals_brute_force(spark, levels, monkeypatch):
     assert sorted(tuple(r) for r in got) == sorted(brute_topk(whole))
 
 
+def test_topk_sends_no_queries_through_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    table = frame(spark, [(i, rng.normal(0, 1, 4).tolist()) for i in range(400)], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(topk, "CANDIDATES_IN_BLOCK", 16)
+    found = topk.top_k(topk.quantised(table), F.col("vec_id") % 50 == 0, 5)
+    assert found.count() == 40
+    found.collect()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_topk_blocks_grow_once_there_are_many(spark, monkeypatch):
+    vectors = {i: [float(i % 7) / 256, float(i % 11) / 256] for i in range(400)}
+    for name, value in (("CANDIDATES_IN_BLOCK", 16), ("FEW_BLOCKS", 3), ("CANDIDATES_IN_LARGE_BLOCK", 300)):
+        monkeypatch.setattr(topk, name, value)
+    got = topk.top_k(topk.quantised(frame(spark, [*vectors.items()], "vec_id long, embedding array<double>")), F.col("vec_id") % 50 == 0, 5).collect()
+    assert sorted(tuple(r) for r in got) == sorted(brute_topk([(i, [i % 7, i % 11]) for i in vectors]))
+
+
 def test_topk_of_few_and_none(spark):
     table = frame(spark, [(0, [1.0, 2.0]), (3, [1.0]), (4, [])], "vec_id long, embedding array<float>")
     got = topk.top_k(topk.quantised(table), F.col("vec_id") == 0, 5).orderBy("rank").collect()
