@@ -6,7 +6,7 @@ be reported because upper and lower were taken the wrong way round.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ from lotstack.functions import geometry as G
 from lotstack.functions import kernel
 from lotstack.operators import cells
 from lotstack.operators.runs import whole_runs
-from lotstack.plans.tables import materialize
+from lotstack.plans.tables import discard, materialize
 
 TOLERANCE = 0.01
 #: The corner numbers of a tetrahedron's faces.
@@ -223,6 +223,190 @@ def manifold_gaps(faces: DataFrame, tolerance: float = TOLERANCE, mode: str = "i
     return once.where(inner).select("suid", "face_key", F.lit("gap").alias("relation"), F.lit("warning").alias("severity"))
 
 
+#: Classes of faces by their width, in steps of the tolerance; a face lies in a tile so many times as wide as its class.
+_WIDTHS, _TILE = 4.0 ** np.arange(1, 31), 16
+#: About how many tetrahedra are dealt to a task.
+PART_ROWS = 200_000
+_SPOTS = [f"{k}{i}" for i in range(4) for k in "xyz"]
+
+
+def _whole(steps: np.ndarray) -> np.ndarray:
+    """Whole numbers; one that isn't known is the least of all."""
+    return np.where(np.isnan(steps), np.iinfo(np.int64).min, np.nan_to_num(steps)).astype(np.int64)
+
+
+def _mixed(key: np.ndarray) -> np.ndarray:
+    """A hash of each row of whole numbers."""
+    mixed = np.zeros(len(key), np.uint64)
+    for column in key.T.astype(np.uint64):
+        mixed = (mixed ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return mixed
+
+
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts): rows of whole numbers in an order that has equal ones together, and where in it each run of them starts."""
+    # one sort by a hash; only if two different rows have the same one do all columns decide
+    mixed = _mixed(key)
+    order = np.argsort(mixed)
+    apart = lambda: (key[order[1:]] != key[order[:-1]]).any(axis=1)
+    other = apart()
+    if (other & (mixed[order[1:]] == mixed[order[:-1]])).any():
+        order = np.lexsort(key.T[::-1])
+        other = apart()
+    return order, np.flatnonzero(np.concatenate([[True], other])) if len(key) else np.zeros(0, np.int64)
+
+
+def _folded(at: np.ndarray) -> list[pa.Array]:
+    """The corners (rows, 4, 3) of tetrahedra as whole numbers: the bits of the first, and those in which the others differ from it,
+    which are few and zero where they share a place, so that they take little room in a shuffle."""
+    bits = np.ascontiguousarray(at).view(np.int64)
+    return [pa.array(bits[:, i, k] ^ bits[:, 0, k] if i else bits[:, 0, k]) for i in range(4) for k in range(3)]
+
+
+def _unfolded(table: pa.Table) -> np.ndarray:
+    bits = np.column_stack([table.column(c).to_numpy() for c in _SPOTS]).reshape(-1, 4, 3)
+    bits[:, 1:] ^= bits[:, :1]
+    return bits.view(np.float64)
+
+
+def _tiled(tolerance: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Tetrahedra, once for each tile (bucket) that some of their faces lie in, with the numbers of those faces as bits (here), and their heights."""
+
+    def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in _SPOTS]).reshape(-1, 4, 3)
+            steps = np.rint(at / tolerance)[:, np.array(FACES)]
+            least, most = np.fmin.reduce(steps, axis=2), np.fmax.reduce(steps, axis=2)
+            size = np.searchsorted(_WIDTHS, np.fmax.reduce(most - least, axis=2), side="right")
+            place = _whole(np.floor(least / (_TILE * 4.0 ** (size + 1))[..., None]))
+            bucket = _mixed(np.concatenate([size[..., None], place], axis=2).reshape(-1, 4)).view(np.int64).reshape(-1, 4)
+            same = bucket[:, :, None] == bucket[:, None, :]
+            here = (same << np.arange(4)).sum(axis=2)
+            # the first face of each tile
+            row, face = np.nonzero(same.argmax(axis=2) == np.arange(4))
+            columns = [batch.column("tet"), batch.column("suid"), *_folded(at), *(pa.array(f.reduce(at[:, :, 2], axis=1)) for f in (np.fmin, np.fmax)), batch.column("top")]
+            out = pa.RecordBatch.from_arrays(columns, ["tet", "suid", *_SPOTS, "low", "high", "top"]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[row, face]), pa.array(here[row, face].astype(np.int32)), *out.columns], ["bucket", "here", *out.schema.names])
+
+    return tiled
+
+
+def met_faces(tetrahedra: DataFrame, tolerance: float = TOLERANCE, mode: str = "intent", told: bool = True) -> DataFrame:
+    """(relation, tet, suid_1, suid_2, face_key) of faces of tetrahedra (tet, suid, vertices): `adjacent` of two units as in `shared_faces`,
+    `gap` as in `manifold_gaps`, and `crowded` for each use of a face with more than two. Keys are there only if they are `told`.
+
+    Tetrahedra are dealt, not faces: each goes once to the tiles that its faces lie in, nearly always one, and a kernel counts the faces there,
+    many tiles at once. A tile is some dozen faces wide by their own size. The heights of a parcel are worked out in its tiles too; only
+    parcels in several of them are told their bounds, as rows of their own.
+    """
+    first = F.slice("vertices", 1, 4)
+    spots = [F.get(first, F.lit(i))[k].cast("double").alias(f"{k}{i}") for i in range(4) for k in "xyz"]
+    rows = tetrahedra.where(F.size("vertices") >= 4).select("tet", "suid", *spots, F.array_max(F.transform("vertices", lambda v: v["z"].cast("double"))).alias("top"))
+    kind = dict(rows.dtypes)
+    folded = ", ".join(f"{c} long" for c in _SPOTS)
+    placed = materialize(rows.mapInArrow(_tiled(tolerance), f"bucket long, here int, tet {kind['tet']}, suid {kind['suid']}, {folded}, low double, high double, top double"), "placed")
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-placed.count() // PART_ROWS))
+    if mode == "asis":
+        dealt = placed.drop("low", "high")
+    else:
+        of = placed.groupBy(parcel_key(F.col("suid")).alias("parcel")).agg(F.collect_set("bucket").alias("buckets"), F.min("low").alias("low"), F.max("high").alias("high"))
+        several = of.where(F.size("buckets") > 1).select(F.explode("buckets").alias("bucket"), F.concat("parcel", F.lit("-")).alias("suid"), "low", "high", F.lit(0).alias("here"))
+        # the heights of a parcel's row stand in the place of two corners; its own come from the corners of its tetrahedra
+        dealt = placed.drop("low", "high", "top").unionByName(materialize(several.mapInArrow(_as_corners, f"bucket long, here int, suid {kind['suid']}, {folded}"), "parcels"), allowMissingColumns=True)
+
+    def counted(table: pa.Table, owner: np.ndarray) -> pa.RecordBatch:
+        at, here = _unfolded(table), table.column("here").to_numpy()
+        if mode == "asis":
+            low, high, known = at[:, 0, 2], table.column("top").to_numpy(), np.ones(len(at), bool)
+        else:
+            code = _parcels(table.column("suid").combine_chunks()).dictionary_encode().indices
+            known = code.is_valid().to_numpy(zero_copy_only=False)
+            order, starts = _runs(np.column_stack([owner, pc.fill_null(code, -1).to_numpy().astype(np.int64)]))
+            low, high = np.empty(len(at)), np.empty(len(at))
+            for out, f, best in ((low, np.fmin, np.fmin.reduce(at[:, :, 2], axis=1)), (high, np.fmax, np.fmax.reduce(at[:, :, 2], axis=1))):
+                out[order] = np.repeat(f.reduceat(best[order], starts), np.diff(np.append(starts, len(order))))
+        row, face = np.nonzero((here[:, None] >> np.arange(4)) & 1)
+        corners = at[row[:, None], np.array(FACES)[face]]
+        key = _whole(np.rint(corners / tolerance))
+        for i, j in ((0, 1), (1, 2), (0, 1)):  # the corners in order, by x, y and z
+            a, b = key[:, i], key[:, j]
+            less, same = b < a, a == b
+            swap = less[:, 0] | (same[:, 0] & (less[:, 1] | (same[:, 1] & less[:, 2])))
+            key[:, i], key[:, j] = np.where(swap[:, None], b, a), np.where(swap[:, None], a, b)
+        key = key.reshape(-1, 9)
+        order, starts = _runs(np.column_stack([owner[row], key]))
+        uses = np.diff(np.append(starts, len(order)))
+        once = order[starts[uses == 1]]
+        z, own = corners[once][:, :, 2], row[once]
+        once = once[known[own] & (np.fmin.reduce(z, axis=1) > low[own] + tolerance) & (np.fmax.reduce(z, axis=1) < high[own] - tolerance)]
+        a, b = (order[starts[uses == 2] + k] for k in (0, 1))
+        tet, suid = table.column("tet").combine_chunks(), table.column("suid").combine_chunks()
+        number = pc.fill_null(tet, np.iinfo(np.int64).min).to_numpy()
+        swap = number[row[b]] < number[row[a]]
+        for i in np.flatnonzero(number[row[a]] == number[row[b]]):
+            swap[i] = (suid[row[b[i]]].as_py() or "") < (suid[row[a[i]]].as_py() or "")
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        across = (_normals(corners[a]) * _normals(corners[b])).T
+        facing = (across[0] + across[1] + across[2] < -0.5) & pc.fill_null(pc.not_equal(suid.take(pa.array(row[a])), suid.take(pa.array(row[b]))), False).to_numpy(zero_copy_only=False)
+        a, b = a[facing], b[facing]
+        crowded = order[np.repeat(uses > 2, uses)]
+        lead = np.concatenate([once, a, crowded])
+        other = pa.concat_arrays([pa.nulls(len(once), suid.type), suid.take(pa.array(row[b])), pa.nulls(len(crowded), suid.type)])
+        relation = pa.array(np.repeat(np.array(["gap", "adjacent", "crowded"]), [len(once), len(a), len(crowded)]), pa.string())
+        made = {"relation": relation, "tet": tet.take(pa.array(row[lead])), "suid_1": suid.take(pa.array(row[lead])), "suid_2": other}
+        if told:
+            axes = key[lead].reshape(-1, 3).T
+            spot = pa.StructArray.from_arrays([pa.array(v, mask=v == np.iinfo(np.int64).min) for v in axes], ["x", "y", "z"])
+            made["face_key"] = pa.ListArray.from_arrays(pa.array(np.arange(len(lead) + 1, dtype=np.int32) * 3), spot)
+        return pa.RecordBatch.from_pydict(made)
+
+    schema = f"relation string, tet {kind['tet']}, suid_1 {kind['suid']}, suid_2 {kind['suid']}" + (", face_key array<struct<x:bigint,y:bigint,z:bigint>>" if told else "")
+    return whole_runs(dealt, "bucket", counted, schema, parts)
+
+
+def _parcels(suid: pa.StringArray) -> pa.StringArray:
+    """`parcel_key` of texts."""
+    hyphen = pc.find_substring(suid, "-")
+    parcel = pc.binary_join_element_wise(pc.utf8_slice_codeunits(suid, 0, 17), pa.scalar("00000000", suid.type), pa.scalar("", suid.type))
+    return pc.if_else(pc.greater_equal(hyphen, 0), pc.replace_substring_regex(suid, "(?s)-.*", ""), parcel)
+
+
+def _as_corners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of parcels (bucket, suid, low, high, here) in the form of tetrahedra that reach from low to high."""
+    for batch in batches:
+        at = np.full((batch.num_rows, 4, 3), np.nan)
+        at[:, 0, 2], at[:, 1, 2] = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("low", "high"))
+        yield pa.RecordBatch.from_arrays([batch.column("bucket"), batch.column("here"), batch.column("suid"), *_folded(at)], ["bucket", "here", "suid", *_SPOTS])
+
+
+def _of_met(met: DataFrame) -> DataFrame:
+    """`shared_faces` of `met_faces`, a table, with their keys: of crowded faces, which are few, each pair of different units overlaps."""
+    adjacent = met.where("relation = 'adjacent'").select("suid_1", "suid_2", "face_key", "relation", F.lit("info").alias("severity"))
+    crowded = met.where("relation = 'crowded'")
+    if not crowded.limit(1).count():
+        return adjacent
+    held = crowded.select("tet", F.col("suid_1").alias("suid"), "face_key", *_hashes())
+    a, b = held.alias("a"), held.drop("face_key").alias("b")
+    pairs = a.join(b, [*(F.col(f"a.{h}") == F.col(f"b.{h}") for h in _HASHES), F.col("a.tet") < F.col("b.tet"), F.col("a.suid") != F.col("b.suid")])
+    overlap = pairs.select(F.col("a.suid").alias("suid_1"), F.col("b.suid").alias("suid_2"), "face_key", F.lit("overlap").alias("relation"), F.lit("error").alias("severity"))
+    return adjacent.unionByName(overlap)
+
+
+def _normals(corners: np.ndarray) -> np.ndarray:
+    """`geometry.normal` of triangles (n, 3, 3), step by step."""
+    u, v = ((corners[:, k] - corners[:, 0]).T for k in (1, 2))
+    cross = np.column_stack([u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]])
+    length = np.sqrt(cross[:, 0] * cross[:, 0] + cross[:, 1] * cross[:, 1] + cross[:, 2] * cross[:, 2])[:, None]
+    return np.where(length < 1e-12, np.array([0.0, 0.0, 1.0]), cross / np.where(length < 1e-12, 1.0, length))
+
+
+def open_faces(met: DataFrame) -> DataFrame:
+    """`manifold_gaps` of `met_faces`."""
+    key = [c for c in ("face_key",) if c in met.columns]
+    return met.where("relation = 'gap'").select(F.col("suid_1").alias("suid"), *key, "relation", F.lit("warning").alias("severity"))
+
+
 def over_used_edges(tetrahedra: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """(suid, edge_key, uses): edges that more than two faces of one unit's tetrahedra (suid, vertices) share, so that it has no clean surface.
 
@@ -240,19 +424,8 @@ def over_used_edges(tetrahedra: DataFrame, tolerance: float = TOLERANCE) -> Data
         less, same = a < b, a == b
         swap = ~(less[:, 0] | (same[:, 0] & (less[:, 1] | (same[:, 1] & (less[:, 2] | same[:, 2])))))
         key = np.column_stack([np.repeat(owner, 6), np.where(swap[:, None], b, a), np.where(swap[:, None], a, b)])
-        # one sort by a hash; only if two different edges have the same one do all columns decide
-        mixed = np.zeros(len(key), np.uint64)
-        for column in key.T.astype(np.uint64):
-            mixed = (mixed ^ column) * np.uint64(0x9E3779B97F4A7C15)
-            mixed ^= mixed >> np.uint64(29)
-        order = np.argsort(mixed)
-        apart = lambda: (key[order[1:]] != key[order[:-1]]).any(axis=1)
-        other = apart()
-        if (other & (mixed[order[1:]] == mixed[order[:-1]])).any():
-            order = np.lexsort(key.T[::-1])
-            other = apart()
+        order, first = _runs(key)
         key = key[order]
-        first = np.flatnonzero(np.concatenate([[True], other]))
         uses = 2 * np.diff(np.append(first, len(key)))
         first, uses = first[uses > 2], uses[uses > 2]
         ends = pa.StructArray.from_arrays([pa.array(key[first, 1:].reshape(-1, 3)[:, k]) for k in range(3)], ["x", "y", "z"])
@@ -267,12 +440,14 @@ def over_used_edges(tetrahedra: DataFrame, tolerance: float = TOLERANCE) -> Data
 def validate(units: DataFrame, mode: str = "intent", tolerance: float = TOLERANCE) -> DataFrame:
     """All rules over (ord, suid, vertices): (rule, suid_1, suid_2, relation, details, severity); the details of rules about a
     face end with its text. The mode holds for rules 2 and 4; the others have but one reading."""
-    faces = tetra_faces(units.select(F.col("ord").alias("tet"), "suid", "vertices"), tolerance)
+    counted = met_faces(units.select(F.col("ord").alias("tet"), "suid", "vertices"), tolerance, mode)
+    met = materialize(counted, "met")
+    discard(counted)
     zs = F.transform("vertices", lambda v: v["z"])
     tall = units.select("suid", "ord", parcel_key(F.col("suid")).alias("parcel"), F.array_min(zs).alias("z_min"), F.array_max(zs).alias("z_max"))
     row = lambda df, rule, two, details: df.select(F.lit(rule).alias("rule"), *two, "relation", details.alias("details"), "severity")
     told = lambda what: F.concat(F.lit(f"{what} "), face_text(F.col("face_key"), tolerance))
-    rule1 = row(shared_faces(faces), 1, ("suid_1", "suid_2"), told("shared face"))
+    rule1 = row(_of_met(met), 1, ("suid_1", "suid_2"), told("shared face"))
     rule2 = row(vertical_consecutive(tall, mode, "parcel", "ord", tolerance), 2, ("suid_1", "suid_2"), F.format_string("vertical gap of %.3f m", F.col("gap")))
     xs, ys = F.transform("vertices", lambda v: v["x"]), F.transform("vertices", lambda v: v["y"])
     flat = units.select(
@@ -282,7 +457,10 @@ def validate(units: DataFrame, mode: str = "intent", tolerance: float = TOLERANC
     parcels = flat.where(whole).groupBy("parent_suid").agg(
         F.max_by(F.struct(F.col("minx").alias("px1"), F.col("miny").alias("py1"), F.col("maxx").alias("px2"), F.col("maxy").alias("py2")), "ord").alias("b")
     ).select("parent_suid", "b.*")
+    parcels = materialize(parcels, "parcels")
+    # units are dealt by their parcels only if there are any, and by themselves, so that what is shuffled goes before the rest is
     outside = boundary_violations(flat.where(~whole), parcels, tolerance)
+    outside = materialize(outside, "outside") if parcels.limit(1).count() else outside.limit(0)
     rule3 = outside.select(F.lit(3).alias("rule"), F.col("suid").alias("suid_1"), F.col("parent_suid").alias("suid_2"), F.lit("overlap").alias("relation"), F.lit("outside its parcel").alias("details"), F.lit("error").alias("severity"))
-    rule4 = row(manifold_gaps(faces, tolerance, mode).withColumn("suid_2", F.lit("")), 4, (F.col("suid").alias("suid_1"), "suid_2"), told("open face"))
+    rule4 = row(open_faces(met).withColumn("suid_2", F.lit("")), 4, (F.col("suid").alias("suid_1"), "suid_2"), told("open face"))
     return rule1.unionByName(rule2).unionByName(rule3).unionByName(rule4)

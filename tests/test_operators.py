@@ -73,6 +73,40 @@ def test_tetra_rules(spark):
     assert {r.rule for r in report.collect()} >= {1} and report.columns == ["rule", "suid_1", "suid_2", "relation", "details", "severity"]
 
 
+def test_faces_met_in_tiles_are_those_met_by_their_keys(spark):
+    rng = np.random.default_rng(8)
+    spot = lambda v: {k: (None if x is None else float(x)) for k, x in zip("xyz", v)}
+    rows = []
+    for k in range(300):  # small and large ones, over the borders of tiles, with faces used once to many times, of parcels in several tiles
+        wide = float(rng.choice([1, 3, 40, 700]))
+        corner = rng.integers(-3, 4, 3) * wide
+        v = [corner + wide * np.array(c) for c in ((0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, int(rng.choice([-1, 1]))))]
+        if rng.random() < 0.5:
+            v[1], v[2] = v[2], v[1]
+        rows.append((k, f"p{k % 7}-{k % 120}" if k % 11 else "1" * 17 + f"{k:08d}", [spot(x) for x in v]))
+    rows += [(300, None, rows[5][2]), (301, "p1-none", [spot((0, 0, None)), *rows[6][2][1:]]), (302, "p2-five", [*rows[7][2], spot((0, 0, 99))]), (303, "p3-few", rows[8][2][:3])]
+    table = spark.createDataFrame(rows, "tet long, suid string, vertices array<struct<x:double,y:double,z:double>>")
+    faces = topology.tetra_faces(table)
+    plain = lambda df: sorted((tuple(r) for r in df.select(*(F.col(c).cast("string") for c in df.columns)).collect()), key=str)
+    for mode in ("intent", "asis"):
+        met = topology.materialize(topology.met_faces(table, mode=mode), "met")
+        assert plain(topology.open_faces(met)) == plain(topology.manifold_gaps(faces, mode=mode))
+        assert plain(topology._of_met(met)) == plain(topology.shared_faces(faces))
+        assert mode == "asis" or {r.relation for r in met.collect()} == {"gap", "adjacent", "crowded"}
+
+
+def test_tetrahedra_are_dealt_once_not_their_faces(spark):
+    solids = [(k, f"p-{k}", [(float(k), 0.0, 0.0), (k + 1.0, 0.0, 0.0), (float(k), 1.0, 0.0), (float(k), 0.0, 1.0)]) for k in range(1000)]
+    table = spark.createDataFrame(solids, "tet long, suid string, vertices array<struct<x:double,y:double,z:double>>")
+    met = topology.met_faces(table)
+    placed = [f for f in met.inputFiles() if "/placed-" in f]
+    assert spark.read.parquet(*placed).count() < 1100
+    dealt = [x for x in met._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+    assert len(dealt) == 1 and "bucket" in dealt[0]
+    keys = [x for x in topology.validate(table.withColumnRenamed("tet", "ord"))._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+    assert keys and not any("face" in x for x in keys)
+
+
 def test_report_of_all_rules_in_both_modes(spark):
     at = lambda x, y, z: {"x": float(x), "y": float(y), "z": float(z)}
     base = [at(0, 0, 0), at(1, 0, 0), at(0, 1, 0)]
