@@ -127,9 +127,9 @@ def polygon_wkt(ring: Column) -> Column:
 
 
 def triangle_wkt(face: Column) -> Column:
-    inside = F.array_join(
-        F.transform(F.concat(face, F.slice(face, 1, 1)), lambda p: F.concat_ws(" ", _number(p["x"]), _number(p["y"]), _number(p["z"]))), ", "
-    )
+    told = F.transform(face, lambda p: F.concat_ws(" ", _number(p["x"]), _number(p["y"]), _number(p["z"])))
+    # the first corner's text closes the ring
+    inside = let(told, lambda t: F.array_join(F.concat(t, F.slice(t, 1, 1)), ", "))
     return F.concat(F.lit("TRIANGLE Z (("), inside, F.lit("))"))
 
 
