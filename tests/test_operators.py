@@ -199,6 +199,18 @@ def test_ground_filter_finds_a_block(spark):
     assert all(got[k] == (z < 5) for _, k, _, _, z, _, _ in rows)
 
 
+def test_ground_filter_sends_points_to_their_tiles_once(spark):
+    rows = [(c, i * 40 + j, float(i), float(j), 6.0 if (i - 15 * c) // 4 == 2 and j // 4 == 2 else 0.01 * i) for c in (0, 1) for i in range(40) for j in range(40)]
+    rows += [(0, -1, 0.0, 0.0, None), (0, -2, None, 0.0, 1.0), (None, -3, 0.0, 0.0, 1.0), (1, -4, 500.0, 500.0, None)]
+    points = spark.createDataFrame(rows, "cloud_id long, pt_id long, x double, y double, z double")
+    found = pointcloud.ground_filter(points, 1.0, 8, tile=16)
+    dealt = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x or "Join" in x]
+    assert len(dealt) == 1 and "tx" in dealt[0]
+    got = {(r.cloud_id, r.pt_id): r.is_ground for r in found.collect()}
+    want = {(c, k): None if z is None else z < 5 for c, k, x, _, z in rows if c is not None and x is not None}
+    assert got == want
+
+
 @pytest.mark.parametrize("w", [1, 2, 3, 4, 7, 16])
 def test_moving_least_takes_steps_by_the_logarithm_of_its_width(w):
     rng = np.random.default_rng(w)
