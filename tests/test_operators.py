@@ -364,6 +364,26 @@ def test_scan_to_levels_with_a_model(spark):
     assert [(r.cloud_id, r.level, r.z, r.area) for r in got] == [(0, 0, 3.0, 20.25)]
 
 
+def test_scan_goes_through_the_model_once(spark):
+    rows = [("a", 0, k, k, k % 10 / 2, k // 10 / 2, 3.0, 65535.0, 0.0, 0.0) for k in range(100)]
+    scan = spark.createDataFrame(rows, "file string, cloud_id long, pt_id long, place long, x double, y double, z double, r double, g double, b double")
+    tiles = spark.sparkContext.accumulator(0)
+
+    def model(x):
+        tiles.add(1)
+        return np.eye(4)[np.where(x[:, 3] > 0.5, 2, 1)]
+
+    assert inference.levels_of_scan(scan, model, 64).count() == 1
+    assert tiles.value == 3
+
+
+def test_hull_of_columns_of_points():
+    grid = np.array([(float(i), float(j)) for i in range(50) for j in range(i % 3, 60 - i % 7)])
+    corners = kernel.hull(grid)
+    assert [tuple(c) for c in corners] == [(0.0, 0.0), (48.0, 0.0), (49.0, 1.0), (49.0, 59.0), (0.0, 59.0)]
+    assert kernel.hull(np.array([(1.0, 2.0), (1.0, 5.0), (1.0, 3.0)])).tolist() == [[1.0, 2.0], [1.0, 5.0]]
+
+
 def test_building_points_stand_above_ground(spark):
     ground = [(0, k, float(k % 20), float(k // 20), 0.0, 2) for k in range(400)]
     roof = [(0, 1000 + k, float(k % 6), float(k // 6), 5.0, 6) for k in range(36)] + [(0, 2000 + k, 12.0 + k % 6, float(k // 6), 1.0, 6) for k in range(36)]
